@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-FLAGSHIP = ""
+from folio.plans import segments, text  # noqa: F401
+from folio.plans.registry import QUERIES, SQL
+
+FLAGSHIP = "t01_normalize"
 
 
 def queries() -> dict:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict:
-    return {}
+    return dict(SQL)
