@@ -141,7 +141,7 @@ def l14_evidence_selection(t: Tables) -> DataFrame:
 
 
 @query(f"""WITH {_SECTIONS}, refs AS (SELECT id, target_document, concat(target_document, '.md') AS file FROM {{f_annotations}} WHERE NOT allow_no_answer)
-SELECT id, coalesce(string_agg(concat('[source] ', file, '#', heading, chr(10), body), chr(10)||chr(10) ORDER BY section_no), '') AS evidence, count(heading) > 0 AS resolved
+SELECT id, coalesce(string_agg(CASE WHEN heading IS NOT NULL THEN concat('[source] ', file, '#', heading, chr(10), body) END, chr(10)||chr(10) ORDER BY section_no), '') AS evidence, count(heading) > 0 AS resolved
 FROM refs LEFT JOIN (SELECT * FROM sections QUALIFY row_number() OVER (PARTITION BY document_id ORDER BY section_no) <= 2) s ON s.document_id = refs.target_document GROUP BY id""")
 def l15_evidence_text(t: Tables) -> DataFrame:
     first = L.top(C.markdown_sections(t("f_markdown")), "document_id", 2, F.asc("section_no"))

@@ -100,9 +100,9 @@ def per_document(t: Tables, k: int = 3) -> DataFrame:
     return L.top(every, ["query_id", "document_id"], k, F.desc("score"), F.asc("chunk_id"))
 
 
-@query(f"WITH {_MULTI} SELECT query_id, label::BIGINT AS document_id, vec AS chunk_id, round(score, 6) AS score, rank FROM per")
+@query(f"WITH {_MULTI} SELECT query_id, label::BIGINT AS document_id, vec AS chunk_id, round(score, 4) AS score, rank FROM per")
 def r09_multi_document(t: Tables) -> DataFrame:
-    return per_document(t).withColumn("score", F.round("score", 6))
+    return per_document(t).withColumn("score", F.round("score", 4))
 
 
 @query(f"WITH {_MULTI}, f AS (SELECT query_id, concat(label, '_', vec) AS chunk_id, round(sum(1.0 / (60 + rank)), 12) AS score FROM per GROUP BY ALL) SELECT query_id, chunk_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM f QUALIFY rank <= 20")
