@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from folio.plans import lexical, retrieval, segments, similarity, text  # noqa: F401
+from folio.plans import administration, conversations, datasets, evaluation, lexical, monitoring, retrieval, segments, similarity, text  # noqa: F401
 from folio.plans.registry import QUERIES, SQL
 
 FLAGSHIP = "t01_normalize"
