@@ -7,9 +7,10 @@ Stages, all keyed and shuffled by Spark:
 2. Documents with equal sets collapse into their smallest id (a pre-aggregated group-by; a hot group never meets in a task).
 3. Star round: every member of a band bucket is held against the bucket's leader; Odd Sketches screen the pairs, the
    likeliest few per document are confirmed on full sets, and the confirmed links give first components.
-4. Cross round: in buckets that still hold several components, every pair of members of different components is screened
-   and confirmed. Members of the largest component meet only members of others, so a group of n near copies costs about n
-   pairs, not n squared, and no candidate is left out.
+4. Cross round: in buckets that still hold several components, the members outside the largest one are held against all
+   members of other components, so no candidate is left out. Small buckets give screened and confirmed pairs. Large ones
+   (a group of near copies) are cut into blocks of bounded size on both sides; a block's full sets are compared as arrays and
+   only links come out, so no pairs are emitted.
 """
 
 from __future__ import annotations
@@ -19,6 +20,7 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -101,23 +103,59 @@ def full_sets(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str, shing
     return source.withColumn("slot", wanted.slot("id")).mapInArrow(run, "id long, shingles array<long>")
 
 
+def block_links(sets: DataFrame, mixed: DataFrame, percent: int, block: int) -> DataFrame:
+    """Links (a, b) between members of different components of a bucket, at least one for each document and component linked.
+
+    ``mixed`` has (bucket, id, part, main, n_shingles), ``sets`` (id, shingles). Both sides of a bucket are dealt over blocks of
+    about ``block`` shingles; each pair of blocks is one group.
+    """
+    totals = mixed.groupBy("bucket").agg(F.sum("n_shingles").alias("all"), F.sum(F.when(F.col("part") != F.col("main"), F.col("n_shingles"))).alias("some"))
+    totals = totals.select("bucket", F.ceil(F.col("all") / block).cast("int").alias("nm"), F.ceil(F.col("some") / block).cast("int").alias("nq"))
+    rows = mixed.join(totals, "bucket").join(sets, "id")
+    slot = lambda n: F.pmod(F.xxhash64("id", "bucket"), F.col(n).cast("long")).cast("int")
+    copies = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    members = rows.select("bucket", copies("nq").alias("q"), slot("nm").alias("m"), "id", "part", "shingles", F.lit(False).alias("asks"))
+    asked = rows.where("part <> main").select("bucket", slot("nq").alias("q"), copies("nm").alias("m"), "id", "part", "shingles", F.lit(True).alias("asks"))
+
+    def compare(group: pd.DataFrame) -> pd.DataFrame:
+        left, right = group[group["asks"]], group[~group["asks"]]
+        out: list[tuple[int, int]] = []
+        if len(left) and len(right):
+            sizes = right["shingles"].map(len).to_numpy()
+            starts = np.cumsum(sizes) - sizes
+            known, place = np.unique(np.concatenate(right["shingles"].to_list()), return_inverse=True)
+            ids, parts = right["id"].to_numpy(), right["part"].to_numpy()
+            for i, part, own in zip(left["id"], left["part"], left["shingles"], strict=True):
+                at = np.minimum(np.searchsorted(known, own), len(known) - 1)
+                has = np.zeros(len(known), dtype=np.int64)
+                has[at[known[at] == own]] = 1
+                both = np.add.reduceat(has[place], starts)
+                linked = np.flatnonzero((100 * both >= percent * (len(own) + sizes - both)) & (parts != part))
+                out += [(i, ids[linked[k]]) for k in np.unique(parts[linked], return_index=True)[1]]
+        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+
+    return members.unionByName(asked).groupBy("bucket", "q", "m").applyInPandas(compare, "a long, b long")
+
+
 def near_duplicates(
     docs: DataFrame,
     id_col: str = "doc_id",
     text_col: str = "text",
     shingle: int = 5,
     percent: int = 80,
-    bands: int = 32,
-    rows: int = 5,
+    bands: int = 40,
+    rows: int = 6,
     sketch_bits: int = 256,
     star_links: int = 3,
+    large_bucket: int = 48,
+    block: int = 500_000,
     seed: int = 20240229,
 ) -> DataFrame:
     """Near-duplicate class of every row: (id_col, n_shingles, component_id, kept).
 
     Two documents are linked when ``100 * intersection >= percent * union`` of their sets of word shingles; the links are
     confirmed on the full sets. ``component_id`` is the smallest id that links reach; ``kept`` marks it. With the default
-    32 bands of 5 rows a pair at 80 % is missed by all bands with probability 3e-6.
+    40 bands of 6 rows a pair at 80 % is missed by all bands with probability 5e-6.
 
     Null or empty texts and texts without words have no shingles and are linked with nothing; a text with fewer words than
     a shingle has its whole word sequence as its only one. Rows that repeat an id are one document: all get its class. A
@@ -156,14 +194,19 @@ def near_duplicates(
 
     placed = members.join(found, members["id"] == found["node"], "left").select("bucket", "id", F.coalesce("component", "id").alias("part"))
     parts = placed.groupBy("bucket", "part").count()
-    split = parts.groupBy("bucket").agg(F.max_by("part", F.struct("count", "part")).alias("main"), F.count("*").alias("n")).where("n > 1")
-    mixed = cut(placed.join(split.select("bucket", "main"), "bucket"))
-    one, other = mixed.where("part <> main").alias("x"), mixed.alias("y")
+    split = parts.groupBy("bucket").agg(F.max_by("part", F.struct("count", "part")).alias("main"), F.count("*").alias("n"), F.sum("count").alias("size")).where("n > 1")
+    mixed = cut(placed.join(split.select("bucket", "main", "size"), "bucket"))
+    small, large = mixed.where(F.col("size") <= large_bucket), mixed.where(F.col("size") > large_bucket)
+    one, other = small.where("part <> main").alias("x"), small.alias("y")
     apart = F.expr("x.bucket = y.bucket AND x.part <> y.part AND (y.part = y.main OR x.id < y.id)")
     cross = one.join(other, apart).select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
     tested = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     late = cut(screened(cross.join(tested, ["a", "b"], "left_anti")).select("a", "b"))
     more = confirmed(late)
+    if not large.isEmpty():
+        sizes = firsts.select("id", "n_shingles").dropDuplicates(["id"])
+        sets = cut(full_sets(docs, large.select("id"), id_col, text_col, shingle).dropDuplicates(["id"]))
+        more = more.union(block_links(sets, large.join(sizes, "id"), percent, block))
 
     final = connected_components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).where("a <> b").union(more))
     named = classes.join(final, classes["rep"] == final["node"], "left").select("set_key", F.coalesce("component", "rep").alias("class"))

@@ -9,7 +9,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Text bytes that are worked on at once; one longer text goes alone.
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 1 << 20
 
 _BASE = np.uint64(0x9E3779B97F4A7C55)
 _BASE_INV = np.uint64(pow(0x9E3779B97F4A7C55, -1, 1 << 64))
