@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from folio.llm.store import own_columns, with_fields
 from folio.llm.textops import _BASE, _BASE_INV, _power, chunks, mix
 
 SEEN_BITS = 22
@@ -151,20 +152,21 @@ def mark_contaminated(
     blocks = max(1, -(-size // block_chars))
     docs = docs.drop("matches") if "matches" in docs.columns else docs
     kept = docs.columns
-    schema = docs.schema.simpleString()[len("struct<") : -1]
     kind = pa.list_(pa.struct([("item_id", pa.int64()), ("edits", pa.int64())]))
-    out = docs.withColumn("matches", F.expr("CAST(array() AS array<struct<item_id:bigint,edits:bigint>>)"))
+    found_type = "array<struct<item_id:bigint,edits:bigint>>"
+    schema = with_fields(docs, matches=found_type)
+    out = docs.withColumn("matches", F.expr(f"CAST(array() AS {found_type})"))
     for block in range(blocks):
         own = items.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == block).orderBy("item", "text").collect()  # bounded by block_chars
         shared = docs.sparkSession.sparkContext.broadcast(probes([(r["item"], r["text"]) for r in own], q, window, percent, least))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             p = shared.value
-            for batch in chunks(batches, "_text"):
-                found = find([normal(t) for t in batch.column("_text").to_pylist()], p)
+            for batch in chunks(batches, "_folio_text"):
+                found = find([normal(t) for t in batch.column("_folio_text").to_pylist()], p)
                 before = batch.column("matches").to_pylist() if blocks > 1 else [[]] * batch.num_rows
                 new = [b + [{"item_id": i, "edits": e} for i, e in sorted(found.get(k, {}).items())] for k, b in enumerate(before)]
                 yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(len(kept))), pa.array(new, type=kind)], names=[*kept, "matches"])
 
-        out = out.select(*kept, "matches", F.col(text_col).alias("_text")).mapInArrow(run, f"{schema}, matches array<struct<item_id:bigint,edits:bigint>>")
+        out = out.select(*own_columns(out), F.col(text_col).alias("_folio_text")).mapInArrow(run, schema)
     return out

@@ -17,6 +17,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from folio.llm.store import own_columns, with_fields
 from folio.llm.textops import chunks, utf8
 
 ORDER = 3
@@ -163,16 +164,15 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     has_letter = F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False))
     made = [c for c in ("lang_pred", "score", "bits_per_byte") if c in docs.columns]
     docs = docs.drop(*made)
-    source = docs.select(*docs.columns, F.col(text_col).alias("_text"), has_letter.alias("_letter"))
-    schema = docs.schema.simpleString()[len("struct<") : -1]
+    source = docs.select(*own_columns(docs), F.col(text_col).alias("_folio_text"), has_letter.alias("_folio_letter"))
     kept = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         names = np.array([*model.languages, UNDETERMINED], dtype=object)
-        for batch in chunks(batches, "_text"):
-            letter = batch.column("_letter").to_numpy(zero_copy_only=False)
-            raw, at = utf8(batch.column("_text"))
+        for batch in chunks(batches, "_folio_text"):
+            letter = batch.column("_folio_letter").to_numpy(zero_copy_only=False)
+            raw, at = utf8(batch.column("_folio_text"))
             if model.languages:
                 rate = model.code_lengths(raw, at) / np.maximum(1, np.diff(at))[:, None]
                 best = rate.argmin(axis=1)
@@ -184,7 +184,7 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
             columns = [pa.array(names[np.where(letter, best, len(names) - 1)], type=pa.string()), pa.array(np.where(letter, score, 0.0)), pc.if_else(pa.array(letter), pa.array(bits), pa.scalar(None, pa.float64()))]
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(len(kept))), *columns], names=[*kept, "lang_pred", "score", "bits_per_byte"])
 
-    return source.mapInArrow(run, f"{schema}, lang_pred string, score double, bits_per_byte double".lstrip(", "))
+    return source.mapInArrow(run, with_fields(docs, lang_pred="string", score="double", bits_per_byte="double"))
 
 
 def held_out(id_col: str = "doc_id") -> Column:

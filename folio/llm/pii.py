@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folio.llm.store import cut
+from folio.llm.store import cut, own_columns, with_fields
 from folio.llm.textops import chunks
 
 #: Only texts that match this are looked at (Java's dialect, evaluated by Spark).
@@ -223,6 +223,7 @@ def replace_entities(docs: DataFrame, key: bytes, id_col: str = "doc_id", text_c
     entities stay as they are; null texts stay null. Rows that repeat an id, or have a null one, are each served. An empty
     table gives an empty result.
     """
+    docs = docs.drop(*({"n_entities", "entity_types"} & set(docs.columns))) if report else docs
     hinted = F.coalesce(F.col(text_col).rlike(HINT), F.lit(False))
     near = docs.where(hinted)
 
@@ -235,17 +236,17 @@ def replace_entities(docs: DataFrame, key: bytes, id_col: str = "doc_id", text_c
     chosen = assign(seen, key)
     own = (
         seen.join(chosen, ["kind", "value"]).groupBy("id")
-        .agg(F.map_from_entries(F.collect_set(F.struct(F.concat_ws(":", "kind", "value"), "surrogate"))).alias("_map"))
-        .withColumnRenamed("id", "_id")
+        .agg(F.map_from_entries(F.collect_set(F.struct(F.concat_ws(":", "kind", "value"), "surrogate"))).alias("_folio_map"))
+        .withColumnRenamed("id", "_folio_id")
     )
     kept = docs.columns
     at = kept.index(text_col)
-    schema = docs.schema.simpleString()[len("struct<") : -1] + ", n_entities long, entity_types array<string>"
+    schema = with_fields(docs, n_entities="long", entity_types="array<string>")
 
     def swap(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches, text_col):
             texts, counts, types = [], [], []
-            for text, pairs in zip(batch.column(at).to_pylist(), batch.column("_map").to_pylist(), strict=True):
+            for text, pairs in zip(batch.column(at).to_pylist(), batch.column("_folio_map").to_pylist(), strict=True):
                 known = dict(pairs or ())
                 out, done, kinds = [], 0, []
                 for start, end, kind, value in detect(text):
@@ -259,7 +260,7 @@ def replace_entities(docs: DataFrame, key: bytes, id_col: str = "doc_id", text_c
             columns[at] = pa.array(texts, type=pa.string())
             yield pa.RecordBatch.from_arrays([*columns, pa.array(counts, type=pa.int64()), pa.array(types, type=pa.list_(pa.string()))], names=[*kept, "n_entities", "entity_types"])
 
-    joined = near.join(own, F.col(id_col).cast("long").eqNullSafe(F.col("_id")), "left").select(*(near[c] for c in kept), "_map")
+    joined = near.join(own, F.col(id_col).cast("long").eqNullSafe(F.col("_folio_id")), "left").select(*own_columns(docs), "_folio_map")
     plain = docs.where(~hinted).withColumns({"n_entities": F.lit(0).cast("long"), "entity_types": F.array().cast("array<string>")})
     out = joined.mapInArrow(swap, schema).unionByName(plain)
-    return out if report else out.select(*kept)
+    return out if report else out.select(*own_columns(docs))

@@ -43,8 +43,8 @@ def kd_shards(
     """Every row with its shard: (id_col, size, text_crc32, shard, slot).
 
     ``size`` is the UTF-8 length of the text plus ``overhead``. Shards get near-equal bytes. Equal texts (null counts as
-    empty) share a shard; a group heavier than one shard's share is dealt over as many points as it needs, by a hash of the
-    id. ``slot`` numbers a shard's rows without gaps from 0. String dimensions are placed by hash, so that few values still
+    empty) share a shard, unless their group holds over a quarter of a shard's share of the bytes: such a group is dealt over
+    points of a sixteenth of a share by a hash of the id, as no even law could hold with it whole. ``slot`` numbers a shard's rows without gaps from 0. String dimensions are placed by hash, so that few values still
     spread; nulls in a dimension are at its low end. Repeated rows each take a slot. An empty table gives an empty result;
     columns that are not named here are not read, and a dimension that the table lacks is left out.
     """
@@ -57,19 +57,22 @@ def kd_shards(
         F.md5(F.encode(text, "UTF-8")).alias("key"), *(c.alias(f"d{i}") for i, c in enumerate(coords)),
     )
     places = [f"d{i}" for i in range(len(dims))]
-    groups = cut(rows.groupBy("key").agg(F.sum("size").alias("bytes"), *(F.min(d).alias(d) for d in places)))
+    groups = cut(rows.groupBy("key").agg(F.sum("size").alias("bytes"), F.count("*").alias("copies"), *(F.min(d).alias(d) for d in places)))
     known = groups.agg(F.sum("bytes").alias("bytes"), *(F.min(d).alias(f"lo_{d}") for d in places), *(F.max(d).alias(f"hi_{d}") for d in places)).first()
     share = max(1, (known["bytes"] or 0) // shards)
-    parts = F.greatest(F.lit(1), F.ceil(F.col("bytes") / F.lit(share)).cast("int")).alias("parts")
+    pieces = F.least(F.col("copies"), F.ceil(16 * F.col("bytes") / F.lit(share)))
+    parts = F.when(4 * F.col("bytes") <= share, 1).otherwise(pieces).cast("int").alias("parts")
     scale = [_scaled(F.col(d), F.lit(known[f"lo_{d}"]).cast("double"), F.lit(known[f"hi_{d}"]).cast("double")).alias(d) for d in places]
     tie = F.pmod(F.xxhash64("key", "part"), F.lit(1 << TIE_BITS)).alias("tie")
     points = groups.select("key", "bytes", parts, *scale).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     points = cut(points.select("key", "part", "parts", (F.col("bytes") / F.col("parts")).alias("w"), *places, tie, F.lit(0).alias("node")))
 
     owned = {0: shards}  # first shard of a node -> shards it owns
-    while any(n > 1 for n in owned.values()):
+    while True:
         wide = points.groupBy("node").agg(F.sum("w").alias("w"), *((F.max(d) - F.min(d)).alias(d) for d in places)).collect()
         todo = {r["node"]: r for r in wide if owned[r["node"]] > 1}
+        if not todo:
+            break
         along = {k: max(range(len(places)), key=lambda i: (r[places[i]], -i)) if places else 0 for k, r in todo.items()}
         value = _pick(F.col("node"), {k: F.col(places[i]) for k, i in along.items()}, F.lit(0).cast("long")) if places else F.lit(0).cast("long")
         at = points.where(F.col("node").isin(list(todo))).select("node", "w", F.shiftleft(value, TIE_BITS).bitwiseOR(F.col("tie")).alias("sort"))

@@ -53,7 +53,7 @@ def _strength(units: DataFrame, keys: list[str], low: float, high: float) -> Dat
     freedom = F.col("pn") - F.col("nn") / F.col("pn")
     variance = (between - (F.col("k") - 1) * within) / F.nullif(freedom, F.lit(0.0))
     strength = F.when((variance > 0) & (within > 0), within / variance - 1).otherwise(F.lit(high))
-    return got.select(*keys, "pn", "pbad", F.greatest(F.lit(low), F.least(F.lit(high), strength)).alias("strength"))
+    return got.select(*keys, "pn", "pbad", "k", F.greatest(F.lit(low), F.least(F.lit(high), strength)).alias("strength"))
 
 
 def host_reputation(pages: DataFrame, outcomes: DataFrame, id_col: str = "page_id", z: float = 1.645, low: float = 2.0, high: float = 200.0) -> DataFrame:
@@ -67,15 +67,18 @@ def host_reputation(pages: DataFrame, outcomes: DataFrame, id_col: str = "page_i
     domains = hosts.groupBy("suffix", "domain").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
     suffixes = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
 
-    # each unit's posterior mean under the prior of its parent
-    mean = (F.col("bad") + F.col("strength") * F.col("prior")) / (F.col("n") + F.col("strength"))
+    # a unit's posterior under the prior of its parent; an only child is its parent, whose outcomes must not count twice
+    alone = F.col("k") == 1
+    weight = F.when(alone, F.col("prior_weight")).otherwise(F.col("n") + F.col("strength"))
+    mean = F.when(alone, F.col("prior")).otherwise((F.col("bad") + F.col("strength") * F.col("prior")) / (F.col("n") + F.col("strength")))
     top = _strength(suffixes, [], low, high).select("strength", ((F.col("pbad") + 1) / (F.col("pn") + 2)).alias("prior")).first()
-    by_suffix = suffixes.withColumns({"strength": F.lit(top["strength"]), "prior": F.lit(top["prior"])}).select("suffix", mean.alias("prior"))
-    up = by_suffix.join(_strength(domains, ["suffix"], low, high).select("suffix", "strength"), "suffix")
-    by_domain = domains.join(up, "suffix").select("domain", mean.alias("prior"))
-    up = by_domain.join(_strength(hosts, ["domain"], low, high).select("domain", "strength"), "domain")
-    by_host = hosts.join(up, "domain").withColumn("mean", mean)
-    spread = F.sqrt(F.col("mean") * (1 - F.col("mean")) / (F.col("n") + F.col("strength") + 1))
+    given = {"strength": F.lit(top["strength"]), "prior": F.lit(top["prior"]), "prior_weight": F.lit(0.0), "k": F.lit(0)}
+    by_suffix = suffixes.withColumns(given).select("suffix", mean.alias("prior"), weight.alias("prior_weight"))
+    up = by_suffix.join(_strength(domains, ["suffix"], low, high).select("suffix", "strength", "k"), "suffix")
+    by_domain = domains.join(up, "suffix").select("domain", mean.alias("prior"), weight.alias("prior_weight"))
+    up = by_domain.join(_strength(hosts, ["domain"], low, high).select("domain", "strength", "k"), "domain")
+    by_host = hosts.join(up, "domain").withColumns({"mean": mean, "weight": weight})
+    spread = F.sqrt(F.col("mean") * (1 - F.col("mean")) / (F.col("weight") + 1))
     return by_host.select("host", "n", "bad", "mean", (F.col("mean") - F.lit(z) * spread).alias("bound"))
 
 

@@ -1,0 +1,333 @@
+"""Each operator against a plain version on small tables, and on rows that are empty, null, repeated, long or oddly named."""
+
+import hashlib
+import html
+import re
+import zlib
+from itertools import combinations
+
+import numpy as np
+import pytest
+
+pytest.importorskip("folio.llm")
+
+from folio.llm import decontaminate, fingerprint, html_extract, lang_id, near_dedup, packing, pii, sharding, token_store, url_filter
+from folio.llm.components import connected_components
+from folio.llm.queries import RULES, tokenizer
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars long"
+BASE = "one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty"
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    """Nulls, empty and long texts, repeated rows and clashing columns."""
+    rows = [
+        (1, BASE, "en", "a", 5), (1, BASE, "en", "a", 5), (2, BASE.upper(), None, None, None), (3, "", "en", "a", 0), (4, None, None, "b", None), (None, "lonely words here", "fr", "b", 3),
+        (6, " \n\t ", "de", "b", 4), (7, "word " * 30_000, "en", "a", 150_000), (8, "hi", "en", "a", 2), (9, BASE + " extra", "en", "c", 9), (10, "привет мир 你好 \U0001f600", "ru", "c", 4),
+    ]
+    made = spark.createDataFrame(rows, DOCS)
+    for c in ("id", "part", "slot", "shard", "bucket", "matches", "_text", "a b:c"):
+        made = made.withColumn(c, made["n_chars"])
+    return made
+
+
+def empty(spark):
+    return spark.createDataFrame([], DOCS)
+
+
+def words(text):
+    return re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+
+
+def shingles(text, width):
+    w = words(text)
+    return {tuple(w[i : i + width]) for i in range(len(w) - width + 1)} if len(w) >= width else {tuple(w)} - {()}
+
+
+def classes(docs, width, percent):
+    sets = {d: shingles(t, width) for d, t in docs}
+    root = {d: d for d in sets}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in combinations(sorted(sets), 2):
+        both = len(sets[a] & sets[b])
+        if both and 100 * both >= percent * len(sets[a] | sets[b]):
+            x, y = sorted((find(a), find(b)))
+            root[y] = x
+    return {d: find(d) for d in sets}, {d: len(s) for d, s in sets.items()}
+
+
+@pytest.mark.parametrize("settings", [{}, {"star_links": 0, "large_bucket": 1, "block": 500}])
+def test_near_duplicates_match_all_pairs(spark, data, settings):
+    docs = spark.read.parquet(f"{data}/documents.parquet")
+    rows = [(r["doc_id"], r["text"]) for r in docs.select("doc_id", "text").collect()]
+    want, sizes = classes(rows, 2, 80)
+    got = near_dedup.near_duplicates(docs, shingle=2, percent=80, **settings).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == want
+    assert {r["doc_id"]: r["n_shingles"] for r in got} == sizes
+    assert all(r["kept"] == (r["doc_id"] == r["component_id"]) for r in got)
+
+
+def test_near_duplicates_odd_rows(spark, odd):
+    got = near_dedup.near_duplicates(odd, shingle=2).collect()
+    assert len(got) == 11
+    by = {r["doc_id"]: r for r in got}
+    assert by[2]["component_id"] == 1 and by[9]["component_id"] == 1
+    assert by[3]["component_id"] == 3 and by[3]["n_shingles"] == 0 and by[4]["kept"] and by[6]["kept"]
+    assert by[7]["n_shingles"] == 1 and by[8]["n_shingles"] == 1
+    assert by[None]["component_id"] is None and by[None]["kept"]
+    assert near_dedup.near_duplicates(empty(spark)).count() == 0
+
+
+def test_odd_sketch_estimates_difference():
+    rng = np.random.default_rng(1)
+    a, b = near_dedup.permutations(240, 3)
+    base = rng.integers(0, 1 << 64, 1000, dtype=np.uint64)
+    other = np.concatenate([base[:900], rng.integers(0, 1 << 64, 100, dtype=np.uint64)])
+    x, y = (near_dedup.odd_sketch(near_dedup.minhash(s, a, b), 256) for s in (base, other))
+    far = sum(bin(int(v) & (1 << 64) - 1).count("1") for v in x ^ y)
+    assert abs(far - near_dedup.odd_limit(900 / 1100, 240, 256)) < 30
+
+
+def test_components_of_chain_and_star(spark):
+    edges = [(i, i + 1) for i in range(1, 40)] + [(100, i) for i in range(101, 160)] + [(7, 7), (200, 201), (201, 200)]
+    got = {r["node"]: r["component"] for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert all(got[i] == 1 for i in range(1, 41)) and all(got[i] == 100 for i in range(100, 160)) and got[201] == 200
+    assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_token_store_round_trip(spark, odd, tmp_path):
+    from tokenizers import Tokenizer
+
+    path = tokenizer("word_bpe_49k.json")
+    plain = Tokenizer.from_file(path)
+    plain.encode_special_tokens = True
+    token_store.write_tokens(odd, str(tmp_path / "t"), path, 2)
+    got = token_store.read_tokens(spark, str(tmp_path / "t"), with_ids=True).orderBy("start").collect()
+    rows = sorted(((r["doc_id"], r["text"]) for r in odd.select("doc_id", "text").collect()), key=lambda r: (r[0] is not None, r[0] or 0))
+    assert [r["doc_id"] for r in got] == [r[0] for r in rows]
+    at = 0
+    for r, (_, text) in zip(got, rows, strict=True):
+        ids = [*plain.encode(text or "", add_special_tokens=False).ids, 2]
+        assert (r["start"], r["n_tokens"], list(r["ids"])) == (at, len(ids), ids)
+        assert r["ids_crc32"] == zlib.crc32(np.array(ids, dtype="<u4").tobytes())
+        at += len(ids)
+    token_store.write_tokens(empty(spark), str(tmp_path / "e"), path, 2)
+    assert token_store.read_tokens(spark, str(tmp_path / "e")).count() == 0
+
+
+def test_segment_refuses_another_dictionary():
+    import zstandard
+
+    data = token_store.pack_segment(0, [(5, zstandard.ZstdCompressor().compress(b"\1\0"), 1)], 2, hashlib.sha256(b"").digest())
+    assert token_store.Segment(data, b"").ids(0).tolist() == [1]
+    with pytest.raises(ValueError):
+        token_store.Segment(data, b"x")
+
+
+@pytest.mark.parametrize(("name", "space"), [("word_bpe_49k.json", False), ("byte_bpe_50k.json", True)])
+def test_encoder_equals_whole_text_encoding(name, space):
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(tokenizer(name))
+    plain.encode_special_tokens = True
+    texts = ["a\t\n\nb  c \x1c! it's  ", "\n\n x", "naïve é   z\u0085q", "<|endoftext|> don't!!  \r\n ok", "", "  ", "A" * 300 + " b", "x\t b\t\tc\n\td \n e"]
+    encode = token_store.Encoder(tokenizer(name), space)
+    for text, raw in zip(texts, encode(texts), strict=True):
+        assert np.frombuffer(raw, dtype=encode.dtype).tolist() == plain.encode(text, add_special_tokens=False).ids, repr(text)
+
+
+def test_pii_keeps_format_distinctness_and_coreference(spark):
+    rows = [
+        (1, "Write bob.42@mail8.example.com or BOB.42@MAIL8.EXAMPLE.COM, card 4041894974608795, ip 42.144.35.254."), (2, "Again bob.42@mail8.example.com and +1 (988) 555-2485 / 988-555-2485"),
+        (3, 'token = "0e24ea08e3fe1bcda00123b07ac0451f9f00" password=e0b0ed0cc000123d0'), (4, "Mr. John Smith met Mrs Anna Smith. Herr Smith left. Version 1.2.3 and 1234567890123456 stay."),
+        (5, "nothing here"), (6, None), (7, ""), (8, "Госпожа Анна Орлова ждёт"), (None, "x@y.org"), (9, "DE89 3704 0044 0532 0130 00"),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r for r in pii.replace_entities(docs, b"k", report=True).collect()}
+    assert len(got) == 10 and got[5]["text"] == "nothing here" and got[6]["text"] is None and got[7]["text"] == ""
+    first = re.search(r"Write ([a-z]{3}\.\d\d@[a-z]{4}\d\.[a-z]{7}\.com) or (\S+), card (\d{16}), ip (\d\d\.\d{3}\.\d\d\.\d{3})", got[1]["text"])
+    assert first and first[2] == first[1].upper() and pii.luhn(first[3]) and first[3][0] == "4" and first[1] in got[2]["text"]
+    assert "bob.42" not in got[1]["text"] + got[2]["text"] and re.search(r"\+1 \(\d{3}\) \d{3}-\d{4} / \d{3}-\d{3}-\d{4}", got[2]["text"])
+    assert "0e24ea08" not in got[3]["text"] and "e0b0ed0" not in got[3]["text"] and got[3]["text"].startswith('token = "')
+    names = re.match(r"Mr\. (\w+) (\w+) met Mrs (\w+) (\w+)\. Herr (\w+) left", got[4]["text"])
+    assert names and names[2] == names[4] == names[5] and names[2] != "Smith" and "1234567890123456" in got[4]["text"]
+    assert names[1] in pii.GIVEN["latin", "m"] and names[3] in pii.GIVEN["latin", "f"]
+    assert pii.script_of(got[8]["text"].split()[1]) == "cyrillic" and "Орлова" not in got[8]["text"]
+    assert pii.iban_ok(got[9]["text"].replace(" ", "")) and got[9]["text"] != rows[-1][1]
+    again = {r["doc_id"]: r["text"] for r in pii.replace_entities(docs, b"k").collect()}
+    assert again == {k: r["text"] for k, r in got.items()}
+
+
+def test_pii_collisions_are_drawn_anew(spark):
+    values = [("ip", f"{a}.{b}.1.1") for a in range(1, 10) for b in range(1, 10)] + [("family-latin", f"name{i}") for i in range(200)]
+    got = pii.assign(spark.createDataFrame(values, "kind string, value string"), b"k").collect()
+    assert len(got) == len(values) and len({(r["kind"], r["surrogate"]) for r in got}) == len(values)
+    assert not {(r["kind"], r["surrogate"]) for r in got} & set(values)
+
+
+def test_kd_shards_balance_and_number(spark, data, odd):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = sharding.kd_shards(docs, 24).join(docs.select("doc_id", "text"), "doc_id").toPandas()
+    assert len(rows) == docs.count() and set(rows["shard"]) == set(range(24))
+    assert (rows["size"] == [len(t.encode()) + 8 for t in rows["text"]]).all() and (rows["text_crc32"] == [zlib.crc32(t.encode()) for t in rows["text"]]).all()
+    held = rows.groupby("shard")["size"].sum()
+    assert held.max() - held.min() < rows["size"].max()
+    assert all(sorted(g) == list(range(len(g))) for _, g in rows.groupby("shard")["slot"])
+    assert (rows.groupby("text")["shard"].nunique() == 1).all()
+    few = sharding.kd_shards(odd, 4).toPandas()
+    assert len(few) == 11 and all(sorted(g) == list(range(len(g))) for _, g in few.groupby("shard")["slot"])
+    assert sharding.kd_shards(empty(spark), 4).count() == 0
+
+
+def test_kd_shards_split_a_group_over_many(spark):
+    docs = spark.createDataFrame([(i, "same text", "en", "s", 9) for i in range(800)] + [(i, f"other {i}", "en", "s", 9) for i in range(800, 1200)], DOCS)
+    held = sharding.kd_shards(docs, 8).groupBy("shard").sum("size").toPandas()["sum(size)"]
+    assert len(held) == 8 and held.max() < 1.4 * held.mean()
+
+
+def test_urls(spark):
+    rows = [(1, "http://WWW.Example.ORG/es/x?q#f"), (2, "https://example.org/en/12"), (3, "http://a.com/fr/"), (4, "http://a.com/de/1"), (5, None), (6, "no scheme"), (7, "http://b.net"), (8, "http://x.org"), (9, "ftp://c.org/a?b/de/"), (10, "http://notexample.org/es/")]
+    pages = spark.createDataFrame(rows, "page_id long, url string")
+    none = spark.createDataFrame([], "page_id long, bad int")
+    got = {r["page_id"]: (r["host"], r["path"], r["rule"], r["verdict"]) for r in url_filter.judge_urls(pages, none, RULES).collect()}
+    assert got == {
+        1: ("www.example.org", "/es/x", "example.org/es/", "block"), 2: ("example.org", "/en/12", "example.org/en/1", "block"), 3: ("a.com", "/fr/", "com/fr/", "allow"), 4: ("a.com", "/de/1", "com/de/", "block"),
+        5: ("", "", None, "allow"), 6: ("", "", None, "allow"), 7: ("b.net", "", None, "allow"), 8: ("x.org", "", None, "allow"), 9: ("c.org", "/a", "org/", "allow"), 10: ("notexample.org", "/es/", "org/", "allow"),
+    }
+
+
+def test_bad_hosts_are_blocked_and_small_samples_shrunk(spark):
+    rows = [(i, f"http://bad.net/{i}") for i in range(40)] + [(100 + i, f"http://good.net/{i}") for i in range(40)] + [(200, "http://once.net/")]
+    bad = [(i, 1) for i in range(40)] + [(100 + i, 0) for i in range(40)] + [(200, 1)]
+    got = {r["host"]: r["verdict"] for r in url_filter.judge_urls(spark.createDataFrame(rows, "page_id long, url string"), spark.createDataFrame(bad, "page_id long, bad int"), []).collect()}
+    assert got == {"bad.net": "block", "good.net": "allow", "once.net": "allow"}
+
+
+def test_packing_holds_every_id_once(spark, odd):
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(tokenizer("byte_bpe_50k.json"))
+    plain.encode_special_tokens = True
+    got = packing.pack(odd, tokenizer("byte_bpe_50k.json"), 0, size=64).toPandas()
+    total = sum(len(plain.encode(r["text"] or "", add_special_tokens=False).ids) + 1 for r in odd.select("text").collect())
+    assert got["length"].sum() == total
+    for _, g in got.sort_values("offset").groupby("sequence_id"):
+        assert (g["offset"] == g["length"].cumsum() - g["length"]).all() and g["length"].sum() <= 64
+    assert set(got["sequence_id"]) == set(range(got["sequence_id"].max() + 1))
+    assert packing.pack(empty(spark), tokenizer("byte_bpe_50k.json"), 0).count() == 0
+
+
+def test_histogram_packing_is_tight_and_exact():
+    rng = np.random.default_rng(0)
+    counts = {int(k): int(v) for k, v in zip(*np.unique(np.minimum(1024, rng.geometric(0.004, 20_000)), return_counts=True), strict=True)}
+    patterns = packing.pack_histogram(counts, 1024)
+    held: dict[int, int] = {}
+    for c, lengths in patterns:
+        assert sum(lengths) <= 1024
+        for n in lengths:
+            held[n] = held.get(n, 0) + c
+    assert held == counts
+    used, full = sum(k * v for k, v in counts.items()), 1024 * sum(c for c, _ in patterns)
+    assert used / full > 0.97
+
+
+def test_fingerprints_estimate_and_merge(spark, odd):
+    a, b = [f"w{i}" for i in range(2000)], [f"w{i}" for i in range(1000, 3000)]
+    x, y = fingerprint.sketches([" ".join(a), " ".join(b)], 1, 256)
+    assert abs(fingerprint.resemblance(x, y, 256) - 1 / 3) < 0.1 and abs(fingerprint.containment(x, y, 256) - 0.5) < 0.12 and abs(fingerprint.distinct(x, 256) / 2000 - 1) < 0.2
+    half, rest = fingerprint.sketches([" ".join(a[:900]), " ".join(a[900:])], 1, 256)
+    assert (fingerprint.merge(half, rest, 256) == x).all() and (fingerprint.from_text(fingerprint.to_text(x)) == x).all()
+    got = {r["doc_id"]: r for r in fingerprint.fingerprints(odd).collect()}
+    assert got[1]["fingerprint"] == got[2]["fingerprint"] and got[3]["fingerprint"] == "" and got[4]["n_chars"] == 0
+
+
+def test_edited_fingerprints(spark, odd):
+    rows = [(3, "abcdef ghij"), (1, "12345"), (2, "é" * 7), (5, None), (4, "zz")]
+    got = {r["doc_id"]: r for r in fingerprint.edited_fingerprints(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    want = {5: "", 4: "za", 3: "abcdef" + "é" * 5, 2: "éééé123", 1: "123"}
+    assert {k: r["edited_sha256"] for k, r in got.items()} == {k: hashlib.sha256(v.encode()).hexdigest() for k, v in want.items()}
+    assert fingerprint.edited_fingerprints(odd).count() == 11 and fingerprint.edited_fingerprints(empty(spark)).count() == 0
+    one = fingerprint.edited_fingerprints(spark.createDataFrame([(1, "abcd")], "doc_id long, text string")).collect()
+    assert one[0]["edited_sha256"] == hashlib.sha256(b"abab").hexdigest() and one[0]["near_next"] == 1.0
+
+
+def test_decontamination_finds_edited_passages_only(spark):
+    item = "The quick brown fox jumps over the lazy dog while eleven wise owls discuss the meaning of falling leaves in autumn and early winter."
+    edited = item.replace("brown", "brwn").replace("owls", "howls").replace("autumn", "autum")
+    rows = [(1, f"Before. {item} After."), (2, f"x {edited.upper()} y"), (3, "The quick brown fox sat down. " * 20), (4, None), (5, ""), (6, "z " * 40_000 + item), (7, item[:70]), (None, item)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "doc_id AS matches", "doc_id AS _text")
+    bench = spark.createDataFrame([(10, item), (11, None), (12, ""), (13, "short"), (None, item), (14, "completely different words that never appear anywhere in these documents at all")], "item_id long, text string")
+    for limit in (16 << 20, 150):
+        got = {r["doc_id"]: {(m["item_id"]) for m in r["matches"]} for r in decontaminate.mark_contaminated(docs, bench, block_chars=limit).collect()}
+        assert got == {1: {10}, 2: {10}, 3: set(), 4: set(), 5: set(), 6: {10}, 7: set(), None: {10}}
+    assert decontaminate.mark_contaminated(docs, bench.limit(0)).where("size(matches) > 0").count() == 0
+
+
+def test_decontamination_equals_all_windows(spark, data):
+    docs, bench = spark.read.parquet(f"{data}/documents.parquet"), spark.read.parquet(f"{data}/benchmark.parquet")
+    got = {(r["doc_id"], m["item_id"]) for r in decontaminate.mark_contaminated(docs, bench).where("size(matches) > 0").collect() for m in r["matches"]}
+    texts = [(r["doc_id"], decontaminate.normal(r["text"])) for r in docs.collect()]
+    want = {(d, b["item_id"]) for b in bench.collect() for d, t in texts if decontaminate.normal(b["text"]) in t}
+    assert want <= got
+
+
+def test_infix_distance():
+    d = lambda a, b: decontaminate.infix_distance(decontaminate.codes(a), decontaminate.codes(b))
+    assert (d("abc", "xxabcxx"), d("abc", "xxacxx"), d("abc", "xxabxcxx"), d("abc", ""), d("kitten", "sitting")) == (0, 1, 1, 3, 2)
+
+
+def test_language_model_is_a_code(spark):
+    texts = {"aa": "the cat sat on the mat and the dog ran", "bb": "der hund und die katze sind auf der matte"}
+    counts = []
+    for t in texts.values():
+        raw = np.frombuffer(t.encode(), dtype=np.uint8)
+        counts.append(np.unique(lang_id.grams(raw, np.array([0, len(raw)])), return_counts=True))
+    model = lang_id.build(list(texts), counts)
+    for context in (b"\0\0\0", b"the", b" xq", b"und"):
+        x = np.array([int.from_bytes(context, "big") << 8 | s for s in range(256)], dtype=np.uint32)
+        total = np.exp2(-model.cost(x).astype(np.float64)).sum(axis=0)
+        assert (total <= 1.0 + 1e-6).all() or np.allclose(total, total.clip(0, 2))
+    raw = np.frombuffer(b"the catdie katze", dtype=np.uint8)
+    bits = model.code_lengths(raw, np.array([0, 7, 7, 16]))
+    assert bits[0].argmin() == 0 and bits[2].argmin() == 1 and (bits[1] == 0).all()
+    whole = model.code_lengths(np.frombuffer(b"die katze", dtype=np.uint8), np.array([0, 9]))
+    assert np.allclose(whole[0], bits[2])
+
+
+def test_language_accuracy_on_held_out_rows(spark, odd):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    got = lang_id.predict(docs, lang_id.fit(docs, ~lang_id.held_out())).where(lang_id.held_out()).toPandas()
+    assert (got["lang"] == got["lang_pred"]).mean() > 0.99 and got["score"].between(0, 1).all()
+    some = {r["doc_id"]: r["lang_pred"] for r in lang_id.predict(odd, lang_id.fit(docs, ~lang_id.held_out())).collect()}
+    assert some[3] == some[4] == some[6] == "und" and some[1] == "en" and len(some) == 10
+    none = lang_id.predict(odd, lang_id.fit(empty(spark), lang_id.held_out())).collect()
+    assert {r["lang_pred"] for r in none} == {"und"}
+
+
+PAGE = """<!DOCTYPE html><html><head><title>T &amp; U</title><style>p{}</style><script>var t="</p>";</script></head><body><div id="cookie-notice">We use cookies</div>
+<nav><ul><li><a href="/a">Menu {n}</a></li></ul></nav><header><h2>Site</h2></header><div class="sidebar">Side {n}</div><article><h1>Title {n}</h1><p><b>First &lt;para {n}<br>goes   on<p>Second&nbsp;para {n}</p>
+<div class="ad">Buy</div><section class="comments"><p>Nice post</p></section></article><form><label>Mail</label><input></form><footer>&copy; x</footer></body></html>"""
+
+
+def test_html_main_text(spark):
+    rows = [(i, f"http://a.com/{i}", PAGE.replace("{n}", str(i))) for i in range(5)]
+    rows += [(10, "http://b.com/", "<div class=page><div class=menu>Home</div><div class=text><p>Only text here, and quite a bit of it.</p><p>More.</p></div></div>"), (11, None, "plain &eacute; text"), (12, "http://c.com", None), (13, "http://c.com", ""), (14, "http://c.com", "<p>unclosed <b>bold")]
+    got = {r["page_id"]: r for r in html_extract.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string").selectExpr("*", "page_id AS id", "url AS host")).collect()}
+    for i in range(5):
+        assert got[i]["text"] == f"Title {i}\n\nFirst <para {i} goes on\n\nSecond para {i}" and got[i]["n_chars"] == len(got[i]["text"])
+    assert got[10]["text"] == "Only text here, and quite a bit of it.\n\nMore." and got[11]["text"] == "plain é text" and got[12]["text"] == got[13]["text"] == "" and got[14]["text"] == "unclosed bold"
+    assert html_extract.extract_pages(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+def test_wrapper_is_union_free():
+    a = html_extract.skeleton(["article/h1", "article/p", "article/p"])
+    b = html_extract.skeleton(["article/h1", "article/ul/li", "article/ul/li", "article/p"])
+    made = html_extract.align(a, b)
+    assert html_extract.expression(made) == "<article><h1>#</>(<ul>(<li>#</>)+</>)?(<p>#</>)+</>"
+    assert html.unescape("&copy;") == "©"
