@@ -5,7 +5,7 @@ from __future__ import annotations
 from folio.plans import administration, conversations, datasets, evaluation, lexical, monitoring, retrieval, segments, similarity, sources, streams, text  # noqa: F401
 from folio.plans.registry import QUERIES, SQL
 
-FLAGSHIP = "t01_normalize"
+FLAGSHIP = "r03_hybrid_rrf"
 
 
 def queries() -> dict:
