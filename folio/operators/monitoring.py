@@ -22,7 +22,7 @@ def lower_percentile(rows: DataFrame, keys: list[str], value: str, p: float) ->
 
 
 def request_totals() -> list[Column]:
-    return [F.count("*").alias("requests"), F.count_if("is_error").alias("errors"), F.round(F.avg("duration_ms"), 4).alias("avg_ms")]
+    return [F.count("*").alias("requests"), F.count_if("is_error").alias("errors"), F.round(F.avg("duration_ms"), 8).alias("avg_ms")]
 
 
 def parse_logs(lines: DataFrame, raw: str = "raw") -> DataFrame:

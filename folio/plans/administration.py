@@ -119,14 +119,15 @@ def q13_statistics(t: Tables) -> DataFrame:
     )
 
 
-BATCH = """ls AS (SELECT batch_id, document_no, arg_max(status, ts) AS status, min(ts) AS a, max(ts) AS b FROM {f_batch_events} GROUP BY ALL)
+BATCH = """ls AS (SELECT batch_id, document_no, arg_max(status, (ts, status)) AS status, min(ts) AS a, max(ts) AS b FROM {f_batch_events} GROUP BY ALL)
 SELECT batch_id, count(*) AS total, count(*) FILTER (status = 'completed') AS completed, count(*) FILTER (status = 'failed') AS failed, count(*) FILTER (status NOT IN ('completed', 'failed')) AS processing,
 CAST(floor(100.0 * count(*) FILTER (status IN ('completed', 'failed')) / count(*)) AS BIGINT) AS progress, (epoch(max(b)) - epoch(min(a)))::BIGINT AS seconds FROM ls GROUP BY batch_id"""
 
 
 def batch_rollup(events: DataFrame) -> DataFrame:
-    """Progress of each batch from status events (batch_id, document_no, status, ts): the latest event of a document counts."""
-    last = events.groupBy("batch_id", "document_no").agg(F.max_by("status", "ts").alias("status"), F.min("ts").alias("a"), F.max("ts").alias("b"))
+    """Progress of each batch from status events (batch_id, document_no, status, ts): the latest event of a document counts,
+    of several at one time the last in order of status."""
+    last = events.groupBy("batch_id", "document_no").agg(F.max_by("status", F.struct("ts", "status")).alias("status"), F.min("ts").alias("a"), F.max("ts").alias("b"))
     done, failed = F.count_if(F.col("status") == "completed"), F.count_if(F.col("status") == "failed")
     return last.groupBy("batch_id").agg(
         F.count("*").alias("total"), done.alias("completed"), failed.alias("failed"), (F.count("*") - done - failed).alias("processing"),

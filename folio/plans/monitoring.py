@@ -12,7 +12,7 @@ HORIZON = "ts >= TIMESTAMP '2024-01-10 00:00:00'"
 _LOG = r"lg AS (SELECT event_id, strptime(regexp_extract(raw, '^(\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2})', 1), '%Y-%m-%d %H:%M:%S') AS ts, upper(regexp_extract(raw, '\|\s*(\w+)\s*\|', 1)) AS level, regexp_extract(raw, '\|\s*\w+\s*\|\s*([^ ]+) - ', 1) AS module, regexp_extract(raw, '\|\s*\w+\s*\|\s*[^ ]+ - (.*)$', 1) AS message FROM {f_log_lines} WHERE raw LIKE '%|%|%')"
 
 
-@query(f"""WITH l AS (SELECT * FROM {{f_api_log}} WHERE {HORIZON}) SELECT count(*) AS requests, count(*) FILTER (is_error) AS errors, round(avg(duration_ms), 4) AS avg_ms, round(count(*) FILTER (is_error) / count(*), 4) AS error_rate,
+@query(f"""WITH l AS (SELECT * FROM {{f_api_log}} WHERE {HORIZON}) SELECT count(*) AS requests, count(*) FILTER (is_error) AS errors, round(avg(duration_ms), 8) AS avg_ms, round(count(*) FILTER (is_error) / count(*), 4) AS error_rate,
 (SELECT v FROM (SELECT duration_ms AS v, row_number() OVER (ORDER BY duration_ms) - 1 AS k, count(*) OVER () AS n FROM l) WHERE k = floor((n - 1) * 0.95)) AS p95_ms, count(DISTINCT CASE WHEN user_id <> 'anonymous' THEN user_id END) AS users FROM l""")
 def o01_api_summary(t: Tables) -> DataFrame:
     rows = t("f_api_log").where(HORIZON)
@@ -24,7 +24,7 @@ def o01_api_summary(t: Tables) -> DataFrame:
 
 @query("""WITH k AS (SELECT endpoint, duration_ms AS v, row_number() OVER (PARTITION BY endpoint ORDER BY duration_ms) - 1 AS k, count(*) OVER (PARTITION BY endpoint) AS n FROM {f_api_log}),
 c AS (SELECT endpoint, string_agg(concat(status_code, '=', n), ',' ORDER BY status_code) AS codes FROM (SELECT endpoint, status_code, count(*) AS n FROM {f_api_log} GROUP BY ALL) GROUP BY endpoint)
-SELECT a.endpoint, count(*) AS requests, count(*) FILTER (is_error) AS errors, round(avg(duration_ms), 4) AS avg_ms, any_value(p.v) AS p95_ms, any_value(codes) AS codes FROM {f_api_log} a JOIN c USING (endpoint) JOIN (SELECT endpoint, v FROM k WHERE k = floor((n - 1) * 0.95)) p USING (endpoint) GROUP BY a.endpoint""")
+SELECT a.endpoint, count(*) AS requests, count(*) FILTER (is_error) AS errors, round(avg(duration_ms), 8) AS avg_ms, any_value(p.v) AS p95_ms, any_value(codes) AS codes FROM {f_api_log} a JOIN c USING (endpoint) JOIN (SELECT endpoint, v FROM k WHERE k = floor((n - 1) * 0.95)) p USING (endpoint) GROUP BY a.endpoint""")
 def o02_endpoint_stats(t: Tables) -> DataFrame:
     rows = t("f_api_log")
     codes = rows.groupBy("endpoint", "status_code").agg(F.count("*").alias("n")).groupBy("endpoint").agg(F.array_sort(F.collect_list(F.struct("status_code", "n"))).alias("c"))
@@ -38,7 +38,7 @@ def o03_top_users(t: Tables) -> DataFrame:
     return t("f_api_log").groupBy("user_id").agg(F.count("*").alias("requests")).orderBy(F.desc("requests"), "user_id").limit(20)
 
 
-TREND = "SELECT date_trunc('minute', ts) AS minute, count(*) AS requests, count(*) FILTER (is_error) AS errors, round(avg(duration_ms), 4) AS avg_ms FROM {f_api_log} GROUP BY ALL"
+TREND = "SELECT date_trunc('minute', ts) AS minute, count(*) AS requests, count(*) FILTER (is_error) AS errors, round(avg(duration_ms), 8) AS avg_ms FROM {f_api_log} GROUP BY ALL"
 
 
 @query(TREND)

@@ -117,9 +117,9 @@ def m09_suggest_popular(t: Tables) -> DataFrame:
 
 @query(f"""WITH {_RECENT}, f AS (SELECT * FROM sg WHERE length(question) >= 2 AND similarity >= 0.1 QUALIFY row_number() OVER (PARTITION BY query_id, question ORDER BY similarity DESC, query_count DESC) = 1),
 r AS (SELECT query_id, question, round(0.7 * similarity + 0.3 * ln(1 + query_count) / 10, 6) AS final FROM f)
-SELECT query_id, question, round(final, 5) AS final, row_number() OVER (PARTITION BY query_id ORDER BY final DESC, question) AS rank FROM r QUALIFY rank <= 5""")
+SELECT query_id, question, final, row_number() OVER (PARTITION BY query_id ORDER BY final DESC, question) AS rank FROM r QUALIFY rank <= 5""")
 def m10_rank_suggestions(t: Tables) -> DataFrame:
-    return M.rank_suggestions(suggestions(t), ["query_id"], 5, 0.1).select("query_id", "question", F.round("final", 5).alias("final"), "rank")
+    return M.rank_suggestions(suggestions(t), ["query_id"], 5, 0.1).select("query_id", "question", "final", "rank")
 
 
 @query("""SELECT user_id, question, document_id, sum(n)::BIGINT AS query_count, max(ts) AS last_queried, min(ts) AS created_at FROM

@@ -27,7 +27,7 @@ def w01_minute_trend(t: Tables) -> DataFrame:
 
 
 @query("""WITH w AS (SELECT *, to_timestamp(floor(epoch(ts) / 600) * 600 - k * 600) AT TIME ZONE 'UTC' AS start FROM {f_api_log}, range(6) r(k))
-SELECT start, endpoint, count(*) AS requests, count(*) FILTER (is_error) AS errors, round(avg(duration_ms), 4) AS avg_ms FROM w GROUP BY ALL""")
+SELECT start, endpoint, count(*) AS requests, count(*) FILTER (is_error) AS errors, round(avg(duration_ms), 8) AS avg_ms FROM w GROUP BY ALL""")
 def w02_rolling_report(t: Tables) -> DataFrame:
     return J.rolling_report(t.spark, api_log(t))
 

@@ -85,7 +85,7 @@ def batch_progress(spark: SparkSession, events: DataFrame) -> DataFrame:
         known = dict(zip(docs, zip(times, said, strict=True), strict=True))
         for frame in frames:
             for doc, status, ts in zip(frame["document_no"], frame["status"], frame["ts"].astype("int64"), strict=True):
-                if int(doc) not in known or known[int(doc)][0] <= ts:
+                if int(doc) not in known or known[int(doc)] <= (ts, status):
                     known[int(doc)] = (int(ts), status)
         state.update((list(known), [v[0] for v in known.values()], [v[1] for v in known.values()]))
         all_ = [v[1] for v in known.values()]
