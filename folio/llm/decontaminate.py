@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folio.llm.store import own_columns, with_fields
+from folio.llm.store import own_columns, small_batches, with_fields
 from folio.llm.textops import _BASE, _BASE_INV, _power, chunks, mix
 
 SEEN_BITS = 22
@@ -146,6 +146,7 @@ def mark_contaminated(
     replaced). The benchmark goes to the executors in blocks of at most ``block_chars`` characters, one pass over the documents
     each.
     """
+    small_batches(docs.sparkSession)
     text = F.coalesce(F.col(item_text_col), F.lit(""))
     items = benchmark.select(F.col(item_col).cast("long").alias("item"), text.alias("text")).where("item IS NOT NULL AND text <> ''")
     size = items.agg(F.sum(F.length("text"))).first()[0] or 0

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from folio.llm.store import range_bounds, range_of
+from folio.llm.store import range_bounds, range_of, small_batches
 from folio.llm.textops import chunks, shingle_sets, utf8
 
 #: Kept hashes have 48 bits: 6 bytes each in a fingerprint.
@@ -80,6 +80,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 {"id": batch.column("id"), "n_chars": pa.array(map(len, texts), type=pa.int64()), "n_shingles": pa.array([distinct(s, k) for s in made], type=pa.float64()), "fingerprint": pa.array(map(to_text, made), type=pa.string())}
             )
 
+    small_batches(docs.sparkSession)
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     return source.mapInArrow(run, "id long, n_chars long, n_shingles double, fingerprint string").withColumnRenamed("id", id_col)
 
@@ -90,6 +91,7 @@ def neighbours(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     Columns: part, pad (true for the closing row), id, text. After the last range comes the first again. One shuffle; the
     closing rows are one per range.
     """
+    small_batches(docs.sparkSession)
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     bounds = range_bounds(source.select("id"), "id")
     part = F.lit(len(bounds)).cast("int") - range_of("id", bounds) if len(bounds) else F.lit(0)

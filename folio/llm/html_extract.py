@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folio.llm.store import cut
+from folio.llm.store import cut, small_batches
 from folio.llm.textops import chunks
 from folio.llm.url_filter import host_of
 
@@ -241,6 +241,7 @@ def _pages(pages: DataFrame, id_col: str, url_col: str, html_col: str) -> DataFr
 
 def infer_wrappers(pages: DataFrame, url_col: str = "url", html_col: str = "html", slices: int = 32) -> DataFrame:
     """(host, pages, wrapper, main) per host: the wrapper's regular expression and the paths of its main slots."""
+    small_batches(pages.sparkSession)
     source = pages.select(host_of(F.col(url_col)).alias("host"), F.col(html_col).alias("html"))
     fields = {"host": pa.string(), "skeleton": pa.string(), "slots": pa.list_(pa.struct([("path", pa.string()), ("chars", pa.int64()), ("low", pa.int64()), ("high", pa.int64())]))}
 

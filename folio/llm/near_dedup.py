@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folio.llm.components import connected_components
-from folio.llm.store import IdFilter, cut, may_hold
+from folio.llm.store import IdFilter, cut, may_hold, small_batches
 from folio.llm.textops import chunks, mix, shingle_sets, utf8
 
 BLOCK = 256
@@ -162,6 +162,7 @@ def near_duplicates(
     row with a null id belongs to the class of its set; it is its own when it has none, and is kept if so. An empty table
     gives an empty result. Other columns of ``docs`` are not read.
     """
+    small_batches(docs.sparkSession)
     samples, words = bands * rows, sketch_bits // 64
     limit = odd_limit(max(0.0, percent / 100 - 0.25), samples, sketch_bits)
     seen = cut(signatures(docs, id_col, text_col, shingle, bands, rows, sketch_bits, seed))

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from folio.llm.store import cut
+from folio.llm.store import cut, small_batches
 from folio.llm.textops import chunks
 from folio.llm.token_store import encoder
 
@@ -97,6 +97,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, size: int = 1024, keep_sp
                         column.append(x)
             yield pa.RecordBatch.from_arrays([pa.array(x, type=pa.int64()) for x in rows], names=["id", "start", "length", "ids_crc32", "doc_tokens"])
 
+    small_batches(docs.sparkSession)
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     pieces = cut(source.mapInArrow(run, "id long, start long, length long, ids_crc32 long, doc_tokens long"))
     counts = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}  # at most ``size`` rows

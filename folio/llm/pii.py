@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folio.llm.store import cut, own_columns, with_fields
+from folio.llm.store import cut, own_columns, small_batches, with_fields
 from folio.llm.textops import chunks
 
 #: Only texts that match this are looked at (Java's dialect, evaluated by Spark).
@@ -224,6 +224,7 @@ def replace_entities(docs: DataFrame, key: bytes, id_col: str = "doc_id", text_c
     table gives an empty result.
     """
     docs = docs.drop(*({"n_entities", "entity_types"} & set(docs.columns))) if report else docs
+    small_batches(docs.sparkSession)
     hinted = F.coalesce(F.col(text_col).rlike(HINT), F.lit(False))
     near = docs.where(hinted)
 

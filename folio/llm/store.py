@@ -15,6 +15,11 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def small_batches(spark: SparkSession, limit: str = "4m") -> None:
+    """Arrow batches bound by bytes, for the session: a task then holds a few long texts at a time, not ten thousand."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", limit)
+
+
 def own_columns(df: DataFrame) -> list[Column]:
     """All columns, whatever their names hold."""
     return [F.col("`" + c.replace("`", "``") + "`") for c in df.columns]

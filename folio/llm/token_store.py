@@ -27,32 +27,39 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from folio.llm.store import range_bounds, shared_dir
+from folio.llm.store import range_bounds, shared_dir, small_batches
 from folio.llm.textops import chunks
 
 MAGIC, HEAD = b"FTK1", struct.Struct("<4sHHII32s")
 INDEX = np.dtype([("doc_id", "<i8"), ("has_id", "u1"), ("end", "<u8"), ("tokens", "<u8")])
-#: Unicode white space; Python's own \\s also takes 0x1C-0x1F, which the tokenizers take for ordinary characters.
-_WORD = re.compile(r"[\S\x1c-\x1f]+")
-_SPACED = re.compile(r"[^\S\x1c-\x1f]*[\S\x1c-\x1f]+|[^\S\x1c-\x1f]+")
+#: Pieces of a text: Latin-1 letters before white space or a mark, marks before white space, or all up to the next white
+#: space. White space is Unicode's; Python's own \\s also takes 0x1C-0x1F, which the tokenizers take for ordinary characters.
+_LATIN = "[A-Za-zÀ-ÖØ-öø-ÿ]+"
+_WORD = re.compile(rf"{_LATIN}(?=[ \n.,;:!?]|\Z)|[.,;:!?]+(?=[ \n]|\Z)|[\S\x1c-\x1f]+")
+_SPACED = re.compile(rf" ?{_LATIN}(?=[ \n.,;:!?]|\Z)|[.,;:!?]+(?=[ \n]|\Z)|[^\S\x1c-\x1f]*[\S\x1c-\x1f]+|[^\S\x1c-\x1f]+")
+_BARE, _LED = re.compile(_LATIN), re.compile(f" {_LATIN}")
 
 
 class Encoder:
     """Encodes texts with a public tokenizer, remembering the ids of each piece between white space.
 
-    Neither tokenizer's pattern lets a token span the end of a run of other characters that white space follows, so the ids
-    of a text are those of its pieces one after another. ``keep_space`` leaves white space in front of a piece (byte-level
+    Neither tokenizer's pattern lets a token span the end of a run of letters or marks before other characters of the piece
+    pattern, so the ids of a text are those of its pieces one after another. New pieces of letters alone are encoded many at a
+    time as one text, and told apart by the vocabulary's own word marks (a word's end, or its leading blank). ``keep_space`` leaves white space in front of a piece (byte-level
     vocabularies encode it); else it is dropped (word vocabularies ignore it). The memory holds ``memory`` pieces at most
     and then starts anew. Special tokens' strings in a text are ordinary text.
     """
 
-    def __init__(self, path: str, keep_space: bool, memory: int = 400_000, longest: int = 64):
+    def __init__(self, path: str, keep_space: bool, memory: int = 1_000_000, longest: int = 64):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-        self.pattern = _SPACED if keep_space else _WORD
+        self.pattern, self.simple = (_SPACED, _LED) if keep_space else (_WORD, _BARE)
+        self.keep_space = keep_space
+        names = {i: t for t, i in self.tokenizer.get_vocab().items()}
+        self.edge = np.array([names.get(i, "").startswith("Ġ") if keep_space else names.get(i, "").endswith("</w>") for i in range(max(names) + 1)])
         self.known: dict[str, bytes] = {}
         self.memory, self.longest = memory, longest
 
@@ -63,10 +70,21 @@ class Encoder:
             self.known.clear()
         known = self.known
         new = list({p for doc in pieces for p in doc if p not in known})
-        once = {}
-        for at in range(0, len(new), 4096):
-            part = new[at : at + 4096]
-            for p, e in zip(part, self.tokenizer.encode_batch(part, add_special_tokens=False), strict=True):
+        once: dict[str, bytes] = {}
+        plain = [p for p in new if self.simple.fullmatch(p)]
+        for at in range(0, len(plain), 4096):
+            part = plain[at : at + 4096]
+            ids = np.array(self.tokenizer.encode(("" if self.keep_space else " ").join(part), add_special_tokens=False).ids, dtype=self.dtype)
+            edges = np.flatnonzero(self.edge[ids])
+            starts = edges if self.keep_space else np.concatenate([[0], edges[:-1] + 1])
+            if len(starts) != len(part):
+                raise ValueError("the vocabulary does not mark its words")
+            raw, bounds = ids.tobytes(), [*(starts * self.dtype.itemsize).tolist(), ids.nbytes]
+            known.update(zip(part, map(raw.__getitem__, map(slice, bounds, bounds[1:])), strict=True))
+        rest = [p for p in new if p not in known]
+        for at in range(0, len(rest), 4096):
+            part = rest[at : at + 4096]
+            for p, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
                 (known if len(p) <= self.longest else once)[p] = np.array(e.ids, dtype=self.dtype).tobytes()
         if not once:
             return [b"".join([known[p] for p in doc]) for doc in pieces]
@@ -141,6 +159,7 @@ def write_tokens(
     another. An empty table writes no segments. Other columns are not read.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     bounds = range_bounds(docs.select(id_col), id_col)
     dictionary = train_dictionary(docs, tokenizer, keep_space, end_id, text_col)
     digest = hashlib.sha256(dictionary).digest()
