@@ -17,11 +17,11 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folio.llm.store import own_columns, with_fields
+from folio.llm.store import own_columns, small_batches, with_fields
 from folio.llm.textops import chunks, utf8
 
 ORDER = 3
-SLOT_BITS = 21
+SLOT_BITS = 22
 UNDETERMINED = "und"
 
 
@@ -47,15 +47,18 @@ class Table:
     costs: np.ndarray
 
     def __post_init__(self) -> None:
-        self.slots = np.full(1 << SLOT_BITS, -1, dtype=np.int32)
+        self.shift = np.uint32(32 - min(SLOT_BITS, max(8, len(self.keys).bit_length() + 3)))
+        self.slots = np.full(1 << int(32 - self.shift), -1, dtype=np.int32)
         where = self._hash(self.keys)
         self.slots[where] = np.arange(len(self.keys))
-        taken = np.bincount(where, minlength=1 << SLOT_BITS)
+        taken = np.bincount(where, minlength=len(self.slots))
         self.slots[taken > 1] = -2
 
-    @staticmethod
-    def _hash(x: np.ndarray) -> np.ndarray:
-        return (x * np.uint32(2654435769)) >> np.uint32(32 - SLOT_BITS)
+    def __reduce__(self):  # slots are made anew where the table arrives
+        return Table, (self.keys, self.costs)
+
+    def _hash(self, x: np.ndarray) -> np.ndarray:
+        return (x * np.uint32(2654435769)) >> self.shift
 
     def find(self, x: np.ndarray) -> np.ndarray:
         """Position of each number, -1 if absent."""
@@ -130,6 +133,7 @@ def fit(docs: DataFrame, trains: Column, text_col: str = "text", lang_col: str =
     The sample is a bound on fitting only: at most ``contexts`` four-byte numbers per language, the most frequent ones, of the
     ``max_languages`` most frequent languages reach the driver. Counting runs on Spark. Texts are taken whole.
     """
+    small_batches(docs.sparkSession)
     rows = docs.where(trains & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
     sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages).collect()}
     languages = sorted(sizes)
@@ -160,6 +164,7 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     one without a letter, or any text when no language was learned gets ``und``, score 0 and null bits. Rows and columns stay
     as they are; columns of these names are replaced.
     """
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     has_letter = F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False))
     made = [c for c in ("lang_pred", "score", "bits_per_byte") if c in docs.columns]
