@@ -149,12 +149,12 @@ def service_health(spark: SparkSession, outcomes: DataFrame, last: int = 50) ->
         streak = next((k for k, ok in enumerate(reversed(oks)) if ok), len(oks))
         rate, took = 1 - sum(oks) / len(oks), float(kept["duration_s"].iloc[-1])
         sick = streak > 5 or (len(oks) >= 6 and rate > 0.5) or took > 10
-        yield pd.DataFrame([(key[0], len(oks), round(rate, 4), streak, round(took, 4), not sick)], columns=[c.split()[0] for c in schema.split(", ")])
+        yield pd.DataFrame([(key[0], len(oks), rate, streak, took, not sick)], columns=[c.split()[0] for c in schema.split(", ")])
 
     made = outcomes.select("service", "seq", "ok", "duration_s").groupBy("service").applyInPandasWithState(step, schema, "seqs array<long>, oks array<boolean>, durations array<double>", "update", GroupStateTimeout.NoTimeout)
     run.drain(made, "update", run.latest())
     rows = spark.read.schema(f"{schema}, batch long").parquet(run.out)
-    return rows.groupBy("service").agg(F.max_by(F.struct("samples", "error_rate", "streak", "duration_s", "healthy"), "batch").alias("r")).select("service", "r.*")
+    return rows.groupBy("service").agg(F.max_by(F.struct("samples", "error_rate", "streak", "duration_s", "healthy"), "batch").alias("r")).select("service", "r.*").withColumns({c: F.round(c, 4) for c in ("error_rate", "duration_s")})
 
 
 def idempotent(spark: SparkSession, events: DataFrame, keys: list[str], ts: str = "ts", keep: str = "600 seconds") -> DataFrame:
