@@ -121,7 +121,7 @@ def find(texts: list[str], p: Probes) -> dict[int, dict[int, int]]:
     for w, b in zip(window[good].tolist(), band[good].tolist(), strict=True):
         k, text = int(p.budget[w]), p.windows[w]
         low, high = max(0, b * (k + 1) - k), min(len(joined), (b + 2) * (k + 1) + len(text) + k)
-        doc = int(np.searchsorted(ends, max(0, (b + 1) * (k + 1)) + len(text) // 2, side="right"))
+        doc = min(int(np.searchsorted(ends, max(0, (b + 1) * (k + 1)) + len(text) // 2, side="right")), len(texts) - 1)  # a cut passage's middle may lie behind the last text
         for d in {doc, min(doc + 1, len(texts) - 1), max(doc - 1, 0)}:  # a band near an edge may reach two documents
             lo, hi = max(low, int(ends[d] - sizes[d])), min(high, int(ends[d]) - 1)
             if hi - lo < len(text) - k:

@@ -277,6 +277,14 @@ def test_decontamination_equals_all_windows(spark, data):
     assert want <= got
 
 
+def test_decontamination_survives_a_cut_passage_at_the_end():
+    item = "".join(hashlib.sha256(str(i).encode()).hexdigest() for i in range(8))
+    p = decontaminate.probes([(1, item)], 8, 120, 8, 24)
+    for size in range(40, 111):
+        assert decontaminate.find(["x", item[:size]], p) == {} and decontaminate.find([item[60 : 60 + size]], p) == {}
+    assert decontaminate.find([item[:55], item[:120]], p) == {1: {1: 0}}
+
+
 def test_infix_distance():
     d = lambda a, b: decontaminate.infix_distance(decontaminate.codes(a), decontaminate.codes(b))
     assert (d("abc", "xxabcxx"), d("abc", "xxacxx"), d("abc", "xxabxcxx"), d("abc", ""), d("kitten", "sitting")) == (0, 1, 1, 3, 2)
