@@ -34,7 +34,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that hold a passage of the benchmark."""
-    marked = mark_contaminated(docs, read(spark, sf_dir, "benchmark"))
+    marked = mark_contaminated(docs, read(spark, sf_dir, "benchmark"), fine=60)
     return marked.where(F.size("matches") == 0).select(*docs.columns)
 
 

@@ -4,10 +4,12 @@ Benchmark texts are cut into overlapping windows. A window of m characters that
 shares at least m - q + 1 - k q of its q-grams with it, on diagonals (document position less window position) that lie within
 k of each other. So shared q-grams are counted in overlapping diagonal bands; bands that reach the bound are kept and
 verified by an alignment of the window with the band's stretch of the document. No occurrence within the budget is missed.
+Short texts are looked up exactly, on token boundaries.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -20,6 +22,8 @@ from folio.llm.store import own_columns, small_batches, with_fields
 from folio.llm.textops import _BASE, _BASE_INV, _power, chunks, mix
 
 SEEN_BITS = 22
+#: Characters of scripts that put no blanks between words: Thai, Lao, Myanmar, Khmer, kana, Han.
+UNSPACED = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]")
 
 
 def normal(text: str | None) -> str:
@@ -66,20 +70,29 @@ class Probes:
     window_of: np.ndarray
     place_of: np.ndarray
     q: int
+    short: dict[int, tuple[np.ndarray, dict[str, list[int]]]]
 
     def __post_init__(self) -> None:
         self.seen = np.zeros(1 << SEEN_BITS, dtype=bool)
         self.seen[self.grams >> np.uint64(64 - SEEN_BITS)] = True
 
 
-def probes(benchmark: list[tuple[int, str]], q: int, window: int, percent: int, least: int) -> Probes:
+def _goes_on(left: str, right: str) -> bool:
+    """Whether a token holds both neighbours; scripts written without blanks have a boundary at every character."""
+    return left.isalnum() and right.isalnum() and not any(UNSPACED.match(c) for c in (left, right))
+
+
+def probes(benchmark: list[tuple[int, str]], q: int, window: int, percent: int, least: int, fine: int = 0) -> Probes:
     items, texts = [], []
+    brief: dict[int, dict[str, list[int]]] = {}
     for item, text in benchmark:
         text = normal(text)
         if len(text) < least:
+            if any(c.isalnum() for c in text):
+                brief.setdefault(len(text), {}).setdefault(text, []).append(item)
             continue
-        starts = [*range(0, max(1, len(text) - window), window // 2), max(0, len(text) - window)]
-        for piece in dict.fromkeys(text[s : s + window] for s in starts):
+        starts = [(s, width) for width, step in ((window, window // 2), (fine, fine // 4)) if width for s in (*range(0, max(1, len(text) - width), step), max(0, len(text) - width))]
+        for piece in dict.fromkeys(text[s : s + width] for s, width in starts):
             items.append(item)
             texts.append(piece)
     budget = np.array([len(t) * percent // 100 for t in texts], dtype=np.int64)
@@ -92,7 +105,7 @@ def probes(benchmark: list[tuple[int, str]], q: int, window: int, percent: int,
     place = np.concatenate([np.arange(len(h)) for h in hashed] or [np.empty(0, dtype=np.int64)])
     order = np.argsort(whole, kind="stable")
     grams, first = np.unique(whole[order], return_index=True)
-    return Probes(np.array(items, dtype=np.int64), texts, budget, need, grams, np.append(first, len(whole)), where[order], place[order], q)
+    return Probes(np.array(items, dtype=np.int64), texts, budget, need, grams, np.append(first, len(whole)), where[order], place[order], q, {n: (np.unique([qgrams(codes(t), n)[0] for t in own]), own) for n, own in brief.items()})
 
 
 def find(texts: list[str], p: Probes) -> dict[int, dict[int, int]]:
@@ -102,6 +115,15 @@ def find(texts: list[str], p: Probes) -> dict[int, dict[int, int]]:
     sizes = np.array([len(t) + 1 for t in texts], dtype=np.int64)
     ends = np.cumsum(sizes)
     chars = codes(joined)
+    for n, (hashes, own) in p.short.items():
+        hashed = qgrams(chars, n)
+        near = np.zeros(1 << 16, dtype=bool)
+        near[hashes >> np.uint64(48)] = True
+        at = np.flatnonzero(near[hashed >> np.uint64(48)])
+        for start in at[np.isin(hashed[at], hashes)].tolist():
+            text = joined[start : start + n]
+            if text in own and not (start and _goes_on(joined[start - 1], text[0])) and not _goes_on(text[-1], joined[start + n]):
+                found.setdefault(int(np.searchsorted(ends, start, side="right")), {}).update(dict.fromkeys(own[text], 0))
     hashed = qgrams(chars, p.q)
     at = np.flatnonzero(p.seen[hashed >> np.uint64(64 - SEEN_BITS)]) if len(p.grams) else np.empty(0, dtype=np.int64)
     if not len(at):
@@ -136,21 +158,23 @@ def find(texts: list[str], p: Probes) -> dict[int, dict[int, int]]:
 
 def mark_contaminated(
     docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text",
-    q: int = 8, window: int = 120, percent: int = 8, least: int = 24, block_chars: int = 16 << 20,
+    q: int = 8, window: int = 120, percent: int = 8, least: int = 24, block_chars: int = 16 << 20, fine: int = 0,
 ) -> DataFrame:
     """``docs`` with ``matches``: array of (item_id, edits) for the benchmark items of which a window occurs in the text.
 
     Text is lower-cased and its white space evened out. A window has ``window`` characters (or the whole item, if shorter) and
-    may occur with up to ``percent`` edits per 100 of its characters. Items with fewer than ``least`` characters, null or empty
-    ones match nothing; a null or empty text matches nothing. Rows and columns stay as they are (a column ``matches`` is
-    replaced). The benchmark goes to the executors in blocks of at most ``block_chars`` characters, one pass over the documents
-    each.
+    may occur with up to ``percent`` edits per 100 of its characters. With ``fine``, windows of that many characters at a stride of
+    a quarter of it are looked for as well: at 60, every unedited excerpt of at least 66 characters is found. Items with fewer than
+    ``least`` characters match where they stand exactly, on token boundaries. Null items, empty ones and such short ones without a
+    letter or digit match nothing; a null or empty text matches nothing. Rows and columns stay as they are (a column ``matches`` is
+    replaced). The benchmark goes to the executors in blocks of at most ``block_chars`` characters (a third of it with ``fine``), one
+    pass over the documents each.
     """
     small_batches(docs.sparkSession)
     text = F.coalesce(F.col(item_text_col), F.lit(""))
     items = benchmark.select(F.col(item_col).cast("long").alias("item"), text.alias("text")).where("item IS NOT NULL AND text <> ''")
     size = items.agg(F.sum(F.length("text"))).first()[0] or 0
-    blocks = max(1, -(-size // block_chars))
+    blocks = max(1, -(-size * (3 if fine else 1) // block_chars))  # short windows hold each character four times more, long ones twice
     docs = docs.drop("matches") if "matches" in docs.columns else docs
     kept = docs.columns
     kind = pa.list_(pa.struct([("item_id", pa.int64()), ("edits", pa.int64())]))
@@ -159,7 +183,7 @@ def mark_contaminated(
     out = docs.withColumn("matches", F.expr(f"CAST(array() AS {found_type})"))
     for block in range(blocks):
         own = items.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == block).orderBy("item", "text").collect()  # bounded by block_chars
-        shared = docs.sparkSession.sparkContext.broadcast(probes([(r["item"], r["text"]) for r in own], q, window, percent, least))
+        shared = docs.sparkSession.sparkContext.broadcast(probes([(r["item"], r["text"]) for r in own], q, window, percent, least, fine))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             p = shared.value

@@ -67,7 +67,7 @@ def op8_bottom_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    marked = mark_contaminated(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+    marked = mark_contaminated(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"), fine=60)
     return marked.select("doc_id", F.explode("matches").alias("m")).select("doc_id", "m.item_id", "m.edits")
 
 

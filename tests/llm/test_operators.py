@@ -285,6 +285,23 @@ def test_decontamination_survives_a_cut_passage_at_the_end():
     assert decontaminate.find([item[:55], item[:120]], p) == {1: {1: 0}}
 
 
+def test_decontamination_finds_excerpts_and_short_items(spark):
+    item = "".join(hashlib.sha256(str(i).encode()).hexdigest() for i in range(4))[:250]
+    p = decontaminate.probes([(1, item)], 8, 120, 8, 24, fine=60)
+    cuts = [item[a : a + n] for n in (66, 75, 110, 120, 160) for a in range(len(item) - n + 1)]
+    assert set(decontaminate.find([f"{'before ' * 9}{c}{' after' * 9}" for c in cuts], p)) == set(decontaminate.find(cuts, p)) == set(range(len(cuts)))
+    assert decontaminate.find([item[a : a + 50] for a in range(200)], p) == {}
+    edited = "".join("#" if i in range(41, 57, 2) else c for i, c in enumerate(item[:100]))  # 8 edits, too many for either half
+    assert decontaminate.find([edited], decontaminate.probes([(1, item[:100])], 8, 120, 8, 24, fine=60)) == {0: {1: 8}}
+
+    bench = spark.createDataFrame([(1, "What is  DNA?"), (2, "yes"), (3, "?"), (4, "水是什么"), (5, "What is DNA?"), (6, "C++")], "item_id long, text string")
+    texts = ["so what is dna? Yes", "what is dna?", "eyes yesterday ?", "他问水是什么吗", "xwhat is dna?", "yes", "", None, "in c++ code", "what is dna"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    for limit in (16 << 20, 12):
+        got = {r["doc_id"]: {m["item_id"] for m in r["matches"]} for r in decontaminate.mark_contaminated(docs, bench, block_chars=limit).collect()}
+        assert got == {0: {1, 2, 5}, 1: {1, 5}, 2: set(), 3: {4}, 4: set(), 5: {2}, 6: set(), 7: set(), 8: {6}, 9: set()}
+
+
 def test_infix_distance():
     d = lambda a, b: decontaminate.infix_distance(decontaminate.codes(a), decontaminate.codes(b))
     assert (d("abc", "xxabcxx"), d("abc", "xxacxx"), d("abc", "xxabxcxx"), d("abc", ""), d("kitten", "sitting")) == (0, 1, 1, 3, 2)
