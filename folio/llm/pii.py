@@ -22,8 +22,12 @@ from pyspark.sql import functions as F
 from folio.llm.store import cut, own_columns, small_batches, with_fields
 from folio.llm.textops import chunks
 
-#: Only texts that match this are looked at (Java's dialect, evaluated by Spark).
-HINT = r"[0-9@]|\b(?:Mr|Mrs|Ms|Miss|Herr|Frau|Monsieur|Madame|Mme|Mlle|Señora?|Señorita|Sr|Sra|Господин|Госпожа)\b|(?i:passw|passwd|secret|token|api[_-]?key)"
+#: Only texts that match this are looked at (Java's dialect, evaluated by Spark): a cue of each of PATTERNS, behind its first characters where it is long.
+HINT = (
+    r"[\p{Nd}@]|:[A-Fa-f]{1,4}:|(?=[pPsStTaA\u017F])(?iu:passw|pwd|secret|token|(?:api|access|private)[_-]?key)"
+    r"|(?=[Ags])(?:(?:AKIA|ASIA)[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|sk-[A-Za-z0-9]{20})"
+    r"|(?=[MHFS\u0413])(?<![\p{L}\p{N}_])(?:Mr|Mrs|Ms|Miss|Herr|Frau|Monsieur|Madame|Mme|Mlle|Señora?|Señorita|Sr|Sra|Господин|Госпожа)\.?[ ]"
+)
 
 MALE_TITLES = frozenset("Mr Herr Monsieur Señor Sr Господин".split())
 FEMALE_TITLES = frozenset("Mrs Ms Miss Frau Madame Mme Mlle Señora Señorita Sra Госпожа".split())
@@ -90,7 +94,11 @@ def detect(text: str) -> list[tuple[int, int, str, str]]:
                     found.append((a, b, f"{role}-{script_of(w)}", w.casefold()))
                     taken[a:b] = b"\1" * (b - a)
                 continue
+            if not raw.isascii():  # digits of another script
+                raw = "".join(str(int(c)) if c.isdecimal() else c for c in raw)
             digits = re.sub(r"\D", "", raw)
+            if kind == "secret" and not any(c.isalnum() for c in raw):  # a line to fill in
+                continue
             if kind == "email":
                 value = raw.lower()
             elif kind == "card":
@@ -179,11 +187,18 @@ def surrogate(key: bytes, kind: str, value: str, attempt: int) -> str:
     return s.like(value)
 
 
+def _in_script(old: str, new: str) -> str:
+    """A digit in the script of the one it replaces; anything else as it is."""
+    return new if old.isascii() or not new.isdecimal() else chr(ord(old) - int(old) + int(new))
+
+
 def fit(kind: str, value: str, raw: str) -> str:
     """A normalised surrogate in the format of the entity as it stands in the text."""
     if kind in ("card", "phone", "iban"):
         fill = iter(value)
-        return "".join(next(fill, "") if c.isalnum() else c for c in raw)
+        return "".join(_in_script(c, next(fill, "")) if c.isalnum() else c for c in raw)
+    if kind == "ssn":
+        return "".join(map(_in_script, raw, value))
     if kind == "email":
         return value.upper() if raw.isupper() else value
     if kind == "ip6":
