@@ -72,12 +72,42 @@ def script_of(word: str) -> str:
     return "cyrillic" if any("Ѐ" <= c <= "ӿ" for c in word) else "latin"
 
 
+_ALL = re.compile("(?s:.*)")
+#: What splits a card or IBAN match into groups, and where the search goes on in a match of which nothing passes.
+SPLITS = {"card": (re.compile(r"[ -]"), re.compile(r"[ -](?=\d{4})")), "iban": (re.compile(" "), re.compile(" "))}
+
+
+def passes(kind: str, raw: str) -> bool:
+    """Whether a card number or IBAN has a fitting length and checksum."""
+    if kind == "card":
+        digits = "".join(c for c in raw if c.isdecimal())
+        return 13 <= len(digits) <= 19 and luhn(digits) and len(set(digits)) > 1
+    value = raw.replace(" ", "")
+    return 15 <= len(value) <= 34 and iban_ok(value)
+
+
+def checked(kind: str, pattern: re.Pattern[str], text: str, taken: bytearray) -> Iterator[re.Match[str]]:
+    """Matches that pass, or in their place the longest start of theirs that does and ends at a separator."""
+    split, again = SPLITS[kind]
+    at = 0
+    while m := pattern.search(text, at):
+        start, end = m.span()
+        for stop in (end, *(s.start() for s in reversed([*split.finditer(text, start, end)]))):
+            if not any(taken[start:stop]) and passes(kind, text[start:stop]):
+                yield _ALL.match(text, start, stop)
+                at = stop
+                break
+        else:
+            later = again.search(text, start, end)
+            at = later.end() if later else end
+
+
 def detect(text: str) -> list[tuple[int, int, str, str]]:
     """Entities of a text as (start, end, type, normalised value), sorted and without overlap; the earlier pattern wins."""
     found: list[tuple[int, int, str, str]] = []
     taken = bytearray(len(text))
     for kind, pattern in PATTERNS:
-        for m in pattern.finditer(text):
+        for m in checked(kind, pattern, text, taken) if kind in SPLITS else pattern.finditer(text):
             start, end = m.span(m.lastindex) if kind in ("secret", "person") and m.lastindex else m.span()
             raw = text[start:end]
             if any(taken[start:end]):
@@ -102,13 +132,9 @@ def detect(text: str) -> list[tuple[int, int, str, str]]:
             if kind == "email":
                 value = raw.lower()
             elif kind == "card":
-                if not 13 <= len(digits) <= 19 or not luhn(digits) or len(set(digits)) == 1:
-                    continue
                 value = digits
             elif kind == "iban":
                 value = raw.replace(" ", "")
-                if not 15 <= len(value) <= 34 or not iban_ok(value):
-                    continue
             elif kind == "ip":
                 if any(int(x) > 255 for x in raw.split(".")):
                     continue

@@ -180,6 +180,18 @@ def test_pii_hint_matches_whatever_is_detected(spark):
     assert got[90]["n_entities"] == got[91]["n_entities"] == 0
 
 
+def test_pii_finds_cards_and_ibans_before_more_digits_or_words():
+    card, iban = "4785380592391139", "BE68 5390 0754 7034"
+    assert pii.luhn(card) and not pii.luhn(card + "12") and not pii.luhn(card + "123")
+    spaced = " ".join(card[i : i + 4] for i in range(0, 16, 4))
+    for text, want in [
+        (f"{card} 12/27", [card]), (f"{spaced} 123", [spaced]), (f"{spaced.replace(' ', '-')}-123", [spaced.replace(" ", "-")]), (f"{card} {card} 12", [card, card]), (f"{card} 42.144.35.254", [card, "42.144.35.254"]),
+        (f"id 2024 {spaced} x", [spaced]), (f"{iban} EUR", [iban]), (f"{iban} PLEASE PAY", [iban]), (f"{iban} {iban} EUR", [iban, iban]), (f"AB12 CODE {iban}", [iban]), (iban.replace(" ", "") + " EUR", [iban.replace(" ", "")]),
+        ("1234567890123456 12", []), ("1111 1111 1111 1111 111", []), (f"{card}12", []),
+    ]:
+        assert [text[a:b] for a, b, _, _ in pii.detect(text)] == want, text
+
+
 def test_pii_collisions_are_drawn_anew(spark):
     values = [("ip", f"{a}.{b}.1.1") for a in range(1, 10) for b in range(1, 10)] + [("family-latin", f"name{i}") for i in range(200)]
     got = pii.assign(spark.createDataFrame(values, "kind string, value string"), b"k").collect()
