@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from folio.functions import text as X
 from folio.operators.lexical import top
 from folio.operators.retrieval import vector_top
 
@@ -62,6 +63,33 @@ def blended(semantic: Column, overlap: Column) -> Column:
     return 0.75 * semantic + 0.25 * overlap
 
 
+def latest_candidates(asked: DataFrame, catalogue: DataFrame, most: int = 100) -> DataFrame:
+    """(a, b, created_at): for each asked document (id, user_id) the latest completed others of its user in the catalogue."""
+    newest = (F.desc("created_at"), F.asc("b"))
+    done = catalogue.where("status = 'completed'").select(F.col("id").alias("b"), "user_id", "created_at")
+    latest = top(done, "user_id", most + 1, *newest).drop("rank")
+    pairs = asked.select(F.col("id").alias("a"), "user_id").join(latest, "user_id").where("a <> b")
+    return top(pairs, "a", most, *newest).select("a", "b", "created_at")
+
+
+def recommend(pairs: DataFrame, texts: DataFrame, keywords: DataFrame, vectors: DataFrame, least: float, limit: int, *order: Column) -> DataFrame:
+    """(a, b, semantic, overlap, similarity, topics, rank): for each ``a`` its best candidates ``b`` with a blended score of ``least`` or more.
+
+    ``pairs`` has (a, b) and the columns of ``order``, which breaks ties. ``texts`` has (id, text), ``keywords`` (id, words), ``vectors``
+    (id, embedding); where either vector is missing, token Jaccard stands for the cosine. Documents without text take no part.
+    """
+    rows = keyword_overlap(pairs, keywords)
+    kept = texts.where("text <> ''").select("id", X.tokens(F.col("text")).alias("t"))
+    for side in "ab":
+        rows = rows.join(kept.select(F.col("id").alias(side), F.col("t").alias(f"t{side}")), side)
+        rows = rows.join(vectors.select(F.col("id").alias(side), F.col("embedding").alias(f"e{side}")), side, "left")
+    known = F.col("ea").isNotNull() & F.col("eb").isNotNull()
+    rows = rows.withColumn("semantic", F.when(known, cosine(F.col("ea"), F.col("eb"))).otherwise(X.jaccard(F.col("ta"), F.col("tb"))))
+    rows = rows.withColumn("score", F.round(blended(F.col("semantic"), F.col("overlap")), 9)).where(F.col("score") >= least)
+    best = top(rows.withColumn("similarity", F.round("score", 4)), "a", limit, F.desc("similarity"), *order)
+    return best.select("a", "b", F.round("semantic", 4).alias("semantic"), F.round("overlap", 4).alias("overlap"), "similarity", "topics", "rank")
+
+
 def sequence_ratio(pairs: DataFrame, a: str, b: str, most: int = 8000) -> DataFrame:
     """``pairs`` with ``lexical``: the matching-blocks ratio of the first ``most`` characters (the measure's own input limit)."""
     schema = pairs.schema.simpleString()[len("struct<") : -1]

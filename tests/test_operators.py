@@ -130,3 +130,43 @@ def test_chapter_headings_make_sections(spark):
 def test_han_tokens_and_terms(spark):
     row = spark.createDataFrame([("文档检索 and BM25 的",)], "t string").select(X.tokens(F.col("t")), X.query_terms(F.lit("什么 文档检索系统 42 ab"))).first()
     assert row[0] == ["文档", "档检", "检索", "bm25"] and {"文档" not in row[1], "检索" in row[1], "ab" in row[1], "42" not in row[1]} == {True}
+
+
+def test_recommendations_equal_brute_force(spark):
+    rng = random.Random(3)
+    vocabulary = [f"w{i}" for i in range(14)]
+    text = {i: " ".join(rng.sample(vocabulary, rng.randint(6, 12))) if i % 9 else "" for i in range(60)}
+    words = {i: set(rng.sample(vocabulary, 10)) for i in range(60)}
+    vec = {i: [rng.random(), rng.random() - 0.5, rng.random() - 0.5] for i in range(0, 60, 2)}
+    cat = [(i, f"u{i % 2 if i < 50 else 2}", "completed" if i % 5 else "failed", (i * 7) % 20) for i in range(60)]
+    want, cut = set(), 0
+    for a, user, _, _ in cat:
+        near = sorted((-made, b) for b, u, status, made in cat if u == user and status == "completed" and b != a)
+        cut += len(near) > 8
+        found = []
+        for place, (_, b) in enumerate(near[:8]):
+            if not text[a] or not text[b]:
+                continue
+            x, y = set(text[a].split()), set(text[b].split())
+            semantic = len(x & y) / len(x | y)
+            if a in vec and b in vec:
+                dot = lambda p, q: sum(i * j for i, j in zip(p, q))
+                semantic = dot(vec[a], vec[b]) / (dot(vec[a], vec[a]) * dot(vec[b], vec[b])) ** 0.5
+            score = 0.75 * semantic + 0.25 * min(6, len(words[a] & words[b])) / len(words[a] | words[b])
+            if score >= 0.4:
+                found.append((-round(score, 4), place, b))
+        want |= {(a, b, rank) for rank, (_, _, b) in enumerate(sorted(found)[:3], 1)}
+    made = spark.createDataFrame(cat, "id int, user_id string, status string, created_at int")
+    pairs = M.latest_candidates(made, made, 8)
+    frames = [spark.createDataFrame(rows, f"id int, {kind}") for rows, kind in ((list(text.items()), "text string"), ([(i, sorted(w)) for i, w in words.items()], "words array<string>"), (list(vec.items()), "embedding array<double>"))]
+    got = {(r["a"], r["b"], r["rank"]) for r in M.recommend(pairs, *frames, 0.4, 3, F.desc("created_at"), F.asc("b")).collect()}
+    assert got == want and len(want) > 60 and cut
+
+
+def test_recommendations_without_vectors(spark):
+    texts = spark.createDataFrame([(1, "alpha beta gamma"), (2, "alpha beta gamma"), (3, "alpha beta delta"), (4, "omega"), (5, "")], "id int, text string")
+    words = spark.createDataFrame([(1, ["alpha", "beta"]), (2, ["alpha", "beta"]), (3, ["alpha"])], "id int, words array<string>")
+    vectors = spark.createDataFrame([(1, [1.0, 0.0]), (4, [1.0, 0.0])], "id int, embedding array<double>")
+    pairs = spark.createDataFrame([(1, b) for b in (2, 3, 4, 5)], "a int, b int")
+    got = M.recommend(pairs, texts, words, vectors, 0.4, 3, F.asc("b")).orderBy("rank").collect()
+    assert [(r["b"], r["semantic"], r["overlap"], r["similarity"]) for r in got] == [(2, 1.0, 1.0, 1.0), (4, 1.0, 0.0, 0.75), (3, 0.5, 0.5, 0.5)]
