@@ -47,6 +47,11 @@ def l01_tokens(t: Tables) -> DataFrame:
     return t("documents").select("doc_id", F.explode(X.tokens(F.col("text"))).alias("token")).groupBy("doc_id", "token").agg(F.count("*").alias("n")).where("n >= 3")
 
 
+@query()
+def l01_all_tokens(t: Tables) -> DataFrame:
+    return L.term_counts(t("documents"), "doc_id", "text")
+
+
 @query(f"SELECT DISTINCT query_id, term FROM (SELECT query_id, unnest(regexp_extract_all(lower(question), '[A-Za-z0-9]+')) AS term FROM {{f_questions}}) WHERE length(term) > 1 AND term NOT IN {_TERMS} AND NOT regexp_full_match(term, '[0-9]+')")
 def l02_query_terms(t: Tables) -> DataFrame:
     return t("f_questions").select("query_id", F.explode(X.query_terms(F.col("question"))).alias("term"))
@@ -87,6 +92,11 @@ def l08_token_jaccard(t: Tables) -> DataFrame:
     return pairs.select("id", F.round(X.jaccard(X.tokens(F.col("ideal_answer")), X.tokens(F.col("answer"))), 6).alias("similarity"))
 
 
+@query()
+def l08_all_predictions(t: Tables) -> DataFrame:
+    return t("f_predictions").select("id", F.round(X.jaccard(X.tokens(F.col("ideal_answer")), X.tokens(F.col("answer"))), 6).alias("similarity"))
+
+
 @query(f"WITH {BM25} SELECT token, chunk_id, round(weight, 6) AS weight FROM ix")
 def l09_bm25_index(t: Tables) -> DataFrame:
     return L.bm25_index(t("f_chunks"), "chunk_id", "content").select("token", "chunk_id", F.round("weight", 6).alias("weight"))

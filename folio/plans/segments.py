@@ -103,6 +103,11 @@ def c13_answer_points(t: Tables) -> DataFrame:
     return made.where(few).select("document_id", "chunk_index", F.array_join("points", "|").alias("points"))
 
 
+@query()
+def c13_all_chunks(t: Tables) -> DataFrame:
+    return t("f_chunks").select("document_id", "chunk_index", F.array_join(X.answer_points(F.col("content")), "|").alias("points"))
+
+
 @query("SELECT document_id, count(*) AS chunk_count, count(DISTINCT parent_chunk_index) AS parent_chunk_count, count(DISTINCT page) AS page_count, bool_or(type = 'table') AS has_tables, bool_or(type = 'ocr') AS ocr_used FROM {f_chunks} GROUP BY document_id")
 def c14_processing_rollup(t: Tables) -> DataFrame:
     return t("f_chunks").groupBy("document_id").agg(

@@ -1,6 +1,7 @@
 """Operators without SQL against plain versions, and edge cases."""
 
 import random
+import re
 from collections import Counter, defaultdict
 
 import pytest
@@ -170,3 +171,35 @@ def test_recommendations_without_vectors(spark):
     pairs = spark.createDataFrame([(1, b) for b in (2, 3, 4, 5)], "a int, b int")
     got = M.recommend(pairs, texts, words, vectors, 0.4, 3, F.asc("b")).orderBy("rank").collect()
     assert [(r["b"], r["semantic"], r["overlap"], r["similarity"]) for r in got] == [(2, 1.0, 1.0, 1.0), (4, 1.0, 0.0, 0.75), (3, 0.5, 0.5, 0.5)]
+
+
+def test_tokens_jaccard_and_points_cover_all_rows(spark, data):
+    from folio.plans import catalogue
+    from folio.sources.views import table
+
+    run = lambda name: catalogue.queries()[name](spark, data).collect()
+    counts = {r["doc_id"]: Counter(plain_tokens(r["text"])) for r in spark.read.parquet(f"{data}/documents.parquet").collect()}
+    got = {(r["doc_id"], r["token"]): r["n"] for r in run("l01_all_tokens")}
+    assert got == {(d, w): n for d, c in counts.items() for w, n in c.items()} and 1 in got.values() and counts
+
+    want = {}
+    for r in table(spark, data, "f_predictions").collect():
+        x, y = (set(plain_tokens(r[c])) for c in ("ideal_answer", "answer"))
+        want[r["id"]] = round(len(x & y) / len(x | y), 6) if x and y else 0.0
+    assert {r["id"]: r["similarity"] for r in run("l08_all_predictions")} == want and {i % 5 for i in want} == set(range(5))
+
+    assert len(run("c13_all_chunks")) == table(spark, data, "f_chunks").count()
+    texts = ["- one\n* two\n3. three\n- one\n4) four\n+ five", "First part。second one！第三部分内容；First part。fourth bit", "- only", "no end", "ab。cd", "", "x" * 79 + "，y and more"]
+    points = [r[0] for r in spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", X.answer_points(F.col("t")).alias("p")).orderBy("i").select("p").collect()]
+    assert points == [["one", "two", "three", "four"], ["First part", "second one", "第三部分内容", "fourth bit"], ["only"], ["no end"], [], [], ["x" * 79]]
+
+
+HAN = "\u4e00-\u9fff"
+
+
+def plain_tokens(text):
+    """Lower-case runs of letters and digits and bigrams of Han runs, stop words out."""
+    words = []
+    for w in re.findall(f"[0-9a-z]+|[{HAN}]+", text.lower()):
+        words += [w] if w.isascii() or len(w) == 1 else [w[i : i + 2] for i in range(len(w) - 1)]
+    return [w for w in words if w not in X.STOPWORDS]
