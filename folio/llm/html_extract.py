@@ -1,19 +1,23 @@
 """Main text of web pages by union-free wrapper inference per host.
 
-1. Each page becomes a tree of structural elements; its token stream folds into a skeleton in which runs of alike neighbours
-   are one repeated group. Pages of a host with the same skeleton count once.
-2. A host's skeletons are aligned one after another: alike elements merge, elements that only one side has become optional,
-   runs of different length become repeated groups, and text becomes a slot. The result is the host's wrapper, a regular
-   expression without unions. Partial wrappers of hash slices are merged, so no task needs all skeletons of a hot host.
-3. The text that fills each slot is summed up over the host's pages (pages, characters, constant or not).
-4. From wrapper and sums come the slots that hold the main text, and every page is read through them.
+1. Each page becomes a tree of structural elements that hold text; its token stream folds into a skeleton in which runs of
+   alike neighbours are one repeated group. Pages of a host with the same skeleton count once.
+2. A host's skeletons are aligned: alike elements merge, elements that only one side has become optional, runs of different
+   length become repeated groups, and text becomes a slot. The result is the host's wrapper, a regular expression without
+   unions. Skeletons are merged in rounds of bounded fan-in, so no task needs all skeletons of a hot host.
+3. Every skeleton is matched against its host's wrapper, and what fills each slot is summed up over the host's pages (pages,
+   characters, characters in links, same text everywhere or not).
+4. The wrapper's element that holds most of the weighted text is the main one; all its slots are kept, but for parts of it that
+   are marked as something else. Names only weigh: no name on an element around the main text counts, and none empties a page.
 """
 
 from __future__ import annotations
 
+import hashlib
 import html
 import json
 import re
+import uuid
 from collections.abc import Iterator
 from difflib import SequenceMatcher
 from functools import lru_cache
@@ -24,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folio.llm.store import cut, small_batches
+from folio.llm.store import cut, shared_dir, small_batches
 from folio.llm.textops import chunks
 from folio.llm.url_filter import host_of
 
@@ -49,137 +53,185 @@ ASIDE_WORDS = frozenset(
     "modal nav navbar navigation newsletter notice notices pager pagination popup promo promotion related replies reply search share sharing sidebar signup skip social sponsor sponsored subscribe "
     "subscription tags teaser toolbar toc topbar widget widgets".split()
 )
-MAIN_TAGS = frozenset(("article", "main"))
 MAIN_WORDS = frozenset("article articlebody main maincontent post story entry content".split())
 HEADINGS = frozenset(f"h{i}" for i in range(1, 7))
+#: Elements nested deeper count as their ancestor at this depth.
+DEEPEST = 60
+#: A wrapper with more nodes is told apart by element names alone.
+MOST_NODES = 2000
 
 
 @lru_cache(maxsize=20_000)
 def element(tag: str) -> tuple[str, str]:
-    """(name, label) of an opening tag: the label is the name with class, id and role, digits evened out."""
+    """(name, label) of an opening tag: the label is the name with up to three words of class, id and role of at most two parts
+    each, digits gone; longer words name a page rather than a part of it."""
     name = NAME.match(tag)[1].lower()
-    marks = [(m[1].lower(), m[2] or m[3] or m[4] or "") for m in MARKS.finditer(tag)]
-    words = " ".join(re.sub(r"\d+", "0", " ".join(sorted(v.split()))) for k, v in marks if v)
-    return name, f"{name}.{words.replace('/', '-')}" if words else name
+    words = {re.sub(r"\d+", "", w) for m in MARKS.finditer(tag) for w in (m[2] or m[3] or m[4] or "").split()}
+    words = sorted(w.replace("/", "-") for w in words if w and (len(parts := WORDS.findall(w)) <= 2 or {x.lower() for x in parts} & (ASIDE_WORDS | MAIN_WORDS)))
+    return name, f"{name}.{' '.join(words[:3])}" if words else name
+
+
+def name_of(label: str) -> str:
+    return label.partition(".")[0]
 
 
 @lru_cache(maxsize=20_000)
-def standing(label: str) -> str:
-    """'aside', 'main' or '' by the element's own name and marks."""
+def mark(label: str) -> str:
+    """What the element's own name and marks say: 'tag' or 'strong' or 'weak' for aside, 'article', 'main', 'content' or ''.
+
+    Strong marks have only aside words in one of their words, as ``cookie-notice`` or ``ad``; weak ones have some, as ``has-sidebar``.
+    """
     name, _, words = label.partition(".")
-    said = {w.lower() for w in WORDS.findall(words)}
-    if name in ASIDE_TAGS or said & ASIDE_WORDS:
-        return "aside"
-    return "main" if name in MAIN_TAGS or said & MAIN_WORDS else ""
-
-
-@lru_cache(maxsize=50_000)
-def is_aside(path: str) -> bool:
-    """Whether a slot lies in a marked-off part. A heading in a header of the main element belongs to the main text."""
-    labels = path.split("/")
-    inside = False
-    for label in labels:
-        if standing(label) == "aside":
-            if not (inside and label.partition(".")[0] == "header" and labels[-1].partition(".")[0] in HEADINGS):
-                return True
-        inside = inside or standing(label) == "main"
-    return False
-
-
-def blocks(page: str) -> Iterator[tuple[str, str]]:
-    """(path, text) of each run of text between structural tags, references decoded, white space evened out."""
+    if name in ASIDE_TAGS:
+        return "tag"
+    said = [{x.lower() for x in WORDS.findall(w)} for w in words.split()]
+    if any(s and s <= ASIDE_WORDS for s in said):
+        return "strong"
+    if name in ("article", "main"):
+        return name
+    if any(s & ASIDE_WORDS for s in said):
+        return "weak"
+    return "content" if any(s & MAIN_WORDS for s in said) else ""
+
+
+# A node is [label, optional, repeated, slot, children, members]; members are the numbers of a page's own blocks.
+
+
+def parse(page: str) -> tuple[list, list[str], list[int]]:
+    """(tree, texts, linked): the elements of a page, its blocks of text in order, references decoded and white space evened out,
+    and how many characters of each stand in links."""
+    root: list = []
     names: list[str] = []
-    labels: list[str] = []
+    inner: list[list] = []
+    owner: list[list] = []  # the node of each open element
+    texts: list[str] = []
+    linked: list[int] = []
     held: list[str] = []
-    path = ""
+    in_link = False
+    link_chars = 0
+    top = ["", False, False, False, root, []]
+
+    def flush() -> None:
+        nonlocal link_chars
+        text = " ".join(html.unescape("".join(held)).split())
+        held.clear()
+        if text:
+            node = owner[-1] if owner else top
+            node[3] = True
+            node[5].append(len(texts))
+            texts.append(text)
+            linked.append(min(link_chars, len(text)))
+        link_chars = 0
 
     for m in TOKEN.finditer(page):
         token = m[0]
         if token[0] != "<" or token == "<":
             held.append(token)
+            if in_link:
+                link_chars += len(token)
             continue
         if m[1] or token[1] in "!?":
             if m[1]:
                 held.append(" ")
             continue
-        found = NAME.match(token)
-        name = found[1].lower()
+        name = NAME.match(token)[1].lower()
         if name in INLINE:
-            if name == "br" or name == "img":
+            if name == "a":
+                in_link = token[1] != "/"
+            elif name == "br" or name == "img":
                 held.append(" ")
             continue
         if held:
-            text = " ".join(html.unescape("".join(held)).split())
-            held.clear()
-            if text:
-                yield path, text
+            flush()
+        if name == "html" or name == "body" or name == "hr":
+            continue
         if token[1] == "/":
             if name in names:
                 at = len(names) - 1 - names[::-1].index(name)
-                del names[at:], labels[at:]
-        elif name == "hr":
+                del names[at:], inner[at:], owner[at:]
             continue
-        else:
-            ends = CLOSES.get(name, ()) if name not in BLOCKS_CLOSE_P else ("p",)
-            for k in range(len(names) - 1, -1, -1):
-                if names[k] in ends:
-                    del names[k:], labels[k:]
-                    break
-                if names[k] in ("ul", "ol", "dl", "table", "div", "section", "article", "body"):
-                    break
-            if not token.endswith("/>"):
-                names.append(name)
-                labels.append(element(token)[1])
-        path = "/".join(x for x in labels if x[:4] not in ("html", "body"))
-    text = " ".join(html.unescape("".join(held)).split())
-    if text:
-        yield path, text
-
-
-# A wrapper is a list of nodes [label, optional, repeated, slot, children].
-
-
-def skeleton(paths: list[str]) -> list:
-    """The folded tree of a page's blocks."""
-    root: list = []
-    open_: list[tuple[str, list]] = []
-    for path in paths:
-        labels = path.split("/") if path else []
-        same = 0
-        while same < min(len(labels) - 1, len(open_)) and open_[same][0] == labels[same]:
-            same += 1
-        del open_[same:]
-        for label in labels[same:]:
-            inner = open_[-1][1] if open_ else root
-            inner.append([label, False, False, False, []])
-            open_.append((label, inner[-1][4]))
-        if labels:
-            holder = open_[-2][1] if len(open_) > 1 else root
-            holder[-1][3] = True
-    return fold(root)
+        ends = CLOSES.get(name, ()) if name not in BLOCKS_CLOSE_P else ("p",)
+        for k in range(len(names) - 1, -1, -1):
+            if names[k] in ends:
+                del names[k:], inner[k:], owner[k:]
+                break
+            if names[k] in ("ul", "ol", "dl", "table", "div", "section", "article"):
+                break
+        if not token.endswith("/>"):
+            names.append(name)
+            if len(names) > DEEPEST:
+                inner.append(inner[-1]), owner.append(owner[-1])
+                continue
+            node = [element(token)[1], False, False, False, [], []]
+            (inner[-1] if inner else root).append(node)
+            inner.append(node[4]), owner.append(node)
+    flush()
+    if top[3]:
+        root.insert(0, ["", False, False, True, [], top[5]])  # text outside all elements
+    return root, texts, linked
+
+
+def skeleton(tree: list) -> list:
+    """The folded tree of the elements that hold text."""
+    out = []
+    for label, _, _, slot, inner, members in tree:
+        below = skeleton(inner)
+        if slot or below:
+            out.append([label, False, False, slot, below, members])
+    return fold(out)
+
+
+def alike(a: list, b: list) -> bool:
+    """Whether neighbours are items of one group: the same label, and inside something in common, if there is anything."""
+    return a[0] == b[0] and (not a[4] and not b[4] or bool({n[0] for n in a[4]} & {n[0] for n in b[4]}))
 
 
 def fold(nodes: list) -> list:
-    """Neighbours with one label become a repeated group; so do neighbouring pairs and triples of labels."""
+    """Neighbours that are alike become a repeated group; so do neighbouring pairs and triples."""
     out: list = []
-    for label, optional, repeated, slot, inner in nodes:
-        node = [label, optional, repeated, slot, fold(inner)]
-        if out and out[-1][0] == label:
-            out[-1] = unite(out[-1], node, True)
-        else:
-            out.append(node)
-    for size in (2, 3):
-        k = 0
-        while k + 2 * size <= len(out):
-            if [n[0] for n in out[k : k + size]] == [n[0] for n in out[k + size : k + 2 * size]]:
-                out[k : k + 2 * size] = [unite(a, b, True) for a, b in zip(out[k : k + size], out[k + size : k + 2 * size], strict=True)]
-            else:
-                k += 1
+    for node in nodes:
+        out.append(node)
+        for size in (1, 2, 3):
+            if len(out) >= 2 * size and all(map(alike, out[-2 * size : -size], out[-size:])):
+                out[-2 * size :] = [unite(a, b, True) for a, b in zip(out[-2 * size : -size], out[-size:], strict=True)]
+                break
     return out
 
 
 def unite(a: list, b: list, repeated: bool = False) -> list:
-    return [a[0], a[1] and b[1] if repeated else a[1] or b[1], repeated or a[2] or b[2], a[3] or b[3], align(a[4], b[4])]
+    return [a[0], a[1] and b[1] if repeated else a[1] or b[1], repeated or a[2] or b[2], a[3] or b[3], align(a[4], b[4]), a[5] + b[5]]
+
+
+def likeness(a: list, b: list) -> float:
+    if a[0] != b[0] and not (name_of(a[0]) == name_of(b[0]) and b[0] in (name_of(b[0]), a[0])):
+        return 0.0
+    x, y = {n[0] for n in a[4]}, {n[0] for n in b[4]}
+    return (1.0 if a[0] == b[0] else 0.5) + (len(x & y) / len(x | y) if x or y else 1.0)
+
+
+def matches(a: list, b: list) -> list[tuple[int, int]]:
+    """Positions matched in order by the best alignment of two lists of nodes."""
+    if [n[0] for n in a] == [n[0] for n in b]:
+        return [(k, k) for k in range(len(a))]
+    if len(a) * len(b) > 40_000:
+        found = SequenceMatcher(None, [n[0] for n in a], [n[0] for n in b], autojunk=False).get_matching_blocks()
+        return [(m.a + k, m.b + k) for m in found for k in range(m.size)]
+    best = np.zeros((len(a) + 1, len(b) + 1))
+    like = [[likeness(x, y) for y in b] for x in a]
+    for i in range(len(a) - 1, -1, -1):
+        for j in range(len(b) - 1, -1, -1):
+            best[i, j] = max(best[i + 1, j], best[i, j + 1], best[i + 1, j + 1] + like[i][j] if like[i][j] else 0)
+    i = j = 0
+    out = []
+    while i < len(a) and j < len(b):
+        if like[i][j] and best[i, j] == best[i + 1, j + 1] + like[i][j]:
+            out.append((i, j))
+            i, j = i + 1, j + 1
+        elif best[i, j] == best[i + 1, j]:
+            i += 1
+        else:
+            j += 1
+    return out
 
 
 def align(a: list, b: list) -> list:
@@ -187,137 +239,258 @@ def align(a: list, b: list) -> list:
     if not a or not b:
         return [[n[0], True, *n[2:]] for n in a or b]
     out: list = []
-    for kind, a0, a1, b0, b1 in SequenceMatcher(None, [n[0] for n in a], [n[0] for n in b], autojunk=False).get_opcodes():
-        if kind == "equal":
-            out += [unite(x, y) for x, y in zip(a[a0:a1], b[b0:b1], strict=True)]
-        else:
-            out += [[n[0], True, *n[2:]] for n in (*a[a0:a1], *b[b0:b1])]
+    i = j = 0
+    for x, y in [*matches(a, b), (len(a), len(b))]:
+        out += [[n[0], True, *n[2:]] for n in (*a[i:x], *b[j:y])]
+        if x < len(a):
+            out.append(unite(a[x], b[y]))
+        i, j = x + 1, y + 1
     return fold(out)
 
 
+def coarse(nodes: list) -> list:
+    """The wrapper with elements told apart by name alone, if it has grown too large."""
+    if sum(1 for _ in walk(nodes)) <= MOST_NODES:
+        return nodes
+    bare = lambda ns: fold([[name_of(n[0]), *n[1:4], bare(n[4]), n[5]] for n in ns])
+    return bare(nodes)
+
+
+def walk(nodes: list, above: tuple = ()) -> Iterator[tuple[list, tuple]]:
+    """(node, its ancestors' labels) in page order."""
+    for n in nodes:
+        yield n, above
+        yield from walk(n[4], (*above, n[0]))
+
+
 def expression(nodes: list) -> str:
     """The wrapper as a regular expression over tags and text slots (#)."""
     parts = []
-    for label, optional, repeated, slot, inner in nodes:
+    for label, optional, repeated, slot, inner, _ in nodes:
         body = f"<{label}>{'#' if slot else ''}{expression(inner)}</>"
         parts.append(f"({body}){'*' if optional and repeated else '?' if optional else '+'}" if optional or repeated else body)
     return "".join(parts)
 
 
-def slots(nodes: list, above: str = "") -> Iterator[tuple[str, bool, bool]]:
-    """(path, optional, repeated) of the text slots."""
-    for label, optional, repeated, slot, inner in nodes:
-        path = f"{above}/{label}" if above else label
-        if slot:
-            yield path, optional, repeated
-        yield from ((p, o or optional, r or repeated) for p, o, r in slots(inner, path))
+def to_text(nodes: list) -> str:
+    bare = lambda ns: [[n[0], int(n[1]), int(n[2]), int(n[3]), bare(n[4])] for n in ns]
+    return json.dumps(bare(nodes), separators=(",", ":"), ensure_ascii=False)
+
+
+def from_text(text: str) -> list:
+    full = lambda ns: [[n[0], bool(n[1]), bool(n[2]), bool(n[3]), full(n[4]), []] for n in ns]
+    return full(json.loads(text))
 
 
-def main_slots(wrapper: list, sums: dict[str, tuple[int, int, bool]]) -> list[str]:
-    """The slots that hold the main text. ``sums``: path -> (pages, characters, constant).
+def place(nodes: list, wrapper: list) -> list[int]:
+    """For each node of a skeleton, in page order, the number of the wrapper's node that it matches, -1 if none."""
+    numbers = {id(n): k for k, (n, _) in enumerate(walk(wrapper))}
+    out: list[int] = []
+
+    def down(own: list, theirs: list) -> None:
+        found = dict(matches(own, theirs))
+        for k, node in enumerate(own):
+            if k in found:
+                other = theirs[found[k]]
+            else:  # one more item of a repeated group
+                other = max(theirs, key=lambda t: likeness(node, t), default=None)
+                other = other if other is not None and likeness(node, other) else None
+            out.append(-1 if other is None else numbers[id(other)])
+            down(node[4], other[4] if other is not None else [])
+
+    down(nodes, wrapper)
+    return out
 
-    Slots in parts marked off are out. Of the rest those in a main element count, or else those in the element whose
-    varying or repeated slots hold the most text. A slot with the same text on all of three pages or more is template, if
-    another slot varies.
+
+def main_nodes(wrapper: list, sums: dict[int, tuple[int, int, int, bool]], alone: bool = False) -> list[int]:
+    """The numbers of the nodes whose text is main text. ``sums``: number -> (pages, characters, in links, constant).
+
+    Text weighs less in links, under marks of something else and where it is the same on three pages or more; more in an article
+    or main element. From the top, the search goes down into the child with most of the weight until an article, an element of
+    blocks, or one with a heading of its own. There every slot counts, the same on all pages or not, but for parts marked
+    otherwise: elements such as ``nav``, parts with strong marks, and with weak ones unless they hold half of the text (neither if an
+    article stands inside). With ``alone`` (a single page) strong marks always count and weak ones never.
     """
-    flags = {p: r for p, _, r in slots(wrapper)}
-    open_ = [p for p in sums if not is_aside(p)]
-    chosen = [p for p in open_ if any(x.partition(".")[0] in MAIN_TAGS for x in p.split("/"))] or [p for p in open_ if any(standing(x) == "main" for x in p.split("/"))]
-    if not chosen and open_:
-        weight: dict[str, int] = {}
-        for p in open_:
-            if not sums[p][2] or flags.get(p):
-                up = p.rpartition("/")[0]
-                weight[up] = weight.get(up, 0) + sums[p][1]
-        top = max(weight, key=lambda u: (weight[u], u)) if weight else ""
-        chosen = [p for p in open_ if not top or p == top or p.startswith(f"{top}/")]
-    varied = [p for p in chosen if not (sums[p][2] and sums[p][0] >= 3)]
-    return sorted(varied or chosen)
-
-
-def _pages(pages: DataFrame, id_col: str, url_col: str, html_col: str) -> DataFrame:
-    return pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"), host_of(F.col(url_col)).alias("host"))
-
-
-def infer_wrappers(pages: DataFrame, url_col: str = "url", html_col: str = "html", slices: int = 32) -> DataFrame:
-    """(host, pages, wrapper, main) per host: the wrapper's regular expression and the paths of its main slots."""
-    small_batches(pages.sparkSession)
-    source = pages.select(host_of(F.col(url_col)).alias("host"), F.col(html_col).alias("html"))
-    fields = {"host": pa.string(), "skeleton": pa.string(), "slots": pa.list_(pa.struct([("path", pa.string()), ("chars", pa.int64()), ("low", pa.int64()), ("high", pa.int64())]))}
-
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in chunks(batches, "html"):
-            out: list[list] = [[], [], []]
-            for host, page in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist(), strict=True):
-                got = list(blocks(page or ""))
-                filled: dict[str, list[int]] = {}
-                for path, text in got:
-                    h = hash_of(text)
-                    s = filled.setdefault(path, [0, h, h])
-                    s[0] += len(text)
-                    s[1], s[2] = min(s[1], h), max(s[2], h)
-                out[0].append(host)
-                out[1].append(json.dumps(skeleton([p for p, _ in got]), separators=(",", ":"), ensure_ascii=False))
-                out[2].append([{"path": p, "chars": c, "low": lo, "high": hi} for p, (c, lo, hi) in filled.items()])
-            yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(out, fields.values(), strict=True)], names=list(fields))
-
-    seen = cut(source.mapInArrow(read, "host string, skeleton string, slots array<struct<path:string,chars:bigint,low:bigint,high:bigint>>"))
-    kinds = seen.groupBy("host", "skeleton").agg(F.count("*").alias("pages"))
-    kinds = kinds.withColumn("slice", F.pmod(F.xxhash64("skeleton"), F.lit(slices)))
-
-    def aligned(group: pd.DataFrame) -> list:
-        made = None
-        for text in sorted(group["skeleton"]):
-            made = json.loads(text) if made is None else align(made, json.loads(text))
-        return made
-
-    def part(group: pd.DataFrame) -> pd.DataFrame:
-        made = json.dumps(aligned(group), separators=(",", ":"), ensure_ascii=False)
-        return pd.DataFrame({"host": group["host"].iloc[:1], "skeleton": made, "pages": int(group["pages"].sum())})
-
-    schema = "host string, skeleton string, pages long"
-    wrappers = kinds.groupBy("host", "slice").applyInPandas(part, schema).groupBy("host").applyInPandas(part, schema)
-    sums = (
-        seen.select("host", F.explode("slots").alias("s")).groupBy("host", "s.path")
-        .agg(F.count("*").alias("pages"), F.sum("s.chars").alias("chars"), (F.min("s.low") == F.max("s.high")).alias("constant"))
-        .groupBy("host").agg(F.collect_list(F.struct("path", "pages", "chars", "constant")).alias("sums"))
-    )
+    order = [(n, up) for n, up in walk(wrapper)]
+    numbers = {id(n): k for k, (n, _) in enumerate(order)}
+    weight, raw = [0.0] * len(order), [0] * len(order)
+    for k, (n, up) in enumerate(order):
+        pages, chars, links, constant = sums.get(k, (0, 0, 0, False))
+        marks = {mark(x) for x in (*up, n[0])}
+        w = max(chars - links, chars / 10)
+        w *= (0.02 if "tag" in marks else 1) * (0.1 if "strong" in marks else 0.5 if "weak" in marks else 1) * (3 if "article" in marks else 2 if marks & {"main", "content"} else 1)
+        weight[k], raw[k] = w * (0.05 if constant and pages >= 3 else 1), chars
+    size = [0] * len(order)  # nodes in each subtree, itself included
+    for k in range(len(order) - 1, -1, -1):
+        size[k] = 1 + sum(size[numbers[id(c)]] for c in order[k][0][4])
+        weight[k] += sum(weight[numbers[id(c)]] for c in order[k][0][4])
+        raw[k] += sum(raw[numbers[id(c)]] for c in order[k][0][4])
+
+    def varies(k: int) -> bool:
+        pages, chars, _, constant = sums.get(k, (0, 0, 0, False))
+        return chars > 0 and not (constant and pages >= 3)
+
+    def headed(nodes: list, without: list) -> bool:
+        """A heading that varies, outside one child and outside parts that are marked."""
+        return any(n is not without and (name_of(n[0]) in HEADINGS and varies(numbers[id(n)]) or (name_of(n[0]) == "header" or not mark(n[0])) and headed(n[4], without)) for n in nodes)
+
+    here, nodes = None, wrapper
+    while nodes:
+        best = max(nodes, key=lambda n: weight[numbers[id(n)]])
+        total = sum(weight[numbers[id(n)]] for n in nodes) + (weight[numbers[id(here)]] - sum(weight[numbers[id(n)]] for n in nodes) if here else 0)
+        kind = mark(best[0])
+        nested = any(mark(n[0]) == "article" for n, _ in walk(best[4]))
+        if here and mark(here[0]) in ("article", "main") and not (nested or kind == "article"):
+            break
+        if not best[4] and kind not in ("article", "main") or weight[numbers[id(best)]] < 0.6 * total or kind == "tag" and name_of(best[0]) not in ("form", "fieldset", "header"):
+            break
+        if kind not in ("article", "main") and headed(nodes, best):
+            break
+        here, nodes = best, best[4]
+
+    whole = raw[numbers[id(here)]] if here else sum(raw[numbers[id(n)]] for n in nodes)
+    mass = sum(sums[k][1] for k in sums if varies(k))
+    out: list[int] = []
+
+    def take(n: list, in_header: bool = False) -> None:
+        k = numbers[id(n)]
+        if n is not here:
+            kind = mark(n[0])
+            if kind == "tag" and not (in_header := name_of(n[0]) == "header" and here is not None):
+                return
+            holds = any(mark(x[0]) in ("article", "main") for x, _ in walk(n[4]))
+            if kind == "strong" and (alone or not holds) or kind == "weak" and not alone and not holds and raw[k] <= 0.5 * whole:
+                return
+        template = here is None and not alone and not varies(k) and mass >= 0.5 * sum(s[1] for s in sums.values())
+        if n[3] and not template and (not in_header or name_of(n[0]) in HEADINGS):
+            out.append(k)
+        for c in n[4]:
+            take(c, in_header)
+
+    for n in [here] if here else wrapper:
+        take(n)
+    return out
 
-    def decide(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            made = [json.loads(s) for s in frame["skeleton"]]
-            filled = [{} if s is None else {x["path"]: (x["pages"], x["chars"], x["constant"]) for x in s} for s in frame["sums"]]
-            yield pd.DataFrame({"host": frame["host"], "pages": frame["pages"], "wrapper": [expression(w) for w in made], "main": [main_slots(w, f) for w, f in zip(made, filled, strict=True)]})
 
-    return wrappers.join(sums, "host", "left").mapInPandas(decide, "host string, pages long, wrapper string, main array<string>")
+def read_pages(pages: DataFrame, id_col: str, url_col: str, html_col: str) -> DataFrame:
+    """A written table of pages: (id, url, host, key, skeleton, slots, texts, filled, own).
+
+    ``slots`` has the skeleton's node of each block in ``texts``, ``filled`` what stands in each node, ``own`` the nodes that count as
+    main text of the page by itself.
+    """
+    spark = pages.sparkSession
+    small_batches(spark)
+    source = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), host_of(F.col(url_col)).alias("host"), F.col(html_col).alias("html"))
+    ints, strings = pa.list_(pa.int32()), pa.list_(pa.string())
+    filled_type = pa.list_(pa.struct([("slot", pa.int32()), ("chars", pa.int64()), ("links", pa.int64()), ("hash", pa.int64())]))
+    kinds = {"skeleton": pa.string(), "slots": ints, "texts": strings, "filled": filled_type, "own": ints}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in chunks(batches, "html"):
+            out: dict[str, list] = {k: [] for k in kinds}
+            for page in batch.column("html").to_pylist():
+                tree, texts, linked = parse(page or "")
+                nodes = skeleton(tree)
+                slots = [0] * len(texts)
+                filled, sums = [], {}
+                for k, (n, _) in enumerate(walk(nodes)):
+                    if n[5]:
+                        for b in n[5]:
+                            slots[b] = k
+                        chars, links = sum(len(texts[b]) for b in n[5]), sum(linked[b] for b in n[5])
+                        filled.append({"slot": k, "chars": chars, "links": links, "hash": hash_of("\n".join(texts[b] for b in sorted(n[5])))})
+                        sums[k] = (1, chars, links, False)
+                for name, value in zip(kinds, (to_text(nodes), slots, texts, filled, main_nodes(nodes, sums, alone=True)), strict=True):
+                    out[name].append(value)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("id", "url", "host")), *(pa.array(out[k], type=t) for k, t in kinds.items())], names=["id", "url", "host", *kinds])
+
+    schema = f"id {dict(pages.dtypes)[id_col]}, url string, host string, skeleton string, slots array<int>, texts array<string>, filled array<struct<slot:int,chars:bigint,links:bigint,hash:bigint>>, own array<int>"
+    path = f"{shared_dir(spark)}/pages-{uuid.uuid4().hex}"
+    source.mapInArrow(run, schema).withColumn("key", F.md5("skeleton")).write.parquet(path)
+    return spark.read.parquet(path)
 
 
 def hash_of(text: str) -> int:
-    from xxhash import xxh3_64_intdigest
+    return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
+
+
+def merge_skeletons(kinds: DataFrame, fan_in: int = 64) -> DataFrame:
+    """(host, skeleton): one wrapper for each host of ``kinds`` (host, skeleton), merged about ``fan_in`` at a time."""
+    def merge(group: pd.DataFrame) -> pd.DataFrame:
+        made: list = []
+        for k, text in enumerate(sorted(group["skeleton"])):
+            made = from_text(text) if k == 0 else coarse(align(made, from_text(text)))
+        return pd.DataFrame({"host": group["host"].iloc[:1], "skeleton": to_text(made)})
+
+    now, done = kinds.select("host", "skeleton"), None
+    while True:
+        sizes = now.groupBy("host").agg(F.count("*").alias("n"))
+        counted = cut(now.join(sizes, "host"))
+        single, many = counted.where("n = 1").select("host", "skeleton"), counted.where("n > 1")
+        done = single if done is None else done.union(single)
+        if many.isEmpty():
+            return done
+        part = F.pmod(F.xxhash64("skeleton"), F.ceil(F.col("n") / fan_in)).alias("part")
+        now = cut(many.groupBy("host", part).applyInPandas(merge, "host string, skeleton string"))
 
-    return int(np.uint64(xxh3_64_intdigest(text)).astype(np.int64))
 
+#: A table with fewer rows, each of bounded size, is sent to all tasks; a larger one is joined by shuffle.
+FEW = 20_000
 
-def main_text(page: str | None, keep: frozenset[str]) -> str:
-    """The kept slots' text in page order; of a page without any, all text outside parts marked off."""
-    got = list(blocks(page or ""))
-    chosen = [t for p, t in got if p in keep] or [t for p, t in got if not is_aside(p)]
-    return "\n\n".join(chosen)
+
+def joined(rows: DataFrame, few: DataFrame, keys: list[str], size: int, how: str = "inner", salts: int = 16) -> DataFrame:
+    """A join with a table of ``size`` rows: sent to all tasks if it is small, else salted, so that a hot host is no single task."""
+    if size <= FEW:
+        return rows.join(F.broadcast(few), keys, how)
+    spread = few.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return rows.withColumn("_salt", (F.rand(7) * salts).cast("int")).join(spread, [*keys, "_salt"], how).drop("_salt")
+
+
+def infer_wrappers(seen: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Of ``read_pages``: (host, wrapper) per host, and (host, key, keep) per skeleton with its nodes that hold main text."""
+    kinds = cut(seen.groupBy("host", "key").agg(F.first("skeleton").alias("skeleton")))
+    wrappers = cut(merge_skeletons(kinds).withColumnRenamed("skeleton", "wrapper"))
+    hosts = wrappers.count()
+
+    def match(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        load = lru_cache(maxsize=64)(from_text)
+        for frame in frames:
+            made = [place(from_text(s), load(w)) for s, w in zip(frame["skeleton"], frame["wrapper"], strict=True)]
+            yield pd.DataFrame({"host": frame["host"], "key": frame["key"], "nodes": made})
+
+    placed = cut(joined(kinds, wrappers, ["host"], hosts).mapInPandas(match, "host string, key string, nodes array<int>"))
+    filled = seen.select("host", "key", F.explode("filled").alias("f")).groupBy("host", "key", "f.slot").agg(
+        F.count("*").alias("pages"), F.sum("f.chars").alias("chars"), F.sum("f.links").alias("links"), F.min("f.hash").alias("low"), F.max("f.hash").alias("high")
+    )
+    by_node = filled.join(placed, ["host", "key"]).groupBy("host", F.get("nodes", F.col("slot")).alias("node")).agg(
+        F.sum("pages").alias("pages"), F.sum("chars").alias("chars"), F.sum("links").alias("links"), (F.min("low") == F.max("high")).alias("constant")
+    )
+    sums = by_node.groupBy("host").agg(F.collect_list(F.struct("node", "pages", "chars", "links", "constant")).alias("sums"))  # at most MOST_NODES or so
+
+    def decide(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            filled = [{} if s is None else {x["node"]: (x["pages"], x["chars"], x["links"], x["constant"]) for x in s} for s in frame["sums"]]
+            yield pd.DataFrame({"host": frame["host"], "main": [main_nodes(from_text(w), f) for w, f in zip(frame["wrapper"], filled, strict=True)]})
+
+    main = wrappers.join(sums, "host", "left").mapInPandas(decide, "host string, main array<int>")
+    numbered = F.transform("nodes", lambda n, i: F.when(F.array_contains("main", n), i))
+    rules = joined(placed, main, ["host"], hosts).select("host", "key", F.filter(numbered, lambda i: i.isNotNull()).alias("keep"))
+    return wrappers, rules
 
 
 def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """Main text of every row: (id_col, url, text, n_chars).
 
     Null or empty html and pages without text give an empty text. Pages with a null url, or one without a host, form one
-    group. Repeated rows are read each. An empty table gives an empty result. Other columns are not read.
+    group. Repeated rows are read each; pages of one host that say the same keep their text. Of elements with equal weight the first
+    is the main one. A page that fills none of its host's main slots is judged by itself. An empty table gives an empty result.
+    Other columns are not read.
     """
-    rules = infer_wrappers(pages, url_col, html_col).select("host", "main")
-    joined = _pages(pages, id_col, url_col, html_col).join(rules, "host", "left").select("id", "url", "html", "main")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in chunks(batches, "html"):
-            texts = [main_text(h, frozenset(m or ())) for h, m in zip(batch.column("html").to_pylist(), batch.column("main").to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("url"), pa.array(texts, type=pa.string()), pa.array(map(len, texts), type=pa.int64())], names=["id", "url", "text", "n_chars"])
-
-    kind = dict(pages.dtypes)[id_col]
-    return joined.mapInArrow(run, f"id {kind}, url string, text string, n_chars long").withColumnRenamed("id", id_col)
+    seen = read_pages(pages, id_col, url_col, html_col)
+    _, rules = infer_wrappers(seen)
+    rules = cut(rules)
+    with_rules = joined(seen.select("id", "url", "host", "key", "slots", "texts", "own"), rules, ["host", "key"], rules.count(), "left")
+    of = lambda keep: F.transform(F.filter(F.arrays_zip("slots", "texts"), lambda b: F.array_contains(keep, b["slots"])), lambda b: b["texts"])
+    chosen = with_rules.withColumn("main", of(F.coalesce("keep", F.array().cast("array<int>"))))
+    text = F.array_join(F.when(F.size("main") > 0, F.col("main")).otherwise(of(F.col("own"))), "\n\n")
+    return chosen.select("id", "url", text.alias("text")).select(F.col("id").alias(id_col), "url", "text", F.length("text").cast("long").alias("n_chars"))

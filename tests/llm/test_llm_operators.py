@@ -1,7 +1,6 @@
 """Each operator against a plain version on small tables, and on rows that are empty, null, repeated, long or oddly named."""
 
 import hashlib
-import html
 import re
 import zlib
 from itertools import combinations
@@ -11,7 +10,7 @@ import pytest
 
 pytest.importorskip("folio.llm")
 
-from folio.llm import decontaminate, fingerprint, html_extract, lang_id, near_dedup, packing, pii, sharding, token_store, url_filter
+from folio.llm import decontaminate, fingerprint, lang_id, near_dedup, packing, pii, sharding, token_store, url_filter
 from folio.llm.components import connected_components
 from folio.llm.queries import RULES, tokenizer
 
@@ -361,26 +360,3 @@ def test_language_accuracy_on_held_out_rows(spark, odd):
     assert some[3] == some[4] == some[6] == "und" and some[1] != "und" and len(some) == 10
     none = lang_id.predict(odd, lang_id.fit(empty(spark), lang_id.held_out())).collect()
     assert {r["lang_pred"] for r in none} == {"und"}
-
-
-PAGE = """<!DOCTYPE html><html><head><title>T &amp; U</title><style>p{}</style><script>var t="</p>";</script></head><body><div id="cookie-notice">We use cookies</div>
-<nav><ul><li><a href="/a">Menu {n}</a></li></ul></nav><header><h2>Site</h2></header><div class="sidebar">Side {n}</div><article><h1>Title {n}</h1><p><b>First &lt;para {n}<br>goes   on<p>Second&nbsp;para {n}</p>
-<div class="ad">Buy</div><section class="comments"><p>Nice post</p></section></article><form><label>Mail</label><input></form><footer>&copy; x</footer></body></html>"""
-
-
-def test_html_main_text(spark):
-    rows = [(i, f"http://a.com/{i}", PAGE.replace("{n}", str(i))) for i in range(5)]
-    rows += [(10, "http://b.com/", "<div class=page><div class=menu>Home</div><div class=text><p>Only text here, and quite a bit of it.</p><p>More.</p></div></div>"), (11, None, "plain &eacute; text"), (12, "http://c.com", None), (13, "http://c.com", ""), (14, "http://c.com", "<p>unclosed <b>bold")]
-    got = {r["page_id"]: r for r in html_extract.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string").selectExpr("*", "page_id AS id", "url AS host")).collect()}
-    for i in range(5):
-        assert got[i]["text"] == f"Title {i}\n\nFirst <para {i} goes on\n\nSecond para {i}" and got[i]["n_chars"] == len(got[i]["text"])
-    assert got[10]["text"] == "Only text here, and quite a bit of it.\n\nMore." and got[11]["text"] == "plain é text" and got[12]["text"] == got[13]["text"] == "" and got[14]["text"] == "unclosed bold"
-    assert html_extract.extract_pages(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
-
-
-def test_wrapper_is_union_free():
-    a = html_extract.skeleton(["article/h1", "article/p", "article/p"])
-    b = html_extract.skeleton(["article/h1", "article/ul/li", "article/ul/li", "article/p"])
-    made = html_extract.align(a, b)
-    assert html_extract.expression(made) == "<article><h1>#</>(<ul>(<li>#</>)+</>)?(<p>#</>)+</>"
-    assert html.unescape("&copy;") == "©"
