@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from folio.llm.store import cut, small_batches
 from folio.llm.textops import chunks
-from folio.llm.token_store import encoder
+from folio.llm.token_store import ENCODE_BYTES, encoder
 
 
 def pack_histogram(counts: dict[int, int], size: int) -> list[tuple[int, tuple[int, ...]]]:
@@ -87,9 +87,9 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, size: int = 1024, keep_sp
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(tokenizer, keep_space)
         end = np.array([end_id], dtype=encode.dtype).tobytes()
-        for batch in chunks(batches):
+        for batch in chunks(batches, limit=ENCODE_BYTES):
             rows: list[list] = [[], [], [], [], []]
-            for doc, raw in zip(batch.column("id").to_pylist(), encode(batch.column("text").to_pylist()), strict=True):
+            for doc, raw in zip(batch.column("id").to_pylist(), encode(batch.column("text")), strict=True):
                 ids = np.frombuffer(raw + end, dtype=encode.dtype).astype("<u4")
                 for at in range(0, len(ids), size):
                     piece = ids[at : at + size]

@@ -28,48 +28,118 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from folio.llm.store import range_bounds, shared_dir, small_batches
-from folio.llm.textops import chunks
+from folio.llm.textops import chunks, utf8
 
 MAGIC, HEAD = b"FTK1", struct.Struct("<4sHHII32s")
 INDEX = np.dtype([("doc_id", "<i8"), ("has_id", "u1"), ("end", "<u8"), ("tokens", "<u8")])
-#: Pieces of a text: Latin-1 letters before white space or a mark, marks before white space, or all up to the next white
+#: Parts of a new piece: Latin-1 letters before white space or a mark, marks before white space, or all up to the next white
 #: space. White space is Unicode's; Python's own \\s also takes 0x1C-0x1F, which the tokenizers take for ordinary characters.
 _LATIN = "[A-Za-zÀ-ÖØ-öø-ÿ]+"
 _WORD = re.compile(rf"{_LATIN}(?=[ \n.,;:!?]|\Z)|[.,;:!?]+(?=[ \n]|\Z)|[\S\x1c-\x1f]+")
 _SPACED = re.compile(rf" ?{_LATIN}(?=[ \n.,;:!?]|\Z)|[.,;:!?]+(?=[ \n]|\Z)|[^\S\x1c-\x1f]*[\S\x1c-\x1f]+|[^\S\x1c-\x1f]+")
+#: Text bytes that are encoded at once; one longer text goes alone.
+ENCODE_BYTES = 3 << 20
 _BARE, _LED = re.compile(_LATIN), re.compile(f" {_LATIN}")
+#: UTF-8 of white space beyond ASCII.
+_WIDE_SPACE = re.compile(b"\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2(?:\x80[\x80-\x8a\xa8\xa9\xaf]|\x81\x9f)|\xe3\x80\x80")
 
 
 class Encoder:
     """Encodes texts with a public tokenizer, remembering the ids of each piece between white space.
 
-    Neither tokenizer's pattern lets a token span the end of a run of letters or marks before other characters of the piece
-    pattern, so the ids of a text are those of its pieces one after another. New pieces of letters alone are encoded many at a
-    time as one text, and told apart by the vocabulary's own word marks (a word's end, or its leading blank). ``keep_space`` leaves white space in front of a piece (byte-level
-    vocabularies encode it); else it is dropped (word vocabularies ignore it). The memory holds ``memory`` pieces at most
-    and then starts anew. Special tokens' strings in a text are ordinary text.
+    A batch is cut at ASCII white space by numpy, Arrow finds its distinct pieces, and only those are looked up; ids are gathered
+    by position. Neither tokenizer's pattern lets a token span the end of a run of letters or marks before other characters, so the
+    ids of a text are those of its pieces one after another, and those of a new piece are those of its parts. New parts of letters
+    alone are encoded many at a time as one text, and told apart by the vocabulary's own word marks (a word's end, or its leading
+    blank). ``keep_space`` leaves white space in front of a piece (byte-level vocabularies encode it); else it is dropped (word
+    vocabularies ignore it). The memory holds about ``memory`` pieces and then starts anew. Strings of special tokens are read as
+    the library reads them by default, as those tokens; texts that hold one are encoded whole.
     """
 
     def __init__(self, path: str, keep_space: bool, memory: int = 1_000_000, longest: int = 64):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.pattern, self.simple = (_SPACED, _LED) if keep_space else (_WORD, _BARE)
         self.keep_space = keep_space
         names = {i: t for t, i in self.tokenizer.get_vocab().items()}
         self.edge = np.array([names.get(i, "").startswith("Ġ") if keep_space else names.get(i, "").endswith("</w>") for i in range(max(names) + 1)])
+        self.special = re.compile("|".join(re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()) or r"(?!)", re.I)
         self.known: dict[str, bytes] = {}
+        self.parts: dict[str, bytes] = {}
         self.memory, self.longest = memory, longest
 
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text, serialised little-endian in ``self.dtype``."""
-        pieces = [self.pattern.findall(t) if t else [] for t in texts]
+    def __call__(self, texts: list[str | None] | pa.Array) -> list[bytes]:
+        """The ids of each text, serialised little-endian in ``self.dtype``. Null is empty."""
+        texts = pc.fill_null(texts if isinstance(texts, pa.Array) else pa.array(texts, type=pa.string()), "")
+        raw, at = utf8(texts)
+        data = raw.tobytes()
+        odd = {int(k) for k in np.searchsorted(at, [m.start() for m in _WIDE_SPACE.finditer(data)], side="right") - 1} if _WIDE_SPACE.search(data) else set()
+        whole = {k for k in range(len(texts)) if self.special.search(texts[k].as_py())} if b"|>" in data else set()
+        out = self._gather(raw, at)
+        for k in odd - whole:
+            out[k] = b"".join(self._look_up(self.pattern.findall(texts[k].as_py())))
+        for k in whole:
+            out[k] = np.array(self.tokenizer.encode(texts[k].as_py(), add_special_tokens=False).ids, dtype=self.dtype).tobytes()
+        return out
+
+    def _gather(self, raw: np.ndarray, at: np.ndarray) -> list[bytes]:
+        """The ids of each text, cut at ASCII white space."""
+        n = len(raw)
+        if not n:
+            return [b""] * (len(at) - 1)
+        solid = ~((raw == 32) | ((raw >= 9) & (raw <= 13)))
+        edge = np.zeros(n + 1, dtype=bool)
+        edge[at] = True
+        last = solid.copy()
+        last[:-1] &= ~solid[1:] | edge[1:n]
+        if self.keep_space:  # white space and the word after it, or what ends a text
+            bounds = np.flatnonzero(np.append(False, last) | edge)
+            step = 1
+        else:  # words and the white space before them by turns
+            first = solid.copy()
+            first[1:] &= ~solid[:-1] | edge[1:n]
+            starts, ends = np.flatnonzero(first), np.flatnonzero(last) + 1
+            bounds = np.column_stack([starts, ends]).ravel()
+            step = 2
+        if len(bounds) < 2:
+            return [b""] * (len(at) - 1)
+        strings = pa.Array.from_buffers(pa.large_string(), len(bounds) - 1, [None, pa.py_buffer(bounds.astype(np.int64)), pa.py_buffer(raw)])
+        coded = strings.dictionary_encode()
+        which = coded.indices.to_numpy()[::step]
+        used = np.zeros(len(coded.dictionary), dtype=bool)
+        used[which] = True
+        ids = self._look_up(coded.dictionary.filter(pa.array(used)).to_numpy(zero_copy_only=False).tolist())
+        size = np.zeros(len(used), dtype=np.int64)
+        size[used] = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids)) // self.dtype.itemsize
+        flat = np.frombuffer(b"".join(ids), dtype=self.dtype)
+        many = size[which]
+        total = np.append(0, np.cumsum(many))
+        got = flat[np.repeat((np.cumsum(size) - size)[which] - total[:-1], many) + np.arange(total[-1])].tobytes()
+        cuts = (total[np.searchsorted(bounds[:-1:step], at)] * self.dtype.itemsize).tolist()
+        return [got[a:b] for a, b in zip(cuts, cuts[1:])]
+
+    def _look_up(self, pieces: list[str]) -> list[bytes]:
+        """The ids of each piece."""
         if len(self.known) > self.memory:
             self.known.clear()
-        known = self.known
-        new = list({p for doc in pieces for p in doc if p not in known})
+        got = [*map(self.known.get, pieces)]
+        absent = [k for k, x in enumerate(got) if x is None] if None in got else []
+        cut = [self.pattern.findall(pieces[k]) for k in absent]
+        fresh = self._encode([x for c in cut for x in c])
+        for k, c in zip(absent, cut, strict=True):
+            got[k] = fresh[c[0]] if len(c) == 1 else b"".join([fresh[x] for x in c])
+            if len(pieces[k]) <= self.longest:
+                self.known[pieces[k]] = got[k]
+        return got
+
+    def _encode(self, wanted: list[str]) -> dict[str, bytes]:
+        """The ids of parts."""
+        if len(self.parts) > self.memory:
+            self.parts.clear()
+        known = self.parts
+        new = [*{*wanted}.difference(known)]
         once: dict[str, bytes] = {}
         plain = [p for p in new if self.simple.fullmatch(p)]
         for at in range(0, len(plain), 4096):
@@ -81,14 +151,12 @@ class Encoder:
                 raise ValueError("the vocabulary does not mark its words")
             raw, bounds = ids.tobytes(), [*(starts * self.dtype.itemsize).tolist(), ids.nbytes]
             known.update(zip(part, map(raw.__getitem__, map(slice, bounds, bounds[1:])), strict=True))
-        rest = [p for p in new if p not in known]
+        rest = [p for p in new if not self.simple.fullmatch(p)]
         for at in range(0, len(rest), 4096):
             part = rest[at : at + 4096]
             for p, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                (known if len(p) <= self.longest else once)[p] = np.array(e.ids, dtype=self.dtype).tobytes()
-        if not once:
-            return [b"".join([known[p] for p in doc]) for doc in pieces]
-        return [b"".join([known[p] if p in known else once[p] for p in doc]) for doc in pieces]
+                (known if len(p) <= 32 else once)[p] = np.array(e.ids, dtype=self.dtype).tobytes()
+        return {p: once[p] if p in once else known[p] for p in wanted} if once else known
 
 
 @lru_cache(maxsize=2)
@@ -100,23 +168,24 @@ def encoder(path: str, keep_space: bool) -> Encoder:
 
 
 def train_dictionary(docs: DataFrame, path: str, keep_space: bool, end_id: int, text_col: str = "text", samples: int = 1000, sample_bytes: int = 16_384, size: int = 65_536) -> bytes:
-    """A dictionary for id arrays, from at most ``samples`` documents taken by hash; empty if there is too little to learn.
+    """A dictionary for id arrays, from the ``samples`` texts with the smallest hashes; empty if there is too little to learn.
 
-    The driver gets ``samples * sample_bytes`` bytes at most. The dictionary only sets how well the frames compress.
+    What is sampled depends on the texts alone. At most the first ``sample_bytes`` of each sampled id array reach the driver. The
+    dictionary only sets how well the frames compress.
     """
-    rows = docs.where(F.col(text_col) != "").count()
-    share = min(1.0, 2 * samples / rows) if rows else 0.0
-    hashed = F.pmod(F.xxhash64(text_col), F.lit(1 << 30))
-    chosen = docs.where((F.col(text_col) != "") & (hashed < F.lit(int(share * (1 << 30))))).select(F.col(text_col).alias("text"))
+    known = docs.where(F.col(text_col) != "").select(F.xxhash64(text_col).alias("h"), F.col(text_col).alias("text"))
+    cut_at = known.select("h").distinct().orderBy("h").limit(samples).agg(F.max("h")).first()[0]
+    chosen = known.where(F.col("h") <= F.lit(cut_at)) if cut_at is not None else known.limit(0)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(path, keep_space)
-        for batch in chunks(batches):
-            yield pa.RecordBatch.from_arrays([pa.array([ids[:sample_bytes] for ids in encode(batch.column("text").to_pylist())], type=pa.binary())], names=["ids"])
+        for batch in chunks(batches, limit=ENCODE_BYTES):
+            ids = [x[:sample_bytes] for x in encode(batch.column("text"))]
+            yield pa.RecordBatch.from_arrays([batch.column("h"), pa.array(ids, type=pa.binary())], names=["h", "ids"])
 
-    got = [bytes(r["ids"]) for r in chosen.mapInArrow(run, "ids binary").limit(samples).collect()]
+    got = chosen.mapInArrow(run, "h long, ids binary").groupBy("h").agg(F.min("ids").alias("ids")).orderBy("h").collect()
     try:
-        return zstandard.train_dictionary(size, sorted(got)).as_bytes()
+        return zstandard.train_dictionary(size, [bytes(r["ids"]) for r in got]).as_bytes()
     except zstandard.ZstdError:
         return b""
 
@@ -170,8 +239,8 @@ def write_tokens(
         to_ids = encoder(tokenizer, keep_space)
         packer = zstandard.ZstdCompressor(level=level, dict_data=zstandard.ZstdCompressionDict(words) if words else None)
         end = np.array([end_id], dtype=to_ids.dtype).tobytes()
-        for batch in chunks(batches):
-            ids = [x + end for x in to_ids(batch.column("text").to_pylist())]
+        for batch in chunks(batches, limit=ENCODE_BYTES):
+            ids = [x + end for x in to_ids(batch.column("text"))]
             key = pc.fill_null(batch.column("id"), np.iinfo(np.int64).min).to_numpy()
             part = np.searchsorted(bounds, key, side="right").astype(np.int32)
             yield pa.RecordBatch.from_arrays(

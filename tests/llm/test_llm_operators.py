@@ -105,7 +105,6 @@ def test_token_store_round_trip(spark, odd, tmp_path):
 
     path = tokenizer("word_bpe_49k.json")
     plain = Tokenizer.from_file(path)
-    plain.encode_special_tokens = True
     token_store.write_tokens(odd, str(tmp_path / "t"), path, 2)
     got = token_store.read_tokens(spark, str(tmp_path / "t"), with_ids=True).orderBy("start").collect()
     rows = sorted(((r["doc_id"], r["text"]) for r in odd.select("doc_id", "text").collect()), key=lambda r: (r[0] is not None, r[0] or 0))
@@ -134,10 +133,12 @@ def test_encoder_equals_whole_text_encoding(name, space):
     from tokenizers import Tokenizer
 
     plain = Tokenizer.from_file(tokenizer(name))
-    plain.encode_special_tokens = True
-    texts = ["a\t\n\nb  c \x1c! it's  ", "\n\n x", "naïve é   z\u0085q", "<|endoftext|> don't!!  \r\n ok", "", "  ", "A" * 300 + " b", "x\t b\t\tc\n\td \n e"]
-    encode = token_store.Encoder(tokenizer(name), space)
-    for text, raw in zip(texts, encode(texts), strict=True):
+    texts = ["a\t\n\nb  c \x1c! it's  ", "\n\n x", "naïve é   z\u0085q", "<|endoftext|> don't!!  \r\n ok", "", "  ", "A" * 300 + " b", "x\t b\t\tc\n\td \n e", "a <|EndOfText|> b<|startoftext|>", "<| endoftext |>", "a\u00a0b\u2003 c\u3000\u3000d", "\u0301e \u0301e", None]
+    encode = token_store.Encoder(tokenizer(name), space, memory=5)
+    rng = np.random.default_rng(4)
+    texts += ["".join(rng.choice([*"abcdeéß\u4e2d\U0001f600'.,;:!?-$19", " ", "  ", "\n", "\t", "\x0b", "\x1d", "\u00a0", "\u2028", "n't", "'s"], 60)) for _ in range(300)]
+    for text, raw in zip(texts * 2, [*encode(texts), *(x for t in texts for x in encode([t]))], strict=True):
+        text = text or ""
         assert np.frombuffer(raw, dtype=encode.dtype).tolist() == plain.encode(text, add_special_tokens=False).ids, repr(text)
 
 
@@ -240,10 +241,14 @@ def test_packing_holds_every_id_once(spark, odd):
     from tokenizers import Tokenizer
 
     plain = Tokenizer.from_file(tokenizer("byte_bpe_50k.json"))
-    plain.encode_special_tokens = True
-    got = packing.pack(odd, tokenizer("byte_bpe_50k.json"), 0, size=64).toPandas()
-    total = sum(len(plain.encode(r["text"] or "", add_special_tokens=False).ids) + 1 for r in odd.select("text").collect())
-    assert got["length"].sum() == total
+    docs = odd.unionByName(spark.createDataFrame([(11, "a <|endoftext|> b", None, None, None)], DOCS), allowMissingColumns=True)
+    got = packing.pack(docs, tokenizer("byte_bpe_50k.json"), 0, size=64).toPandas()
+    want = []
+    for r in docs.select("doc_id", "text").collect():
+        ids = [*plain.encode(r["text"] or "", add_special_tokens=False).ids, 0]
+        want += [(r["doc_id"], a, len(ids[a : a + 64]), zlib.crc32(np.array(ids[a : a + 64], dtype="<u4").tobytes()), len(ids)) for a in range(0, len(ids), 64)]
+    have = [(None if r[0] != r[0] else int(r[0]), *map(int, r[1:])) for r in got[["doc_id", "start", "length", "ids_crc32", "doc_tokens"]].itertuples(index=False)]
+    assert sorted(have, key=str) == sorted(want, key=str)
     for _, g in got.sort_values("offset").groupby("sequence_id"):
         assert (g["offset"] == g["length"].cumsum() - g["length"]).all() and g["length"].sum() <= 64
     assert set(got["sequence_id"]) == set(range(got["sequence_id"].max() + 1))
