@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folio.llm.store import cut, shared_dir, small_batches
+from folio.llm.store import cut, join_sized, shared_dir, small_batches
 from folio.llm.textops import chunks
 from folio.llm.url_filter import host_of
 
@@ -434,18 +434,6 @@ def merge_skeletons(kinds: DataFrame, fan_in: int = 64) -> DataFrame:
         now = cut(many.groupBy("host", part).applyInPandas(merge, "host string, skeleton string"))
 
 
-#: A table with fewer rows, each of bounded size, is sent to all tasks; a larger one is joined by shuffle.
-FEW = 20_000
-
-
-def joined(rows: DataFrame, few: DataFrame, keys: list[str], size: int, how: str = "inner", salts: int = 16) -> DataFrame:
-    """A join with a table of ``size`` rows: sent to all tasks if it is small, else salted, so that a hot host is no single task."""
-    if size <= FEW:
-        return rows.join(F.broadcast(few), keys, how)
-    spread = few.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return rows.withColumn("_salt", (F.rand(7) * salts).cast("int")).join(spread, [*keys, "_salt"], how).drop("_salt")
-
-
 def infer_wrappers(seen: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Of ``read_pages``: (host, wrapper) per host, and (host, key, keep) per skeleton with its nodes that hold main text."""
     kinds = cut(seen.groupBy("host", "key").agg(F.first("skeleton").alias("skeleton")))
@@ -458,7 +446,7 @@ def infer_wrappers(seen: DataFrame) -> tuple[DataFrame, DataFrame]:
             made = [place(from_text(s), load(w)) for s, w in zip(frame["skeleton"], frame["wrapper"], strict=True)]
             yield pd.DataFrame({"host": frame["host"], "key": frame["key"], "nodes": made})
 
-    placed = cut(joined(kinds, wrappers, ["host"], hosts).mapInPandas(match, "host string, key string, nodes array<int>"))
+    placed = cut(join_sized(kinds, wrappers, ["host"], hosts).mapInPandas(match, "host string, key string, nodes array<int>"))
     filled = seen.select("host", "key", F.explode("filled").alias("f")).groupBy("host", "key", "f.slot").agg(
         F.count("*").alias("pages"), F.sum("f.chars").alias("chars"), F.sum("f.links").alias("links"), F.min("f.hash").alias("low"), F.max("f.hash").alias("high")
     )
@@ -474,7 +462,7 @@ def infer_wrappers(seen: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     main = wrappers.join(sums, "host", "left").mapInPandas(decide, "host string, main array<int>")
     numbered = F.transform("nodes", lambda n, i: F.when(F.array_contains("main", n), i))
-    rules = joined(placed, main, ["host"], hosts).select("host", "key", F.filter(numbered, lambda i: i.isNotNull()).alias("keep"))
+    rules = join_sized(placed, main, ["host"], hosts).select("host", "key", F.filter(numbered, lambda i: i.isNotNull()).alias("keep"))
     return wrappers, rules
 
 
@@ -489,7 +477,7 @@ def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
     seen = read_pages(pages, id_col, url_col, html_col)
     _, rules = infer_wrappers(seen)
     rules = cut(rules)
-    with_rules = joined(seen.select("id", "url", "host", "key", "slots", "texts", "own"), rules, ["host", "key"], rules.count(), "left")
+    with_rules = join_sized(seen.select("id", "url", "host", "key", "slots", "texts", "own"), rules, ["host", "key"], rules.count(), "left")
     of = lambda keep: F.transform(F.filter(F.arrays_zip("slots", "texts"), lambda b: F.array_contains(keep, b["slots"])), lambda b: b["texts"])
     chosen = with_rules.withColumn("main", of(F.coalesce("keep", F.array().cast("array<int>"))))
     text = F.array_join(F.when(F.size("main") > 0, F.col("main")).otherwise(of(F.col("own"))), "\n\n")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from statistics import NormalDist
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,10 +18,16 @@ from folio.llm.pii import replace_entities
 from folio.llm.sharding import kd_shards
 from folio.llm.store import read
 from folio.llm.token_store import new_store, read_tokens, write_tokens
-from folio.llm.url_filter import judge_urls
+from folio.llm.url_filter import ADDRESS, SECOND, judge_urls
 
 RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
-PII_KEY = b"replace-me-by-a-secret"
+#: For the synthetic tables only; real data needs its own under spark.folio.pii.key.
+DEMO_KEY = b"replace-me-by-a-secret"
+
+
+def pii_key(spark: SparkSession) -> bytes:
+    named = spark.conf.get("spark.folio.pii.key", None)
+    return named.encode() if named else DEMO_KEY
 
 
 def tokenizer(name: str) -> str:
@@ -44,7 +51,7 @@ def op3_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    done = replace_entities(read(spark, sf_dir, "documents"), PII_KEY, report=True)
+    done = replace_entities(read(spark, sf_dir, "documents"), pii_key(spark), report=True)
     return done.select("doc_id", "text", "n_entities", F.array_join("entity_types", ",").alias("entity_types"))
 
 
@@ -84,5 +91,43 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     }
 
 
+_SECOND = SECOND.replace("'", "''")
+_NAME = "regexp_replace(regexp_replace(host, '^.*@', ''), ':[0-9]*$|\\.+$', '')"
+_UNDER = f"CASE WHEN regexp_matches({_NAME}, '{ADDRESS}') THEN {_NAME} ELSE array_to_string(string_split({_NAME}, '.')[-({{n}} + regexp_matches({_NAME}, '{_SECOND}')::INT):], '.') END"
+
+
+def _strength_sql(units: str, key: str) -> str:
+    """The prior's strength by parent, as in ``_strength``."""
+    return f"""(SELECT {key}, k, greatest(2.0, least(200.0, CASE WHEN v > 0 AND wi > 0 THEN wi / v - 1 ELSE 200.0 END)) AS strength, pn, pbad FROM (
+  SELECT *, (ss - pn * m * m - (k - 1) * wi) / nullif(pn - nn / pn, 0) AS v FROM (SELECT *, m * (1 - m) AS wi FROM (SELECT *, pbad / pn AS m FROM (
+    SELECT {key}, sum(n) AS pn, sum(bad) AS pbad, count(*) AS k, sum(n * (bad / n) * (bad / n)) AS ss, sum(n::DOUBLE * n) AS nn FROM {units} GROUP BY ALL)))))"""
+
+
+def _post_sql(alone: bool = True) -> str:
+    mean, weight = "(u.bad + strength * prior) / (u.n + strength)", "u.n + strength"
+    return f"CASE WHEN k = 1 THEN prior ELSE {mean} END AS mean, CASE WHEN k = 1 THEN prior_weight ELSE {weight} END AS weight" if alone else f"{mean} AS mean, {weight} AS weight"
+
+
+_RULES_SQL = " ".join(
+    f"WHEN (host = '{r.partition('/')[0]}' OR ends_with(host, '.{r.partition('/')[0]}')) AND starts_with(path, '/{r.partition('/')[2]}') THEN {{{k}}}" for k, (_, r) in sorted(enumerate(RULES), key=lambda x: -len(x[1][1]))
+)
+_Y = NormalDist().inv_cdf(0.95)
+OP6_SQL = rf"""WITH ps AS (SELECT page_id, translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
+oc AS (SELECT doc_id AS page_id, max((toxic = 1 OR quality = 0)::INT) AS bad FROM labels GROUP BY ALL),
+h0 AS (SELECT host, count(*) AS n, sum(bad)::BIGINT AS bad FROM ps JOIN oc USING (page_id) WHERE host <> '' GROUP BY ALL),
+hs AS (SELECT *, {_UNDER.format(n=2)} AS domain, {_UNDER.format(n=1)} AS suffix FROM h0),
+ds AS (SELECT suffix, domain, sum(n)::BIGINT AS n, sum(bad)::BIGINT AS bad FROM hs GROUP BY ALL), ss AS (SELECT suffix, sum(n)::BIGINT AS n, sum(bad)::BIGINT AS bad FROM ds GROUP BY ALL),
+t AS (SELECT strength, (pbad + 1) / (pn + 2) AS prior FROM {_strength_sql("ss", "1 AS one")}),
+bs AS (SELECT suffix, {_post_sql(False)} FROM ss u, t),
+bd AS (SELECT domain, {_post_sql()} FROM ds u JOIN (SELECT suffix, mean AS prior, weight AS prior_weight FROM bs) USING (suffix) JOIN {_strength_sql("ds", "suffix")} USING (suffix)),
+bh AS (SELECT host, {_post_sql()} FROM hs u JOIN (SELECT domain, mean AS prior, weight AS prior_weight FROM bd) USING (domain) JOIN {_strength_sql("hs", "domain")} USING (domain)),
+q1 AS (SELECT *, mean * weight AS a, (1 - mean) * weight AS b FROM bh),
+q2 AS (SELECT *, CASE WHEN a >= 1 AND b >= 1 THEN 2 / (1 / (2 * a - 1) + 1 / (2 * b - 1)) END AS h, ({_Y}::DOUBLE * {_Y}::DOUBLE - 3) / 6 AS lam, exp(a * ln(a / (a + b))) / a AS lo, exp(b * ln(b / (a + b))) / b AS hi FROM q1),
+kn AS (SELECT host, CASE WHEN a >= 1 AND b >= 1 THEN a / (a + b * exp(2 * ({_Y}::DOUBLE * sqrt(lam + h) / h - (1 / (2 * b - 1) - 1 / (2 * a - 1)) * (lam + 5.0::DOUBLE / 6 - 2 / (3 * h)))))
+  WHEN 0.05 < lo / (lo + hi) THEN pow(a * (lo + hi) * 0.05, 1 / a) ELSE 1 - pow(b * (lo + hi) * 0.95, 1 / b) END AS bound FROM q2)
+SELECT page_id, host, path, CASE {_RULES_SQL.format(*(f"'{r}'" for _, r in RULES))} END AS rule,
+CASE {_RULES_SQL.format(*(f"'{v}'" for v, _ in RULES))} WHEN bound > 0.5 THEN 'block' ELSE 'allow' END AS verdict FROM ps LEFT JOIN kn USING (host)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op6_url_filter": OP6_SQL}

@@ -31,10 +31,13 @@ def with_fields(df: DataFrame, **more: str) -> T.StructType:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``; a temporary one where that is unset (one machine)."""
+    """The folder all executors share: ``spark.checkpoint.dir``; a temporary one where that is unset on one machine."""
     sc = spark.sparkContext
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="folio-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="folio-"))
     return sc.getCheckpointDir()
 
 
@@ -44,6 +47,34 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: A table of at most so many rows of bounded size is sent to all tasks; a larger one is joined by shuffle.
+FEW = 20_000
+
+
+def join_sized(rows: DataFrame, few: DataFrame, keys: list[str], size: int, how: str = "inner", salts: int = 16) -> DataFrame:
+    """A join with a table of ``size`` rows, one per key: sent to all tasks if it is small, else salted, so that a hot key is no
+    single task."""
+    if size <= FEW:
+        return rows.join(F.broadcast(few), keys, how)
+    spread = few.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return rows.withColumn("_salt", F.pmod(F.monotonically_increasing_id(), F.lit(salts)).cast("int")).join(spread, [*keys, "_salt"], how).drop("_salt")
+
+
+def join_counted(rows: DataFrame, counted: DataFrame, keys: list[str], spread_by: str, n: str = "n", most: int = 2000) -> DataFrame:
+    """A join with a table of one row per key that says in ``n`` how many rows have the key.
+
+    Keys of more than ``most`` rows (or a 10,000th of all, if that is more) are dealt over several tasks by a hash of ``spread_by``. There
+    are at most 10,000 of them, so their list is sent to all tasks.
+    """
+    total = counted.agg(F.sum(n)).first()[0] or 0
+    most = max(most, -(-total // 10_000))
+    parts = F.when(F.col(n) > most, F.ceil(F.col(n) / most)).otherwise(1).cast("int")
+    hot = counted.where(F.col(n) > most).select(*keys, parts.alias("_parts"))
+    salt = F.coalesce(F.pmod(F.xxhash64(spread_by), F.col("_parts").cast("long")), F.lit(0)).cast("int")
+    dealt = rows.join(F.broadcast(hot), keys, "left").withColumn("_salt", salt).drop("_parts")
+    return dealt.join(counted.withColumn("_salt", F.explode(F.sequence(F.lit(0), parts - 1))), [*keys, "_salt"]).drop("_salt")
+
+
 def range_bounds(ids: DataFrame, col: str, rows_per_range: int = 1000, max_ranges: int = 1 << 16) -> np.ndarray:
     """Lower bounds of ranges of ``col`` that hold about ``rows_per_range`` rows each.
 
