@@ -5,6 +5,10 @@ shares at least m - q + 1 - k q of its q-grams with it, on diagonals (document p
 k of each other. So shared q-grams are counted in overlapping diagonal bands; bands that reach the bound are kept and
 verified by an alignment of the window with the band's stretch of the document. No occurrence within the budget is missed.
 Short texts are looked up exactly, on token boundaries.
+
+Frequent q-grams stay cheap without loss. A window does without up to half of the q-grams it needs, those that many windows
+have, and needs as many fewer. A run of one character is taken as a whole on both sides: its positions fill an interval of
+diagonals, and a document's position counts once for a band, so that runs cost their length over the budget, not their product.
 """
 
 from __future__ import annotations
@@ -22,6 +26,10 @@ from folio.llm.store import own_columns, small_batches, with_fields
 from folio.llm.textops import _BASE, _BASE_INV, _power, chunks, mix
 
 SEEN_BITS = 22
+#: Occurrences in the windows from which a q-gram counts as frequent.
+HOT = 512
+#: Pairs of positions that are expanded at once.
+PAIRS = 2_000_000
 #: Characters of scripts that put no blanks between words: Thai, Lao, Myanmar, Khmer, kana, Han.
 UNSPACED = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]")
 
@@ -69,6 +77,7 @@ class Probes:
     first: np.ndarray
     window_of: np.ndarray
     place_of: np.ndarray
+    last_of: np.ndarray
     q: int
     short: dict[int, tuple[np.ndarray, dict[str, list[int]]]]
 
@@ -82,7 +91,7 @@ def _goes_on(left: str, right: str) -> bool:
     return left.isalnum() and right.isalnum() and not any(UNSPACED.match(c) for c in (left, right))
 
 
-def probes(benchmark: list[tuple[int, str]], q: int, window: int, percent: int, least: int, fine: int = 0) -> Probes:
+def probes(benchmark: list[tuple[int, str]], q: int, window: int, percent: int, least: int, fine: int = 0, hot: int = HOT) -> Probes:
     items, texts = [], []
     brief: dict[int, dict[str, list[int]]] = {}
     for item, text in benchmark:
@@ -100,12 +109,77 @@ def probes(benchmark: list[tuple[int, str]], q: int, window: int, percent: int,
     if len(need) and need.min() < 1:
         raise ValueError("the edit budget leaves nothing to count; take smaller q-grams or fewer edits")
     hashed = [qgrams(codes(t), q) for t in texts]
+    sizes = [len(h) for h in hashed]
     whole = np.concatenate(hashed or [np.empty(0, dtype=np.uint64)])
-    where = np.repeat(np.arange(len(texts)), [len(h) for h in hashed]) if texts else np.empty(0, dtype=np.int64)
-    place = np.concatenate([np.arange(len(h)) for h in hashed] or [np.empty(0, dtype=np.int64)])
+    where = np.repeat(np.arange(len(texts)), sizes) if texts else np.empty(0, dtype=np.int64)
+    place = np.concatenate([np.arange(n) for n in sizes] or [np.empty(0, dtype=np.int64)])
+
+    # frequent q-grams that a window can do without
+    _, back, often = np.unique(whole, return_inverse=True, return_counts=True)
+    often = often[back] if len(whole) else np.empty(0, dtype=np.int64)
+    spare = np.zeros(len(whole), dtype=bool)
+    for w in np.unique(where[often > hot]).tolist():
+        begin = int(np.searchsorted(where, w))
+        own = np.arange(begin, begin + sizes[w])
+        frequent = own[often[own] > hot]
+        frequent = frequent[np.argsort(-often[frequent], kind="stable")][: int(need[w]) // 2]
+        spare[frequent] = True
+        need[w] -= len(frequent)
+    whole, where, place = whole[~spare], where[~spare], place[~spare]
+
+    # runs of one q-gram in a window are one entry with its first and last position
+    starts = np.ones(len(whole), dtype=bool)
+    starts[1:] = (whole[1:] != whole[:-1]) | (where[1:] != where[:-1]) | (place[1:] != place[:-1] + 1)
+    first_at = np.flatnonzero(starts)
+    last = place[np.append(first_at[1:], len(whole)) - 1] if len(whole) else place
+    whole, where, place = whole[first_at], where[first_at], place[first_at]
+
     order = np.argsort(whole, kind="stable")
     grams, first = np.unique(whole[order], return_index=True)
-    return Probes(np.array(items, dtype=np.int64), texts, budget, need, grams, np.append(first, len(whole)), where[order], place[order], q, {n: (np.unique([qgrams(codes(t), n)[0] for t in own]), own) for n, own in brief.items()})
+    short = {n: (np.unique([qgrams(codes(t), n)[0] for t in own]), own) for n, own in brief.items()}
+    return Probes(np.array(items, dtype=np.int64), texts, budget, need, grams, np.append(first, len(whole)), where[order], place[order], last[order], q, short)
+
+
+def bands(at: np.ndarray, row: np.ndarray, p: Probes, span: int) -> tuple[np.ndarray, np.ndarray]:
+    """(keys, counts): for each window and diagonal band, ``window * 2 span + band + span``, how many of the positions ``at`` with the
+    q-grams ``row`` share a q-gram with the window in that band, at the least bound that no true count exceeds."""
+    fresh = np.ones(len(at), dtype=bool)
+    fresh[1:] = (at[1:] != at[:-1] + 1) | (row[1:] != row[:-1])
+    begin = np.flatnonzero(fresh)
+    low, gram = at[begin], row[begin]
+    high = at[np.append(begin[1:], len(at)) - 1]
+    n = p.first[gram + 1] - p.first[gram]
+    stops = np.cumsum(n)
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+    done = 0
+    while done < len(gram):
+        to = max(done + 1, int(np.searchsorted(stops, (stops[done - 1] if done else 0) + PAIRS, side="right")))
+        k = n[done:to]
+        pick = np.repeat(p.first[gram[done:to]] - np.cumsum(k) + k, k) + np.arange(k.sum())
+        window, a, b = p.window_of[pick], np.repeat(low[done:to], k), np.repeat(high[done:to], k)
+        width = p.budget[window] + 1
+        # positions a..b against places c..d lie on the diagonals a - d .. b - c; a band holds two stripes of ``width`` diagonals
+        c, d = p.place_of[pick], p.last_of[pick]
+        from_, upto = (a - d) // width - 1, (b - c) // width
+        many = upto - from_ + 1
+        ends, cut = np.cumsum(many), 0
+        while cut < len(many):
+            stop = max(cut + 1, int(np.searchsorted(ends, (ends[cut - 1] if cut else 0) + PAIRS, side="right")))
+            m = many[cut:stop]
+            own = np.repeat(np.arange(cut, stop), m)
+            band = from_[own] + np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)
+            # how many of the positions a..b have a diagonal in the band, one each
+            left, right = band * width[own] + c[own], (band + 2) * width[own] - 1 + d[own]
+            count = np.minimum(b[own], right) - np.maximum(a[own], left) + 1
+            real = count > 0
+            keys, back = np.unique(window[own][real] * (2 * span) + band[real] + span, return_inverse=True)
+            held.append((keys, np.bincount(back, weights=count[real], minlength=len(keys)).astype(np.int64)))
+            cut = stop
+        done = to
+    if len(held) == 1:
+        return held[0]
+    keys, back = np.unique(np.concatenate([h[0] for h in held]), return_inverse=True)
+    return keys, np.bincount(back, weights=np.concatenate([h[1] for h in held]), minlength=len(keys)).astype(np.int64)
 
 
 def find(texts: list[str], p: Probes) -> dict[int, dict[int, int]]:
@@ -131,27 +205,26 @@ def find(texts: list[str], p: Probes) -> dict[int, dict[int, int]]:
     row = np.searchsorted(p.grams, hashed[at])
     real = p.grams[np.minimum(row, len(p.grams) - 1)] == hashed[at]
     at, row = at[real], row[real]
-    n = p.first[row + 1] - p.first[row]
-    pick = np.repeat(p.first[row] - np.cumsum(n) + n, n) + np.arange(n.sum())
-    window, diagonal = p.window_of[pick], np.repeat(at, n) - p.place_of[pick]
-    width = p.budget[window] + 1
-    band = diagonal // width
-    span = np.int64(len(chars) + 2)  # bands of one window
-    keys, counts = np.unique(np.concatenate([window * (2 * span) + band + span, window * (2 * span) + band - 1 + span]), return_counts=True)
+    if not len(at):
+        return found
+    span = len(chars) + 2  # bands of one window
+    keys, counts = bands(at, row, p, span)
+    good = counts >= p.need[keys // (2 * span)]
+    keys = keys[good]
     window, band = keys // (2 * span), keys % (2 * span) - span
-    good = counts >= p.need[window]
-    for w, b in zip(window[good].tolist(), band[good].tolist(), strict=True):
-        k, text = int(p.budget[w]), p.windows[w]
-        low, high = max(0, b * (k + 1) - k), min(len(joined), (b + 2) * (k + 1) + len(text) + k)
-        doc = min(int(np.searchsorted(ends, max(0, (b + 1) * (k + 1)) + len(text) // 2, side="right")), len(texts) - 1)  # a cut passage's middle may lie behind the last text
-        for d in {doc, min(doc + 1, len(texts) - 1), max(doc - 1, 0)}:  # a band near an edge may reach two documents
+    starts = np.flatnonzero(np.append(True, keys[1:] != keys[:-1] + 1)) if len(keys) else keys  # neighbouring bands of a window go together
+    for w, first, last in zip(window[starts].tolist(), band[starts].tolist(), band[np.append(starts[1:], len(keys)) - 1].tolist(), strict=True):
+        k, text, item = int(p.budget[w]), p.windows[w], int(p.items[w])
+        low, high = max(0, first * (k + 1) - k), min(len(joined), (last + 2) * (k + 1) + len(text) + k)
+        for d in range(int(np.searchsorted(ends, low, side="right")), len(texts)):
             lo, hi = max(low, int(ends[d] - sizes[d])), min(high, int(ends[d]) - 1)
-            if hi - lo < len(text) - k:
+            if lo >= high:
+                break
+            if hi - lo < len(text) - k or found.get(d, {}).get(item) == 0:
                 continue
             edits = 0 if text in joined[lo:hi] else infix_distance(codes(text), chars[lo:hi])
             if edits <= k:
                 own = found.setdefault(d, {})
-                item = int(p.items[w])
                 own[item] = min(edits, own.get(item, edits))
     return found
 
