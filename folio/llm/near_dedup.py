@@ -8,9 +8,9 @@ Stages, all keyed and shuffled by Spark:
 3. Star round: every member of a band bucket is held against the bucket's leader; Odd Sketches screen the pairs, the
    likeliest few per document are confirmed on full sets, and the confirmed links give first components.
 4. Cross round: in buckets that still hold several components, the members outside the largest one are held against all
-   members of other components, so no candidate is left out. Small buckets give screened and confirmed pairs. Large ones
-   (a group of near copies) are cut into blocks of bounded size on both sides; a block's full sets are compared as arrays and
-   only links come out, so no pairs are emitted.
+   members of other components, screened by their Odd Sketches and confirmed on full sets, so no candidate is left out. Small
+   buckets give screened pairs that are then confirmed. Large ones (a group of near copies) are cut into blocks of bounded size
+   on both sides; a block screens and confirms on the spot and only links come out, so no pairs are emitted.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folio.llm.components import connected_components
-from folio.llm.store import IdFilter, cut, may_hold, small_batches
+from folio.llm.store import IdFilter, cut, join_counted, may_hold, small_batches
 from folio.llm.textops import chunks, mix, shingle_sets, utf8
 
 BLOCK = 256
@@ -103,19 +103,19 @@ def full_sets(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str, shing
     return source.withColumn("slot", wanted.slot("id")).mapInArrow(run, "id long, shingles array<long>")
 
 
-def block_links(sets: DataFrame, mixed: DataFrame, percent: int, block: int) -> DataFrame:
+def block_links(sets: DataFrame, mixed: DataFrame, percent: int, block: int, limit: int) -> DataFrame:
     """Links (a, b) between members of different components of a bucket, at least one for each document and component linked.
 
-    ``mixed`` has (bucket, id, part, main, n_shingles), ``sets`` (id, shingles). Both sides of a bucket are dealt over blocks of
-    about ``block`` shingles; each pair of blocks is one group.
+    ``mixed`` has (bucket, id, part, main, n_shingles, sketch), ``sets`` (id, shingles). Both sides of a bucket are dealt over blocks
+    of about ``block`` shingles; each pair of blocks is one group. Pairs whose sketches differ in more than ``limit`` bits are out.
     """
     totals = mixed.groupBy("bucket").agg(F.sum("n_shingles").alias("all"), F.sum(F.when(F.col("part") != F.col("main"), F.col("n_shingles"))).alias("some"))
     totals = totals.select("bucket", F.ceil(F.col("all") / block).cast("int").alias("nm"), F.ceil(F.col("some") / block).cast("int").alias("nq"))
     rows = mixed.join(totals, "bucket").join(sets, "id")
     slot = lambda n: F.pmod(F.xxhash64("id", "bucket"), F.col(n).cast("long")).cast("int")
     copies = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    members = rows.select("bucket", copies("nq").alias("q"), slot("nm").alias("m"), "id", "part", "shingles", F.lit(False).alias("asks"))
-    asked = rows.where("part <> main").select("bucket", slot("nq").alias("q"), copies("nm").alias("m"), "id", "part", "shingles", F.lit(True).alias("asks"))
+    members = rows.select("bucket", copies("nq").alias("q"), slot("nm").alias("m"), "id", "part", "sketch", "shingles", F.lit(False).alias("asks"))
+    asked = rows.where("part <> main").select("bucket", slot("nq").alias("q"), copies("nm").alias("m"), "id", "part", "sketch", "shingles", F.lit(True).alias("asks"))
 
     def compare(group: pd.DataFrame) -> pd.DataFrame:
         left, right = group[group["asks"]], group[~group["asks"]]
@@ -124,13 +124,19 @@ def block_links(sets: DataFrame, mixed: DataFrame, percent: int, block: int) ->
             sizes = right["shingles"].map(len).to_numpy()
             starts = np.cumsum(sizes) - sizes
             known, place = np.unique(np.concatenate(right["shingles"].to_list()), return_inverse=True)
-            ids, parts = right["id"].to_numpy(), right["part"].to_numpy()
-            for i, part, own in zip(left["id"], left["part"], left["shingles"], strict=True):
+            ids, parts, sketches = right["id"].to_numpy(), right["part"].to_numpy(), np.stack(right["sketch"].to_list()).view(np.uint64)
+            for i, part, own, sketch in zip(left["id"], left["part"], left["shingles"], left["sketch"], strict=True):
+                near = np.flatnonzero((np.bitwise_count(sketches ^ sketch.view(np.uint64)).sum(axis=1) <= limit) & (parts != part))
+                if not len(near):
+                    continue
                 at = np.minimum(np.searchsorted(known, own), len(known) - 1)
                 has = np.zeros(len(known), dtype=np.int64)
                 has[at[known[at] == own]] = 1
-                both = np.add.reduceat(has[place], starts)
-                linked = np.flatnonzero((100 * both >= percent * (len(own) + sizes - both)) & (parts != part))
+                if 4 * len(near) < len(ids):
+                    both = np.array([has[place[starts[k] : starts[k] + sizes[k]]].sum() for k in near.tolist()])
+                else:
+                    both = np.add.reduceat(has[place], starts)[near]
+                linked = near[100 * both >= percent * (len(own) + sizes[near] - both)]
                 out += [(i, ids[linked[k]]) for k in np.unique(parts[linked], return_index=True)[1]]
         return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
@@ -154,7 +160,8 @@ def near_duplicates(
     """Near-duplicate class of every row: (id_col, n_shingles, component_id, kept).
 
     Two documents are linked when ``100 * intersection >= percent * union`` of their sets of word shingles; the links are
-    confirmed on the full sets. ``component_id`` is the smallest id that links reach; ``kept`` marks it. With the default
+    confirmed on the full sets. Buckets of more than ``large_bucket`` members are compared in blocks instead of pairs, with the
+    same screen and the same links. ``component_id`` is the smallest id that links reach; ``kept`` marks it. With the default
     40 bands of 6 rows a pair at 80 % is missed by all bands with probability 5e-6.
 
     Null or empty texts and texts without words have no shingles and are linked with nothing; a text with fewer words than
@@ -171,8 +178,9 @@ def near_duplicates(
     sketches = firsts.select("id", "sketch").dropDuplicates(["id"])
 
     keyed = firsts.select("id", F.explode("bands").alias("bucket"))
-    leaders = keyed.groupBy("bucket").agg(F.min(F.struct(F.xxhash64("id", "bucket"), "id"))["id"].alias("leader"), F.max("id").alias("top"), F.min("id").alias("low"))
-    members = cut(keyed.join(leaders.where("low < top").select("bucket", "leader"), "bucket"))
+    leaders = keyed.groupBy("bucket").agg(F.min(F.struct(F.xxhash64("id", "bucket"), "id"))["id"].alias("leader"), F.max("id").alias("top"), F.min("id").alias("low"), F.count("*").alias("n"))
+    shared = cut(leaders.where("low < top").select("bucket", "leader", "n"))
+    members = cut(join_counted(keyed, shared, ["bucket"], "id").select("bucket", "id", "leader"))
 
     def screened(pairs: DataFrame) -> DataFrame:
         a, b = (sketches.select(F.col("id").alias(x), F.col("sketch").alias(f"s{x}")) for x in "ab")
@@ -196,7 +204,7 @@ def near_duplicates(
     placed = members.join(found, members["id"] == found["node"], "left").select("bucket", "id", F.coalesce("component", "id").alias("part"))
     parts = placed.groupBy("bucket", "part").count()
     split = parts.groupBy("bucket").agg(F.max_by("part", F.struct("count", "part")).alias("main"), F.count("*").alias("n"), F.sum("count").alias("size")).where("n > 1")
-    mixed = cut(placed.join(split.select("bucket", "main", "size"), "bucket"))
+    mixed = cut(join_counted(placed, cut(split.select("bucket", "main", "size")), ["bucket"], "id", "size"))
     small, large = mixed.where(F.col("size") <= large_bucket), mixed.where(F.col("size") > large_bucket)
     one, other = small.where("part <> main").alias("x"), small.alias("y")
     apart = F.expr("x.bucket = y.bucket AND x.part <> y.part AND (y.part = y.main OR x.id < y.id)")
@@ -205,9 +213,9 @@ def near_duplicates(
     late = cut(screened(cross.join(tested, ["a", "b"], "left_anti")).select("a", "b"))
     more = confirmed(late)
     if not large.isEmpty():
-        sizes = firsts.select("id", "n_shingles").dropDuplicates(["id"])
+        sizes = firsts.select("id", "n_shingles", "sketch").dropDuplicates(["id"])
         sets = cut(full_sets(docs, large.select("id"), id_col, text_col, shingle).dropDuplicates(["id"]))
-        more = more.union(block_links(sets, large.join(sizes, "id"), percent, block))
+        more = more.union(block_links(sets, large.join(sizes, "id"), percent, block, limit))
 
     final = connected_components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).where("a <> b").union(more))
     named = classes.join(final, classes["rep"] == final["node"], "left").select("set_key", F.coalesce("component", "rep").alias("class"))
