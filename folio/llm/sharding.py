@@ -1,10 +1,12 @@
 """K-d tree partitioning of documents into shards of near-equal bytes, with DataFrame operations only.
 
-Each group of equal texts is one point: its coordinates are the metadata of its first document, its weight the bytes of all
-its copies. The tree starts with one node that owns all shards. A node that owns several splits at the weighted median (for
-an odd number: at the weighted quantile) along the dimension in which it is widest, until every leaf owns one shard. The
-medians are found by radix selection on per-node histograms: each round sums the weights of at most 4096 bins per node, so
-what is gathered has a fixed size while the sums run as partial aggregates over all partitions.
+Each group of equal texts is one point: in each dimension it stands at the smallest of its documents' values, its weight is the
+bytes of all its copies. The tree starts with one node that owns all shards. A node that owns several splits at the weighted
+median (for an odd number: at the weighted quantile) along the dimension in which it is widest, until every leaf owns one shard.
+The medians are found by radix selection on per-node histograms: each round sums the weights of at most 4096 bins per node, so
+what is gathered has a fixed size while the sums run as partial aggregates over all partitions. Points of more than a sixteenth
+of a shard (there are at most sixteen times as many as shards) are dealt to the two sides one by one, in their order along the
+dimension and in proportion, and the cut through the other points makes up for them.
 """
 
 from __future__ import annotations
@@ -14,7 +16,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from folio.llm.store import cut
+from folio.llm.store import cut, join_counted
 
 #: A dimension's coordinate has 20 bits; 40 more bits of hash order equal coordinates.
 COORD_BITS, TIE_BITS, RADIX_BITS = 20, 40, 12
@@ -43,9 +45,11 @@ def kd_shards(
     """Every row with its shard: (id_col, size, text_crc32, shard, slot).
 
     ``size`` is the UTF-8 length of the text plus ``overhead``. Shards get near-equal bytes. Equal texts (null counts as
-    empty) share a shard, unless their group holds over a quarter of a shard's share of the bytes: such a group is dealt over
-    points of a sixteenth of a share by a hash of the id, as no even law could hold with it whole. ``slot`` numbers a shard's rows without gaps from 0. String dimensions are placed by hash, so that few values still
-    spread; nulls in a dimension are at its low end. Repeated rows each take a slot. An empty table gives an empty result;
+    empty) share a shard, unless their group holds more bytes than a shard's share: such a group is dealt over points of about a
+    quarter of a share by a hash of the id, as no even law could hold with it whole. ``slot`` numbers a shard's rows without gaps
+    from 0, by hash slice and then id; rows that are the same take any of their slots. String dimensions are placed by hash, so that
+    few values still spread; nulls in a dimension are at its low end. Points at the same place are told apart by a hash of the text.
+    Repeated rows each take a slot. An empty table gives an empty result;
     columns that are not named here are not read, and a dimension that the table lacks is left out.
     """
     kinds = dict(docs.dtypes)
@@ -60,23 +64,37 @@ def kd_shards(
     groups = cut(rows.groupBy("key").agg(F.sum("size").alias("bytes"), F.count("*").alias("copies"), *(F.min(d).alias(d) for d in places)))
     known = groups.agg(F.sum("bytes").alias("bytes"), *(F.min(d).alias(f"lo_{d}") for d in places), *(F.max(d).alias(f"hi_{d}") for d in places)).first()
     share = max(1, (known["bytes"] or 0) // shards)
-    pieces = F.least(F.col("copies"), F.ceil(16 * F.col("bytes") / F.lit(share)))
-    parts = F.when(4 * F.col("bytes") <= share, 1).otherwise(pieces).cast("int").alias("parts")
+    pieces = F.least(F.col("copies"), F.ceil(4 * F.col("bytes") / F.lit(share)))
+    parts = F.when(F.col("bytes") <= share, 1).otherwise(pieces).cast("int").alias("parts")
     scale = [_scaled(F.col(d), F.lit(known[f"lo_{d}"]).cast("double"), F.lit(known[f"hi_{d}"]).cast("double")).alias(d) for d in places]
     tie = F.pmod(F.xxhash64("key", "part"), F.lit(1 << TIE_BITS)).alias("tie")
-    points = groups.select("key", "bytes", parts, *scale).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    points = cut(points.select("key", "part", "parts", (F.col("bytes") / F.col("parts")).alias("w"), *places, tie, F.lit(0).alias("node")))
+    every = groups.select("key", "bytes", "copies", parts, *scale).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    every = cut(every.select("key", "part", "parts", "copies", (F.col("bytes") / F.col("parts")).alias("w"), *places, tie, F.lit(0).alias("node")))
+    is_heavy = F.col("w") > share / 16
+    heavy = [r.asDict() for r in every.where(is_heavy).collect()]  # at most 16 a shard, by weight
+    points = every.where(~is_heavy)
 
     owned = {0: shards}  # first shard of a node -> shards it owns
-    while True:
-        wide = points.groupBy("node").agg(F.sum("w").alias("w"), *((F.max(d) - F.min(d)).alias(d) for d in places)).collect()
-        todo = {r["node"]: r for r in wide if owned[r["node"]] > 1}
-        if not todo:
-            break
-        along = {k: max(range(len(places)), key=lambda i: (r[places[i]], -i)) if places else 0 for k, r in todo.items()}
+    while any(n > 1 for n in owned.values()):
+        todo = [k for k, n in owned.items() if n > 1]
+        light = {r["node"]: r for r in points.groupBy("node").agg(F.sum("w").alias("w"), *(F.struct(F.min(d), F.max(d)).alias(d) for d in places)).collect()}
+        along, goal, sides = {}, {}, {}
+        for k in todo:
+            own = [h for h in heavy if h["node"] == k]
+            reach = [[*(light[k][d] if k in light else ()), *(h[d] for h in own)] or [0] for d in places]
+            along[k] = max(range(len(places)), key=lambda i: (max(reach[i]) - min(reach[i]), -i)) if places else 0
+            share_left = (owned[k] // 2) / owned[k]
+            rest = light[k]["w"] if k in light else 0.0
+            room, left = sum(h["w"] for h in own) * share_left, 0.0
+            sides[k] = []
+            for h in sorted(own, key=lambda h: ((h[places[along[k]]] if places else 0), h["tie"])):
+                if left + h["w"] <= room * (1 + 1e-9):
+                    left += h["w"]
+                else:
+                    sides[k].append(h)
+            goal[k] = min(rest, max(0.0, (rest + sum(h["w"] for h in own)) * share_left - left))
         value = _pick(F.col("node"), {k: F.col(places[i]) for k, i in along.items()}, F.lit(0).cast("long")) if places else F.lit(0).cast("long")
-        at = points.where(F.col("node").isin(list(todo))).select("node", "w", F.shiftleft(value, TIE_BITS).bitwiseOR(F.col("tie")).alias("sort"))
-        goal = {k: r["w"] * (owned[k] // 2) / owned[k] for k, r in todo.items()}
+        at = points.where(F.col("node").isin(todo)).select("node", "w", F.shiftleft(value, TIE_BITS).bitwiseOR(F.col("tie")).alias("sort"))
         start, passed = {k: 0 for k in todo}, {k: 0.0 for k in todo}
         for shift in range(COORD_BITS + TIE_BITS - RADIX_BITS, -1, -RADIX_BITS):
             inside = _pick(F.col("node"), {k: F.lit(v) for k, v in start.items()}, F.lit(-1)).cast("long")
@@ -85,7 +103,7 @@ def kd_shards(
             before = F.sum("w").over(Window.partitionBy("node").orderBy("bin")) - F.col("w")
             left = _pick(F.col("node"), {k: F.lit(goal[k] - passed[k]) for k in todo}, F.lit(0.0))
             hits = bins.withColumn("before", before).where(F.col("before") <= left).groupBy("node").agg(F.max_by(F.struct("bin", "before", "w"), "bin").alias("hit")).collect()
-            last = max(r["hit"]["w"] for r in hits) <= share * fine or shift == 0
+            last = shift == 0 or all(r["hit"]["w"] <= share * fine for r in hits)
             for r in hits:
                 start[r["node"]] = r["hit"]["bin"] << shift
                 passed[r["node"]] += r["hit"]["before"]
@@ -97,16 +115,20 @@ def kd_shards(
         for k in todo:
             half = owned[k] // 2
             split[k] = (places[along[k]] if places else None, start[k], k + half)
+            for h in sides[k]:
+                h["node"] = k + half
             owned[k + half] = owned[k] - half
             owned[k] = half
         place = {k: (F.shiftleft(F.col(d), TIE_BITS) if d else F.lit(0).cast("long")).bitwiseOR(F.col("tie")) for k, (d, _, _) in split.items()}
         right = {k: F.when(place[k] >= F.lit(start), F.lit(new)).otherwise(F.col("node")) for k, (_, start, new) in split.items()}
         points = cut(points.withColumn("node", _pick(F.col("node"), right, F.col("node"))))
 
-    leaf = points.select("key", "part", "parts", F.col("node").alias("shard"))
-    counted = leaf.groupBy("key").agg(F.first("parts").alias("parts"), F.array_sort(F.collect_list(F.struct("part", "shard"))).alias("spots"))
+    fields = ["key", "part", "parts", "copies", "node"]
+    points = points.select(*fields).union(docs.sparkSession.createDataFrame([tuple(h[c] for c in fields) for h in heavy], "key string, part int, parts int, copies long, node int"))
+    spots = F.array_sort(F.collect_list(F.struct("part", F.col("node").alias("shard")))).alias("spots")
+    leaf = cut(points.groupBy("key").agg(F.first("parts").alias("parts"), F.first("copies").alias("n"), spots))
     spot = F.pmod(F.xxhash64("id"), F.col("parts").cast("long")).cast("int")
-    dealt = rows.select("id", "size", "text_crc32", "key").join(counted, "key").select("id", "size", "text_crc32", F.col("spots")[spot]["shard"].cast("int").alias("shard"))
+    dealt = join_counted(rows.select("id", "size", "text_crc32", "key"), leaf, ["key"], "id").select("id", "size", "text_crc32", F.col("spots")[spot]["shard"].cast("int").alias("shard"))
     n = groups.count()
     slices = max(16, n // (shards * rows_per_slice))
     dealt = cut(dealt.withColumn("slice", F.pmod(F.xxhash64("id", "text_crc32"), F.lit(slices))))
