@@ -127,21 +127,21 @@ def build(languages: list[str], counts: list[tuple[np.ndarray, np.ndarray]]) ->
     return lower
 
 
-def fit(docs: DataFrame, trains: Column, text_col: str = "text", lang_col: str = "lang", sample: int = 500, contexts: int = 1 << 18, max_languages: int = 200) -> Model:
+def fit(docs: DataFrame, trains: Column, text_col: str = "text", lang_col: str = "lang", sample: int = 500) -> Model:
     """Statistics from about ``sample`` documents of each language, drawn by a hash of the text among those that ``trains`` picks.
 
-    The sample is a bound on fitting only: at most ``contexts`` four-byte numbers per language, the most frequent ones, of the
-    ``max_languages`` most frequent languages reach the driver. Counting runs on Spark. Texts are taken whole.
+    The sample is a bound on fitting only, and the only one: every language that occurs is learned, and all of the sampled texts'
+    four-byte numbers count. Counting runs on Spark; the driver gets one row per language and distinct number of the sample.
     """
     small_batches(docs.sparkSession)
     rows = docs.where(trains & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
-    sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages).collect()}
+    sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
     languages = sorted(sizes)
     if not languages:
         return build([], [])
     number = F.array_position(F.array(*map(F.lit, languages)), F.col("lang")) - 1
     most = F.array(*(F.lit(int(min(1.0, sample / sizes[x]) * (1 << 30))) for x in languages))
-    drawn = rows.withColumn("k", number).where("k >= 0").where(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) <= most[F.col("k").cast("int")])
+    drawn = rows.withColumn("k", number).where(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) <= most[F.col("k").cast("int")])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches):
@@ -152,7 +152,7 @@ def fit(docs: DataFrame, trains: Column, text_col: str = "text", lang_col: str =
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), k, dtype=np.int64)), pa.array(keys.astype(np.int64)), pa.array(n)], names=["k", "gram", "n"])
 
     counted = drawn.select("k", "text").mapInArrow(count, "k long, gram long, n long").groupBy("k", "gram").agg(F.sum("n").alias("n"))
-    whole = counted.orderBy(F.desc("n"), "gram", "k").limit(contexts * len(languages)).toPandas()
+    whole = counted.toPandas()
     counts = [whole[whole["k"] == k] for k in range(len(languages))]
     return build(languages, [(c["gram"].to_numpy(dtype=np.int64).astype(np.uint32), c["n"].to_numpy(dtype=np.float64)) for c in counts])
 
@@ -161,8 +161,8 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """``docs`` with lang_pred, score and bits_per_byte.
 
     ``score`` is the share of the best language in the sum of all languages' ``2 ** -(bits per byte)`` (0 to 1). A null text,
-    one without a letter, or any text when no language was learned gets ``und``, score 0 and null bits. Rows and columns stay
-    as they are; columns of these names are replaced.
+    one without a letter, or any text when no language was learned gets ``und``, score 0 and null bits. Of languages with equal
+    code lengths the first by name wins. Rows, repeated ones too, and columns stay as they are; columns of these names are replaced.
     """
     small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
