@@ -3,11 +3,13 @@
 Labelled outcomes of pages (bad or not) are counted by host. The rate of a suffix is shrunk towards the rate of all pages, a
 registered domain's towards its suffix's, a host's towards its domain's: each level's posterior mean is the mean of the beta
 prior of the level below, whose strength is the moment estimate of how much rates differ between that level's units. A page
-is blocked when even the lower posterior bound of its host's bad rate exceeds the cut-off.
+is blocked when even the lower posterior bound of its host's bad rate, a quantile of its beta posterior, exceeds the cut-off.
 """
 
 from __future__ import annotations
 
+from statistics import NormalDist
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,12 +25,42 @@ def path_of(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(url, r"(?s)^.*?://[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
+# Second labels under which country domains are registered.
+SECOND_LEVEL = "ac asn biz co com edu firm gen go gob gouv gov gv id ind info ltd me mil ne net nhs nic nom or org plc police sch web".split()
+SECOND = rf"(^|\.)({'|'.join(SECOND_LEVEL)})\.[a-z][a-z]$"
+ADDRESS = r"^[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+$|^\["
+
+
+def bare_host(host: Column) -> Column:
+    """The host without user, port and closing dots."""
+    return F.regexp_replace(F.regexp_replace(host, "^.*@", ""), r":[0-9]*$|\.+$", "")
+
+
 def suffix_of(host: Column) -> Column:
-    return F.substring_index(host, ".", -1)
+    """What domains are registered under: the last label, or two of a country that registers under second labels; an address has
+    none but itself."""
+    name = bare_host(host)
+    return F.when(name.rlike(ADDRESS), name).when(name.rlike(SECOND), F.substring_index(name, ".", -2)).otherwise(F.substring_index(name, ".", -1))
 
 
 def domain_of(host: Column) -> Column:
-    return F.substring_index(host, ".", -2)
+    """The registered domain: the suffix and the label before it."""
+    name = bare_host(host)
+    return F.when(name.rlike(ADDRESS), name).when(name.rlike(SECOND), F.substring_index(name, ".", -3)).otherwise(F.substring_index(name, ".", -2))
+
+
+def beta_quantile(mean: Column, weight: Column, p: float) -> Column:
+    """The lower quantile of a beta distribution with this mean and weight (both parameters together), by the usual closed
+    approximations: Abramowitz and Stegun 26.5.22 where both parameters are 1 or more (right to 0.01), else the two power-law tails (right to 0.06)."""
+    a, b = mean * weight, (1 - mean) * weight
+    y = F.lit(NormalDist().inv_cdf(1 - p))
+    lam = (y * y - 3) / 6
+    h = 2 / (1 / (2 * a - 1) + 1 / (2 * b - 1))
+    w = y * F.sqrt(lam + h) / h - (1 / (2 * b - 1) - 1 / (2 * a - 1)) * (lam + F.lit(5 / 6) - 2 / (3 * h))
+    low, high = F.exp(a * F.log(a / (a + b))) / a, F.exp(b * F.log(b / (a + b))) / b
+    whole = low + high
+    tails = F.when(F.lit(p) < low / whole, F.pow(a * whole * F.lit(p), 1 / a)).otherwise(1 - F.pow(b * whole * F.lit(1 - p), 1 / b))
+    return F.when((a >= 1) & (b >= 1), a / (a + b * F.exp(2 * w))).when((a > 0) & (b > 0), tails).otherwise(mean)
 
 
 def rule_for(host: Column, path: Column, rules: list[tuple[str, str]]) -> tuple[Column, Column]:
@@ -56,10 +88,10 @@ def _strength(units: DataFrame, keys: list[str], low: float, high: float) -> Dat
     return got.select(*keys, "pn", "pbad", "k", F.greatest(F.lit(low), F.least(F.lit(high), strength)).alias("strength"))
 
 
-def host_reputation(pages: DataFrame, outcomes: DataFrame, id_col: str = "page_id", z: float = 1.645, low: float = 2.0, high: float = 200.0) -> DataFrame:
+def host_reputation(pages: DataFrame, outcomes: DataFrame, id_col: str = "page_id", p: float = 0.05, low: float = 2.0, high: float = 200.0) -> DataFrame:
     """(host, n, bad, mean, bound) of every host with a labelled page.
 
-    ``pages`` has (id_col, host), ``outcomes`` (id_col, bad 0/1). ``bound`` is the mean less ``z`` posterior standard deviations.
+    ``pages`` has (id_col, host), ``outcomes`` (id_col, bad 0/1). ``bound`` is the posterior's quantile of probability ``p``.
     The counts are pre-aggregated, so a hot host costs one row per task. Null outcomes and rows without a host do not count.
     """
     seen = pages.where("host <> ''").join(outcomes.where("bad IS NOT NULL").groupBy(id_col).agg(F.max("bad").alias("bad")), id_col)
@@ -78,21 +110,21 @@ def host_reputation(pages: DataFrame, outcomes: DataFrame, id_col: str = "page_i
     by_domain = domains.join(up, "suffix").select("domain", mean.alias("prior"), weight.alias("prior_weight"))
     up = by_domain.join(_strength(hosts, ["domain"], low, high).select("domain", "strength", "k"), "domain")
     by_host = hosts.join(up, "domain").withColumns({"mean": mean, "weight": weight})
-    spread = F.sqrt(F.col("mean") * (1 - F.col("mean")) / (F.col("weight") + 1))
-    return by_host.select("host", "n", "bad", "mean", (F.col("mean") - F.lit(z) * spread).alias("bound"))
+    return by_host.select("host", "n", "bad", "mean", beta_quantile(F.col("mean"), F.col("weight"), p).alias("bound"))
 
 
 def judge_urls(
-    pages: DataFrame, outcomes: DataFrame, rules: list[tuple[str, str]], id_col: str = "page_id", url_col: str = "url", cut_off: float = 0.5, z: float = 1.645
+    pages: DataFrame, outcomes: DataFrame, rules: list[tuple[str, str]], id_col: str = "page_id", url_col: str = "url", cut_off: float = 0.5, p: float = 0.05
 ) -> DataFrame:
     """Every row's (id_col, host, path, rule, verdict, bad_rate, bound).
 
-    The longest fitting rule decides; else a host whose posterior lower bound of the bad rate exceeds ``cut_off`` is blocked.
+    The longest fitting rule decides (of rules of one length the last given); else a host whose posterior lower bound of the bad rate exceeds ``cut_off`` is blocked.
     A null url or one without ``://`` has empty host and path, no rule, and is allowed. A host without outcomes is allowed and
-    has null rates. Repeated rows are judged each. Empty tables are fine; other columns are not read.
+    has null rates. Repeated rows are judged each; a page's outcomes count once, the bad one first. Pages without an id count for no
+    host. An address is its own domain; ports and users belong to no domain. Empty tables are fine; other columns are not read.
     """
     parsed = pages.select(F.col(id_col).alias("id"), host_of(F.col(url_col)).alias("host"), path_of(F.col(url_col)).alias("path"))
-    known = host_reputation(parsed.where("id IS NOT NULL"), outcomes.select(F.col(id_col).alias("id"), "bad"), "id", z)
+    known = host_reputation(parsed.where("id IS NOT NULL"), outcomes.select(F.col(id_col).alias("id"), "bad"), "id", p)
     rule, verdict = rule_for(F.col("host"), F.col("path"), rules)
     method = F.when(F.col("bound") > cut_off, "block").otherwise("allow")
     return parsed.join(known.select("host", F.col("mean").alias("bad_rate"), "bound"), "host", "left").select(
