@@ -5,6 +5,7 @@ import pytest
 pytest.importorskip("folio.llm")
 
 from folio.llm import html_extract as H
+from folio.llm import store
 from folio.llm.url_filter import host_of
 
 PAGE = """<!DOCTYPE html><html><head><title>T &amp; U</title><style>p{}</style><script>var t="</p>";</script></head><body><div id="cookie-notice">We use cookies</div>
@@ -43,7 +44,7 @@ def extract(spark, rows):
 
 @pytest.mark.parametrize("few", [20_000, 0])
 def test_equals_memory_on_all_pages(spark, data, monkeypatch, few):
-    monkeypatch.setattr(H, "FEW", few)  # 0: joins by shuffle
+    monkeypatch.setattr(store, "FEW", few)  # 0: joins by shuffle
     pages = spark.read.parquet(f"{data}/pages.parquet")
     want = {}
     for _, rows in pages.withColumn("host", host_of(pages["url"])).toPandas().groupby("host"):

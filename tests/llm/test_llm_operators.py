@@ -7,10 +7,11 @@ from itertools import combinations
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 pytest.importorskip("folio.llm")
 
-from folio.llm import decontaminate, fingerprint, lang_id, near_dedup, packing, pii, sharding, token_store, url_filter
+from folio.llm import decontaminate, fingerprint, lang_id, near_dedup, packing, pii, sharding, store, token_store, url_filter
 from folio.llm.components import connected_components
 from folio.llm.queries import RULES, tokenizer
 
@@ -193,10 +194,57 @@ def test_pii_finds_cards_and_ibans_before_more_digits_or_words():
 
 
 def test_pii_collisions_are_drawn_anew(spark):
-    values = [("ip", f"{a}.{b}.1.1") for a in range(1, 10) for b in range(1, 10)] + [("family-latin", f"name{i}") for i in range(200)]
-    got = pii.assign(spark.createDataFrame(values, "kind string, value string"), b"k").collect()
-    assert len(got) == len(values) and len({(r["kind"], r["surrogate"]) for r in got}) == len(values)
-    assert not {(r["kind"], r["surrogate"]) for r in got} & set(values)
+    values = [("ip", f"{a}.{b}.1.1") for a in range(1, 10) for b in range(1, 10)] + [("family-latin", f"name{i}") for i in range(200)] + [("secret", f"-------{i}") for i in range(10)]
+    later = {(r["kind"], r["value"]): r["attempt"] for r in pii.assign(spark.createDataFrame(values * 2, "kind string, value string"), b"k").collect()}
+    made = {(k, pii.surrogate(b"k", k, v, later.get((k, v), 0))) for k, v in values}
+    assert len(made) == len(values) and not made & set(values) and later and set(later) < set(values)
+
+
+def test_pii_equals_a_plain_version(spark, data, odd, monkeypatch):
+    """All texts of the table against detection and drawing in memory; spans, types and surrogates; joined either way."""
+    docs = spark.read.parquet(f"{data}/documents.parquet")
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    found = {d: pii.detect(t) for d, t in texts.items()}
+    values = sorted({(k, v) for f in found.values() for _, _, k, v in f})
+    chosen, attempt, left = {}, 0, values
+    while left:
+        drawn = {}
+        for k, v in left:
+            drawn.setdefault((k, pii.surrogate(b"k", k, v, attempt)), []).append(v)
+        for (k, s), vs in drawn.items():
+            if (k, s) not in set(values) and (k, s) not in {(k2, s2) for (k2, _), s2 in chosen.items()}:
+                chosen[k, min(vs)] = s
+        left, attempt = [x for x in left if x not in chosen], attempt + 1
+    want = {}
+    for d, t in texts.items():
+        for a, b, k, v in reversed(found[d]):
+            t = t[:a] + pii.fit(k, chosen[k, v], t[a:b]) + t[b:]
+        want[d] = t
+    for few in (20_000, -1):
+        monkeypatch.setattr(store, "FEW", few)
+        got = pii.replace_entities(docs, b"k", report=True).collect()
+        assert {r["doc_id"]: r["text"] for r in got} == want
+        assert {r["doc_id"]: (r["n_entities"], list(r["entity_types"])) for r in got} == {d: (len(f), sorted({x[2] for x in f})) for d, f in found.items()}
+    again = pii.replace_entities(odd.unionByName(odd), b"k")
+    assert again.count() == 22 and again.columns == odd.columns and pii.replace_entities(empty(spark), b"k").count() == 0
+    long = spark.createDataFrame([(1, "x " * 200_000 + "Mr. Smith " + "a@b.org " * 1000)], "doc_id long, text string")
+    assert pii.replace_entities(long, b"k", report=True).first()["n_entities"] == 1001
+
+
+def test_pii_persons_and_scripts(spark):
+    texts = [
+        "Dr. Alice Brown and Bob Stone met", "Frau Παπαδοπούλου kam", "Господин Орлов и Анна Петрова", "Prof. Dr. Klaus Weber, Petra Klein und Jens Holm", "Señora María López y Juan Pérez", "Sir Walter Scott, Lady Anne Grey",
+        "Mr. 山田 太郎", "In Paris the Maria of old", "Alice went home", "Thomas Müller wohnt hier",
+    ]
+    names = [[t[a:b] for a, b, _, _ in pii.detect(t)] for t in texts]
+    assert names == [["Alice", "Brown", "Bob", "Stone"], ["Παπαδοπούλου"], ["Орлов", "Анна", "Петрова"], ["Klaus", "Weber", "Petra", "Klein", "Jens", "Holm"], ["María", "López", "Juan", "Pérez"], ["Walter", "Scott", "Anne", "Grey"], ["山田", "太郎"], [], [], ["Thomas", "Müller"]]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    assert {r["doc_id"] for r in docs.where(docs["text"].rlike(pii.HINT)).collect()} == {k for k, n in enumerate(names) if n}
+    got = {r["doc_id"]: r["text"] for r in pii.replace_entities(docs, b"k").collect()}
+    for k, text in enumerate(texts):
+        for old, new in zip(re.findall(r"\w+", text), re.findall(r"\w+", got[k]), strict=True):
+            assert pii.script_of(old) == pii.script_of(new) and (old != new) == (old in names[k])
+    assert got[0].split()[1] in pii.GIVEN["latin", "f"] and got[0].split()[4] in pii.GIVEN["latin", "m"] and got[1].split()[1] in pii.FAMILY["greek"]
 
 
 def test_kd_shards_balance_and_number(spark, data, odd):
@@ -237,6 +285,48 @@ def test_bad_hosts_are_blocked_and_small_samples_shrunk(spark):
     assert got == {"bad.net": "block", "good.net": "allow", "once.net": "allow"}
 
 
+def test_url_domains(spark):
+    rows = [("a.co.uk", "co.uk", "a.co.uk"), ("www.b.co.uk", "co.uk", "b.co.uk"), ("x.y.com", "com", "y.com"), ("127.0.0.1:80", "127.0.0.1", "127.0.0.1"), ("me@h.org:8080", "org", "h.org"), ("[::1]:80", "[::1]", "[::1]"), ("localhost", "localhost", "localhost"), ("co.uk", "co.uk", "co.uk"), ("a.com.au.", "com.au", "a.com.au")]
+    got = spark.createDataFrame([r[:1] for r in rows], "host string").selectExpr("host").select("host", url_filter.suffix_of(F.col("host")), url_filter.domain_of(F.col("host"))).collect()
+    assert [tuple(r) for r in got] == rows
+    pages = [(i, f"http://x{i % 9}.bad.co.uk/{i}") for i in range(60)] + [(100, "http://innocent.co.uk/")] + [(200 + i, f"http://fine{i}.com/") for i in range(60)]
+    bad = [(i, 1) for i in range(60)] + [(100, 0)] + [(200 + i, 0) for i in range(60)]
+    made = {r["host"]: r for r in url_filter.judge_urls(spark.createDataFrame(pages, "page_id long, url string"), spark.createDataFrame(bad, "page_id long, bad int"), []).collect()}
+    assert made["x1.bad.co.uk"]["verdict"] == "block" and made["innocent.co.uk"]["verdict"] == "allow" and made["innocent.co.uk"]["bound"] < 0.3
+
+
+def test_url_bound_is_a_beta_quantile(spark):
+    rng = np.random.default_rng(1)
+    rows = [(m, w) for m in (0.02, 0.3, 0.5, 0.9, 0.99) for w in (1.5, 4.0, 30.0, 300.0)]
+    got = [r[0] for r in spark.createDataFrame(rows, "m double, w double").select(url_filter.beta_quantile(F.col("m"), F.col("w"), 0.05)).collect()]
+    for (m, w), q in zip(rows, got, strict=True):
+        draws = rng.beta(m * w, (1 - m) * w, 200_000)
+        assert abs((draws <= q).mean() - 0.05) < 0.03 or abs(np.quantile(draws, 0.05) - q) < (0.01 if min(m, 1 - m) * w >= 1 else 0.06)
+
+
+def test_url_query_equals_its_sql(spark):
+    import duckdb
+
+    from folio.llm import queries
+
+    for sf in ("sf0.001", "sf0.01"):
+        con = duckdb.connect()
+        for name in ("pages", "labels"):
+            con.execute(f"CREATE VIEW {name} AS SELECT * FROM '/root/testdata/{sf}/{name}.parquet'")
+        got = sorted(map(tuple, queries.op6_url_filter(spark, f"/root/testdata/{sf}").collect()))
+        assert got == sorted(con.execute(queries.OP6_SQL).fetchall()) and len({r[4] for r in got}) == 2
+
+
+def test_url_odd_tables(spark):
+    pages = spark.createDataFrame([(1, "http://a.com/x"), (1, "http://a.com/x"), (None, "http://a.com/x"), (2, None), (3, ""), (4, "http://a.com/" + "x" * 100_000)], "page_id long, url string").selectExpr("*", "'h' AS host", "1 AS n", "2 AS bad", "3 AS domain")
+    bad = spark.createDataFrame([(1, 1), (1, 0), (2, 1), (None, 1), (4, None)], "page_id long, bad int").selectExpr("*", "'x' AS url")
+    got = url_filter.judge_urls(pages, bad, []).collect()
+    assert len(got) == 6 and {r["verdict"] for r in got if r["host"] == ""} == {"allow"} and {r["verdict"] for r in got if r["host"]} == {"block"} and max(len(r["path"]) for r in got) == 100_001
+    assert url_filter.judge_urls(pages.limit(0), bad, RULES).count() == 0 and url_filter.judge_urls(pages, bad.limit(0), RULES).where("bound IS NOT NULL").count() == 0
+    tied = spark.createDataFrame([(1, "http://b.a.com/x")], "page_id long, url string")
+    assert url_filter.judge_urls(tied, bad, [("allow", "a.com/x"), ("block", "b.a.com/")]).first()["rule"] == "b.a.com/"
+
+
 def test_packing_holds_every_id_once(spark, odd):
     from tokenizers import Tokenizer
 
@@ -334,6 +424,50 @@ def test_decontamination_finds_excerpts_and_short_items(spark):
         assert got == {0: {1, 2, 5}, 1: {1, 5}, 2: set(), 3: {4}, 4: set(), 5: {2}, 6: set(), 7: set(), 8: {6}, 9: set()}
 
 
+@pytest.mark.parametrize("hot", [2, 10**9])
+def test_decontamination_equals_alignment_of_all_windows(hot, monkeypatch):
+    """Items, edit counts and no others, with runs, periods and frequent q-grams, against each window aligned with each whole text."""
+    monkeypatch.setattr(decontaminate, "PAIRS", 50)
+    rng = np.random.default_rng(5)
+    pick = lambda n: " ".join(rng.choice(["the", "of", "and", "cat", "dog", "--------", "aaaa", "ab ab ab", "zebra", "lion", "quick"], n))
+    matched = 0
+    for trial in range(30):
+        q, window, percent, fine = [(4, 40, 8, 0), (5, 60, 8, 30), (8, 60, 8, 0), (4, 30, 10, 20)][trial % 4]
+        items = [(i, decontaminate.normal(pick(rng.integers(6, 30)))) for i in range(6)]
+        items = [x for x in items if len(x[1]) >= 24]
+        texts = []
+        for _ in range(8):
+            own = list(items[rng.integers(len(items))][1])[rng.integers(20) :] if rng.random() < 0.7 else []
+            for _ in range(rng.integers(6) if own else 0):
+                k = rng.integers(len(own))
+                own[k : k + 1] = [[], ["x"], [own[k], "y"]][rng.integers(3)]
+            texts.append(decontaminate.normal(f"{pick(rng.integers(20))} {''.join(own)} {'-' * (50 * rng.integers(2))}"))
+        p = decontaminate.probes(items, q, window, percent, 24, fine, hot)
+        want = {}
+        for d, text in enumerate(texts):
+            for w, piece in enumerate(p.windows):
+                edits = decontaminate.infix_distance(decontaminate.codes(piece), decontaminate.codes(text))
+                if edits <= p.budget[w]:
+                    own = want.setdefault(d, {})
+                    own[int(p.items[w])] = min(edits, own.get(int(p.items[w]), edits))
+        assert decontaminate.find(texts, p) == want
+        matched += len(want)
+    assert matched > 50
+
+
+def test_decontamination_of_long_runs_and_repeated_rows(spark):
+    import time
+
+    items = [(i, "abc" + "-" * 60 + f"item {i} has some more text after it") for i in range(10)]
+    p = decontaminate.probes(items, 8, 120, 8, 24, fine=60)
+    start = time.perf_counter()
+    assert {k: len(v) for k, v in decontaminate.find(["-" * 200_000, "x " + items[3][1], "word " * 40_000], p).items()} == {0: 10, 1: 10}
+    assert time.perf_counter() - start < 20
+    docs = spark.createDataFrame([(1, items[3][1])] * 3 + [(1, "nothing")], "doc_id long, text string")
+    bench = spark.createDataFrame([items[3]], "item_id long, text string")
+    assert sorted(len(r["matches"]) for r in decontaminate.mark_contaminated(docs, bench).collect()) == [0, 1, 1, 1]
+
+
 def test_infix_distance():
     d = lambda a, b: decontaminate.infix_distance(decontaminate.codes(a), decontaminate.codes(b))
     assert (d("abc", "xxabcxx"), d("abc", "xxacxx"), d("abc", "xxabxcxx"), d("abc", ""), d("kitten", "sitting")) == (0, 1, 1, 3, 2)
