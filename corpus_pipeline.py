@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from folio.llm.decontaminate import mark_contaminated
@@ -16,8 +16,8 @@ from folio.llm.lang_id import UNDETERMINED, fit, held_out, predict
 from folio.llm.near_dedup import near_duplicates
 from folio.llm.packing import pack
 from folio.llm.pii import replace_entities
-from folio.llm.queries import PII_KEY, tokenizer
-from folio.llm.store import read, shared_dir
+from folio.llm.queries import pii_key, tokenizer
+from folio.llm.store import cut, read, shared_dir
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,25 +27,37 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the smallest id of each class of near-duplicates (five-word shingles, similarity 0.8); repeated ids once."""
-    kept = near_duplicates(docs, shingle=5, percent=80).where("kept AND doc_id IS NOT NULL").select("doc_id")
-    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id IS NULL"))
+    """Keeps the smallest id of each class of near-duplicates (five-word shingles, similarity 0.8).
+
+    Documents without shingles stay. Rows that repeat an id, or have none, are documents by their text: repeated rows stay once, different
+    texts of one id are told apart and stay each, unless they are near-duplicates.
+    """
+    again = cut(docs.groupBy("doc_id").count().where("count > 1 OR doc_id IS NULL").select("doc_id", F.lit(True).alias("_again")))
+    if again.isEmpty():
+        return docs.join(near_duplicates(docs, shingle=5, percent=80).where("kept").select("doc_id"), "doc_id", "left_semi").select(*docs.columns)
+    marked = docs.join(again, docs["doc_id"].eqNullSafe(again["doc_id"]), "left").select(*(docs[c] for c in docs.columns), "_again")
+    one, more = marked.where("_again IS NULL").drop("_again"), marked.where("_again").drop("_again")
+    first = Window.partitionBy("_id").orderBy(*(F.col(c) for c in docs.columns if c != "text"))
+    more = more.withColumn("_id", F.xxhash64("doc_id", F.coalesce("text", F.lit("")), F.col("text").isNull())).withColumn("_k", F.row_number().over(first)).where("_k = 1").drop("_k")
+    named = one.withColumn("_id", F.col("doc_id").cast("long")).unionByName(more)
+    kept = near_duplicates(named, id_col="_id", shingle=5, percent=80).where("kept").select("_id")
+    return named.join(kept, "_id", "left_semi").select(*docs.columns)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that hold a passage of the benchmark."""
+    """Drops documents that hold a passage of the benchmark. Null and empty texts hold none."""
     marked = mark_contaminated(docs, read(spark, sf_dir, "benchmark"), fine=60)
     return marked.where(F.size("matches") == 0).select(*docs.columns)
 
 
 def replace_private_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Puts surrogates in place of personal data and secrets; n_chars follows the text."""
-    done = replace_entities(docs, PII_KEY)
+    """Puts surrogates in place of personal data and secrets; n_chars follows the text, but a null stays null. Null texts stay null."""
+    done = replace_entities(docs, pii_key(spark))
     return done.withColumn("n_chars", F.when(F.col("n_chars").isNotNull(), F.length("text").cast(dict(docs.dtypes)["n_chars"]))).select(*docs.columns)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents with their places in sequences of 1024 tokens."""
+    """Pieces of documents with their places in sequences of 1024 tokens. A null text is packed as an empty one."""
     return pack(docs, tokenizer("byte_bpe_50k.json"), end_id=0, size=1024)
 
 
