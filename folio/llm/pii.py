@@ -362,7 +362,7 @@ def replace_entities(docs: DataFrame, key: bytes, id_col: str = "doc_id", text_c
     )
     kept = docs.columns
     at = kept.index(text_col)
-    schema = with_fields(docs, n_entities="long", entity_types="array<string>")
+    schema = with_fields(docs, n_entities="long", entity_types="array<string>") if report else docs.schema
 
     def swap(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         drawn = lru_cache(maxsize=100_000)(lambda kind, value, attempt: surrogate(key, kind, value, attempt))
@@ -380,9 +380,9 @@ def replace_entities(docs: DataFrame, key: bytes, id_col: str = "doc_id", text_c
                 types.append(sorted(set(kinds)))
             columns = [batch.column(k) for k in range(len(kept))]
             columns[at] = pa.array(texts, type=pa.string())
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(counts, type=pa.int64()), pa.array(types, type=pa.list_(pa.string()))], names=[*kept, "n_entities", "entity_types"])
+            told = [pa.array(counts, type=pa.int64()), pa.array(types, type=pa.list_(pa.string()))] if report else []
+            yield pa.RecordBatch.from_arrays([*columns, *told], names=[*kept, *("n_entities", "entity_types")[: len(told)]])
 
     joined = near.join(own, F.col(id_col).cast("long").eqNullSafe(F.col("_folio_id")), "left").select(*own_columns(docs), "_folio_map")
-    plain = docs.where(~hinted).withColumns({"n_entities": F.lit(0).cast("long"), "entity_types": F.array().cast("array<string>")})
-    out = joined.mapInArrow(swap, schema).unionByName(plain)
-    return out if report else out.select(*own_columns(docs))
+    none = {"n_entities": F.lit(0).cast("long"), "entity_types": F.array().cast("array<string>")} if report else {}
+    return joined.mapInArrow(swap, schema).union(docs.where(~hinted).withColumns(none))
