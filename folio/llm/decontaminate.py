@@ -211,8 +211,10 @@ def find(texts: list[str], p: Probes) -> dict[int, dict[int, int]]:
     keys, counts = bands(at, row, p, span)
     good = counts >= p.need[keys // (2 * span)]
     keys = keys[good]
+    if not len(keys):
+        return found
     window, band = keys // (2 * span), keys % (2 * span) - span
-    starts = np.flatnonzero(np.append(True, keys[1:] != keys[:-1] + 1)) if len(keys) else keys  # neighbouring bands of a window go together
+    starts = np.flatnonzero(np.append(True, keys[1:] != keys[:-1] + 1))  # neighbouring bands of a window go together
     for w, first, last in zip(window[starts].tolist(), band[starts].tolist(), band[np.append(starts[1:], len(keys)) - 1].tolist(), strict=True):
         k, text, item = int(p.budget[w]), p.windows[w], int(p.items[w])
         low, high = max(0, first * (k + 1) - k), min(len(joined), (last + 2) * (k + 1) + len(text) + k)

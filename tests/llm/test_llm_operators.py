@@ -460,6 +460,7 @@ def test_decontamination_of_long_runs_and_repeated_rows(spark):
 
     items = [(i, "abc" + "-" * 60 + f"item {i} has some more text after it") for i in range(10)]
     p = decontaminate.probes(items, 8, 120, 8, 24, fine=60)
+    assert decontaminate.find(["a text that has some more words", "nothing alike"], p) == {}
     start = time.perf_counter()
     assert {k: len(v) for k, v in decontaminate.find(["-" * 200_000, "x " + items[3][1], "word " * 40_000], p).items()} == {0: 10, 1: 10}
     assert time.perf_counter() - start < 20
