@@ -109,9 +109,9 @@ def block_links(sets: DataFrame, mixed: DataFrame, percent: int, block: int, lim
     ``mixed`` has (bucket, id, part, main, n_shingles, sketch), ``sets`` (id, shingles). Both sides of a bucket are dealt over blocks
     of about ``block`` shingles; each pair of blocks is one group. Pairs whose sketches differ in more than ``limit`` bits are out.
     """
-    totals = mixed.groupBy("bucket").agg(F.sum("n_shingles").alias("all"), F.sum(F.when(F.col("part") != F.col("main"), F.col("n_shingles"))).alias("some"))
-    totals = totals.select("bucket", F.ceil(F.col("all") / block).cast("int").alias("nm"), F.ceil(F.col("some") / block).cast("int").alias("nq"))
-    rows = mixed.join(totals, "bucket").join(sets, "id")
+    totals = mixed.groupBy("bucket").agg(F.sum("n_shingles").alias("all"), F.sum(F.when(F.col("part") != F.col("main"), F.col("n_shingles"))).alias("some"), F.count("*").alias("n"))
+    totals = totals.select("bucket", "n", F.ceil(F.col("all") / block).cast("int").alias("nm"), F.ceil(F.col("some") / block).cast("int").alias("nq"))
+    rows = join_counted(mixed, cut(totals), ["bucket"], "id").join(sets, "id")
     slot = lambda n: F.pmod(F.xxhash64("id", "bucket"), F.col(n).cast("long")).cast("int")
     copies = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     members = rows.select("bucket", copies("nq").alias("q"), slot("nm").alias("m"), "id", "part", "sketch", "shingles", F.lit(False).alias("asks"))
