@@ -158,8 +158,13 @@ def bands(at: np.ndarray, row: np.ndarray, p: Probes, span: int) -> tuple[np.nda
         pick = np.repeat(p.first[gram[done:to]] - np.cumsum(k) + k, k) + np.arange(k.sum())
         window, a, b = p.window_of[pick], np.repeat(low[done:to], k), np.repeat(high[done:to], k)
         width = p.budget[window] + 1
-        # positions a..b against places c..d lie on the diagonals a - d .. b - c; a band holds two stripes of ``width`` diagonals
         c, d = p.place_of[pick], p.last_of[pick]
+        one = (a == b) & (c == d)  # no runs: one diagonal, in two bands
+        base, band = window[one] * (2 * span) + span, (a[one] - c[one]) // width[one]
+        held.append(np.unique(np.concatenate([base + band, base + band - 1]), return_counts=True))
+        runs = np.flatnonzero(~one)
+        window, width, a, b, c, d = (x[runs] for x in (window, width, a, b, c, d))
+        # positions a..b against places c..d lie on the diagonals a - d .. b - c; a band holds two stripes of ``width`` diagonals
         from_, upto = (a - d) // width - 1, (b - c) // width
         many = upto - from_ + 1
         ends, cut = np.cumsum(many), 0
