@@ -29,7 +29,7 @@ SEEN_BITS = 22
 #: Occurrences in the windows from which a q-gram counts as frequent.
 HOT = 512
 #: Pairs of positions that are expanded at once.
-PAIRS = 2_000_000
+PAIRS = 1 << 18
 #: Characters of scripts that put no blanks between words: Thai, Lao, Myanmar, Khmer, kana, Han.
 UNSPACED = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]")
 
