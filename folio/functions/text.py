@@ -14,7 +14,7 @@ STOPWORDS = "的 了 和 是 在 与 及 或 对 中 为 将 并 通过 以及 t
 STOP_TERMS = "什么 哪些 是否 有没有 如何 多少 哪个 给出 材料 文档 这份 当前 通常".split()
 STOP_CHARS = "的 了 是 在 和 与 及 并 个 这 那 有 上 下 中 前 后 会 能".split()
 CREATIVE_WORDS = "写一首诗 诗歌 角色扮演 扮演 小说 故事 剧本 文案 润色 翻译 情书 笑话 poem roleplay story novel".split()
-REFUSALS = ["未找到足够依据", "没有足够依据", "无法根据", "无法回答", "没有找到足够依据"]
+REFUSALS = ["未找到足够依据", "没有足够依据", "暂无足够证据", "无法从提供的文档中找到", "无法根据当前文档确定"]
 EARLY_MARKERS = "开头 一开始 最初 起初 前文 最早".split()
 QUANTITY_MARKERS = "几 多少 数量 共有 一共".split()
 HEADING = r"^(第[一二三四五六七八九十百零\d]+[章节部分篇]|[一二三四五六七八九十]+[、.）)]|\d+(\.\d+){0,3}[、.）)])"

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
+from itertools import accumulate, groupby
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -111,66 +113,61 @@ def markdown_sections(lines: DataFrame, doc: str = "document_id") -> DataFrame:
     return bodies.groupBy(doc, "heading").agg(F.min("no").alias("section_no"), F.max_by("body", "no").alias("body")).select(doc, "section_no", "heading", "body")
 
 
-# Overlapping chunks need a look back over text already emitted; they run in one pass over Arrow batches.
+# Overlapping chunks look back over text already emitted; they run in one pass over Arrow batches.
 
-_ENDS = ["\n\n", "\n", "。", "！", "？", ".", "!", "?", "；", ";", "，", ",", " "]
-_HEAD, _ITEM = re.compile(X.HEADING), re.compile(X.LIST_ITEM)
+#: Up to the last place in a stretch of text where it may be cut.
+_TO_CUT = re.compile(r"(?s:.*)[\n。！？.!?；;，, ]")
+_SOLO = re.compile(rf"#|{X.HEADING}|{X.LIST_ITEM}|.{{0,27}}[^。！？!?；;，,]\Z")
 _DROP = re.compile(r"\d{1,4}|第?\s*\d+\s*页")
+#: A line break that wrapping put after an opening mark or dash, or before a closing mark.
+_WRAP = re.compile(r"(?<=[-—/（(\[【：:])\n|\n(?=[）)\]】、，,。.；;：:])")
+
+
+def cuts(block: str, size: int, overlap: int) -> Iterator[tuple[int, int]]:
+    """Where a block is cut: stretches of at most ``size`` characters, each ending behind the last mark or blank of its second half if
+    there is one, and starting ``overlap`` before the end of the one before."""
+    start = 0
+    while start + size < len(block):
+        found = _TO_CUT.match(block, start + min(size, max(overlap + 1, size // 2)), start + size)
+        end = found.end() if found else start + size
+        yield start, end
+        start = max(start + 1, end - overlap) if end - overlap > start else end
+    yield start, len(block)
 
 
 def split_long(block: str, size: int, overlap: int) -> list[str]:
-    """Pieces of at most ``size`` characters, each ending at the last separator of its second half, overlapping by ``overlap``."""
-    out, at, floor = [], 0, max(overlap + 1, size // 2)
-    while at < len(block):
-        stop = min(at + size, len(block))
-        if stop < len(block):
-            found = [p + len(s) for s in _ENDS if (p := block.rfind(s, min(stop, at + floor), stop)) >= 0]
-            stop = max(found, default=stop)
-        if piece := block[at:stop].strip():
-            out.append(piece)
-        if stop >= len(block):
-            break
-        at = stop - overlap if stop - overlap > at else stop
-    return out
+    """The non-blank stretches of a block."""
+    return [piece for a, b in cuts(block, size, overlap) if (piece := block[a:b].strip())]
 
 
 def pack_with_overlap(blocks: list[str], size: int, overlap: int) -> list[str]:
-    """Chunks of whole blocks; each starts with trailing blocks of the one before, as long as the next block still fits."""
-    out: list[str] = []
-    held: list[str] = []
-    width = lambda parts: sum(map(len, parts)) + 2 * (len(parts) - 1)
-    for block in (p for b in blocks for p in ([b] if len(b) <= size else split_long(b, size, overlap))):
-        if held and width([*held, block]) > size:
-            out.append("\n\n".join(held).strip())
-            carried: list[str] = []
-            while held and overlap > 0 and sum(map(len, carried)) < overlap:
-                carried.insert(0, held.pop())
-            while carried and width([*carried, block]) > size:
-                carried.pop(0)
-            held = carried
-        held.append(block)
-    if held:
-        out.append("\n\n".join(held).strip())
+    """Chunks of whole blocks, a blank line between them; each starts with trailing blocks of the one before, as many as hold
+    ``overlap`` characters and let the next block fit.
+
+    With lengths summed up from the front, a chunk's end and the start of the next are found by bisection.
+    """
+    pieces = [p for b in blocks for p in (split_long(b, size, overlap) if len(b) > size else [b])]
+    bare = [0, *accumulate(map(len, pieces))]
+    spaced = [n + 2 * k for k, n in enumerate(bare)]  # with the blank line after each
+    out, start = [], 0
+    while start < len(pieces):
+        end = max(start + 1, bisect_right(spaced, spaced[start] + size + 2) - 1)
+        out.append("\n\n".join(pieces[start:end]).strip())
+        if end == len(pieces):
+            break
+        held = max(start, bisect_right(bare, bare[end] - overlap) - 1) if overlap > 0 else end
+        start = min(end, max(held, bisect_left(spaced, spaced[end + 1] - 2 - size)))
     return [c for c in out if c]
 
 
 def blocks_of(text: str) -> list[str]:
-    """The blocks of a normalised text, as ``line_blocks`` makes them."""
-    out: list[str] = []
-    wrapped = ""
-    for line in (x.strip() for x in text.splitlines()):
-        if _DROP.fullmatch(line):
-            continue
-        solo = bool(line) and (line[0] == "#" or bool(_HEAD.match(line)) or (len(line) <= 28 and line[-1] not in "。！？!?；;，,") or bool(_ITEM.match(line)))
-        if (not line or solo) and wrapped:
-            out.append(wrapped)
-            wrapped = ""
-        if solo:
-            out.append(line)
-        elif line:
-            tight = not wrapped or wrapped[-1] in "-—/（([【：:" or line[0] in "）)]】、，,。.；;：:"
-            wrapped += line if tight else f"\n{line}"
-    return [*out, wrapped] if wrapped else out
+    """The blocks of a normalised text, by the islands of ``line_blocks``."""
+    lines = [x for x in map(str.strip, text.splitlines()) if not _DROP.fullmatch(x)]
+    alone = [bool(x) and bool(_SOLO.match(x)) for x in lines]
+    island = accumulate(a or b or not line for a, b, line in zip(alone, [True, *alone], ["", *lines]))
+    groups = groupby(zip(island, lines, strict=True), key=lambda p: p[0])
+    joined = ("\n".join(x for _, x in rows if x) for _, rows in groups)
+    return [_WRAP.sub("", b) for b in joined if b]
 
 
 def parent_child_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 500, overlap: int = 50, parent_size: int = 1500, parent_overlap: int = 180) -> DataFrame:

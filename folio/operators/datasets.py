@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import re
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -11,10 +12,22 @@ from folio.functions import text as X
 from folio.operators.lexical import top
 from folio.sources.store import cut
 
+# Prompts, words, templates and topics that records are made of.
 SYSTEM = "你是中文问答助手。请提供准确、简洁、克制的回答。"
-REFUSAL_ANSWER = "未找到足够依据"
+DOCUMENT_SYSTEM = "你是企业文档问答助手。你必须只依据提供的证据作答，优先输出简洁、可引用、可核验的结论。如果证据不足，请明确回答“未找到足够依据”，不要编造。"
+REFUSAL_ANSWER = "未找到足够依据。当前提供的文档片段中没有能直接回答该问题的明确信息，因此不应继续推断或编造答案。"
+NO_EVIDENCE = "（当前没有可用证据，若无法回答请明确拒答。）"
+ASK = (
+    "问题：{question}\n\n"
+    "证据片段：\n{evidence}\n\n"
+    "回答要求：\n"
+    "1. 只能依据证据回答；\n"
+    "2. 如果证据不足，回答“未找到足够依据”；\n"
+    "3. 如能回答，先用 1 句话给出结论，再给出 2-4 个要点；\n"
+    "4. 不要扩写，不要编造，不要输出与证据无关的背景，并尽量保留引用。\n"
+)
 TASK_WORDS = "创作 角色 文学 情感 主观 推荐 闲聊 chat".split()
-TEMPLATES = ["{}主要讲了什么？", "请概括{}的要点。", "{}包含哪些关键信息？", "关于{}，材料给出了哪些说明？", "{}的核心结论是什么？"]
+TEMPLATES = ["{heading}主要讲了什么？", "根据文档，{heading}包含哪些关键要点？", "文档如何解释{heading}？", "{heading}的核心内容是什么？", "围绕{heading}，文档强调了哪些重点？"]
 TOPICS = [
     ("官方 GitHub 仓库地址", ["github", "gitlab"]),
     ("完整数据集下载链接", ["huggingface", "modelscope", "下载", "链接", "http://", "https://"]),
@@ -36,9 +49,15 @@ def hash_order(col: str, seed: int) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}|"), F.col(col).cast("string")))
 
 
-def messages(question: Column, answer: Column) -> Column:
+def messages(question: Column, answer: Column, system: str = SYSTEM) -> Column:
     turn = lambda role, content: F.struct(F.lit(role).alias("role"), content.alias("content"))
-    return F.array(turn("system", F.lit(SYSTEM)), turn("user", question), turn("assistant", answer))
+    return F.array(turn("system", F.lit(system)), turn("user", question), turn("assistant", answer))
+
+
+def filled(template: str, **values: Column) -> Column:
+    """A fixed template with columns in its named places."""
+    parts = re.split(r"\{(\w+)\}", template)
+    return F.concat(*(values[p] if k % 2 else F.lit(p) for k, p in enumerate(parts) if p))
 
 
 def normalize_dialogue(rows: DataFrame, script: str = X.HAN, ratio: float = 0.7, most_prompt: int = 512, most_answer: int = 256) -> DataFrame:
@@ -135,7 +154,7 @@ def expand_answerable(sections: DataFrame, existing: DataFrame, target: int = 8)
     no = (F.col("last") + F.col("k") + 1).cast("int")
     template = F.get(F.array(*map(F.lit, TEMPLATES)), F.pmod(no - 1, F.lit(len(TEMPLATES))))
     made = rows.select("document_id", no.alias("no"), heading.alias("heading"), template.alias("template"))
-    return made.select("document_id", "no", "heading", F.replace("template", F.lit("{}"), F.col("heading")).alias("question"))
+    return made.select("document_id", "no", "heading", F.replace("template", F.lit("{heading}"), F.col("heading")).alias("question"))
 
 
 def expand_rejectable(documents: DataFrame, existing: DataFrame, target: int = 2) -> DataFrame:
@@ -162,6 +181,17 @@ def ideal_answer(points: Column, refs: Column, refuse: Column) -> Column:
     return F.when(refuse, REFUSAL_ANSWER).otherwise(cited)
 
 
+def training_records(samples: DataFrame) -> DataFrame:
+    """(id, question, evidence, ideal_answer, rejectable, messages) of samples (id, question, evidence, points, refs, allow_no_answer).
+
+    Null evidence is none; the user's message then says so.
+    """
+    evidence = F.coalesce("evidence", F.lit(""))
+    answer = ideal_answer(F.col("points"), F.col("refs"), F.col("allow_no_answer"))
+    ask = filled(ASK, question=F.col("question"), evidence=F.when(evidence == "", F.lit(NO_EVIDENCE)).otherwise(evidence))
+    return samples.select("id", "question", evidence.alias("evidence"), answer.alias("ideal_answer"), F.col("allow_no_answer").alias("rejectable"), messages(ask, answer, DOCUMENT_SYSTEM).alias("messages"))
+
+
 def split_sizes(n: int, validation: float = 0.1, test: float = 0.1) -> tuple[int, int, int]:
     """(train, validation, test) sizes: halves round to even, one each at least from ten records on."""
     v, s = round(n * validation), round(n * test)

@@ -2,21 +2,60 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folio.functions import text as X
+from folio.sources.store import cut
 
 LATIN_ENDS = "。！？!?；;.\n"
 
 
 def term_counts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id_col, token, n)."""
-    return docs.select(id_col, F.explode(X.tokens(F.col(text_col))).alias("token")).groupBy(id_col, "token").agg(F.count("*").alias("n"))
+    """(id_col, token, n). A text's tokens are counted where it lies: nothing is shuffled."""
+    return _by_row(docs.select(id_col, X.tokens(F.col(text_col)).alias("tokens")), id_col, "token string, n long", _counts)
+
+
+class Coded:
+    """The tokens of a batch of rows as numbers in the order of their UTF-8 bytes, row by row."""
+
+    def __init__(self, lists: pa.Array):
+        self.offsets = lists.offsets.to_numpy().astype(np.int64) - lists.offsets[0].as_py() if len(lists) else np.zeros(1, dtype=np.int64)
+        coded = lists.flatten().dictionary_encode()
+        order = pc.sort_indices(coded.dictionary)
+        self.words = coded.dictionary.take(order)
+        rank = np.empty(len(order), dtype=np.int64)
+        rank[order.to_numpy()] = np.arange(len(order))
+        self.codes = rank[coded.indices.to_numpy()] if len(coded) else np.empty(0, dtype=np.int64)
+        self.row = np.repeat(np.arange(len(lists)), np.diff(self.offsets))
+
+    @property
+    def n(self) -> int:
+        return max(1, len(self.words))
+
+
+def _by_row(rows: DataFrame, id_col: str, out: str, work: Callable) -> DataFrame:
+    """Rows that ``work`` makes of each row's ``tokens``, with the row's id; whole Arrow batches at a time."""
+    names = [id_col, *(c.split()[0] for c in out.split(", "))]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                row, columns = work(batch.column(1))
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), *columns], names=names)
+
+    return rows.mapInArrow(run, f"{id_col} {dict(rows.dtypes)[id_col]}, {out}")
+
+
+def _counts(tokens: pa.Array) -> tuple[np.ndarray, list[pa.Array]]:
+    c = Coded(tokens)
+    keys, n = np.unique(c.row * c.n + c.codes, return_counts=True)
+    return keys // c.n, [c.words.take(pa.array(keys % c.n)), pa.array(n)]
 
 
 def top(rows: DataFrame, by: str | list[str], k: int, *order: Column) -> DataFrame:
@@ -24,30 +63,52 @@ def top(rows: DataFrame, by: str | list[str], k: int, *order: Column) -> DataFra
     return rows.withColumn("rank", F.row_number().over(Window.partitionBy(by).orderBy(*order))).where(F.col("rank") <= k)
 
 
+def _best(row: np.ndarray, score: np.ndarray, word: np.ndarray, k: int) -> np.ndarray:
+    """Positions of the k best of each row, by score and then word."""
+    order = np.lexsort((word, -score, row))
+    first = np.flatnonzero(np.append(True, np.diff(row[order]) != 0)) if len(order) else order
+    place = np.arange(len(order)) - np.repeat(first, np.diff(np.append(first, len(order))))
+    return order[place < k]
+
+
 def tfidf_keywords(docs: DataFrame, id_col: str, text_col: str, k: int, ends: str = LATIN_ENDS) -> DataFrame:
-    """(id_col, keyword, score, frequency): a document's sentences serve as the collection for its idf."""
-    sentences = docs.select(id_col, F.posexplode(X.sentences(F.col(text_col), ends)).alias("s", "sentence")).select(id_col, "s", X.tokens(F.col("sentence")).alias("tokens")).where(F.size("tokens") > 0)
-    counts = sentences.select(id_col, "s", F.explode("tokens").alias("keyword")).groupBy(id_col, "keyword", "s").agg(F.count("*").alias("n"))
-    words = counts.groupBy(id_col, "keyword").agg(F.sum("n").alias("frequency"), F.count("*").alias("df"))
-    sizes = sentences.groupBy(id_col).agg(F.count("*").alias("docs"), F.sum(F.size("tokens")).alias("total"))
-    score = F.col("frequency") / F.col("total") * (F.log((F.col("docs") + 1) / (F.col("df") + 1)) + 1)
-    scored = words.join(sizes, id_col).withColumn("exact", F.round(score, 9))
-    return top(scored, id_col, k, F.desc("exact"), F.asc("keyword")).select(id_col, "keyword", F.round("exact", 4).alias("score"), "frequency")
+    """(id_col, keyword, score, frequency): a document's sentences serve as the collection for its idf. Each document is worked out
+    in its row."""
+    sentences = F.filter(F.transform(X.sentences(F.col(text_col), ends), lambda s: X.tokens(s)), lambda s: F.size(s) > 0)
+
+    def work(lists: pa.Array) -> tuple[np.ndarray, list[pa.Array]]:
+        own = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))  # document of each sentence
+        c = Coded(lists.flatten())
+        doc = own[c.row]
+        keys, of, n = np.unique(doc * c.n + c.codes, return_inverse=True, return_counts=True)
+        row, word = keys // c.n, keys % c.n
+        df = np.bincount(np.unique(c.row * len(keys) + of) % max(1, len(keys)), minlength=len(keys))
+        docs, total = np.bincount(own, minlength=len(lists)), np.bincount(doc, minlength=len(lists))
+        score = np.round(n / total[row] * (np.log((docs[row] + 1) / (df + 1)) + 1), 9)
+        best = _best(row, score, word, k)
+        return row[best], [c.words.take(pa.array(word[best])), pa.array(score[best]), pa.array(n[best])]
+
+    made = _by_row(docs.select(id_col, sentences.alias("tokens")), id_col, "keyword string, score double, frequency long", work)
+    return made.withColumn("score", F.round("score", 4))
 
 
 def cooccurrence(docs: DataFrame, id_col: str, text_col: str, window: int = 4) -> DataFrame:
-    """(id_col, src, dst, weight): symmetric counts of different tokens within a window of positions."""
-    placed = docs.select(id_col, F.posexplode(X.tokens(F.col(text_col))).alias("pos", "src"))
-    order = Window.partitionBy(id_col).orderBy("pos")
-    ahead = placed.select(id_col, "src", F.array(*(F.lead("src", d).over(order) for d in range(1, window))).alias("next"))
-    pairs = ahead.select(id_col, "src", F.explode("next").alias("dst")).where("dst IS NOT NULL AND src <> dst")
-    both = pairs.select(id_col, F.explode(F.array(F.struct("src", "dst"), F.struct(F.col("dst").alias("src"), F.col("src").alias("dst")))).alias("e"))
-    return both.groupBy(id_col, "e.src", "e.dst").agg(F.count("*").alias("weight"))
+    """(id_col, src, dst, weight): symmetric counts of different tokens within a window of positions, in the document's row."""
+
+    def work(tokens: pa.Array) -> tuple[np.ndarray, list[pa.Array]]:
+        c = Coded(tokens)
+        ahead = [(c.row[d:], c.codes[:-d], c.codes[d:]) for d in range(1, window) if len(c.codes) > d]
+        real = [(c.row[:-d] == c.row[d:]) & (c.codes[:-d] != c.codes[d:]) for d in range(1, window) if len(c.codes) > d]
+        row, a, b = (np.concatenate([x[i][r] for x, r in zip(ahead, real, strict=True)] or [np.empty(0, dtype=np.int64)]) for i in range(3))
+        keys, weight = np.unique(np.concatenate([(row * c.n + a) * c.n + b, (row * c.n + b) * c.n + a]), return_counts=True)
+        return keys // (c.n * c.n), [c.words.take(pa.array(keys // c.n % c.n)), c.words.take(pa.array(keys % c.n)), pa.array(weight)]
 
+    return _by_row(docs.select(id_col, X.tokens(F.col(text_col)).alias("tokens")), id_col, "src string, dst string, weight long", work)
 
-def textrank(tokens: list[str], window: int = 4, damping: float = 0.85, rounds: int = 20) -> tuple[list[str], np.ndarray, np.ndarray] | None:
+
+def textrank(tokens: list[str] | np.ndarray, window: int = 4, damping: float = 0.85, rounds: int = 20) -> tuple[list, np.ndarray, np.ndarray] | None:
     """Words, scores and counts of one document by a fixed number of synchronous rounds; None without two different tokens."""
-    words, at = np.unique(np.array(tokens, dtype=object), return_inverse=True)
+    words, at = np.unique(tokens if isinstance(tokens, np.ndarray) else np.array(tokens, dtype=object), return_inverse=True)
     if len(words) < 2:
         return None
     src = np.concatenate([at[:-d] for d in range(1, window) if len(at) > d])
@@ -66,23 +127,23 @@ def textrank(tokens: list[str], window: int = 4, damping: float = 0.85, rounds:
 
 def textrank_keywords(docs: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
     """(id_col, keyword, score, frequency). A document's word graph stands on its own, so each row is ranked where it lies:
-    no edges are shuffled. Documents without an edge fall back to their TF-IDF keywords."""
-    rows = docs.select(id_col, X.tokens(F.col(text_col)).alias("tokens"), F.col(text_col).alias("text"))
-    kind = dict(docs.dtypes)[id_col]
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            out = []
-            for doc, tokens in zip(frame[id_col], frame["tokens"], strict=True):
-                if (made := textrank(list(tokens))) is not None:
-                    words, score, n = made
-                    score = np.round(score, 9)
-                    best = sorted(range(len(words)), key=lambda i: (-score[i], words[i]))[:k]
-                    out += [(doc, words[i], float(score[i]), int(n[i])) for i in best]
-            yield pd.DataFrame(out, columns=[id_col, "keyword", "score", "frequency"])
-
-    ranked = rows.where(F.size(F.array_distinct("tokens")) >= 2).select(id_col, "tokens").mapInPandas(run, f"{id_col} {kind}, keyword string, score double, frequency long")
-    rest = tfidf_keywords(rows.where((F.size("tokens") >= 2) & (F.size(F.array_distinct("tokens")) < 2)), id_col, "text", k)
+    no edges are shuffled. A document of one word, which has no edges, falls back to its TF-IDF keyword."""
+
+    def work(tokens: pa.Array) -> tuple[np.ndarray, list[pa.Array]]:
+        c = Coded(tokens)
+        rows, words, scores, counts = [], [], [], []
+        for row, (a, b) in enumerate(zip(c.offsets[:-1].tolist(), c.offsets[1:].tolist(), strict=True)):
+            if (made := textrank(c.codes[a:b])) is not None:
+                word, score, n = np.array(made[0]), np.round(made[1], 9), made[2]
+                best = np.lexsort((word, -score))[:k]
+                rows.append(np.full(len(best), row)), words.append(word[best]), scores.append(score[best]), counts.append(n[best])
+        one = lambda parts, kind: np.concatenate(parts or [np.empty(0, dtype=kind)])
+        return one(rows, np.int64), [c.words.take(pa.array(one(words, np.int64))), pa.array(one(scores, np.float64)), pa.array(one(counts, np.int64))]
+
+    several = F.size(F.array_distinct("tokens"))
+    known = docs.withColumn("tokens", X.tokens(F.col(text_col)))
+    ranked = _by_row(known.where(several >= 2).select(id_col, "tokens"), id_col, "keyword string, score double, frequency long", work)
+    rest = tfidf_keywords(known.where((F.size("tokens") >= 2) & (several < 2)), id_col, text_col, k)
     return ranked.withColumn("score", F.round("score", 4)).unionByName(rest)
 
 
@@ -95,51 +156,90 @@ def hybrid_keywords(docs: DataFrame, id_col: str, text_col: str, k: int) -> Data
     return top(merged, id_col, k, F.desc("score"), F.asc("keyword")).drop("rank")
 
 
-def bm25_index(chunks: DataFrame, id_col: str, text_col: str, k1: float = 1.5, b: float = 0.75, epsilon: float = 0.25) -> DataFrame:
-    """(token, id_col, weight): an inverted index whose weights only need summing over query tokens.
+def bm25_terms(chunks: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame, float]:
+    """((id_col, token, n, dl), (token, idf), mean length): counts in the rows of the chunks, and their statistics.
 
-    Negative idf is replaced by ``epsilon`` times the mean idf. Collection totals are one row.
+    A negative idf is replaced by a quarter of the mean idf. The statistics are one row per token of the vocabulary, kept in the
+    shared folder; totals are one row.
     """
-    counts = term_counts(chunks, id_col, text_col)
-    lengths = counts.groupBy(id_col).agg(F.sum("n").alias("dl"))
-    totals = chunks.agg(F.count("*").alias("docs"), F.sum(F.size(X.tokens(F.col(text_col)))).alias("words")).first()
-    docs, average = totals["docs"], (totals["words"] or 0) / max(1, totals["docs"]) or 1.0
-    df = counts.groupBy("token").agg(F.count("*").alias("df")).withColumn("idf", F.log(docs - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
-    mean = df.agg(F.avg("idf")).first()[0] or 0.0
-    idf = df.select("token", F.when(F.col("idf") < 0, epsilon * mean).otherwise(F.col("idf")).alias("idf"))
+    def work(tokens: pa.Array) -> tuple[np.ndarray, list[pa.Array]]:
+        row, (token, n) = _counts(tokens)
+        return row, [token, n, pa.array(np.diff(tokens.offsets.to_numpy()).astype(np.int64)[row])]
+
+    counts = _by_row(chunks.select(id_col, X.tokens(F.col(text_col)).alias("tokens")), id_col, "token string, n long, dl long", work)
+    df = cut(counts.groupBy("token").agg(F.count("*").alias("df"), F.sum("n").alias("n")))
+    docs, words = chunks.count(), df.agg(F.sum("n")).first()[0] or 0
+    raw = df.withColumn("idf", F.log(docs - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
+    mean = raw.agg(F.avg("idf")).first()[0] or 0.0
+    idf = raw.select("token", F.when(F.col("idf") < 0, 0.25 * mean).otherwise(F.col("idf")).alias("idf"))
+    return counts, idf, words / max(1, docs) or 1.0
+
+
+def bm25_weight(average: float, k1: float = 1.5, b: float = 0.75) -> Column:
     n = F.col("n")
-    weight = F.col("idf") * n * (k1 + 1) / (n + k1 * (1 - b + b * F.col("dl") / average))
-    return counts.join(lengths, id_col).join(idf, "token").select("token", id_col, weight.alias("weight"))
+    return F.col("idf") * n * (k1 + 1) / (n + k1 * (1 - b + b * F.col("dl") / average))
+
+
+def bm25_index(chunks: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(token, id_col, weight): an inverted index whose weights only need summing over query tokens."""
+    counts, idf, average = bm25_terms(chunks, id_col, text_col)
+    return counts.join(idf, "token").select("token", id_col, bm25_weight(average).alias("weight"))
 
 
 def bm25_top(questions: DataFrame, chunks: DataFrame, id_col: str = "chunk_id", text_col: str = "content", k: int = 10) -> DataFrame:
-    """(query_id, id_col, score, rank): the k best chunks of each question, those with a positive score."""
-    asked = term_counts(questions, "query_id", "question").withColumnRenamed("n", "m")
-    scored = asked.join(bm25_index(chunks, id_col, text_col), "token").groupBy("query_id", id_col).agg(F.round(F.sum(F.col("m") * F.col("weight")), 8).alias("score"))
+    """(query_id, id_col, score, rank): the k best chunks of each question, those with a positive score.
+
+    Only tokens that are asked for leave the rows of the chunks.
+    """
+    counts, idf, average = bm25_terms(chunks, id_col, text_col)
+    asked = term_counts(questions, "query_id", "question").withColumnRenamed("n", "m").join(idf, "token")
+    scored = counts.join(asked, "token").groupBy("query_id", id_col).agg(F.round(F.sum(F.col("m") * bm25_weight(average)), 8).alias("score"))
     return top(scored, "query_id", k, F.desc("score"), F.asc(id_col)).where("score > 0")
 
 
 def extractive_summary(docs: DataFrame, id_col: str, text_col: str, limit: int, ends: str = LATIN_ENDS) -> DataFrame:
-    """(id_col, summary): the sentences of the most frequent words in their order, cut to ``limit`` characters."""
+    """(id_col, summary, source_length): the sentences of the most frequent words in their order, cut to ``limit`` characters.
+
+    Each document is worked out in its row; only the places of the chosen sentences are found in Python.
+    """
+    kind = dict(docs.dtypes)[id_col]
+    base = docs.select(id_col, X.strip(F.col(text_col)).alias("text")).withColumn("parts", F.when(F.length("text") > limit, X.sentences(F.col("text"), ends)))
+    base = base.withColumn("tokens", F.transform("parts", lambda s: X.tokens(s)))
+
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column("tokens")
+            lists = pa.ListArray.from_arrays(np.append(0, np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False))).astype(np.int32), lists.flatten())
+            total = np.diff(lists.offsets.to_numpy()).astype(np.int64)
+            own = np.repeat(np.arange(len(lists)), total)
+            c = Coded(lists.flatten())
+            doc = own[c.row]
+            keys, of, n = np.unique(doc * c.n + c.codes, return_inverse=True, return_counts=True)
+            most = np.zeros(len(lists), dtype=np.int64)
+            np.maximum.at(most, keys // c.n, n)
+            size = np.bincount(c.row, minlength=len(own))
+            word = np.bincount(c.row, weights=n[of] / most[doc], minlength=len(own)) / np.maximum(size, 1)
+            i = np.arange(len(own)) - (np.cumsum(total) - total)[own]
+            long = pc.list_flatten(batch.column("sizes")).to_numpy(zero_copy_only=False) > 320 if len(own) else np.empty(0, dtype=bool)
+            score = np.round(word + 0.15 * (1 - i / np.maximum(total[own], 1)) - 0.05 * long, 9)
+            good = np.flatnonzero((size > 0) & (total[own] > 1))
+            order = good[np.lexsort((i[good], -score[good], own[good]))]
+            first = np.flatnonzero(np.append(True, np.diff(own[order]) != 0)) if len(order) else order
+            place = np.arange(len(order)) - np.repeat(first, np.diff(np.append(first, len(order))))
+            take = np.maximum(2, np.minimum(total, limit // 90 + 1))[own[order]]
+            chosen = np.sort(order[place < take])
+            ends_ = np.append(0, np.cumsum(np.bincount(own[chosen], minlength=len(lists)))).astype(np.int32)
+            best = pa.ListArray.from_arrays(ends_, pa.array(i[chosen].astype(np.int32)))
+            yield pa.RecordBatch.from_arrays([batch.column(id_col), batch.column("text"), batch.column("parts"), best], names=[id_col, "text", "parts", "best"])
+
+    sized = base.withColumn("sizes", F.transform("parts", lambda s: F.length(s)))
+    made = sized.mapInArrow(choose, f"{id_col} {kind}, text string, parts array<string>, best array<int>")
+    ended = lambda s: F.when(s.rlike("[。！？.!?]$"), s).otherwise(F.concat(s, F.lit("。")))
+    summary = X.strip(F.array_join(F.transform("best", lambda i: ended(F.get("parts", i))), ""))
     tail = lambda c: F.concat(X.sub(F.left(c, F.lit(limit)), "[，,；;。.!? ]+$", ""), F.lit("..."))
-    base = docs.select(id_col, X.strip(F.col(text_col)).alias("text")).withColumn("parts", X.sentences(F.col("text"), ends)).withColumn("words", X.tokens(F.col("text")))
-    long = base.where(F.length("text") > limit)
-    ranked = long.where((F.size("parts") > 1) & (F.size("words") > 0))
-    freq = ranked.select(id_col, F.explode("words").alias("token")).groupBy(id_col, "token").agg(F.count("*").alias("n"))
-    most = freq.groupBy(id_col).agg(F.max("n").alias("most"))
-    placed = ranked.select(id_col, F.size("parts").alias("total"), F.posexplode("parts").alias("i", "sentence"))
-    used = placed.select(id_col, "i", F.explode(X.tokens(F.col("sentence"))).alias("token")).join(freq, [id_col, "token"]).join(most, id_col)
-    word = used.groupBy(id_col, "i").agg((F.sum("n") / F.max("most") / F.count("*")).alias("word"))
-    score = F.round(F.col("word") + 0.15 * (1 - F.col("i") / F.col("total")) + F.when(F.length("sentence") > 320, -0.05).otherwise(0.0), 9)
-    scored = placed.join(word, [id_col, "i"]).withColumn("score", score)
-    take = F.greatest(F.lit(2), F.least(F.col("total"), F.lit(limit // 90 + 1)))
-    order = Window.partitionBy(id_col).orderBy(F.desc("score"), "i")
-    best = scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= take)
-    ended = F.when(F.col("sentence").rlike("[。！？.!?]$"), F.col("sentence")).otherwise(F.concat("sentence", F.lit("。")))
-    joined = best.groupBy(id_col).agg(F.array_sort(F.collect_list(F.struct("i", ended.alias("s")))).alias("rows")).select(id_col, X.strip(F.array_join(F.transform("rows", lambda r: r["s"]), "")).alias("made"))
-    made = base.select(id_col, "text").join(joined, id_col, "left")
-    text, summary = F.col("text"), F.col("made")
-    return made.select(id_col, F.when(F.length(text) <= limit, text).when(summary.isNull(), tail(text)).when(F.length(summary) > limit, tail(summary)).otherwise(summary).alias("summary"))
+    text = F.col("text")
+    cut_ = F.when(F.length(text) <= limit, text).when(F.size("best") == 0, tail(text)).when(F.length(summary) > limit, tail(summary)).otherwise(summary)
+    return made.select(id_col, cut_.alias("summary"), F.length(text).alias("source_length"))
 
 
 def evidence_score(question: Column, heading: Column, content: Column, section: Column, fallback: Column, size: int = 360) -> Column:

@@ -9,48 +9,77 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from folio.functions import prompts as P
 from folio.operators.chunking import merge_overlapping
+from folio.operators.datasets import filled
 from folio.operators.lexical import top
 
 REFUSAL = "未找到足够依据"
 
 
-def vector_top(queries: DataFrame, vectors: DataFrame, k: int, allowed: DataFrame | None = None, block: int = 1024) -> DataFrame:
-    """(query_id, chunk_id, document_id, score, rank): the k nearest by cosine similarity, exactly.
+def vector_hits(queries: DataFrame, vectors: DataFrame, k: int, each: bool = False, least: float | None = None, apart: bool = False, allowed: DataFrame | None = None, block: int = 1024) -> DataFrame:
+    """(query_id, chunk_id, document_id, score, hits): per task and batch of vectors the k nearest of each query, or with ``each`` of
+    each query and document; the k nearest of all are among them.
 
-    ``queries`` has (query_id, embedding), ``vectors`` (chunk_id, document_id, embedding). Queries go to the executors in blocks
-    of ``block`` vectors; each batch of vectors is one matrix product that keeps k rows per query, and the last cut ranks those.
-    ``allowed`` (query_id, document_id) restricts the search before the cut. A zero vector has similarity 0.
+    ``queries`` has (query_id, embedding), ``vectors`` (chunk_id, document_id, embedding). Queries go to the executors in blocks of
+    about ``block`` by a hash of their id; each batch of vectors is one matrix product. ``least`` drops lower scores, ``apart`` a query's
+    own document; ``hits`` sums up to what was left before the cut to k. ``allowed`` (query_id, document_id) restricts the search
+    before the cut. A zero vector has similarity 0.
     """
     spark = queries.sparkSession
-    ids = [r["query_id"] for r in queries.select("query_id").orderBy("query_id").collect()]
-    kinds = dict(vectors.dtypes)
-    out = None
-    for at in range(0, max(1, len(ids)), block):
-        low, high = ids[at : at + block][:1], ids[at : at + block][-1:]
-        part = queries.where(F.col("query_id").between(low[0], high[0])).toPandas() if low else pd.DataFrame({"query_id": [], "embedding": []})
-        matrix = _unit(part["embedding"])
-        shared = spark.sparkContext.broadcast((part["query_id"].to_numpy(), matrix))
+    blocks = max(1, -(-queries.count() // block))
+    kinds, out = dict(vectors.dtypes), None
+    for number in range(blocks):
+        part = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == number).select("query_id", "embedding").orderBy("query_id")
+        may = None
+        if allowed is not None:  # the documents that this block's queries may see
+            may = {}
+            for r in part.select("query_id").join(allowed, "query_id").groupBy("query_id").agg(F.collect_set("document_id").alias("d")).collect():
+                may[r["query_id"]] = np.array(r["d"], dtype=object)
+        part = part.toPandas()
+        shared = spark.sparkContext.broadcast((part["query_id"].to_numpy(), _unit(part["embedding"]), may))
 
         def run(frames: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            names, wanted = shared.value
+            names, wanted, may = shared.value
             for frame in frames:
                 if not len(frame) or not len(names):
                     continue
+                frame = frame.sort_values(["document_id", "chunk_id"] if each else "chunk_id", kind="stable", ignore_index=True)
                 score = np.round(wanted @ _unit(frame["embedding"]).T, 8)
-                keys = frame["chunk_id"].to_numpy()
-                rank = np.argsort(keys, kind="stable")
-                score = score[:, rank]
-                best = np.argsort(-score, axis=1, kind="stable")[:, : k if allowed is None else None]
-                rows, cols = np.repeat(np.arange(len(names)), best.shape[1]), best.ravel()
-                source = frame.iloc[rank[cols]]
-                yield pd.DataFrame({"query_id": names[rows], "chunk_id": source["chunk_id"].to_numpy(), "document_id": source["document_id"].to_numpy(), "score": score[rows, cols]})
-
-        hits = vectors.select("chunk_id", "document_id", "embedding").mapInPandas(run, f"query_id {dict(queries.dtypes)['query_id']}, chunk_id {kinds['chunk_id']}, document_id {kinds['document_id']}, score double")
-        out = hits if out is None else out.unionByName(hits)
-    if allowed is not None:
-        out = out.join(allowed, ["query_id", "document_id"], "left_semi")
-    return top(out, "query_id", k, F.desc("score"), F.asc("chunk_id"))
+                docs = frame["document_id"].to_numpy()
+                open_ = np.ones(score.shape, dtype=bool) if least is None else score >= least
+                if apart:
+                    open_ &= docs[None, :] != names[:, None]
+                if may is not None:
+                    for q, name in enumerate(names.tolist()):
+                        open_[q] &= np.isin(docs, may.get(name, np.empty(0, dtype=object)).astype(docs.dtype))
+                group = np.cumsum(np.append(False, docs[1:] != docs[:-1])) if each else np.zeros(len(docs), dtype=np.int64)
+                rows, cols, hits = [], [], []
+                for q in range(len(names)):
+                    at = np.flatnonzero(open_[q])
+                    if not len(at):
+                        continue
+                    if not each and len(at) > 4 * k:  # whatever ties with the k-th stays in
+                        at = at[score[q, at] >= -np.partition(-score[q, at], k - 1)[k - 1]]
+                    order = at[np.lexsort((at, -score[q, at], group[at]))]
+                    first = np.flatnonzero(np.append(True, np.diff(group[order]) != 0))
+                    place = np.arange(len(order)) - np.repeat(first, np.diff(np.append(first, len(order))))
+                    order = order[place < k]
+                    rows.append(np.full(len(order), q)), cols.append(order), hits.append(np.append(open_[q].sum(), np.zeros(len(order) - 1, dtype=np.int64)))
+                if rows:
+                    rows, cols = np.concatenate(rows), np.concatenate(cols)
+                    yield pd.DataFrame({"query_id": names[rows], "chunk_id": frame["chunk_id"].to_numpy()[cols], "document_id": docs[cols], "score": score[rows, cols], "hits": np.concatenate(hits).astype(np.int64)})
+
+        schema = f"query_id {dict(queries.dtypes)['query_id']}, chunk_id {kinds['chunk_id']}, document_id {kinds['document_id']}, score double, hits long"
+        found = vectors.select("chunk_id", "document_id", "embedding").mapInPandas(run, schema)
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
+def vector_top(queries: DataFrame, vectors: DataFrame, k: int, allowed: DataFrame | None = None, each: bool = False) -> DataFrame:
+    """(query_id, chunk_id, document_id, score, rank): the k nearest by cosine similarity, exactly; with ``each`` in each document."""
+    hits = vector_hits(queries, vectors, k, each=each, allowed=allowed).drop("hits")
+    return top(hits, ["query_id", "document_id"] if each else "query_id", k, F.desc("score"), F.asc("chunk_id"))
 
 
 def _unit(vectors: pd.Series) -> np.ndarray:
@@ -121,6 +150,19 @@ def no_answer(diagnosed: DataFrame, scoped: Column, least_score: float = 0.08, l
     return diagnosed.withColumn("reason", reason).withColumn("grounded", F.col("reason").isNotNull())
 
 
+def prompts(questions: DataFrame, results: DataFrame, thinking: bool = True) -> DataFrame:
+    """(query_id, prompt): each question's results in rank order in the template, or the template without context if it has none.
+
+    ``questions`` has (query_id, question), ``results`` (query_id, rank, document_id, page, content).
+    """
+    source = F.concat(F.lit("[来源: "), F.coalesce(F.col("document_id").cast("string"), F.lit("unknown")), F.lit(", 第 "), F.coalesce("page", F.lit(1)).cast("string"), F.lit(" 页]\n"), "content")
+    blocks = results.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", source.alias("s")))).alias("rows"))
+    context = F.array_join(F.transform("rows", lambda r: r["s"]), "\n\n")
+    asked = questions.join(blocks, "query_id", "left")
+    grounded = filled(P.THINKING if thinking else P.SIMPLE, version=F.lit(P.VERSION), context=context, question=F.col("question"))
+    return asked.select("query_id", F.when(F.col("rows").isNull(), filled(P.WITHOUT_CONTEXT, question=F.col("question"))).otherwise(grounded).alias("prompt"))
+
+
 def rerank(candidates: DataFrame, scorer: Column, k: int) -> DataFrame:
     """Orders each query's candidates by ``scorer`` (a Column: built in or a pandas UDF); keeps the base score and both ranks."""
     scored = candidates.withColumnRenamed("rank", "original_rank").withColumn("rerank_score", F.round(scorer, 6))

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from folio.functions import text as X
 from folio.operators.lexical import top
-from folio.operators.retrieval import vector_top
+from folio.operators.retrieval import vector_hits
 
 
 def mean_vectors(vectors: DataFrame, doc: str = "document_id", col: str = "embedding") -> DataFrame:
@@ -39,8 +39,8 @@ def similar_documents(asked: DataFrame, vectors: DataFrame, least: float, limit:
     ``asked`` has (query_id, embedding), ``vectors`` (document_id, embedding).
     """
     rows = vectors.select(F.col("document_id").alias("chunk_id"), "document_id", "embedding")
-    near = vector_top(asked, rows, 1 << 30).where((F.col("document_id") != F.col("query_id")) & (F.col("score") >= least)).drop("rank")
-    total = near.groupBy("query_id").agg(F.count("*").alias("total"))
+    near = vector_hits(asked, rows, limit, least=least, apart=True)
+    total = near.groupBy("query_id").agg(F.sum("hits").alias("total"))
     best = top(near, "query_id", limit, F.desc("score"), F.asc("document_id"))
     return best.join(total, "query_id").select("query_id", "document_id", F.round("score", 4).alias("similarity"), "total", "rank")
 
@@ -105,6 +105,14 @@ def verdict(similarity: Column) -> Column:
     return F.when(similarity >= 0.8, "两份文档高度相似").when(similarity >= 0.6, "两份文档中等相似").when(similarity >= 0.4, "两份文档存在部分相似").otherwise("两份文档差异较大")
 
 
+def compare_summary(similarity: Column, common: Column, only_a: Column, only_b: Column) -> Column:
+    """The sentence on a compared pair: its level, up to five common topics, up to three of either side alone."""
+    said = lambda topics, n, none: F.when(F.coalesce(F.size(topics), F.lit(0)) > 0, F.array_join(F.slice(topics, 1, n), "、")).otherwise(none)
+    return F.concat(
+        verdict(similarity), F.lit("。共同主题："), said(common, 5, "暂无明显共同主题"), F.lit("。文档A偏向："), said(only_a, 3, "暂无明显独有主题"), F.lit("。文档B偏向："), said(only_b, 3, "暂无明显独有主题"), F.lit("。")
+    )
+
+
 def topic_split(pairs: DataFrame, keywords: DataFrame, k: int) -> DataFrame:
     """(a, b, kind, keyword, score, rank): keywords common to a pair by summed score, or of one side only; the k best of each kind.
 

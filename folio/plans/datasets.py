@@ -79,7 +79,7 @@ def d07_incomplete(t: Tables) -> DataFrame:
 _EVERY = f"""{_SECTIONS}, ex AS (SELECT document_id, heading, 1 AS no FROM sections QUALIFY row_number() OVER (PARTITION BY document_id ORDER BY section_no) = 1),
 al AS (SELECT document_id, list(heading ORDER BY section_no) AS every, list(heading ORDER BY section_no) FILTER (heading NOT IN (SELECT e.heading FROM ex e WHERE e.document_id = s.document_id)) AS fresh FROM sections s GROUP BY document_id),
 an AS (SELECT document_id, k + 2 AS no, CASE WHEN k < len(coalesce(fresh, [])) THEN fresh[k + 1] ELSE every[(k - len(coalesce(fresh, []))) % len(every) + 1] END AS heading FROM al, range(7) r(k))"""
-_TEMPLATE = "replace([" + ", ".join(f"'{x}'" for x in D.TEMPLATES) + "][(no - 1) % 5 + 1], '{}', heading)"
+_TEMPLATE = "replace([" + ", ".join(f"'{x}'" for x in D.TEMPLATES) + "][(no - 1) % 5 + 1], '{heading}', heading)"
 
 
 def answerable(t: Tables) -> DataFrame:

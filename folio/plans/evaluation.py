@@ -48,7 +48,7 @@ def e02_experiment_matrix(t: Tables) -> DataFrame:
 
 @query(r"""WITH c AS (SELECT id, 'a' AS side, unnest(string_split(regexp_replace(ideal_answer, '\s+', '', 'g'), '')) AS ch FROM {f_predictions} UNION ALL SELECT id, 'b', unnest(string_split(regexp_replace(answer, '\s+', '', 'g'), '')) FROM {f_predictions}),
 n AS (SELECT id, ch, count(*) FILTER (side = 'a') AS na, count(*) FILTER (side = 'b') AS nb FROM c WHERE ch <> '' GROUP BY id, ch), o AS (SELECT id, round(2.0 * sum(least(na, nb)) / (sum(na) + sum(nb)), 4) AS overlap FROM n GROUP BY id)
-SELECT count(*) AS total, count(*) FILTER (rejectable) AS rejectable_total, round(avg((rejectable = contains(answer, '未找到足够依据'))::INT), 4) AS no_answer_precision, round(avg(CASE WHEN NOT rejectable THEN overlap END), 4) AS answer_overlap FROM {f_predictions} JOIN o USING (id)""")
+SELECT count(*) AS total, count(*) FILTER (rejectable) AS rejectable_total, round(avg((rejectable = regexp_matches(answer, '未找到足够依据|没有足够依据|暂无足够证据|无法从提供的文档中找到|无法根据当前文档确定'))::INT), 4) AS no_answer_precision, round(avg(CASE WHEN NOT rejectable THEN overlap END), 4) AS answer_overlap FROM {f_predictions} JOIN o USING (id)""")
 def e03_prediction_eval(t: Tables) -> DataFrame:
     rows = t("f_predictions")
     scored = rows.join(char_overlap(rows, "id", "ideal_answer", "answer"), "id")

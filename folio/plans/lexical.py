@@ -42,14 +42,14 @@ bm AS (SELECT query_id, chunk_id, score, row_number() OVER (PARTITION BY query_i
 bm25 AS (SELECT * FROM bm WHERE score > 0)"""
 
 
-@query(f"SELECT doc_id, token, count(*) AS n FROM {toks('documents', 'doc_id', 'text')} GROUP BY ALL HAVING count(*) >= 3")
+@query(f"SELECT doc_id, token, count(*) AS n FROM {toks('documents', 'doc_id', 'text')} GROUP BY ALL")
 def l01_tokens(t: Tables) -> DataFrame:
-    return t("documents").select("doc_id", F.explode(X.tokens(F.col("text"))).alias("token")).groupBy("doc_id", "token").agg(F.count("*").alias("n")).where("n >= 3")
+    return L.term_counts(t("documents"), "doc_id", "text")
 
 
-@query()
+@query(f"SELECT doc_id, token, count(*) AS n FROM {toks('documents', 'doc_id', 'text')} GROUP BY ALL")
 def l01_all_tokens(t: Tables) -> DataFrame:
-    return L.term_counts(t("documents"), "doc_id", "text")
+    return l01_tokens(t)
 
 
 @query(f"SELECT DISTINCT query_id, term FROM (SELECT query_id, unnest(regexp_extract_all(lower(question), '[A-Za-z0-9]+')) AS term FROM {{f_questions}}) WHERE length(term) > 1 AND term NOT IN {_TERMS} AND NOT regexp_full_match(term, '[0-9]+')")
@@ -85,16 +85,25 @@ def l07_hybrid_keywords(t: Tables) -> DataFrame:
     return L.hybrid_keywords(t("documents"), "doc_id", "text", 10)
 
 
-@query(f"""WITH a AS (SELECT id, list_distinct(list_filter(regexp_extract_all(lower(ideal_answer), '[0-9a-z]+'), lambda w: w NOT IN {_STOP})) AS x, list_distinct(list_filter(regexp_extract_all(lower(answer), '[0-9a-z]+'), lambda w: w NOT IN {_STOP})) AS y FROM {{f_predictions}} WHERE id % 5 >= 2)
-SELECT id, round(CASE WHEN len(x) = 0 OR len(y) = 0 THEN 0.0 ELSE len(list_intersect(x, y)) / len(list_distinct(list_concat(x, y))) END, 6) AS similarity FROM a""")
+def token_set(text: str) -> str:
+    """DuckDB: the distinct tokens of a text, bigrams of Han runs included."""
+    runs = f"regexp_extract_all(lower({text}), '([0-9a-z]+|[\\x{{4e00}}-\\x{{9fff}}]+)')"
+    pieces = f"flatten(list_transform({runs}, lambda r: CASE WHEN regexp_matches(r, '^[0-9a-z]') THEN [r] ELSE list_transform(range(1, length(r)), lambda i: substr(r, i, 2)) END))"
+    return f"list_distinct(list_filter({pieces}, lambda w: w NOT IN {_STOP}))"
+
+
+_JACCARD = f"""WITH a AS (SELECT id, {token_set('ideal_answer')} AS x, {token_set('answer')} AS y FROM {{f_predictions}})
+SELECT id, round(CASE WHEN len(x) = 0 OR len(y) = 0 THEN 0.0 ELSE len(list_intersect(x, y)) / len(list_distinct(list_concat(x, y))) END, 6) AS similarity FROM a"""
+
+
+@query(_JACCARD)
 def l08_token_jaccard(t: Tables) -> DataFrame:
-    pairs = t("f_predictions").where("NOT rejectable AND id % 5 <> 1")
-    return pairs.select("id", F.round(X.jaccard(X.tokens(F.col("ideal_answer")), X.tokens(F.col("answer"))), 6).alias("similarity"))
+    return t("f_predictions").select("id", F.round(X.jaccard(X.tokens(F.col("ideal_answer")), X.tokens(F.col("answer"))), 6).alias("similarity"))
 
 
-@query()
+@query(_JACCARD)
 def l08_all_predictions(t: Tables) -> DataFrame:
-    return t("f_predictions").select("id", F.round(X.jaccard(X.tokens(F.col("ideal_answer")), X.tokens(F.col("answer"))), 6).alias("similarity"))
+    return l08_token_jaccard(t)
 
 
 @query(f"WITH {BM25} SELECT token, chunk_id, round(weight, 6) AS weight FROM ix")
@@ -120,13 +129,12 @@ summ AS (SELECT doc_id, length(text) AS source_length, CASE WHEN length(text) <=
 
 @query(f"WITH {SUMMARY} SELECT doc_id, summary FROM summ")
 def l11_summary(t: Tables) -> DataFrame:
-    return L.extractive_summary(t("documents"), "doc_id", "text", 400)
+    return L.extractive_summary(t("documents"), "doc_id", "text", 400).drop("source_length")
 
 
 @query(f"WITH {SUMMARY} SELECT doc_id, summary, source_length::INT AS source_length, round(length(summary) / source_length, 4) AS compression_ratio, 'extractive' AS method, '简洁' AS style, false AS fallback FROM summ")
 def l12_summary_envelope(t: Tables) -> DataFrame:
-    docs = t("documents")
-    made = L.extractive_summary(docs, "doc_id", "text", 400).join(docs.select("doc_id", F.length(X.strip(F.col("text"))).alias("source_length")), "doc_id")
+    made = L.extractive_summary(t("documents"), "doc_id", "text", 400)
     ratio = F.round(F.length("summary") / F.col("source_length"), 4)
     return made.select("doc_id", "summary", "source_length", ratio.alias("compression_ratio"), F.lit("extractive").alias("method"), F.lit("简洁").alias("style"), F.lit(False).alias("fallback"))
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from folio.functions import prompts as P
 from folio.functions import text as X
 from folio.operators import lexical as L
 from folio.operators import retrieval as R
@@ -96,8 +97,7 @@ _MULTI = _NEAR.replace("{where}", "vec_id % 50 = 0") + """, per AS (SELECT *, ro
 def per_document(t: Tables, k: int = 3) -> DataFrame:
     """The k nearest vectors in each document, for every query of the stated set."""
     asked = t("embeddings").where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
-    every = R.vector_top(asked, t("f_chunk_vectors"), 1 << 30).drop("rank")
-    return L.top(every, ["query_id", "document_id"], k, F.desc("score"), F.asc("chunk_id"))
+    return R.vector_top(asked, t("f_chunk_vectors"), k, each=True)
 
 
 @query(f"WITH {_MULTI} SELECT query_id, label::BIGINT AS document_id, vec AS chunk_id, round(score, 4) AS score, rank FROM per")
@@ -145,10 +145,23 @@ def r15_answer_record(t: Tables) -> DataFrame:
     return judged.select("query_id", F.lit("hybrid").alias("strategy"), "citation_count", F.col("reason").alias("fallback_reason"), "top_score", "evidence_coverage", F.when(F.col("grounded"), F.lit(R.REFUSAL)).alias("answer"))
 
 
-@query(f"""WITH {_RESULT} SELECT q.query_id, concat('根据以下资料回答问题。', chr(10), coalesce(string_agg(concat('[来源: ', document_id, ', 第 ', page, ' 页]', chr(10), content), chr(10)||chr(10) ORDER BY rank), ''), chr(10), '问题：', any_value(question)) AS prompt
-FROM {{f_questions}} q LEFT JOIN res USING (query_id) GROUP BY q.query_id""")
+def _template(text: str) -> str:
+    """DuckDB: a template with its version, the context ``ctx`` and ``question`` in place."""
+    quoted = text.replace("'", "''").replace("{version}", P.VERSION)
+    return f"replace(replace('{quoted}', '{{context}}', ctx), '{{question}}', question)"
+
+
+_PROMPT = f"""WITH {_RESULT}, c AS (SELECT q.query_id, any_value(question) AS question, string_agg(CASE WHEN chunk_id IS NOT NULL THEN concat('[来源: ', document_id, ', 第 ', page, ' 页]', chr(10), content) END, chr(10)||chr(10) ORDER BY rank) AS ctx
+FROM (SELECT *, query_id % 5 = 0 AS dry FROM {{f_questions}}) q LEFT JOIN res ON res.query_id = q.query_id AND NOT dry GROUP BY q.query_id)
+SELECT query_id, CASE WHEN ctx IS NULL THEN {_template(P.WITHOUT_CONTEXT).replace('ctx', chr(39) * 2)} ELSE {{template}} END AS prompt FROM c"""
+
+
+@query(_PROMPT.replace("{template}", _template(P.THINKING)))
 def r16_prompt(t: Tables) -> DataFrame:
-    block = F.concat(F.lit("[来源: "), "document_id", F.lit(", 第 "), "page", F.lit(" 页]\n"), "content")
-    made = results(t).groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", block.alias("s")))).alias("rows")).select("query_id", F.array_join(F.transform("rows", lambda r: r["s"]), "\n\n").alias("context"))
-    prompt = F.concat(F.lit("根据以下资料回答问题。\n"), F.coalesce("context", F.lit("")), F.lit("\n问题："), "question")
-    return t("f_questions").join(made, "query_id", "left").select("query_id", prompt.alias("prompt"))
+    """Every fifth question goes without results."""
+    return R.prompts(t("f_questions"), results(t).where("query_id % 5 <> 0"))
+
+
+@query(_PROMPT.replace("{template}", _template(P.SIMPLE)))
+def r16_simple_prompt(t: Tables) -> DataFrame:
+    return R.prompts(t("f_questions"), results(t).where("query_id % 5 <> 0"), thinking=False)

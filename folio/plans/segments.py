@@ -93,19 +93,24 @@ def c12_candidate_blocks(t: Tables) -> DataFrame:
     return C.markdown_sections(t("f_markdown")).select("document_id", "section_no", F.posexplode(C.candidate_blocks(F.col("body"))).alias("block_index", "content"))
 
 
-@query(r"""WITH s AS (SELECT document_id, chunk_index, list_filter(list_transform(string_split(regexp_replace(content, '[。！？；;\n]', chr(1), 'g'), chr(1)), lambda p:
-  regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(p, '\[([^\]]+)\]\([^)]+\)', '\1', 'g'), '[*_`>#]+', ' ', 'g'), '[|—]', ' ', 'g'), '\s+', ' ', 'g'), '^[- \t\r\n]+|[- \t\r\n]+$', '', 'g')), lambda p: length(p) >= 4) AS ps FROM {f_chunks} WHERE NOT regexp_matches(content, '^([-*+]\s+|\d+[.)、]\s*)'))
-SELECT document_id, chunk_index, coalesce(array_to_string(list_transform(ps[1:1], lambda p: CASE WHEN length(p) > 80 THEN regexp_replace(left(p, 80), '[，,;；:： ]+$', '') ELSE p END), '|'), '') AS points FROM s WHERE len(ps) <= 1""")
+_INLINE = r"""regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace({0}, '\[([^\]]+)\]\([^)]+\)', '\1', 'g'), '[*_`>#]+', ' ', 'g'), '[|—]', ' ', 'g'), '\s+', ' ', 'g'), '^[- \t\r\n]+|[- \t\r\n]+$', '', 'g')"""
+
+
+_POINTS = rf"""WITH l AS (SELECT document_id, chunk_index, content, list_filter(list_transform(string_split(content, chr(10)), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '' AND NOT regexp_matches(x, '^(```|~~~)')) AS ls FROM {{f_chunks}}),
+b AS (SELECT *, list_filter(list_transform(list_filter(ls, lambda x: regexp_matches(x, '^[-*+]\s+|^\d+[.)、]\s*')), lambda x: {_INLINE.format(r"regexp_replace(x, '^([-*+]|\d+[.)、])\s*', '')")}), lambda x: x <> '') AS bs,
+  list_filter(list_transform(string_split(regexp_replace(content, '[。！？；;\n]', chr(1), 'g'), chr(1)), lambda p: {_INLINE.format('p')}), lambda p: length(p) >= 4) AS ps FROM l),
+c AS (SELECT *, list_filter(list_transform(CASE WHEN len(bs) > 0 THEN bs ELSE ps END, lambda p: CASE WHEN length(p) > 80 THEN regexp_replace(left(p, 80), '[，,;；:： ]+$', '') ELSE p END), lambda p: p <> '') AS cs FROM b)
+SELECT document_id, chunk_index, coalesce(array_to_string((list_filter(cs, lambda p, i: list_position(cs, p) = i))[:4], '|'), '') AS points FROM c"""
+
+
+@query(_POINTS)
 def c13_answer_points(t: Tables) -> DataFrame:
-    plain = t("f_chunks").where(~F.col("content").rlike(r"^([-*+]\s+|\d+[.)、]\s*)"))
-    made = plain.select("document_id", "chunk_index", "content", X.answer_points(F.col("content")).alias("points"))
-    few = F.size(F.filter(F.transform(F.split("content", "[。！？；;\n]"), X.strip_inline_markdown), lambda p: F.length(p) >= 4)) <= 1
-    return made.where(few).select("document_id", "chunk_index", F.array_join("points", "|").alias("points"))
+    return t("f_chunks").select("document_id", "chunk_index", F.array_join(X.answer_points(F.col("content")), "|").alias("points"))
 
 
-@query()
+@query(_POINTS)
 def c13_all_chunks(t: Tables) -> DataFrame:
-    return t("f_chunks").select("document_id", "chunk_index", F.array_join(X.answer_points(F.col("content")), "|").alias("points"))
+    return c13_answer_points(t)
 
 
 @query("SELECT document_id, count(*) AS chunk_count, count(DISTINCT parent_chunk_index) AS parent_chunk_count, count(DISTINCT page) AS page_count, bool_or(type = 'table') AS has_tables, bool_or(type = 'ocr') AS ocr_used FROM {f_chunks} GROUP BY document_id")

@@ -14,15 +14,13 @@ from folio.plans.registry import Tables, query
 _MEAN = """mv AS (SELECT label AS document_id, list(x ORDER BY pos) AS embedding FROM (SELECT label, pos, avg(x::DOUBLE) AS x FROM (SELECT label, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS pos FROM embeddings) GROUP BY ALL) GROUP BY label)"""
 _COS = "list_dot_product({a}, {b}) / sqrt(list_dot_product({a}, {a}) * list_dot_product({b}, {b}))"
 _PAIRS = _COS.format(a="x.embedding", b="y.embedding")
-_NEXT = "pr AS (SELECT doc_id AS a, lead(doc_id) OVER (PARTITION BY lang, source ORDER BY doc_id) AS b FROM documents QUALIFY b IS NOT NULL)"
+_NEXT = "pr AS (SELECT x.doc_id AS a, y.doc_id AS b FROM documents x JOIN documents y ON y.doc_id = x.doc_id + 1)"
 
 
 def document_pairs(t: Tables) -> DataFrame:
-    """Each document with the next of its language and source."""
-    from pyspark.sql import Window
-
-    after = F.lead("doc_id").over(Window.partitionBy("lang", "source").orderBy("doc_id"))
-    return t("documents").select(F.col("doc_id").alias("a"), after.alias("b")).where("b IS NOT NULL")
+    """Each document with the next by id."""
+    ids = t("documents").select(F.col("doc_id").alias("a"))
+    return ids.join(ids.select(F.col("a").alias("b")), F.col("b") == F.col("a") + 1)
 
 
 @query(f"WITH {_MEAN} SELECT document_id::BIGINT AS document_id, list_transform(embedding, lambda x: round(x, 5)) AS embedding FROM mv")
@@ -78,15 +76,27 @@ def m06_topic_split(t: Tables) -> DataFrame:
     return M.topic_split(document_pairs(t), words, 5)
 
 
-@query(f"""WITH {_NEXT}, j AS (SELECT a, b, abs(coalesce(x.chunk_count, 0) - coalesce(y.chunk_count, 0)) AS chunk_delta, abs(x.file_size - y.file_size) AS size_delta, least(x.file_size, y.file_size) / greatest(x.file_size, y.file_size, 1) AS s
+_LEVEL = "CASE WHEN s >= 0.8 THEN '两份文档高度相似' WHEN s >= 0.6 THEN '两份文档中等相似' WHEN s >= 0.4 THEN '两份文档存在部分相似' ELSE '两份文档差异较大' END"
+_SAID = "coalesce(array_to_string((list(keyword ORDER BY rank) FILTER (kind = '{0}'))[:{1}], '、'), '{2}')"
+
+
+@query(f"""WITH {TFIDF}, {_NEXT}, l AS (SELECT a, b, keyword, score AS sa FROM pr JOIN tfidf ON doc_id = a), r AS (SELECT a, b, keyword, score AS sb FROM pr JOIN tfidf ON doc_id = b),
+m AS (SELECT a, b, CASE WHEN sa IS NULL THEN 'unique_b' WHEN sb IS NULL THEN 'unique_a' ELSE 'common' END AS kind, keyword, round(coalesce(sa, 0) + coalesce(sb, 0), 4) AS score FROM l FULL OUTER JOIN r USING (a, b, keyword)),
+k AS (SELECT *, row_number() OVER (PARTITION BY a, b, kind ORDER BY score DESC, keyword) AS rank FROM m), tp AS (SELECT a, b, {_SAID.format('common', 5, '暂无明显共同主题')} AS c, {_SAID.format('unique_a', 3, '暂无明显独有主题')} AS ua, {_SAID.format('unique_b', 3, '暂无明显独有主题')} AS ub FROM k GROUP BY a, b),
+j AS (SELECT a, b, abs(coalesce(x.chunk_count, 0) - coalesce(y.chunk_count, 0)) AS chunk_delta, abs(x.file_size - y.file_size) AS size_delta, least(x.file_size, y.file_size) / greatest(x.file_size, y.file_size, 1) AS s
 FROM pr JOIN {{f_docs_catalog}} x ON x.id = a JOIN {{f_docs_catalog}} y ON y.id = b)
-SELECT a, b, chunk_delta, size_delta, CASE WHEN s >= 0.8 THEN '两份文档高度相似' WHEN s >= 0.6 THEN '两份文档中等相似' WHEN s >= 0.4 THEN '两份文档存在部分相似' ELSE '两份文档差异较大' END AS level FROM j""")
+SELECT a, b, chunk_delta, size_delta, {_LEVEL} AS level, concat({_LEVEL}, '。共同主题：', coalesce(c, '暂无明显共同主题'), '。文档A偏向：', coalesce(ua, '暂无明显独有主题'), '。文档B偏向：', coalesce(ub, '暂无明显独有主题'), '。') AS summary FROM j LEFT JOIN tp USING (a, b)""")
 def m07_structure_delta(t: Tables) -> DataFrame:
+    """The ratio of sizes stands for the similarity of a pair."""
     cat = t("f_docs_catalog").select("id", F.coalesce("chunk_count", F.lit(0)).alias("c"), F.col("file_size").alias("s"))
     x, y = (cat.select(F.col("id").alias(k), F.col("c").alias(f"c{k}"), F.col("s").alias(f"s{k}")) for k in "ab")
-    both = document_pairs(t).join(x, "a").join(y, "b")
+    words = L.tfidf_keywords(t("documents"), "doc_id", "text", 10).withColumnRenamed("doc_id", "id")
+    of = lambda kind: F.transform(F.array_sort(F.collect_list(F.when(F.col("kind") == kind, F.struct("rank", "keyword")))), lambda r: r["keyword"]).alias(kind)
+    topics = M.topic_split(document_pairs(t), words, 5).groupBy("a", "b").agg(of("common"), of("unique_a"), of("unique_b"))
+    both = document_pairs(t).join(x, "a").join(y, "b").join(topics, ["a", "b"], "left")
     alike = F.least("sa", "sb") / F.greatest("sa", "sb", F.lit(1))
-    return both.select("a", "b", F.abs(F.col("ca") - F.col("cb")).alias("chunk_delta"), F.abs(F.col("sa") - F.col("sb")).alias("size_delta"), M.verdict(alike).alias("level"))
+    summary = M.compare_summary(alike, F.col("common"), F.col("unique_a"), F.col("unique_b"))
+    return both.select("a", "b", F.abs(F.col("ca") - F.col("cb")).alias("chunk_delta"), F.abs(F.col("sa") - F.col("sb")).alias("size_delta"), M.verdict(alike).alias("level"), summary.alias("summary"))
 
 
 _RECENT = """rc AS (SELECT * FROM {f_query_history} QUALIFY row_number() OVER (PARTITION BY document_id ORDER BY last_queried DESC, user_id, question) <= 1000),

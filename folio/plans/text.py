@@ -91,7 +91,7 @@ def t11_strip_headings(t: Tables) -> DataFrame:
     return t("f_markdown").groupBy("document_id").agg(whole.alias("text")).select("document_id", X.without_headings(F.col("text")).alias("text"))
 
 
-@query("SELECT id, contains(answer, '未找到足够依据') OR contains(answer, '没有足够依据') OR contains(answer, '无法根据') OR contains(answer, '无法回答') OR contains(answer, '没有找到足够依据') AS refused FROM {f_predictions}")
+@query("SELECT id, regexp_matches(answer, '未找到足够依据|没有足够依据|暂无足够证据|无法从提供的文档中找到|无法根据当前文档确定') AS refused FROM {f_predictions}")
 def t12_refusal(t: Tables) -> DataFrame:
     return t("f_predictions").select("id", X.any_in(F.col("answer"), X.REFUSALS).alias("refused"))
 

@@ -9,9 +9,11 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from folio.functions import text as X
@@ -157,9 +159,31 @@ def service_health(spark: SparkSession, outcomes: DataFrame, last: int = 50) ->
     return rows.groupBy("service").agg(F.max_by(F.struct("samples", "error_rate", "streak", "duration_s", "healthy"), "batch").alias("r")).select("service", "r.*").withColumns({c: F.round(c, 4) for c in ("error_rate", "duration_s")})
 
 
-def idempotent(spark: SparkSession, events: DataFrame, keys: list[str], ts: str = "ts", keep: str = "600 seconds") -> DataFrame:
-    """The first event of each key; repeats within ``keep`` of it are dropped."""
+def idempotent(spark: SparkSession, events: DataFrame, keys: list[str], ts: str = "ts", keep: int = 600) -> DataFrame:
+    """(keys, ts) of the events that are no repeats: the first of each key, and after that the first one more than ``keep`` seconds
+    after the last that was kept.
+
+    A key's state is the time of its last kept event; it goes when event time has passed it by ``keep`` seconds. Events of a
+    micro-batch are taken in order of time, events later than the watermark (``keep`` seconds) are dropped, and of equal times one stays.
+    """
     run = Run(spark, "idempotent")
-    made = events.withWatermark(ts, keep).dropDuplicatesWithinWatermark(keys)
-    run.drain(made, "append")
-    return run.result(made.schema)
+    kinds = {f.name: f.dataType.simpleString() for f in events.schema.fields}
+    schema = ", ".join(f"{k} {kinds[k]}" for k in keys) + f", {ts} timestamp"
+
+    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        last = state.get[0] if state.exists else None
+        kept = []
+        for at in np.sort(np.concatenate([f["us"].to_numpy() for f in frames])).tolist():
+            if last is None or at - last > keep * 1_000_000:
+                kept.append(at)
+                last = at
+        state.update((last,))
+        state.setTimeoutTimestamp(max(last // 1000 + keep * 1000, state.getCurrentWatermarkMs()) + 1)
+        yield pd.DataFrame({**{k: [v] * len(kept) for k, v in zip(keys, key, strict=True)}, ts: pd.to_datetime(kept, unit="us")})
+
+    rows = events.withWatermark(ts, f"{keep} seconds").withColumn("us", F.unix_micros(ts))
+    run.drain(rows.groupBy(*keys).applyInPandasWithState(step, schema, "last long", "append", GroupStateTimeout.EventTimeTimeout), "append")
+    return run.result(T.StructType([*(events.schema[k] for k in keys), T.StructField(ts, T.TimestampType())]))
