@@ -30,6 +30,8 @@ SEEN_BITS = 22
 HOT = 512
 #: Pairs of positions that are expanded at once.
 PAIRS = 1 << 18
+#: Bytes of text that are looked through at once; a longer text stands alone.
+TEXT_BYTES = 1 << 18
 #: Characters of scripts that put no blanks between words: Thai, Lao, Myanmar, Khmer, kana, Han.
 UNSPACED = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]")
 
@@ -267,7 +269,7 @@ def mark_contaminated(
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             p = shared.value
-            for batch in chunks(batches, "_folio_text"):
+            for batch in chunks(batches, "_folio_text", TEXT_BYTES):
                 found = find([normal(t) for t in batch.column("_folio_text").to_pylist()], p)
                 before = batch.column("matches").to_pylist() if blocks > 1 else [[]] * batch.num_rows
                 new = [b + [{"item_id": i, "edits": e} for i, e in sorted(found.get(k, {}).items())] for k, b in enumerate(before)]
