@@ -51,12 +51,12 @@ class Encoder:
     by position. Neither tokenizer's pattern lets a token span the end of a run of letters or marks before other characters, so the
     ids of a text are those of its pieces one after another, and those of a new piece are those of its parts. New parts of letters
     alone are encoded many at a time as one text, and told apart by the vocabulary's own word marks (a word's end, or its leading
-    blank). ``keep_space`` leaves white space in front of a piece (byte-level vocabularies encode it); else it is dropped (word
+    blank). What is remembered lies in Arrow and numpy buffers, some 30 bytes a piece. ``keep_space`` leaves white space in front of a piece (byte-level vocabularies encode it); else it is dropped (word
     vocabularies ignore it). The memory holds about ``memory`` pieces and then starts anew. Strings of special tokens are read as
     the library reads them by default, as those tokens; texts that hold one are encoded whole.
     """
 
-    def __init__(self, path: str, keep_space: bool, memory: int = 1_000_000, longest: int = 64):
+    def __init__(self, path: str, keep_space: bool, memory: int = 500_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -66,9 +66,13 @@ class Encoder:
         names = {i: t for t, i in self.tokenizer.get_vocab().items()}
         self.edge = np.array([names.get(i, "").startswith("Ġ") if keep_space else names.get(i, "").endswith("</w>") for i in range(max(names) + 1)])
         self.special = re.compile("|".join(re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()) or r"(?!)", re.I)
-        self.known: dict[str, bytes] = {}
-        self.parts: dict[str, bytes] = {}
-        self.memory, self.longest = memory, longest
+        self.memory = memory
+        self._forget()
+
+    def _forget(self) -> None:
+        self.pieces = pa.array([], type=pa.large_string())
+        self.flat = np.empty(0, dtype=self.dtype)
+        self.at = np.zeros(1, dtype=np.int64)
 
     def __call__(self, texts: list[str | None] | pa.Array) -> list[bytes]:
         """The ids of each text, serialised little-endian in ``self.dtype``. Null is empty."""
@@ -79,7 +83,8 @@ class Encoder:
         whole = {k for k in range(len(texts)) if self.special.search(texts[k].as_py())} if b"|>" in data else set()
         out = self._gather(raw, at)
         for k in odd - whole:
-            out[k] = b"".join(self._look_up(self.pattern.findall(texts[k].as_py())))
+            coded = pa.array(self.pattern.findall(texts[k].as_py()), type=pa.large_string()).dictionary_encode()
+            out[k] = self._ids(self._look_up(coded.dictionary)[coded.indices.to_numpy()])[0]
         for k in whole:
             out[k] = np.array(self.tokenizer.encode(texts[k].as_py(), add_special_tokens=False).ids, dtype=self.dtype).tobytes()
         return out
@@ -110,38 +115,51 @@ class Encoder:
         which = coded.indices.to_numpy()[::step]
         used = np.zeros(len(coded.dictionary), dtype=bool)
         used[which] = True
-        ids = self._look_up(coded.dictionary.filter(pa.array(used)).to_numpy(zero_copy_only=False).tolist())
-        size = np.zeros(len(used), dtype=np.int64)
-        size[used] = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids)) // self.dtype.itemsize
-        flat = np.frombuffer(b"".join(ids), dtype=self.dtype)
-        many = size[which]
-        total = np.append(0, np.cumsum(many))
-        got = flat[np.repeat((np.cumsum(size) - size)[which] - total[:-1], many) + np.arange(total[-1])].tobytes()
+        place = np.zeros(len(used), dtype=np.int64)
+        place[used] = self._look_up(coded.dictionary.filter(pa.array(used)))
+        got, total = self._ids(place[which])
         cuts = (total[np.searchsorted(bounds[:-1:step], at)] * self.dtype.itemsize).tolist()
         return [got[a:b] for a, b in zip(cuts, cuts[1:])]
 
-    def _look_up(self, pieces: list[str]) -> list[bytes]:
-        """The ids of each piece."""
-        if len(self.known) > self.memory:
-            self.known.clear()
-        got = [*map(self.known.get, pieces)]
-        absent = [k for k, x in enumerate(got) if x is None] if None in got else []
-        cut = [self.pattern.findall(pieces[k]) for k in absent]
-        fresh = self._encode([x for c in cut for x in c])
-        for k, c in zip(absent, cut, strict=True):
-            got[k] = fresh[c[0]] if len(c) == 1 else b"".join([fresh[x] for x in c])
-            if len(pieces[k]) <= self.longest:
-                self.known[pieces[k]] = got[k]
-        return got
+    def _ids(self, place: np.ndarray) -> tuple[bytes, np.ndarray]:
+        """The ids of the remembered pieces at these places, one after another, and how many stand before each piece."""
+        many = np.diff(self.at)[place]
+        total = np.append(0, np.cumsum(many))
+        return self.flat[np.repeat(self.at[place] - total[:-1], many) + np.arange(total[-1])].tobytes(), total
+
+    def _find(self, pieces: pa.Array) -> np.ndarray:
+        """Where each piece is remembered, or -1."""
+        return pc.fill_null(pc.index_in(pieces, value_set=self.pieces), -1).to_numpy().astype(np.int64)
+
+    def _look_up(self, pieces: pa.Array) -> np.ndarray:
+        """Where each of these distinct pieces is remembered once this returns."""
+        if len(self.pieces) > self.memory or self.pieces.nbytes > 64 * self.memory:
+            self._forget()
+        place = self._find(pieces)
+        absent = np.flatnonzero(place < 0)
+        if not len(absent):
+            return place
+        cut = {x: self.pattern.findall(x) for x in pieces.take(pa.array(absent)).to_pylist()}
+        parts = [*dict.fromkeys(x for c in cut.values() for x in c)]
+        at = self._find(pa.array(parts, type=pa.large_string())).tolist()
+        held = {p: self.flat[self.at[k] : self.at[k + 1]].tobytes() for p, k in zip(parts, at, strict=True) if k >= 0}
+        fresh = self._encode([p for p, k in zip(parts, at, strict=True) if k < 0])
+        for piece, c in cut.items():
+            if piece not in fresh:
+                fresh[piece] = b"".join([fresh[x] if x in fresh else held[x] for x in c])
+        new = {piece: k for k, piece in enumerate(fresh, len(self.pieces))}
+        place[absent] = [new[piece] for piece in cut]
+        ids = [*fresh.values()]
+        self.pieces = pa.concat_arrays([self.pieces, pa.array([*fresh], type=pa.large_string())])
+        self.flat = np.concatenate([self.flat, np.frombuffer(b"".join(ids), dtype=self.dtype)])
+        sizes = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids)) // self.dtype.itemsize
+        self.at = np.concatenate([self.at, self.at[-1] + np.cumsum(sizes)])
+        return place
 
     def _encode(self, wanted: list[str]) -> dict[str, bytes]:
-        """The ids of parts."""
-        if len(self.parts) > self.memory:
-            self.parts.clear()
-        known = self.parts
-        new = [*{*wanted}.difference(known)]
-        once: dict[str, bytes] = {}
-        plain = [p for p in new if self.simple.fullmatch(p)]
+        """The ids of distinct parts."""
+        done: dict[str, bytes] = {}
+        plain = [p for p in wanted if self.simple.fullmatch(p)]
         for at in range(0, len(plain), 4096):
             part = plain[at : at + 4096]
             ids = np.array(self.tokenizer.encode(("" if self.keep_space else " ").join(part), add_special_tokens=False).ids, dtype=self.dtype)
@@ -150,13 +168,13 @@ class Encoder:
             if len(starts) != len(part):
                 raise ValueError("the vocabulary does not mark its words")
             raw, bounds = ids.tobytes(), [*(starts * self.dtype.itemsize).tolist(), ids.nbytes]
-            known.update(zip(part, map(raw.__getitem__, map(slice, bounds, bounds[1:])), strict=True))
-        rest = [p for p in new if not self.simple.fullmatch(p)]
+            done.update(zip(part, map(raw.__getitem__, map(slice, bounds, bounds[1:])), strict=True))
+        rest = [p for p in wanted if not self.simple.fullmatch(p)]
         for at in range(0, len(rest), 4096):
             part = rest[at : at + 4096]
             for p, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                (known if len(p) <= 32 else once)[p] = np.array(e.ids, dtype=self.dtype).tobytes()
-        return {p: once[p] if p in once else known[p] for p in wanted} if once else known
+                done[p] = np.array(e.ids, dtype=self.dtype).tobytes()
+        return done
 
 
 @lru_cache(maxsize=2)
