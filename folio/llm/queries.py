@@ -9,9 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folio.llm.decontaminate import mark_contaminated
+from folio.llm.filter_audit import interactions, mask_counts
 from folio.llm.fingerprint import edited_fingerprints
 from folio.llm.html_extract import extract_pages
 from folio.llm.lang_id import fit, held_out, predict
+from folio.llm.lexicon import decode, encode
 from folio.llm.near_dedup import near_duplicates
 from folio.llm.packing import pack
 from folio.llm.pii import replace_entities
@@ -84,10 +86,21 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predict(docs.select("doc_id", "text"), model).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
 
 
+def op11_bpe_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vocabulary = tokenizer("word_bpe_49k.json")
+    done = decode(encode(read(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary).drop("text"), vocabulary)
+    n_tokens = (F.octet_length("ids") / 4).cast("long")
+    return done.select("doc_id", n_tokens.alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return interactions(mask_counts(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         f.__name__: f
-        for f in (op1_html_extract, op2_near_dedup, op3_token_store, op4_pii_surrogates, op5_kd_shards, op6_url_filter, op7_pack_histogram, op8_bottom_k, op9_decontaminate, op10_language_id)
+        for f in (op1_html_extract, op2_near_dedup, op3_token_store, op4_pii_surrogates, op5_kd_shards, op6_url_filter, op7_pack_histogram, op8_bottom_k, op9_decontaminate, op10_language_id, op11_bpe_lexicon, op12_filter_audit)
     }
 
 
@@ -129,5 +142,18 @@ SELECT page_id, host, path, CASE {_RULES_SQL.format(*(f"'{r}'" for _, r in RULES
 CASE {_RULES_SQL.format(*(f"'{v}'" for v, _ in RULES))} WHEN bound > 0.5 THEN 'block' ELSE 'allow' END AS verdict FROM ps LEFT JOIN kn USING (host)"""
 
 
+_ORDERS = " CROSS JOIN ".join(f"(VALUES ('A'), ('B'), ('C'), ('D'), ('E')) v{k}(c{k})" for k in range(5))
+OP12_SQL = f"""WITH d AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t, list_filter(string_split_regex(coalesce(text, ''), '[ \\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents),
+l AS (SELECT doc_id, max((quality = 1)::INT) AS good, max((toxic = 1)::INT) AS toxic FROM labels GROUP BY ALL),
+f AS (SELECT part, len(w) < 100 AS a, 100 * len(list_distinct(w)) < 80 * len(w) AS b, 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 10 * length(t) AS c, regexp_matches(t, '[#$%&*|]') AS d,
+  coalesce(doc_id > min(doc_id) OVER (PARTITION BY t), false) AS e, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic FROM d LEFT JOIN l USING (doc_id)),
+m AS (SELECT part, map(['A', 'B', 'C', 'D', 'E'], [a, b, c, d, e]) AS fails, (a::INT + b::INT + c::INT + d::INT + e::INT) AS many, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM f GROUP BY ALL),
+o AS (SELECT c0 || c1 || c2 || c3 || c4 AS filter_order FROM {_ORDERS} WHERE len(list_distinct([c0, c1, c2, c3, c4])) = 5),
+s AS (SELECT part, filter_order, step, filter_order[step] AS own, n, good, toxic, many, fails[filter_order[step]] AS bad, list_bool_or([fails[filter_order[i]] AND i < step for i in [1, 2, 3, 4, 5]]) AS gone FROM m CROSS JOIN o CROSS JOIN range(1, 6) r(step)),
+r AS (SELECT part, filter_order, step::INT AS step, own, coalesce(sum(n) FILTER (NOT bad AND NOT gone), 0)::BIGINT AS kept, coalesce(sum(n) FILTER (bad AND NOT gone), 0)::BIGINT AS removed, coalesce(sum(n) FILTER (bad AND gone), 0)::BIGINT AS redundant,
+  coalesce(sum(n) FILTER (bad AND many = 1), 0)::BIGINT AS unique_fails, coalesce(sum(good) FILTER (bad AND NOT gone), 0)::BIGINT AS good_lost, coalesce(sum(toxic) FILTER (bad AND NOT gone), 0)::BIGINT AS toxic_lost FROM s GROUP BY ALL)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, (sum(removed) OVER (PARTITION BY part, own))::BIGINT AS shapley FROM r"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op6_url_filter": OP6_SQL}
+    return {"op6_url_filter": OP6_SQL, "op12_filter_audit": OP12_SQL}
