@@ -17,8 +17,9 @@ from folio.llm.lexicon import decode, encode
 from folio.llm.near_dedup import near_duplicates
 from folio.llm.packing import pack
 from folio.llm.pii import replace_entities
+from folio.llm.prefix_trie import ends, ends_digest, peel_prefixes, prefix_paths, turns
 from folio.llm.sharding import kd_shards
-from folio.llm.store import read
+from folio.llm.store import cut, read
 from folio.llm.token_store import new_store, read_tokens, write_tokens
 from folio.llm.url_filter import ADDRESS, SECOND, judge_urls
 
@@ -97,10 +98,18 @@ def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return interactions(mask_counts(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")))
 
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conv = F.col("conv_id")
+    paths = cut(prefix_paths(turns(read(spark, sf_dir, "conversations")), base=conv - conv % 5, shared=F.crc32(conv.cast("string").cast("binary")) % 9))
+    nodes = peel_prefixes(paths).join(ends_digest(ends(paths)), "key", "left")
+    digest = F.coalesce("ends_sha256", F.sha2(F.lit(bytearray()), 256))
+    return nodes.select("conv_id", F.col("depth").cast("long").alias("depth"), "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", digest.alias("ends_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         f.__name__: f
-        for f in (op1_html_extract, op2_near_dedup, op3_token_store, op4_pii_surrogates, op5_kd_shards, op6_url_filter, op7_pack_histogram, op8_bottom_k, op9_decontaminate, op10_language_id, op11_bpe_lexicon, op12_filter_audit)
+        for f in (op1_html_extract, op2_near_dedup, op3_token_store, op4_pii_surrogates, op5_kd_shards, op6_url_filter, op7_pack_histogram, op8_bottom_k, op9_decontaminate, op10_language_id, op11_bpe_lexicon, op12_filter_audit, op13_prefix_trie)
     }
 
 
@@ -155,5 +164,20 @@ r AS (SELECT part, filter_order, step::INT AS step, own, coalesce(sum(n) FILTER
 SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, (sum(removed) OVER (PARTITION BY part, own))::BIGINT AS shapley FROM r"""
 
 
+#: CRC-32 of the decimal number, bit by bit.
+_CRC = """xor(list_reduce(list_prepend(4294967295, list_transform(string_split(c::VARCHAR, ''), lambda x: ascii(x)::BIGINT)),
+  lambda a, x: list_reduce(list_prepend(xor(a, x), range(8)), lambda s, k: xor(s // 2, CASE WHEN s % 2 = 1 THEN 3988292384 ELSE 0 END))), 4294967295)"""
+OP13_SQL = f"""WITH c AS (SELECT conv_id AS c, list({{'r': coalesce(role, ''), 't': coalesce(text, '')}} ORDER BY turn NULLS FIRST, role, text) AS own FROM conversations WHERE conv_id IS NOT NULL GROUP BY ALL),
+h AS (SELECT c, own, {_CRC} % 9 AS h FROM c),
+p AS (SELECT h.c, list_concat(coalesce(b.own[1:h.h], []), h.own[h.h + 1:]) AS path FROM h LEFT JOIN c b ON b.c = h.c - h.c % 5),
+m AS (SELECT c, d, path[1:d] AS node, path[1:d - 1] AS parent, len(path) = d AS ended, CASE WHEN d > 0 THEN strlen(path[d].t) ELSE 0 END AS size FROM p, unnest(range(0, len(path) + 1)) u(d)),
+n AS (SELECT d, node, any_value(parent) AS parent, min(c) AS conv_id, count(*) AS n, (count(*) - 1) * any_value(size) AS saved, coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (ended), '') AS ids FROM m GROUP BY d, node),
+k AS (SELECT d - 1 AS d, parent AS node, count(*) AS kids FROM n WHERE d > 0 GROUP BY ALL),
+w AS (SELECT n.*, coalesce(kids, 0) AS kids FROM n LEFT JOIN k USING (d, node)),
+u AS (SELECT e AS d, node[1:e] AS node, sum((kids = 0)::INT) AS leaves, sum(saved) AS saved FROM w, unnest(range(0, w.d + 1)) x(e) GROUP BY ALL)
+SELECT w.conv_id, w.d AS depth, q.conv_id AS parent_conv_id, w.n AS n_convs, w.kids AS n_children, u.leaves::BIGINT AS n_leaves, u.saved::BIGINT AS saved_tokens, sha256(w.ids) AS ends_sha256
+FROM w JOIN u USING (d, node) LEFT JOIN n q ON q.d = w.d - 1 AND q.node = w.parent AND w.d > 0"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op6_url_filter": OP6_SQL, "op12_filter_audit": OP12_SQL}
+    return {"op13_prefix_trie": OP13_SQL, "op6_url_filter": OP6_SQL, "op12_filter_audit": OP12_SQL}
