@@ -24,7 +24,7 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folio.llm.store import own_columns, shared_dir, small_batches, with_fields
+from folio.llm.store import cut, own_columns, shared_dir, small_batches, with_fields
 from folio.llm.textops import chunks, utf8
 from folio.llm.token_store import ENCODE_BYTES, Encoder
 
@@ -251,7 +251,7 @@ class Lexicon:
 class LexiconEncoder(Encoder):
     """``Encoder`` whose pieces come from a lexicon, and by exact merges where that lacks them. Merged pieces are remembered."""
 
-    def __init__(self, path: str, lexicon: Lexicon, memory: int = 600_000):
+    def __init__(self, path: str, lexicon: Lexicon, memory: int = 250_000):
         self.lexicon = lexicon
         super().__init__(path, keep_space=False, memory=memory)
         self.cutter = Cutter(path)
@@ -319,16 +319,15 @@ def frequent_words(docs: DataFrame, most: int, text_col: str = "text") -> list[s
     Counts are compared in steps of a sixteenth of a doubling, so that the driver chooses the bound from some hundred numbers; the words
     at or above it are all taken.
     """
-    counted = count_words(docs, text_col).withColumn("step", F.floor(F.log2("n") * 16).cast("int")).persist()
+    counted = count_words(docs, text_col).withColumn("step", F.floor(F.log2("n") * 16).cast("int"))
+    counted = cut(counted)
     bound, total = None, 0
     for row in sorted(counted.groupBy("step").count().collect(), reverse=True):
         total += row["count"]
         if total > most:
             break
         bound = row["step"]
-    words = [] if bound is None else [r["word"] for r in counted.where(F.col("step") >= bound).select("word").collect()]
-    counted.unpersist()
-    return words
+    return [] if bound is None else [r["word"] for r in counted.where(F.col("step") >= bound).select("word").collect()]
 
 
 def publish_lexicon(spark: SparkSession, words: list[str], path: str) -> str:
@@ -351,55 +350,60 @@ def worker_encoder(path: str, name: str) -> LexiconEncoder:
     return LexiconEncoder(path, Lexicon(SparkFiles.get(name)))
 
 
-def encode(docs: DataFrame, tokenizer: str, text_col: str = "text", most: int = 200_000, out_col: str = "ids") -> DataFrame:
+@lru_cache(maxsize=2)
+def token_names(path: str) -> pa.Array:
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(path)
+    return pa.array([tokenizer.id_to_token(i) or "" for i in range(max(tokenizer.get_vocab().values()) + 1)], type=pa.string())
+
+
+def joined_tokens(names: pa.Array, ids: list[bytes]) -> pa.Array:
+    """The decoded text of each array of little-endian unsigned 32-bit ids."""
+    at = np.append(0, np.cumsum([len(x) // 4 for x in ids])).astype(np.int32)
+    tokens = names.take(pa.array(np.frombuffer(b"".join(ids), dtype="<u4").astype(np.int64)))
+    return pc.binary_join(pa.ListArray.from_arrays(pa.array(at), tokens), " ")
+
+
+def encode(docs: DataFrame, tokenizer: str, text_col: str = "text", most: int = 200_000, out_col: str = "ids", decoded_col: str | None = None) -> DataFrame:
     """``docs`` with the token ids of each whole text as little-endian unsigned 32-bit integers in the binary column ``out_col``.
 
     The ids are those of the tokenizers library for the vocabulary file ``tokenizer`` (word BPE: lower case, white space dropped)
     without added special tokens; strings of special tokens in a text are those tokens. The lexicon holds at most ``most`` words
-    and decides on speed alone. Null and empty texts have no ids. Rows, repeated ones too, and columns stay; a column named
-    ``out_col`` is replaced.
+    and decides on speed alone. ``decoded_col`` names a further column for what ``decode`` makes of the ids, worked out in the same
+    Python workers. Null and empty texts have no ids. Rows, repeated ones too, and columns stay; columns of these names are replaced.
     """
     spark = docs.sparkSession
     small_batches(spark)
     name = publish_lexicon(spark, frequent_words(docs, most, text_col), tokenizer)
-    kept = docs.drop(out_col)
+    kept = docs.drop(out_col, *[decoded_col] * bool(decoded_col))
     source = docs.select(*own_columns(kept), F.col(text_col).alias("_folio_text"))
     columns, width = kept.columns, len(kept.columns)
+    more = {out_col: "binary"} | ({decoded_col: "string"} if decoded_col else {})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code = worker_encoder(tokenizer, name)
         for batch in chunks(batches, "_folio_text", ENCODE_BYTES):
             ids = [np.frombuffer(x, dtype=code.dtype).astype("<u4").tobytes() for x in code(batch.column(width))]
-            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(width)), pa.array(ids, type=pa.binary())], names=[*columns, out_col])
+            made = [pa.array(ids, type=pa.binary())] + ([joined_tokens(token_names(tokenizer), ids)] if decoded_col else [])
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(width)), *made], names=[*columns, *more])
 
-    return source.mapInArrow(run, with_fields(kept, **{out_col: "binary"}))
-
-
-@lru_cache(maxsize=2)
-def token_names(path: str) -> pa.Array:
-    from tokenizers import Tokenizer
-
-    tokenizer = Tokenizer.from_file(path)
-    return pa.array([tokenizer.id_to_token(i) or "" for i in range(max(tokenizer.get_vocab().values()) + 1)], type=pa.string())
+    return source.mapInArrow(run, with_fields(kept, **more))
 
 
 def decode(coded: DataFrame, tokenizer: str, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
     """``coded`` with the text of the ids as the tokenizers library decodes them, special tokens included.
 
     A vocabulary without a decoder gives its tokens, with their word marks, joined by blanks. No ids (null or empty) give an empty text.
+    Rows and columns stay; a column named ``out_col`` is replaced.
     """
     kept = coded.drop(out_col)
     source = coded.select(*own_columns(kept), F.col(ids_col).alias("_folio_ids"))
     columns, width = kept.columns, len(kept.columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = token_names(tokenizer)
         for batch in chunks(batches, "_folio_ids"):
-            raw = pc.fill_null(batch.column(width), b"").to_pylist()
-            at = np.append(0, np.cumsum([len(x) // 4 for x in raw])).astype(np.int64)
-            tokens = names.take(pa.array(np.frombuffer(b"".join(raw), dtype="<u4").astype(np.int64)))
-            text = pc.binary_join(pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), tokens), " ")
+            text = joined_tokens(token_names(tokenizer), pc.fill_null(batch.column(width), b"").to_pylist())
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(width)), text], names=[*columns, out_col])
 
     return source.mapInArrow(run, with_fields(kept, **{out_col: "string"}))
-

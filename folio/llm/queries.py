@@ -13,7 +13,7 @@ from folio.llm.filter_audit import interactions, mask_counts
 from folio.llm.fingerprint import edited_fingerprints
 from folio.llm.html_extract import extract_pages
 from folio.llm.lang_id import fit, held_out, predict
-from folio.llm.lexicon import decode, encode
+from folio.llm.lexicon import encode
 from folio.llm.near_dedup import near_duplicates
 from folio.llm.packing import pack
 from folio.llm.pii import replace_entities
@@ -88,8 +88,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op11_bpe_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
-    vocabulary = tokenizer("word_bpe_49k.json")
-    done = decode(encode(read(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary).drop("text"), vocabulary)
+    done = encode(read(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer("word_bpe_49k.json"), decoded_col="decoded").drop("text")
     n_tokens = (F.octet_length("ids") / 4).cast("long")
     return done.select("doc_id", n_tokens.alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
