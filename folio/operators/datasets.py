@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from folio.functions import text as X
 from folio.operators.lexical import top
+from folio.operators.selection import smallest
 from folio.sources.store import cut
 
 # Prompts, words, templates and topics that records are made of.
@@ -96,11 +97,11 @@ def dedupe(records: DataFrame, order: str) -> DataFrame:
 def capped_collect(records: DataFrame, config_order: list[str], target: int, seed: int) -> DataFrame:
     """Accepts in config order until ``target``, then removes repeats, then shuffles: adds ``place`` (the final order).
 
-    Both caps are the feature: the target is cut by a sorted limit, which Spark merges from per-task heaps.
+    The target is the feature: rows are numbered over range partitions in config and id order, and those below it stay.
     """
     rank = F.array_position(F.array(*map(F.lit, config_order)), F.col("config"))
-    taken = records.withColumn("order", F.struct(rank.alias("c"), F.col("id"))).where(rank > 0).orderBy("order").limit(target)
-    kept = dedupe(taken, "order").drop("order")
+    taken = records.withColumn("order", F.struct(rank.alias("c"), F.col("id"))).where(rank > 0)
+    kept = dedupe(numbered(taken, F.col("order")).where(F.col("place") < target).drop("place"), "order").drop("order")
     return kept.withColumn("place", hash_order("id", seed))
 
 
@@ -188,7 +189,7 @@ def training_records(samples: DataFrame) -> DataFrame:
     """
     evidence = F.coalesce("evidence", F.lit(""))
     answer = ideal_answer(F.col("points"), F.col("refs"), F.col("allow_no_answer"))
-    ask = filled(ASK, question=F.col("question"), evidence=F.when(evidence == "", F.lit(NO_EVIDENCE)).otherwise(evidence))
+    ask = filled(ASK, question=F.coalesce("question", F.lit("")), evidence=F.when(evidence == "", F.lit(NO_EVIDENCE)).otherwise(evidence))
     return samples.select("id", "question", evidence.alias("evidence"), answer.alias("ideal_answer"), F.col("allow_no_answer").alias("rejectable"), messages(ask, answer, DOCUMENT_SYSTEM).alias("messages"))
 
 
@@ -234,7 +235,7 @@ def sample_exactly(records: DataFrame, target: int, seed: int) -> DataFrame:
     """The first ``target`` records of a fixed permutation. Raises if there are too few."""
     if records.count() < target:
         raise ValueError(f"fewer than {target} records")
-    return records.orderBy(hash_order("id", seed), "id").limit(target)
+    return smallest(records, hash_order("id", seed), "id", target)
 
 
 def least_records_for(target: int, most: int = 3, validation: float = 0.1, test: float = 0.1) -> int:

@@ -255,16 +255,3 @@ def evidence_score(question: Column, heading: Column, content: Column, section:
         - F.when(X.is_low_information(content), 5.0).otherwise(0.0) + F.when(early, F.greatest(F.lit(0), 8 - section * 3)).otherwise(0)
         + F.when(gender & male & female, 8).when(gender & (male | female), 2).otherwise(0) + F.when(quantity, 2).otherwise(0)
     )
-
-
-def select_evidence(scored: DataFrame, keys: list[str], most: int = 2, floor: float = 1.5, share: float = 0.55) -> DataFrame:
-    """The blocks of each (question, reference) that carry its evidence.
-
-    ``scored`` has keys, section_index, block_index and score. Without a positive score the first block stands; else blocks
-    with at least ``max(floor, share * best)``, the best ``most`` of them, or the best one if none reaches that.
-    """
-    group = Window.partitionBy(keys)
-    ranked = scored.withColumn("best", F.max("score").over(group)).withColumn("place", F.row_number().over(group.orderBy(F.desc("score"), "section_index", "block_index")))
-    ranked = ranked.withColumn("first", F.row_number().over(group.orderBy("section_index", "block_index")))
-    good = (F.col("score") >= F.greatest(F.lit(floor), F.col("best") * share)) & (F.col("place") <= most)
-    return ranked.where(F.when(F.col("best") <= 0, F.col("first") == 1).otherwise(good | (F.col("place") == 1))).drop("best", "place", "first")

@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 from folio.functions import text as X
 from folio.operators import chunking as C
 from folio.operators import datasets as D
+from folio.operators.evidence import with_evidence
+from folio.plans.lexical import GUIDES
 from folio.plans.registry import Tables, query
-from folio.plans.segments import _SECTIONS
+from folio.plans.segments import _POINTS, _SECTIONS
 
 _CLEAN = r"regexp_replace(regexp_replace(coalesce({0}, ''), '\s+', ' ', 'g'), '^\s+|\s+$', '', 'g')"
 _RATIO = r"(length(regexp_replace({0}, '[^A-Za-z]', '', 'g')) >= 0.7 * greatest(1, length(regexp_replace({0}, '[^\p{{L}}\p{{Nd}}]', '', 'g'))))"
@@ -118,11 +120,18 @@ def d10_annotation_union(t: Tables) -> DataFrame:
     return yes.unionByName(rejectable(t).select(name("rejectable"), "document_id", "question", F.lit(True).alias("allow_no_answer")))
 
 
-@query(f"""SELECT id, CASE WHEN allow_no_answer THEN '{D.REFUSAL_ANSWER}' ELSE concat('根据提供的文档证据，答案包括：a；b。 引用：', id, '.md。') END AS ideal_answer, 3 AS n_messages, allow_no_answer AS rejectable FROM {{f_annotations}}""")
+_FILL = "replace(replace('{}', '{{question}}', question), '{{evidence}}', CASE WHEN evidence = '' THEN '{}' ELSE evidence END)"
+
+
+@query(f"""WITH {GUIDES}, pts AS (SELECT document_id, string_split(points, '|') AS ps FROM ({_POINTS}) WHERE chunk_index = 1 AND points <> ''), rf AS (SELECT id, string_agg(reference, ', ' ORDER BY ref_no) AS refs FROM {{f_references}} GROUP BY id)
+SELECT s.id, question, evidence, allow_no_answer AS rejectable, '{D.DOCUMENT_SYSTEM}' AS system_message, {_FILL.format(D.ASK, D.NO_EVIDENCE)} AS user_message,
+ CASE WHEN allow_no_answer THEN '{D.REFUSAL_ANSWER}' ELSE concat(CASE WHEN len(ps) > 0 THEN concat('根据提供的文档证据，答案包括：', array_to_string(ps, '；'), '。') ELSE '根据提供的文档证据，可以直接从证据片段中组织答案。' END, ' 引用：', refs, '。') END AS assistant_message
+FROM {{f_samples}} s JOIN ev ON ev.id = s.id JOIN rf ON rf.id = s.id LEFT JOIN pts ON pts.document_id = s.target_document""")
 def d11_training_record(t: Tables) -> DataFrame:
-    rows = t("f_annotations").select("id", "question", "allow_no_answer", F.array(F.lit("a"), F.lit(" b "), F.lit("")).alias("points"), F.array(F.concat("id", F.lit(".md"))).alias("refs"))
-    answer = D.ideal_answer(F.col("points"), F.col("refs"), F.col("allow_no_answer"))
-    return rows.select("id", answer.alias("ideal_answer"), F.size(D.messages(F.col("question"), answer)).alias("n_messages"), F.col("allow_no_answer").alias("rejectable"))
+    points = t("f_chunks").where("chunk_index = 1").select(F.col("document_id").alias("target_document"), X.answer_points(F.col("content")).alias("points"))
+    samples = with_evidence(t("f_samples"), t("f_references"), t("f_guides")).join(points, "target_document", "left")
+    said = lambda k, name: F.col("messages")[k]["content"].alias(name)
+    return D.training_records(samples).select("id", "question", "evidence", "rejectable", said(0, "system_message"), said(1, "user_message"), said(2, "assistant_message"))
 
 
 _SPLIT = """n AS (SELECT count(*) AS n FROM {f_annotations}), sz AS (SELECT CASE WHEN n >= 10 THEN greatest(1, round_even(n * 0.1, 0)) ELSE round_even(n * 0.1, 0) END AS v FROM n),

@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from folio.functions import text as X
-from folio.operators import chunking as C
+from folio.operators import evidence as V
 from folio.operators import lexical as L
 from folio.plans.registry import Tables, query
-from folio.plans.segments import _SECTIONS
+from folio.plans.segments import _SECTIONS, BLOCKS, LOW
 
 _STOP = "(" + ", ".join(f"'{w}'" for w in X.STOPWORDS) + ")"
 _TERMS = "(" + ", ".join(f"'{w}'" for w in X.STOP_TERMS) + ")"
@@ -139,31 +139,68 @@ def l12_summary_envelope(t: Tables) -> DataFrame:
     return made.select("doc_id", "summary", "source_length", ratio.alias("compression_ratio"), F.lit("extractive").alias("method"), F.lit("简洁").alias("style"), F.lit(False).alias("fallback"))
 
 
+_HAN = r"\x{4e00}-\x{9fff}"
+
+
+def _list(words: list[str]) -> str:
+    return "(" + ", ".join(f"'{w}'" for w in words) + ")"
+
+
+def terms(text: str) -> str:
+    """DuckDB: the distinct query terms of a text, as a list."""
+    runs = rf"list_filter(regexp_extract_all(lower({text}), '[A-Za-z0-9{_HAN}]+'), lambda t: t NOT IN {_TERMS} AND NOT regexp_full_match(t, '[0-9]+'))"
+    grams = lambda n: f"list_transform(range(1, length(t) - {n - 2}), lambda i: substr(t, i, {n}))"
+    chars = rf"list_filter(string_split(t, ''), lambda c: regexp_full_match(c, '[{_HAN}]') AND c NOT IN {_list(X.STOP_CHARS)})"
+    han = f"list_concat(CASE WHEN length(t) <= 3 THEN [t] ELSE list_concat({grams(2)}, {grams(3)}) END, {chars}, CASE WHEN length(t) <= 8 THEN [t] ELSE [] END)"
+    return f"list_distinct(list_filter(flatten(list_transform({runs}, lambda t: CASE WHEN regexp_matches(t, '[{_HAN}]') THEN {han} WHEN length(t) > 1 THEN [t] ELSE [] END)), lambda t: t <> '' AND t NOT IN {_TERMS}))"
+
+
+def has(text: str, words: list[str]) -> str:
+    return "(" + " OR ".join(f"contains({text}, '{w}')" for w in words) + ")"
+
+
+_MEN = "(contains({0}, '男') AND contains({0}, '女'))"
+_BASE = r"regexp_replace(regexp_replace(trim({0}), '[（(]续\d+[）)]$', ''), '\s+', ' ', 'g')"
+GUIDES = rf"""{_SECTIONS.replace("{f_markdown}", "(SELECT file_name AS document_id, line_no, line FROM {f_guides})")},
+secs AS (SELECT document_id AS file_name, row_number() OVER w - 1 AS section_index, heading, body, first_value(heading) OVER w AS first_heading, true AS found FROM sections WINDOW w AS (PARTITION BY document_id ORDER BY section_no)
+  UNION ALL SELECT file_name, 0, regexp_replace(file_name, '\.md$', ''), regexp_replace(string_agg(line, chr(10) ORDER BY line_no) FILTER (NOT regexp_matches(line, '^#{{1,6}}\s+')), '^\s+|\s+$', '', 'g'), regexp_replace(file_name, '\.md$', ''), false
+  FROM {{f_guides}} WHERE file_name NOT IN (SELECT document_id FROM sections) GROUP BY file_name),
+{BLOCKS.format(keys="file_name, section_index, heading, first_heading, found", source="secs")},
+bk AS (SELECT s.*, coalesce(b.block_index, 0) AS block_index, coalesce(b.content, s.body) AS content FROM (SELECT file_name, section_index, heading, first_heading, found, body FROM secs WHERE body <> '') s LEFT JOIN blocks b USING (file_name, section_index)),
+asked AS (SELECT r.*, question, split_part(reference, '#', 1) AS file_name, substr(reference, length(split_part(reference, '#', 1)) + 2) AS wanted FROM {{f_references}} r JOIN {{f_samples}} USING (id)),
+placed AS (SELECT a.*, wanted <> '' AND EXISTS (FROM secs s WHERE s.found AND s.file_name = a.file_name AND s.heading = a.wanted) AS exact FROM asked a),
+cand AS (SELECT id, ref_no, question, file_name, heading, CASE WHEN exact THEN 0 ELSE section_index END AS section_index, block_index, content, NOT exact AND wanted <> '' AS fallback_root, first_heading
+  FROM placed JOIN bk USING (file_name) WHERE NOT exact OR heading = wanted),
+flg AS (SELECT *, fallback_root AND {has("question", X.EARLY_MARKERS)} AS early, fallback_root AND regexp_matches(first_heading, '{X.CHAPTER_LIKE}') AS chapters, {_BASE.format("heading")} = {_BASE.format("first_heading")} AS base, {_MEN.format("content")} AS pair, {_MEN.format("question")} AS asks FROM cand),
+pref AS (SELECT * FROM (SELECT *, bool_or(pair) OVER (PARTITION BY id, ref_no) AS anyone FROM flg WHERE NOT (early OR chapters) OR base) WHERE NOT (early AND asks AND anyone) OR pair),
+trm AS (SELECT *, {terms("question")} AS qt, {terms("content")} AS ct, {terms("heading")} AS ht FROM pref),
+scored AS (SELECT *, round(coalesce(list_sum(list_transform(list_intersect(qt, ct), lambda x: length(x))), 0) + 1.5 * coalesce(list_sum(list_transform(list_intersect(qt, ht), lambda x: length(x))), 0) - greatest(0, length(content) - 360) * 0.01
+  - CASE WHEN {LOW.format("content")} THEN 5 ELSE 0 END + CASE WHEN early THEN greatest(0, 8 - section_index * 3) ELSE 0 END + CASE WHEN asks AND pair THEN 8 WHEN asks AND {has("content", ["男", "女"])} THEN 2 ELSE 0 END
+  + CASE WHEN {has("question", X.QUANTITY_MARKERS)} AND regexp_matches(content, '[0-9一二三四五六七八九十两百千]+') THEN 2 ELSE 0 END, 9)::DOUBLE AS score FROM trm),
+rnk AS (SELECT *, max(score) OVER g AS best, row_number() OVER (g ORDER BY score DESC, section_index, block_index) AS place, row_number() OVER (g ORDER BY section_index, block_index) AS first FROM scored WINDOW g AS (PARTITION BY id, ref_no)),
+chosen AS (SELECT * FROM rnk WHERE CASE WHEN trim(question) = '' THEN first <= 2 WHEN best <= 0 THEN first = 1 ELSE place = 1 OR (score >= greatest(1.5, best * 0.55) AND place <= CASE WHEN early THEN 1 ELSE 2 END) END),
+ev AS (SELECT s.id, coalesce(string_agg(CASE WHEN file_name IS NOT NULL THEN concat('[source] ', file_name, '#' || heading, chr(10), content) END, chr(10) || chr(10) ORDER BY ref_no, section_index, block_index), '') AS evidence FROM {{f_samples}} s LEFT JOIN chosen c ON c.id = s.id GROUP BY s.id)"""
+
+
 def candidates(t: Tables) -> DataFrame:
-    """Candidate evidence of each question: the question's own document's sections, by item and document id."""
-    sections = C.markdown_sections(t("f_markdown"))
-    blocks = sections.select("document_id", F.col("section_no").alias("section_index"), "heading", F.posexplode(C.candidate_blocks(F.col("body"))).alias("block_index", "content"))
-    asked = t("f_questions").select("query_id", "question", F.col("query_id").alias("document_id"))
-    score = L.evidence_score(F.col("question"), F.col("heading"), F.col("content"), F.col("section_index"), F.lit(False))
-    return asked.join(blocks, "document_id").select("query_id", "document_id", "section_index", "block_index", "heading", "content", F.round(score, 4).alias("score"))
+    return V.preferred(V.candidate_evidence(t("f_samples"), t("f_references"), V.sectioned(t("f_guides"))))
 
 
-@query()
+@query(f"WITH {GUIDES} SELECT id, ref_no, section_index, block_index, heading, early, score FROM scored")
 def l13_evidence_score(t: Tables) -> DataFrame:
-    return candidates(t).drop("content")
+    return candidates(t).select("id", "ref_no", "section_index", "block_index", "heading", "early", "score")
 
 
-@query()
+@query(f"WITH {GUIDES} SELECT id, ref_no, section_index, block_index, fallback_root, score FROM chosen")
 def l14_evidence_selection(t: Tables) -> DataFrame:
-    return L.select_evidence(candidates(t), ["query_id", "document_id"]).select("query_id", "document_id", "section_index", "block_index", "score")
+    return V.select_evidence(candidates(t)).select("id", "ref_no", "section_index", "block_index", "fallback_root", "score")
 
 
-@query(f"""WITH {_SECTIONS}, refs AS (SELECT id, target_document, concat(target_document, '.md') AS file FROM {{f_annotations}} WHERE NOT allow_no_answer)
-SELECT id, coalesce(string_agg(CASE WHEN heading IS NOT NULL THEN concat('[source] ', file, '#', heading, chr(10), body) END, chr(10)||chr(10) ORDER BY section_no), '') AS evidence, count(heading) > 0 AS resolved
-FROM refs LEFT JOIN (SELECT * FROM sections QUALIFY row_number() OVER (PARTITION BY document_id ORDER BY section_no) <= 2) s ON s.document_id = refs.target_document GROUP BY id""")
+@query(f"WITH {GUIDES} SELECT id, evidence FROM ev")
 def l15_evidence_text(t: Tables) -> DataFrame:
-    first = L.top(C.markdown_sections(t("f_markdown")), "document_id", 2, F.asc("section_no"))
-    refs = t("f_annotations").where("NOT allow_no_answer").select("id", F.col("target_document").alias("document_id"))
-    part = F.when(F.col("heading").isNotNull(), F.struct("section_no", F.concat(F.lit("[source] "), "document_id", F.lit(".md#"), "heading", F.lit("\n"), "body").alias("s")))
-    made = refs.join(first, "document_id", "left").groupBy("id").agg(F.array_sort(F.collect_list(part)).alias("rows"))
-    return made.select("id", F.array_join(F.transform("rows", lambda r: r["s"]), "\n\n").alias("evidence"), (F.size("rows") > 0).alias("resolved"))
+    return V.evidence_text(t("f_samples"), V.select_evidence(candidates(t)))
+
+
+@query("SELECT id, ref_no, reference FROM {f_references} WHERE split_part(reference, '#', 1) NOT IN (SELECT file_name FROM {f_guides})")
+def l15_unknown_references(t: Tables) -> DataFrame:
+    return V.unknown_references(t("f_references"), t("f_guides"))

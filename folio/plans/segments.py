@@ -88,7 +88,28 @@ def c11_markdown_sections(t: Tables) -> DataFrame:
     return C.markdown_sections(t("f_markdown"))
 
 
-@query()
+LOW = r"({0} = '' OR regexp_full_match({0}, '[^\p{{L}}]+') OR (regexp_matches({0}, '[.。·]{{{{4,}}}}') AND length(regexp_replace({0}, '[^A-Za-z0-9\x{{4e00}}-\x{{9fff}}]', '', 'g')) < 10) OR length(regexp_replace({0}, '[^A-Za-z0-9\x{{4e00}}-\x{{9fff}}]', '', 'g')) < 6)"
+_TRIM = r"regexp_replace({0}, '^\s+|\s+$', '', 'g')"
+
+
+def _greedy(items: str, glue: str) -> str:
+    """DuckDB: greedy concatenations of at most 360 characters."""
+    more = f"a.open || {glue} || b.open"
+    fold = f"list_reduce(list_transform({items}, lambda x: {{{{'done': []::VARCHAR[], 'open': x}}}}), lambda a, b: CASE WHEN length({more}) > 360 THEN {{{{'done': list_append(a.done, {_TRIM.format('a.open')}), 'open': b.open}}}} ELSE {{{{'done': a.done, 'open': {more}}}}} END)"
+    return f"CASE WHEN len({items}) = 0 THEN []::VARCHAR[] ELSE list_transform([{fold}], lambda r: list_append(r.done, {_TRIM.format('r.open')}))[1] END"
+
+
+_SENTENCES = rf"list_filter(list_transform(string_split(regexp_replace(replace(b, chr(13), chr(10)), '([。！？!?；;])', '\1' || chr(1), 'g'), chr(1)), lambda p: {_TRIM.format('p')}), lambda p: p <> '')"
+_CLEAN_BODY = r"regexp_replace(regexp_replace(replace(regexp_replace(body, '\r\n?', chr(10), 'g'), chr(65279), ''), '[ \t]+', ' ', 'g'), '\n{{3,}}', chr(10) || chr(10), 'g')"
+#: (keys, block_index, content) of sections with a body; of ``source`` with ``keys``.
+BLOCKS = rf"""raw AS (SELECT {{keys}}, list_filter(list_transform(string_split(regexp_replace({_TRIM.format(_CLEAN_BODY)}, '\n\s*\n+', chr(1), 'g'), chr(1)), lambda b: {_TRIM.format('b')}), lambda b: NOT {LOW.replace('{0}', 'b')}) AS rs FROM {{source}}),
+pcs AS (SELECT {{keys}}, list_filter(flatten(list_transform(rs, lambda b: CASE WHEN length(b) <= 360 THEN [b] ELSE {_greedy(_SENTENCES, "''")} END)), lambda b: NOT {LOW.replace('{0}', 'b')}) AS ps FROM raw),
+allb AS (SELECT {{keys}}, list_concat(ps, {_greedy('ps', "chr(10) || chr(10)")}) AS bs FROM pcs),
+uniq AS (SELECT {{keys}}, list_filter(bs, lambda b, i: list_position(bs, b) = i AND NOT {LOW.replace('{0}', 'b')}) AS bs FROM allb),
+blocks AS (SELECT {{keys}}, unnest(bs) AS content, generate_subscripts(bs, 1)::INT - 1 AS block_index FROM uniq)"""
+
+
+@query(f"WITH {_SECTIONS}, {BLOCKS.format(keys='document_id, section_no', source='sections')} SELECT document_id, section_no, block_index, content FROM blocks")
 def c12_candidate_blocks(t: Tables) -> DataFrame:
     return C.markdown_sections(t("f_markdown")).select("document_id", "section_no", F.posexplode(C.candidate_blocks(F.col("body"))).alias("block_index", "content"))
 

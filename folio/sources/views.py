@@ -68,6 +68,18 @@ FROM {conversations}""",
     "f_markdown": """SELECT document_id, concat(document_id,'.md') AS file_name, page,
        chunk_index AS line_no, CASE WHEN chunk_index % 3 = 0 THEN concat('## ',left(content,20)) ELSE content END AS line
 FROM {f_chunks}""",
+    "f_guides": """SELECT concat(document_id,'.md') AS file_name, chunk_index AS line_no,
+       CASE WHEN document_id % 7 = 3 OR chunk_index % 3 > 0 THEN CASE WHEN document_id % 8 = 0 AND chunk_index % 3 = 1 THEN concat(content,' 男 女') ELSE content END
+         WHEN document_id % 4 = 0 THEN concat('## 第',CAST(floor(chunk_index/6) AS INT)+1,'章 起点',CASE WHEN chunk_index % 6 = 3 THEN '（续1）' ELSE '' END)
+         ELSE concat('## ',left(content,20)) END AS line
+FROM {f_chunks}""",
+    "f_samples": """SELECT a.id, a.target_document, a.allow_no_answer, CASE a.id % 6 WHEN 0 THEN '' WHEN 1 THEN concat('开头有几个男女 ',coalesce(left(c.content,80),''))
+         WHEN 2 THEN concat('最初 ',coalesce(left(c.content,80),'')) WHEN 3 THEN concat('一共有多少 ',coalesce(left(c.content,80),'')) ELSE coalesce(left(c.content,80),a.question) END AS question
+FROM {f_annotations} a LEFT JOIN {f_chunks} c ON c.document_id = a.target_document AND c.chunk_index = 4""",
+    "f_references": """SELECT a.id, 1 AS ref_no, CASE a.id % 5 WHEN 0 THEN concat(a.target_document,'.md#',coalesce(trim(left(c.content,20)),''))
+         WHEN 1 THEN concat(a.target_document,'.md#no such heading') WHEN 4 THEN concat('unknown-',a.id,'.md') ELSE concat(a.target_document,'.md') END AS reference
+FROM {f_annotations} a LEFT JOIN {f_chunks} c ON c.document_id = a.target_document AND c.chunk_index = 3
+UNION ALL SELECT id, 2, concat(target_document,'.md#another') FROM {f_annotations} WHERE id % 5 > 2""",
     "f_public_qa": """SELECT u.conv_id*100+u.turn AS idx, u.text AS question, a.text AS human_answer, CASE WHEN u.conv_id % 2 = 0 THEN 'wiki' ELSE 'exam' END AS config
 FROM {conversations} u JOIN {conversations} a ON a.conv_id=u.conv_id AND a.turn=u.turn+1
 WHERE u.role='user' AND a.role='assistant'""",
