@@ -197,6 +197,50 @@ def bm25_top(questions: DataFrame, chunks: DataFrame, id_col: str = "chunk_id",
     return top(scored, "query_id", k, F.desc("score"), F.asc(id_col)).where("score > 0")
 
 
+def scopes(allowed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """((query_id, scope), (scope, document_id)): queries that may see the same documents share a scope, so its statistics are taken once.
+
+    Sets are told apart by their size and two sums of hashes; ``allowed`` has (query_id, document_id).
+    """
+    allowed = allowed.select("query_id", "document_id").distinct()
+    sums = [F.sum(F.xxhash64("document_id", F.lit(k)).cast("decimal(38,0)")).alias(f"s{k}") for k in (1, 2)]
+    named = allowed.groupBy("query_id").agg(F.count("*").alias("n"), *sums)
+    named = cut(named.select("query_id", F.md5(F.concat_ws("|", *(F.col(c).cast("string") for c in ("n", "s1", "s2")))).alias("scope")))
+    first = named.groupBy("scope").agg(F.min("query_id").alias("query_id"))
+    return named, allowed.join(first, "query_id").select("scope", "document_id")
+
+
+def bm25_scoped(questions: DataFrame, chunks: DataFrame, allowed: DataFrame, k: int = 10, k1: float = 1.5, b: float = 0.75) -> DataFrame:
+    """(query_id, chunk_id, score, rank): the k best chunks of each question within its documents, those with a positive score.
+
+    The number of chunks, their mean length, document frequencies and the mean idf that replaces negative ones are those of the scope.
+    ``chunks`` has (chunk_id, document_id, content), ``allowed`` (query_id, document_id); a question without documents finds nothing.
+    Statistics are first summed up by document, then by scope; only tokens that are asked for meet the chunks.
+    """
+    named, members = scopes(allowed)
+    members = cut(members)
+    whole = chunks.select(F.struct("document_id", "chunk_id").alias("at"), X.tokens(F.col("content")).alias("tokens"))
+
+    def work(tokens: pa.Array) -> tuple[np.ndarray, list[pa.Array]]:
+        row, (token, n) = _counts(tokens)
+        return row, [token, n, pa.array(np.diff(tokens.offsets.to_numpy()).astype(np.int64)[row])]
+
+    counts = cut(_by_row(whole, "at", "token string, n long, dl long", work).select("at.document_id", "at.chunk_id", "token", "n", "dl"))
+    sizes = chunks.groupBy("document_id").agg(F.count("*").alias("chunks")).join(counts.groupBy("document_id").agg(F.sum("n").alias("words")), "document_id", "left").na.fill(0, ["words"])
+    totals = members.join(sizes, "document_id").groupBy("scope").agg(F.sum("chunks").alias("docs"), F.sum("words").alias("words"))
+    df = counts.groupBy("document_id", "token").agg(F.count("*").alias("df"))
+    raw = members.join(df, "document_id").groupBy("scope", "token").agg(F.sum("df").alias("df")).join(totals, "scope")
+    raw = cut(raw.withColumn("idf", F.log(F.col("docs") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)))
+    mean = raw.groupBy("scope").agg(F.avg("idf").alias("mean"))
+    asked = term_counts(questions, "query_id", "question").withColumnRenamed("n", "m").join(named, "query_id")
+    idf = raw.join(asked.select("scope", "token").distinct(), ["scope", "token"]).join(mean, "scope")
+    idf = idf.select("scope", "token", F.when(F.col("idf") < 0, 0.25 * F.col("mean")).otherwise(F.col("idf")).alias("idf"), (F.col("words") / F.greatest(F.col("docs"), F.lit(1))).alias("average"))
+    weight = F.col("idf") * F.col("n") * (k1 + 1) / (F.col("n") + k1 * (1 - b + b * F.col("dl") / F.col("average")))
+    inside = counts.join(asked.select("token").distinct(), "token", "left_semi").join(members, "document_id").join(idf, ["scope", "token"])
+    scored = inside.select("scope", "token", "chunk_id", weight.alias("w")).join(asked, ["scope", "token"]).groupBy("query_id", "chunk_id").agg(F.round(F.sum(F.col("m") * F.col("w")), 8).alias("score"))
+    return top(scored, "query_id", k, F.desc("score"), F.asc("chunk_id")).where("score > 0")
+
+
 def extractive_summary(docs: DataFrame, id_col: str, text_col: str, limit: int, ends: str = LATIN_ENDS) -> DataFrame:
     """(id_col, summary, source_length): the sentences of the most frequent words in their order, cut to ``limit`` characters.
 

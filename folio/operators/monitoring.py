@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from folio.operators.datasets import numbered
 from folio.operators.selection import element_at_rank
 
 LOG_LINE = r"^(\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2})\s*\|\s*(\w+)\s*\|\s*([^ ]+) - (.*)$"
@@ -43,10 +44,16 @@ def degradation(metrics: DataFrame) -> DataFrame:
     return metrics.withColumn("degradation", level).withColumns({"recommendations": flag(0), "rerank": flag(1), "top_k": flag(2), "max_queries": flag(3)})
 
 
-def level_changes(levels: DataFrame, part: str, order: list[str]) -> DataFrame:
-    """Rows whose level differs from the one before in their part."""
-    before = F.lag("degradation").over(Window.partitionBy(part).orderBy(*order))
-    return levels.withColumn("before", before).where(F.col("before").isNull() | (F.col("before") != F.col("degradation")))
+def level_changes(levels: DataFrame, order: list[str], block: int = 100_000) -> DataFrame:
+    """Rows whose level differs from the one before in the whole order; ``before`` is null on the first row.
+
+    Rows are numbered over range partitions; a block of neighbours meets in one task and gets the last level of the block before.
+    """
+    placed = numbered(levels, *map(F.col, order)).withColumn("_block", F.floor(F.col("place") / block))
+    last = placed.where(F.col("place") % block == block - 1).select((F.col("_block") + 1).alias("_block"), F.col("degradation").alias("_carried"))
+    inside = F.lag("degradation").over(Window.partitionBy("_block").orderBy("place"))
+    before = placed.withColumn("_inside", inside).join(last, "_block", "left").withColumn("before", F.coalesce("_inside", "_carried"))
+    return before.where(F.col("before").isNull() | (F.col("before") != F.col("degradation"))).drop("_block", "_inside", "_carried", "place")
 
 
 def service_health(outcomes: DataFrame, last: int = 50) -> DataFrame:

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folio.functions import prompts as P
@@ -24,23 +24,24 @@ def vector_hits(queries: DataFrame, vectors: DataFrame, k: int, each: bool = Fal
     ``queries`` has (query_id, embedding), ``vectors`` (chunk_id, document_id, embedding). Queries go to the executors in blocks of
     about ``block`` by a hash of their id; each batch of vectors is one matrix product. ``least`` drops lower scores, ``apart`` a query's
     own document; ``hits`` sums up to what was left before the cut to k. ``allowed`` (query_id, document_id) restricts the search
-    before the cut. A zero vector has similarity 0.
+    before the cut: vectors of documents in no scope of the block are left out by a join, the others bring the numbers of the block's
+    queries that may see them, ``block`` at most. A zero vector has similarity 0.
     """
     spark = queries.sparkSession
     blocks = max(1, -(-queries.count() // block))
     kinds, out = dict(vectors.dtypes), None
     for number in range(blocks):
         part = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == number).select("query_id", "embedding").orderBy("query_id")
-        may = None
-        if allowed is not None:  # the documents that this block's queries may see
-            may = {}
-            for r in part.select("query_id").join(allowed, "query_id").groupBy("query_id").agg(F.collect_set("document_id").alias("d")).collect():
-                may[r["query_id"]] = np.array(r["d"], dtype=object)
         part = part.toPandas()
-        shared = spark.sparkContext.broadcast((part["query_id"].to_numpy(), _unit(part["embedding"]), may))
+        shared = spark.sparkContext.broadcast((part["query_id"].to_numpy(), _unit(part["embedding"])))
+        source = vectors.select("chunk_id", "document_id", "embedding")
+        if allowed is not None:
+            numbers = spark.createDataFrame([(q, n) for n, q in enumerate(part["query_id"].tolist())], f"query_id {dict(queries.dtypes)['query_id']}, n int")
+            may = allowed.join(F.broadcast(numbers), "query_id").groupBy("document_id").agg(F.collect_set("n").alias("may"))
+            source = source.join(may, "document_id")
 
         def run(frames: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            names, wanted, may = shared.value
+            names, wanted = shared.value
             for frame in frames:
                 if not len(frame) or not len(names):
                     continue
@@ -50,9 +51,10 @@ def vector_hits(queries: DataFrame, vectors: DataFrame, k: int, each: bool = Fal
                 open_ = np.ones(score.shape, dtype=bool) if least is None else score >= least
                 if apart:
                     open_ &= docs[None, :] != names[:, None]
-                if may is not None:
-                    for q, name in enumerate(names.tolist()):
-                        open_[q] &= np.isin(docs, may.get(name, np.empty(0, dtype=object)).astype(docs.dtype))
+                if "may" in frame:
+                    seen = np.zeros_like(open_)
+                    seen[np.concatenate(frame["may"].to_list()), np.repeat(np.arange(len(docs)), frame["may"].map(len))] = True
+                    open_ &= seen
                 group = np.cumsum(np.append(False, docs[1:] != docs[:-1])) if each else np.zeros(len(docs), dtype=np.int64)
                 rows, cols, hits = [], [], []
                 for q in range(len(names)):
@@ -71,7 +73,7 @@ def vector_hits(queries: DataFrame, vectors: DataFrame, k: int, each: bool = Fal
                     yield pd.DataFrame({"query_id": names[rows], "chunk_id": frame["chunk_id"].to_numpy()[cols], "document_id": docs[cols], "score": score[rows, cols], "hits": np.concatenate(hits).astype(np.int64)})
 
         schema = f"query_id {dict(queries.dtypes)['query_id']}, chunk_id {kinds['chunk_id']}, document_id {kinds['document_id']}, score double, hits long"
-        found = vectors.select("chunk_id", "document_id", "embedding").mapInPandas(run, schema)
+        found = source.mapInPandas(run, schema)
         out = found if out is None else out.unionByName(found)
     return out
 
@@ -163,7 +165,61 @@ def prompts(questions: DataFrame, results: DataFrame, thinking: bool = True) ->
     return asked.select("query_id", F.when(F.col("rows").isNull(), filled(P.WITHOUT_CONTEXT, question=F.col("question"))).otherwise(grounded).alias("prompt"))
 
 
+def guarded(score: Callable[[pd.Series, pd.Series], np.ndarray], question: str = "question", content: str = "content", query: str = "query_id") -> Column:
+    """A scorer of (questions, contents) that may fail, as a Column: null where it does.
+
+    A batch that fails is scored again query by query, so a failure is that of the queries whose rows cause it.
+    """
+
+    @F.pandas_udf("double")
+    def run(q: pd.Series, c: pd.Series, who: pd.Series) -> pd.Series:
+        try:
+            return pd.Series(np.asarray(score(q, c), dtype=np.float64))
+        except Exception:  # whatever a model raises
+            out = pd.Series(np.nan, index=q.index)
+            for _, at in who.groupby(who, dropna=False).groups.items():
+                try:
+                    out.loc[at] = np.asarray(score(q.loc[at], c.loc[at]), dtype=np.float64)
+                except Exception:
+                    continue
+            return out.where(out.notna(), None)
+
+    return run(F.col(question), F.col(content), F.col(query))
+
+
 def rerank(candidates: DataFrame, scorer: Column, k: int) -> DataFrame:
-    """Orders each query's candidates by ``scorer`` (a Column: built in or a pandas UDF); keeps the base score and both ranks."""
-    scored = candidates.withColumnRenamed("rank", "original_rank").withColumn("rerank_score", F.round(scorer, 6))
+    """The k best of each query's candidates by ``scorer`` (built in, or ``guarded``), equal scores in the former order.
+
+    Keeps the base score; adds rerank_score, original_rank, new_rank and rerank_applied. A query with a candidate that has no score
+    (null or NaN) keeps its order, without scores and with rerank_applied false.
+    """
+    made = F.round(scorer, 6)
+    scored = candidates.withColumnRenamed("rank", "original_rank").withColumn("rerank_score", F.when(~F.isnan(made), made))
+    scored = scored.withColumn("rerank_applied", F.min(F.col("rerank_score").isNotNull()).over(Window.partitionBy("query_id")))
+    scored = scored.withColumn("rerank_score", F.when(F.col("rerank_applied"), F.col("rerank_score")))
     return top(scored, "query_id", k, F.desc("rerank_score"), F.asc("original_rank")).withColumnRenamed("rank", "new_rank")
+
+
+def hybrid_context(questions: DataFrame, near: DataFrame, lexical: DataFrame, chunks: DataFrame, scorer: Column, k: int = 5) -> tuple[DataFrame, DataFrame]:
+    """The whole hybrid retrieval of each question: (results, diagnostics).
+
+    ``near`` and ``lexical`` are ranked hits (query_id, chunk_id, rank) of the two searches, 2k of each; ``questions`` has (query_id,
+    question), normalised; ``scorer`` sees query_id, question and content. They are fused to 2k, replaced by their parents, reranked to k
+    and enriched: (query_id, rank, chunk_id, document_id, page_no, source_type, content, score, rerank_score, rerank_applied). Diagnostics
+    have a row for every question: rewritten_query, strategy, retrieved_chunks, citation_count (results with a matched text), top_score,
+    evidence_coverage (their share), vector_hits, bm25_hits, rerank_applied.
+    """
+    lists = [tag(hits, name).select("query_id", "chunk_id", "rank", "sources") for hits, name in ((near, "vector"), (lexical, "bm25"))]
+    wide = parent_context(rrf(lists[0].unionByName(lists[1]), 2 * k), chunks, 2 * k)
+    best = rerank(wide.join(questions, "query_id"), scorer, k).withColumnRenamed("new_rank", "rank")
+    types = chunks.groupBy("document_id", "parent_chunk_index").agg(F.min_by("type", "chunk_index").alias("type"))
+    found = best.join(types, ["document_id", "parent_chunk_index"], "left").select(
+        "query_id", "rank", F.concat("document_id", F.lit("_parent_"), "parent_chunk_index").alias("chunk_id"), "document_id", F.col("page").alias("page_no"), F.coalesce("type", F.lit("text")).alias("source_type"),
+        "content", "score", "rerank_score", "rerank_applied", (F.size(F.filter("matched", lambda m: m != "")) > 0).alias("cited"),
+    )
+    made = found.groupBy("query_id").agg(F.count("*").alias("retrieved_chunks"), F.count_if("cited").alias("citation_count"), F.round(F.min_by("score", "rank"), 4).alias("top_score"), F.bool_or("rerank_applied").alias("rerank_applied"))
+    hits = [h.groupBy("query_id").agg(F.count("*").alias(n)) for h, n in ((near, "vector_hits"), (lexical, "bm25_hits"))]
+    told = questions.select("query_id", F.col("question").alias("rewritten_query")).join(made, "query_id", "left").join(hits[0], "query_id", "left").join(hits[1], "query_id", "left")
+    told = told.na.fill(0).na.fill(False, ["rerank_applied"])
+    coverage = F.when(F.col("retrieved_chunks") > 0, F.round(F.col("citation_count") / F.col("retrieved_chunks"), 4)).otherwise(0.0)
+    return found.drop("cited"), told.withColumns({"evidence_coverage": coverage, "strategy": F.when(F.col("rerank_applied"), "hybrid_rerank").otherwise("hybrid")})

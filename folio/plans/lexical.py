@@ -127,6 +127,19 @@ summ AS (SELECT doc_id, length(text) AS source_length, CASE WHEN length(text) <=
   WHEN length(made) > 400 THEN regexp_replace(left(made, 400), '[，,；;。.!? ]+$', '') || '...' ELSE made END AS summary FROM base LEFT JOIN md USING (doc_id))"""
 
 
+SCOPED = f"""tok AS {toks('{f_chunks}', 'chunk_id', 'content')}, tf AS (SELECT chunk_id, document_id, token, count(*) AS n FROM tok JOIN {{f_chunks}} USING (chunk_id) GROUP BY ALL), dl AS (SELECT chunk_id, sum(n) AS dl FROM tf GROUP BY ALL),
+al AS (SELECT query_id, count(*) AS docs, sum(coalesce(dl, 0)) / count(*) AS avgdl FROM {{f_scopes}} JOIN {{f_chunks}} USING (document_id) LEFT JOIN dl USING (chunk_id) GROUP BY query_id),
+rawidf AS (SELECT query_id, token, ln(any_value(docs) - count(*) + 0.5) - ln(count(*) + 0.5) AS idf FROM {{f_scopes}} JOIN tf USING (document_id) JOIN al USING (query_id) GROUP BY query_id, token),
+idf AS (SELECT query_id, token, CASE WHEN idf < 0 THEN 0.25 * avg(idf) OVER (PARTITION BY query_id) ELSE idf END AS idf FROM rawidf),
+qt AS (SELECT query_id, token, count(*) AS m FROM {toks('{f_questions}', 'query_id', 'question')} GROUP BY ALL),
+sc AS (SELECT query_id, chunk_id, round(sum(m * idf * n * 2.5 / (n + 1.5 * (0.25 + 0.75 * dl / avgdl))), 8) AS score FROM qt JOIN idf USING (query_id, token) JOIN tf USING (token) JOIN {{f_scopes}} USING (query_id, document_id) JOIN dl USING (chunk_id) JOIN al USING (query_id) GROUP BY ALL)"""
+
+
+@query(f"WITH {SCOPED} SELECT * FROM (SELECT query_id, chunk_id, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM sc QUALIFY rank <= 10) WHERE score > 0")
+def l10_bm25_scoped(t: Tables) -> DataFrame:
+    return L.bm25_scoped(t("f_questions"), t("f_chunks"), t("f_scopes")).withColumn("score", F.round("score", 6))
+
+
 @query(f"WITH {SUMMARY} SELECT doc_id, summary FROM summ")
 def l11_summary(t: Tables) -> DataFrame:
     return L.extractive_summary(t("documents"), "doc_id", "text", 400).drop("source_length")

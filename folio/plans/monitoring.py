@@ -100,10 +100,9 @@ def o11_alerts(t: Tables) -> DataFrame:
 
 @query("""WITH l AS (SELECT event_id, ts, CASE WHEN pool_exhausted THEN 'L3' WHEN cpu > 90 OR mem > 90 OR backlog > 100 THEN 'L2' WHEN cpu > 80 THEN 'L1' ELSE 'L0' END AS degradation FROM {f_metrics})
 SELECT event_id, degradation, before, CASE degradation WHEN 'L0' THEN 8 WHEN 'L1' THEN 5 WHEN 'L2' THEN 3 ELSE 2 END AS top_k, degradation = 'L0' AS recommendations, degradation IN ('L0', 'L1') AS rerank FROM
-(SELECT *, lag(degradation) OVER (PARTITION BY date_trunc('day', ts) ORDER BY ts, event_id) AS before FROM l) WHERE before IS NULL OR before <> degradation""")
+(SELECT *, lag(degradation) OVER (ORDER BY ts, event_id) AS before FROM l) WHERE before IS NULL OR before <> degradation""")
 def o12_degradation(t: Tables) -> DataFrame:
-    rows = O.degradation(t("f_metrics")).withColumn("day", F.date_trunc("day", "ts"))
-    return O.level_changes(rows, "day", ["ts", "event_id"]).select("event_id", "degradation", "before", "top_k", "recommendations", "rerank")
+    return O.level_changes(O.degradation(t("f_metrics")), ["ts", "event_id"]).select("event_id", "degradation", "before", "top_k", "recommendations", "rerank")
 
 
 HEALTH = """k AS (SELECT *, row_number() OVER (PARTITION BY service ORDER BY seq DESC) AS k FROM {f_service_outcomes} QUALIFY k <= 50),

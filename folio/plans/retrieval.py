@@ -50,6 +50,12 @@ def r01_vector_top(t: Tables) -> DataFrame:
     return R.vector_top(asked, t("f_chunk_vectors"), 10).withColumn("score", F.round("score", 6))
 
 
+@query(f"WITH {_NEAR.replace('{where}', 'vec_id % 50 = 0')} SELECT query_id, vec AS chunk_id, label::BIGINT AS document_id, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec) AS rank FROM nn JOIN {{f_vector_scopes}} s USING (query_id) WHERE s.document_id = label QUALIFY rank <= 10")
+def r01_scoped_vector_top(t: Tables) -> DataFrame:
+    asked = t("embeddings").where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    return R.vector_top(asked, t("f_chunk_vectors"), 10, allowed=t("f_vector_scopes")).withColumn("score", F.round("score", 6))
+
+
 @query(f"WITH {_VECTOR} SELECT query_id, chunk_id, round(greatest(0.0, 1 - (1 - score)), 6) AS score, 'vector' AS sources FROM vector")
 def r02_coerce_and_tag(t: Tables) -> DataFrame:
     hits = vector_hits(t).select("query_id", "chunk_id", (1 - F.col("score")).alias("distance"), F.lit(None).cast("double").alias("score"))
@@ -131,11 +137,30 @@ def r13_citations(t: Tables) -> DataFrame:
     return named.select("query_id", "rank", name.alias("document_name"), "page", "chunk_id", F.left("content", F.lit(200)).alias("content"), "score")
 
 
-@query(rf"WITH {_PARENT}, asked AS (SELECT query_id, regexp_replace(regexp_replace(question, '\s+', ' ', 'g'), '^\s+|\s+$', '', 'g') AS question FROM {{f_questions}}) SELECT query_id, question, document_id, parent_chunk_index, score, rank FROM asked JOIN parents USING (query_id) WHERE rank <= 5")
-def r14_hybrid_pipeline(t: Tables) -> DataFrame:
+_WORDS = f"list_distinct(list_filter(regexp_extract_all(lower({{0}}), '[0-9a-z]+'), lambda w: w NOT IN ({', '.join(repr(w) for w in X.STOPWORDS)})))"
+_HYBRID = rf"""{_PARENT}, asked AS (SELECT query_id, regexp_replace(regexp_replace(question, '\s+', ' ', 'g'), '^\s+|\s+$', '', 'g') AS question FROM {{f_questions}}),
+texts AS (SELECT document_id, parent_chunk_index, string_agg(content, chr(10) || chr(10) ORDER BY chunk_index) AS content, arg_min(type, chunk_index) AS type FROM {{f_chunks}} GROUP BY ALL),
+pair AS (SELECT p.*, type, {_WORDS.format('question')} AS x, {_WORDS.format('content')} AS y FROM parents p JOIN asked USING (query_id) JOIN texts USING (document_id, parent_chunk_index)),
+jac AS (SELECT *, round(CASE WHEN len(x) = 0 OR len(y) = 0 THEN 0.0 ELSE len(list_intersect(x, y)) / len(list_distinct(list_concat(x, y))) END, 6) AS rerank_score FROM pair),
+final AS (SELECT query_id, concat(document_id, '_parent_', parent_chunk_index) AS chunk_id, document_id, page AS page_no, type AS source_type, score, rerank_score, true AS rerank_applied, row_number() OVER (PARTITION BY query_id ORDER BY rerank_score DESC, rank) AS new_rank FROM jac QUALIFY new_rank <= 5)"""
+
+
+def hybrid(t: Tables) -> tuple[DataFrame, DataFrame]:
     asked = t("f_questions").select("query_id", X.normalize_query(F.col("question")).alias("question"))
-    found = R.parent_context(fused(t), t("f_chunks"), 10).where("rank <= 5")
-    return asked.join(found, "query_id").select("query_id", "question", "document_id", "parent_chunk_index", "score", "rank")
+    scorer = X.jaccard(X.tokens(F.col("question")), X.tokens(F.col("content")))
+    return R.hybrid_context(asked, vector_hits(t), L.bm25_top(asked, t("f_chunks")), t("f_chunks"), scorer, 5)
+
+
+@query(f"WITH {_HYBRID} SELECT query_id, new_rank AS rank, chunk_id, document_id, page_no, source_type, score, rerank_score, rerank_applied FROM final")
+def r14_hybrid_pipeline(t: Tables) -> DataFrame:
+    return hybrid(t)[0].drop("content")
+
+
+@query(f"""WITH {_HYBRID}, made AS (SELECT query_id, count(*) AS n, round(arg_min(score, new_rank), 4) AS top_score FROM final GROUP BY query_id)
+SELECT query_id, question AS rewritten_query, coalesce(n, 0) AS retrieved_chunks, coalesce(n, 0) AS citation_count, coalesce(top_score, 0) AS top_score, (n IS NOT NULL)::INT::DOUBLE AS evidence_coverage,
+(SELECT count(*) FROM vector v WHERE v.query_id = asked.query_id) AS vector_hits, (SELECT count(*) FROM bm25 b WHERE b.query_id = asked.query_id) AS bm25_hits, n IS NOT NULL AS rerank_applied, CASE WHEN n IS NULL THEN 'hybrid' ELSE 'hybrid_rerank' END AS strategy FROM asked LEFT JOIN made USING (query_id)""")
+def r14_diagnostics(t: Tables) -> DataFrame:
+    return hybrid(t)[1]
 
 
 @query(f"""WITH {_DIAG}, g AS (SELECT *, CASE WHEN retrieved_chunks = 0 THEN 'no_results' WHEN top_score < 0.02 THEN 'low_retrieval_score' WHEN evidence_coverage < 0.5 THEN 'low_evidence_coverage' END AS reason FROM d)
@@ -152,16 +177,15 @@ def _template(text: str) -> str:
 
 
 _PROMPT = f"""WITH {_RESULT}, c AS (SELECT q.query_id, any_value(question) AS question, string_agg(CASE WHEN chunk_id IS NOT NULL THEN concat('[来源: ', document_id, ', 第 ', page, ' 页]', chr(10), content) END, chr(10)||chr(10) ORDER BY rank) AS ctx
-FROM (SELECT *, query_id % 5 = 0 AS dry FROM {{f_questions}}) q LEFT JOIN res ON res.query_id = q.query_id AND NOT dry GROUP BY q.query_id)
+FROM {{f_questions}} q LEFT JOIN res ON res.query_id = q.query_id GROUP BY q.query_id)
 SELECT query_id, CASE WHEN ctx IS NULL THEN {_template(P.WITHOUT_CONTEXT).replace('ctx', chr(39) * 2)} ELSE {{template}} END AS prompt FROM c"""
 
 
 @query(_PROMPT.replace("{template}", _template(P.THINKING)))
 def r16_prompt(t: Tables) -> DataFrame:
-    """Every fifth question goes without results."""
-    return R.prompts(t("f_questions"), results(t).where("query_id % 5 <> 0"))
+    return R.prompts(t("f_questions"), results(t))
 
 
 @query(_PROMPT.replace("{template}", _template(P.SIMPLE)))
 def r16_simple_prompt(t: Tables) -> DataFrame:
-    return R.prompts(t("f_questions"), results(t).where("query_id % 5 <> 0"), thinking=False)
+    return R.prompts(t("f_questions"), results(t), thinking=False)

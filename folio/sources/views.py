@@ -25,6 +25,8 @@ FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line,
 FROM {f_lines} WHERE line <> ''""",
     "f_chunk_vectors": "SELECT vec_id AS chunk_id, CAST(label AS BIGINT) AS document_id, embedding FROM {embeddings}",
     "f_questions": "SELECT item_id AS query_id, text AS question FROM {benchmark}",
+    "f_scopes": "SELECT q.item_id AS query_id, d.doc_id AS document_id FROM {benchmark} q JOIN {documents} o ON o.doc_id = q.item_id JOIN {documents} d ON d.source = o.source AND d.lang = o.lang",
+    "f_vector_scopes": "SELECT q.vec_id AS query_id, CAST(l.label AS BIGINT) AS document_id FROM {embeddings} q JOIN (SELECT DISTINCT label FROM {embeddings}) l ON (l.label + q.vec_id) % 3 > 0 WHERE q.vec_id % 50 = 0",
     "f_docs_catalog": """SELECT doc_id AS id, source AS user_id, concat(source,'_',lang,'_',doc_id,'.md') AS file_name,
        concat('.',lang) AS file_type, n_chars AS file_size,
        CASE WHEN doc_id % 10 = 0 THEN 'failed' WHEN doc_id % 10 = 1 THEN 'processing' ELSE 'completed' END AS status,
