@@ -33,10 +33,11 @@ from folio.llm.textops import chunks
 from folio.llm.url_filter import host_of
 
 TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|iframe|textarea|select|title|object|math)\b[^>]*>.*?(?:</\1\s*>|\Z)"
-    r"""|</?[a-zA-Z](?>[^>"']+|"[^"]*"|'[^']*')*+>|</?[a-zA-Z][^>]*>|<[!?][^>]*>|[^<]+|<""",
-    re.S | re.I,
+    r"""<!--(?:-?>|.*?(?:--!?>|\Z))|</?[a-zA-Z](?>[^>"']+|"[^"]*"|'[^']*')*+>|</?[a-zA-Z][^>]*>|<[!?][^>]*>|[^<]+|<""",
+    re.S,
 )
+#: Elements whose content is no text of the page, up to their end tag. Only the first two run to the end of the page without one.
+RAW = {x: re.compile(f"</{x}(?=[\\s/>])[^>]*>", re.I) for x in ("script", "style", "noscript", "template", "svg", "iframe", "textarea", "select", "title", "object", "math")}
 NAME = re.compile(r"</?([a-zA-Z][a-zA-Z0-9:-]*)")
 MARKS = re.compile(r"""\b(class|id|role|itemprop)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
@@ -53,6 +54,10 @@ ASIDE_WORDS = frozenset(
     "modal nav navbar navigation newsletter notice notices pager pagination popup promo promotion related replies reply search share sharing sidebar signup skip social sponsor sponsored subscribe "
     "subscription tags teaser toolbar toc topbar widget widgets".split()
 )
+#: Of these the words that also name what an article is about: as part of a word they need a second sign.
+AMBIGUOUS = frozenset(
+    "ad ads advertising aside banner copyright header login menu nav notice notices promo promotion related replies reply search share sharing skip social sponsor sponsored subscription tags teaser toc widget widgets".split()
+)
 MAIN_WORDS = frozenset("article articlebody main maincontent post story entry content".split())
 HEADINGS = frozenset(f"h{i}" for i in range(1, 7))
 #: Elements nested deeper count as their ancestor at this depth.
@@ -77,9 +82,10 @@ def name_of(label: str) -> str:
 
 @lru_cache(maxsize=20_000)
 def mark(label: str) -> str:
-    """What the element's own name and marks say: 'tag' or 'strong' or 'weak' for aside, 'article', 'main', 'content' or ''.
+    """What the element's own name and marks say: 'tag', 'strong', 'weak' or 'faint' for aside, 'article', 'main', 'content' or ''.
 
-    Strong marks have only aside words in one of their words, as ``cookie-notice`` or ``ad``; weak ones have some, as ``has-sidebar``.
+    Strong marks have only aside words in one of their words, as ``cookie-notice`` or ``ad``; weak ones have some, as ``has-sidebar``; faint
+    ones have some, all ambiguous, as ``share-price``.
     """
     name, _, words = label.partition(".")
     if name in ASIDE_TAGS:
@@ -89,8 +95,10 @@ def mark(label: str) -> str:
         return "strong"
     if name in ("article", "main"):
         return name
-    if any(s & ASIDE_WORDS for s in said):
+    if any(s & (ASIDE_WORDS - AMBIGUOUS) for s in said):
         return "weak"
+    if any(s & ASIDE_WORDS for s in said):
+        return "faint"
     return "content" if any(s & MAIN_WORDS for s in said) else ""
 
 
@@ -123,32 +131,45 @@ def parse(page: str) -> tuple[list, list[str], list[int]]:
             linked.append(min(link_chars, len(text)))
         link_chars = 0
 
-    for m in TOKEN.finditer(page):
-        token = m[0]
+    at, unclosed = 0, set()  # names of raw elements that no end tag follows any more
+    while at < len(page):
+        token = TOKEN.match(page, at)[0]
+        at += len(token)
         if token[0] != "<" or token == "<":
             held.append(token)
             if in_link:
                 link_chars += len(token)
             continue
-        if m[1] or token[1] in "!?":
-            if m[1]:
-                held.append(" ")
+        if token[1] in "!?":
             continue
         name = NAME.match(token)[1].lower()
+        if name in RAW:
+            held.append(" ")
+            if token[1] != "/" and name not in unclosed and not (name in ("svg", "math") and token.endswith("/>")):
+                end = RAW[name].search(page, at)
+                if end:
+                    at = end.end()
+                elif name in ("script", "style"):
+                    at = len(page)
+                else:
+                    unclosed.add(name)
+            continue
         if name in INLINE:
             if name == "a":
                 in_link = token[1] != "/"
             elif name == "br" or name == "img":
                 held.append(" ")
             continue
+        if "-" in name and (name not in names if token[1] == "/" else token.endswith("/>") or page[at : at + len(name) + 2].lower() == f"</{name}"):
+            continue  # an empty element of the page's own, as an icon
         if held:
             flush()
         if name == "html" or name == "body" or name == "hr":
             continue
         if token[1] == "/":
             if name in names:
-                at = len(names) - 1 - names[::-1].index(name)
-                del names[at:], inner[at:], owner[at:]
+                k = len(names) - 1 - names[::-1].index(name)
+                del names[k:], inner[k:], owner[k:]
             continue
         ends = CLOSES.get(name, ()) if name not in BLOCKS_CLOSE_P else ("p",)
         for k in range(len(names) - 1, -1, -1):
@@ -309,7 +330,8 @@ def main_nodes(wrapper: list, sums: dict[int, tuple[int, int, int, bool]], alone
     or main element. From the top, the search goes down into the child with most of the weight until an article, an element of
     blocks, or one with a heading of its own. There every slot counts, the same on all pages or not, but for parts marked
     otherwise: elements such as ``nav``, parts with strong marks, and with weak ones unless they hold half of the text (neither if an
-    article stands inside). With ``alone`` (a single page) strong marks always count and weak ones never.
+    article stands inside); with faint ones only if they are the same on three pages or more, or at least half links, too. With
+    ``alone`` (a single page) strong marks always count, weak and faint ones never.
     """
     order = [(n, up) for n, up in walk(wrapper)]
     numbers = {id(n): k for k, (n, _) in enumerate(order)}
@@ -318,13 +340,17 @@ def main_nodes(wrapper: list, sums: dict[int, tuple[int, int, int, bool]], alone
         pages, chars, links, constant = sums.get(k, (0, 0, 0, False))
         marks = {mark(x) for x in (*up, n[0])}
         w = max(chars - links, chars / 10)
-        w *= (0.02 if "tag" in marks else 1) * (0.1 if "strong" in marks else 0.5 if "weak" in marks else 1) * (3 if "article" in marks else 2 if marks & {"main", "content"} else 1)
+        w *= (0.02 if "tag" in marks else 1) * (0.1 if "strong" in marks else 0.5 if marks & {"weak", "faint"} else 1) * (3 if "article" in marks else 2 if marks & {"main", "content"} else 1)
         weight[k], raw[k] = w * (0.05 if constant and pages >= 3 else 1), chars
     size = [0] * len(order)  # nodes in each subtree, itself included
+    linked = [sums.get(k, (0, 0, 0, False))[2] for k in range(len(order))]
+    varying = [chars if not (constant and pages >= 3) else 0 for pages, chars, _, constant in (sums.get(k, (0, 0, 0, False)) for k in range(len(order)))]
     for k in range(len(order) - 1, -1, -1):
         size[k] = 1 + sum(size[numbers[id(c)]] for c in order[k][0][4])
         weight[k] += sum(weight[numbers[id(c)]] for c in order[k][0][4])
         raw[k] += sum(raw[numbers[id(c)]] for c in order[k][0][4])
+        linked[k] += sum(linked[numbers[id(c)]] for c in order[k][0][4])
+        varying[k] += sum(varying[numbers[id(c)]] for c in order[k][0][4])
 
     def varies(k: int) -> bool:
         pages, chars, _, constant = sums.get(k, (0, 0, 0, False))
@@ -359,7 +385,8 @@ def main_nodes(wrapper: list, sums: dict[int, tuple[int, int, int, bool]], alone
             if kind == "tag" and not (in_header := name_of(n[0]) == "header" and here is not None):
                 return
             holds = any(mark(x[0]) in ("article", "main") for x, _ in walk(n[4]))
-            if kind == "strong" and (alone or not holds) or kind == "weak" and not alone and not holds and raw[k] <= 0.5 * whole:
+            other = kind == "weak" or kind == "faint" and (not varying[k] or 2 * linked[k] >= raw[k])
+            if kind == "strong" and (alone or not holds) or other and not alone and not holds and raw[k] <= 0.5 * whole:
                 return
         template = here is None and not alone and not varies(k) and mass >= 0.5 * sum(s[1] for s in sums.values())
         if n[3] and not template and (not in_header or name_of(n[0]) in HEADINGS):

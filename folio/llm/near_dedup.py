@@ -30,6 +30,8 @@ from folio.llm.store import IdFilter, cut, join_counted, may_hold, small_batches
 from folio.llm.textops import chunks, mix, shingle_sets, utf8
 
 BLOCK = 256
+#: Text bytes whose shingles are in memory at once.
+SIGN_BYTES = 1 << 18
 
 
 def permutations(count: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
@@ -67,7 +69,7 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, shingle: int, bands:
     band_seed = mix(np.arange(1, bands + 1, dtype=np.uint64))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in chunks(batches):
+        for batch in chunks(batches, limit=SIGN_BYTES):
             out: dict[str, list] = {"n_shingles": [], "set_key": [], "sketch": [], "bands": []}
             for values in shingle_sets(*utf8(batch.column("text")), shingle):
                 out["n_shingles"].append(len(values))
@@ -94,7 +96,7 @@ def full_sets(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str, shing
     packed = wanted.shared
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in chunks(b.filter(pa.array(may_hold(packed.value, b.column("slot").to_numpy()))) for b in batches):
+        for batch in chunks((b.filter(pa.array(may_hold(packed.value, b.column("slot").to_numpy()))) for b in batches), limit=SIGN_BYTES):
             if batch.num_rows:
                 sets = [s.view(np.int64) for s in shingle_sets(*utf8(batch.column("text")), shingle)]
                 yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(sets, type=pa.list_(pa.int64()))], names=["id", "shingles"])
@@ -173,7 +175,7 @@ def near_duplicates(
     samples, words = bands * rows, sketch_bits // 64
     limit = odd_limit(max(0.0, percent / 100 - 0.25), samples, sketch_bits)
     seen = cut(signatures(docs, id_col, text_col, shingle, bands, rows, sketch_bits, seed))
-    classes = seen.where("set_key IS NOT NULL").groupBy("set_key").agg(F.min("id").alias("rep"))
+    classes = cut(seen.where("set_key IS NOT NULL").groupBy("set_key").agg(F.min("id").alias("rep"), F.count("*").alias("n")))
     firsts = seen.join(classes.where("rep IS NOT NULL"), (seen["set_key"] == classes["set_key"]) & (seen["id"] == classes["rep"]), "left_semi")
     sketches = firsts.select("id", "sketch").dropDuplicates(["id"])
 
@@ -182,16 +184,20 @@ def near_duplicates(
     shared = cut(leaders.where("low < top").select("bucket", "leader", "n"))
     members = cut(join_counted(keyed, shared, ["bucket"], "id").select("bucket", "id", "leader"))
 
+    def both_sides(pairs: DataFrame, table: DataFrame, col: str) -> DataFrame:
+        """``pairs`` with what ``table`` has of their sides; a ``b`` of many pairs, as a leader of near copies, is dealt over tasks."""
+        a, b = (table.select(F.col("id").alias(x), F.col(col).alias(f"s{x}")) for x in "ab")
+        counted = cut(b.join(pairs.groupBy("b").agg(F.count("*").alias("n")), "b"))
+        return join_counted(pairs, counted, ["b"], "a").join(a, "a")
+
     def screened(pairs: DataFrame) -> DataFrame:
-        a, b = (sketches.select(F.col("id").alias(x), F.col("sketch").alias(f"s{x}")) for x in "ab")
-        return pairs.join(a, "a").join(b, "b").select("a", "b", odd_distance("sa", "sb", words).alias("far")).where(F.col("far") <= limit)
+        return both_sides(pairs, sketches, "sketch").select("a", "b", odd_distance("sa", "sb", words).alias("far")).where(F.col("far") <= limit)
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         sets = cut(full_sets(docs, pairs.select(F.explode(F.array("a", "b")).alias("id")), id_col, text_col, shingle))
-        a, b = (sets.select(F.col("id").alias(x), F.col("shingles").alias(f"s{x}")) for x in "ab")
         shared = F.size(F.array_intersect("sa", "sb"))
         return (
-            pairs.join(a, "a").join(b, "b").select("a", "b", shared.alias("both"), (F.size("sa") + F.size("sb")).alias("total"))
+            both_sides(pairs, sets.dropDuplicates(["id"]), "shingles").select("a", "b", shared.alias("both"), (F.size("sa") + F.size("sb")).alias("total"))
             .where(F.expr(f"100L * both >= {percent}L * (total - both)")).select("a", "b")
         )
 
@@ -218,8 +224,9 @@ def near_duplicates(
         more = more.union(block_links(sets, large.join(sizes, "id"), percent, block, limit))
 
     final = connected_components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).where("a <> b").union(more))
-    named = classes.join(final, classes["rep"] == final["node"], "left").select("set_key", F.coalesce("component", "rep").alias("class"))
+    named = cut(classes.join(final, classes["rep"] == final["node"], "left").select("set_key", "n", F.coalesce("component", "rep").alias("class")))
     component = F.coalesce("class", "id")
-    return seen.join(named, "set_key", "left").select(
+    with_class = join_counted(seen.where("set_key IS NOT NULL"), named, ["set_key"], "id").select("id", "n_shingles", "class")
+    return with_class.unionByName(seen.where("set_key IS NULL").select("id", "n_shingles", F.lit(None).cast("long").alias("class"))).select(
         F.col("id").alias(id_col), "n_shingles", component.alias("component_id"), F.coalesce(F.col("id") == component, component.isNull()).alias("kept")
     )

@@ -62,19 +62,21 @@ HINT = (
 )
 
 PATTERNS = [
-    ("email", re.compile(r"(?<![\w.+%-])[A-Za-z0-9][A-Za-z0-9._%+-]*@(?:[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?\.)+[A-Za-z]{2,24}\b")),
-    ("secret", re.compile(r"""\b(?i:passw(?:or)?d|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key)["']?\s*(?:=|:)\s*["']?([A-Za-z0-9+/_\-]{8,})""")),
+    ("email", re.compile(r"(?<![A-Za-z0-9À-ɏ_.+%-])[A-Za-z0-9À-ɏ][A-Za-z0-9À-ɏ._%+-]*@(?:[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?\.)+[A-Za-z]{2,24}\b")),
+    ("secret", re.compile(r"""\b(?i:passw(?:or)?d|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key)["']?\s*(?:=|:)\s*(?:"([^"\n]{4,200})"|'([^'\n]{4,200})'|["']?([^\s"']{7,}[^\s"'.,;:!?)\]}]))""")),
     ("secret", re.compile(r"\b((?:AKIA|ASIA)[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|sk-[A-Za-z0-9]{20,})\b")),
-    ("iban", re.compile(r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b")),
+    ("iban", re.compile(r"\b(?:[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?|[a-z]{2}\d{2}(?: ?[a-z0-9]{4}){2,7}(?: ?[a-z0-9]{1,3})?)\b")),
     ("ip", re.compile(r"(?<![\d.])(?:\d{1,3}\.){3}\d{1,3}(?![\d]|\.\d)")),
-    ("ip6", re.compile(r"(?<![\w:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![\w:])")),
+    ("ip6", re.compile(r"(?<![\w:])(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?=[0-9A-Fa-f:]{0,39}::)[0-9A-Fa-f]{1,4}:[0-9A-Fa-f:]{2,35}[0-9A-Fa-f])(?![\w:])")),
     ("ssn", re.compile(r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])")),
     ("card", re.compile(r"(?<![\d-])\d(?:[ -]?\d){12,18}(?![\d])")),
-    ("phone", re.compile(r"(?<![\w+])\+\d{1,3}(?:[ .\-]?\(?\d{1,4}\)?){2,5}(?!\d)|(?<![\w(])\(\d{3}\)[ .\-]?\d{3}[ .\-]\d{4}(?!\d)|(?<![\d\-.])\d{3}[.\-]\d{3}[.\-]\d{4}(?![\d\-])")),
+    ("phone", re.compile(r"(?<![\w+])\+\d{1,3}(?:[ .\-]?\(?\d{1,4}\)?){2,5}(?!\d)|(?<![\w(])\(\d{3}\)[ .\-]?\d{3}[ .\-]\d{4}(?!\d)|(?<![\d\-.])\d{3}[.\-]\d{3}[.\-]\d{4}(?![\d\-])|(?<!\d )(?<![\w.,+\-/])\d{3} \d{3} \d{4}(?![\w\-]|[ .,]\d)|(?<![\w.,+\-/])0[1-9]\d{0,3}[ /\-]\d{4,8}(?![\w\-]|[ .,]\d)")),
     ("person", re.compile(rf"\b(?:({_TITLES})\b\.?[ ])+(?=[^\W\d_])({_NAME}(?:[ ]{_NAME}){{0,2}})")),
     ("person", re.compile(rf"\b({_GIVEN})[ ](?=[^\W\d_])({_NAME}(?:[ ]{_NAME})?)")),
 ]
 
+#: Before four numbers that name a version.
+_VERSION = re.compile(r"(?i:\b(?:version|ver|release|build|firmware)[ .:]*|\bv\.? ?)\Z")
 #: Between the names of persons told one after another.
 _NEXT = re.compile(rf"(?:, (?:and |und |et |y |и )?| and | und | et | y | и | και )(?=[^\W\d_])({_NAME}(?:[ ]{_NAME}){{1,2}})")
 
@@ -94,6 +96,12 @@ FAMILY = {
 }
 _SYLLABLES = {"latin": "ba de fi go lu ma ne ri so tu va zen kal mir dor lin".split(), "greek": "βα δε φι γο λου μα νε ρι σο του".split(), "cyrillic": "ба де фи го лу ма не ри со ту ва зен кал мир дор лин".split()}
 
+#: What further names end in, by script and role, after two syllables or more.
+_ENDINGS = {
+    "latin": {"f": "la na ra ssa tta line", "m": "las mir no rd rik to", "family": "ck ler ller mann nsen rt sky tti"}, "greek": {"f": "να ρα λη τη", "m": "νης ρος λος τας", "family": "δης κης λου πουλος"},
+    "cyrillic": {"f": "на ра ла ся", "m": "мир слав н р", "family": "нко ров лин вский"},
+}
+
 
 def luhn(digits: str) -> bool:
     total = sum(d if k % 2 == 0 else (2 * d - 9 if d > 4 else 2 * d) for k, d in enumerate(map(int, reversed(digits))))
@@ -196,15 +204,20 @@ def detect(text: str) -> list[tuple[int, int, str, str]]:
             elif kind == "card":
                 value = digits
             elif kind == "iban":
-                value = raw.replace(" ", "")
+                value = raw.replace(" ", "").upper()
             elif kind == "ip":
-                if any(int(x) > 255 for x in raw.split(".")):
+                if any(int(x) > 255 for x in raw.split(".")) or _VERSION.search(text, max(0, start - 16), start):
                     continue
                 value = raw
             elif kind == "ip6":
-                value = ipaddress.IPv6Address(raw).exploded
+                try:
+                    value = ipaddress.IPv6Address(raw).exploded
+                except ValueError:
+                    continue
+                if "::" in raw and (raw.count(":") < 3 or not digits):  # a scope of a programming language
+                    continue
             elif kind == "phone":
-                if not 7 <= len(digits) <= 15:
+                if not (9 if raw[0] == "0" else 7) <= len(digits) <= 15:
                     continue
                 value = digits
             else:
@@ -276,8 +289,10 @@ def surrogate(key: bytes, kind: str, value: str, attempt: int) -> str:
             return s.like(value) + s.like(value[-1] * (attempt // 8))
         gender = kind.split("-")[1]
         pool = FAMILY[script] if kind.startswith("family") else GIVEN[script, gender] if gender != "x" else GIVEN[script, "f"] + GIVEN[script, "m"]
-        name = pool[s.below(len(pool))]
-        return (name if attempt == 0 else name + "".join(_SYLLABLES[script][s.below(len(_SYLLABLES[script]))] for _ in range(1 + attempt // 4))).casefold()
+        if attempt == 0:
+            return pool[s.below(len(pool))].casefold()
+        ends = _ENDINGS[script]["family" if kind.startswith("family") else gender if gender != "x" else "fm"[s.below(2)]].split()
+        return "".join(_SYLLABLES[script][s.below(len(_SYLLABLES[script]))] for _ in range(2 + attempt // 4)) + ends[s.below(len(ends))]
     drawn = s.like(value)
     if kind == "secret" and attempt >= 8:  # little to draw from, as in ---------1: marks are drawn as well
         drawn = "".join("abcdefghijklmnopqrstuvwxyz"[s.below(26)] if not c.isalnum() else c for c in drawn) + s.like("a" * (attempt // 16))
@@ -292,7 +307,7 @@ def _in_script(old: str, new: str) -> str:
 def fit(kind: str, value: str, raw: str) -> str:
     """A normalised surrogate in the format of the entity as it stands in the text."""
     if kind in ("card", "phone", "iban"):
-        fill = iter(value)
+        fill = iter(value.lower() if kind == "iban" and raw.islower() else value)
         return "".join(_in_script(c, next(fill, "")) if c.isalnum() else c for c in raw)
     if kind == "ssn":
         return "".join(map(_in_script, raw, value))
@@ -353,7 +368,8 @@ def replace_entities(docs: DataFrame, key: bytes, id_col: str = "doc_id", text_c
             rows = [(i, k, v) for i, t in zip(batch.column("id").to_pylist(), batch.column("text").to_pylist(), strict=True) for k, v in {(k, v) for _, _, k, v in detect(t)}]
             yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], type=t) for j, t in enumerate((pa.int64(), pa.string(), pa.string()))], names=["id", "kind", "value"])
 
-    seen = cut(near.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(scan, "id long, kind string, value string"))
+    row_key = F.xxhash64(F.col(id_col).cast("long"), F.col(text_col))  # rows that share it share their entities
+    seen = cut(near.select(row_key.alias("id"), F.col(text_col).alias("text")).mapInArrow(scan, "id long, kind string, value string"))
     later = cut(assign(seen, key))
     own = (
         join_sized(seen, later, ["kind", "value"], later.count()).groupBy("id")
@@ -383,6 +399,6 @@ def replace_entities(docs: DataFrame, key: bytes, id_col: str = "doc_id", text_c
             told = [pa.array(counts, type=pa.int64()), pa.array(types, type=pa.list_(pa.string()))] if report else []
             yield pa.RecordBatch.from_arrays([*columns, *told], names=[*kept, *("n_entities", "entity_types")[: len(told)]])
 
-    joined = near.join(own, F.col(id_col).cast("long").eqNullSafe(F.col("_folio_id")), "left").select(*own_columns(docs), "_folio_map")
+    joined = near.join(own, row_key == F.col("_folio_id"), "left").select(*own_columns(docs), "_folio_map")
     none = {"n_entities": F.lit(0).cast("long"), "entity_types": F.array().cast("array<string>")} if report else {}
     return joined.mapInArrow(swap, schema).union(docs.where(~hinted).withColumns(none))

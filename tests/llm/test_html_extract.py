@@ -103,3 +103,30 @@ def test_wrapper_is_union_free_and_matches_its_pages():
     for k, n in enumerate(nodes):
         n[0] = f"div.{'a' * (k % 97 + 1)}"
     assert [n[0] for n, _ in H.walk(H.coarse(nodes))] == ["div", "p"]
+
+
+def test_raw_elements_end_where_they_end(spark):
+    icon = '<div class="top"><svg class="i"/></div><article><h1>Title {n}</h1><p>Text {n} with <svg-icon name="x"></svg-icon> icons.</p><title-bar>bar {n}</title-bar><p>Last {n}.</p></article>'
+    rows = [(k, f"http://icons.example/{k}", icon.replace("{n}", str(k))) for k in range(5)]
+    open_ended = "<article><p>before</p>{}<p>after</p></article>"
+    tags = ['<svg viewBox="0 0 1 1"><path d="M0"/>', "<math>", "<select><option>", "<object data=x>", "<select-box>", '<svg a="/>"><path/></svg>', "<!-->", "<!-- a > b -->", "<noscript>no</noscript>", "<template><p>no</p></template>"]
+    rows += [(10 + k, f"http://h{k}.example/", open_ended.format(t)) for k, t in enumerate(tags)]
+    rows += [(30, "http://s.example/", "<p>before</p><script>var a = '<p>';"), (31, "http://q.example/", "<article><p>before</p>" + "<select>" * 20_000 + "<p>after</p></article>")]
+    got = extract(spark, rows)
+    for k in range(5):
+        assert got[k]["text"] == f"Title {k}\n\nText {k} with icons.\n\nbar {k}\n\nLast {k}."
+    for k, t in enumerate(tags):
+        assert got[10 + k]["text"] == "before\n\nafter", t
+    assert got[30]["text"] == "before" and got[31]["text"] == "before\n\nafter"
+
+
+def test_ambiguous_names_need_a_second_sign(spark):
+    body = "<article><h1>Prices {n}</h1><p>The company of page {n} told its owners about the year.</p>{part}<p>Ending {n} of the report.</p></article>"
+    kept = ['<p class="notice-period">The notice {n} ends in May.</p>', '<p class="share-price">It stood at {n}.</p>', '<div class="search-results-analysis"><p>Found {n} more.</p></div>']
+    gone = ['<div class="share-box"><a href="/{n}">Send it on {n}</a></div>', '<div class="notice-box">All rights kept.</div>', '<div class="comments-list"><p>Reader {n} says so.</p></div>']
+    rows = [(100 * k + n, f"http://p{k}.example/{n}", body.replace("{part}", part).replace("{n}", str(n))) for k, part in enumerate(kept + gone) for n in range(6)]
+    got = extract(spark, rows)
+    for k in range(6):
+        for n in range(6):
+            middle = [f"The notice {n} ends in May.", f"It stood at {n}.", f"Found {n} more."][k : k + 1]
+            assert got[100 * k + n]["text"] == "\n\n".join([f"Prices {n}", f"The company of page {n} told its owners about the year.", *middle, f"Ending {n} of the report."])

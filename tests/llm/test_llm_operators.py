@@ -500,3 +500,30 @@ def test_language_accuracy_on_held_out_rows(spark, odd):
     assert some[3] == some[4] == some[6] == "und" and some[1] != "und" and len(some) == 10
     none = lang_id.predict(odd, lang_id.fit(empty(spark), lang_id.held_out())).collect()
     assert {r["lang_pred"] for r in none} == {"und"}
+
+
+def test_pii_secrets_and_numbers_of_other_forms(spark):
+    texts = {
+        'password = "hunter2!" now': "hunter2!", "Password: p@ssw0rd!23": "p@ssw0rd!23", "secret: my.secret.value.here.": "my.secret.value.here", "token=eyJhbGciOi.JIUzI1NiIs.abc": "eyJhbGciOi.JIUzI1NiIs.abc", "pwd='it is long'": "it is long",
+        "call 555 123 4567 now": "555 123 4567", "Tel. 030 1234567": "030 1234567", "0171-2345678": "0171-2345678", "at 2001:db8::1 today": "2001:db8::1", "be68 5390 0754 7034": "be68 5390 0754 7034", "to ünal@example.com": "ünal@example.com",
+    }
+    for text, entity in texts.items():
+        assert [text[a:b] for a, b, _, _ in pii.detect(text)] == [entity], text
+    for text in ["version 10.2.3.4", "v 10.2.3.4", "std::dead::beef", "a::b", "01-2024", "in 2024 01 12", "12 345 678 9012", "pwd: ________"]:
+        assert pii.detect(text) == [], text
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    got = {r["doc_id"]: r["text"] for r in pii.replace_entities(docs, b"k").collect()}
+    for k, (text, entity) in enumerate(texts.items()):
+        assert entity not in got[k] and got[k] != text and got[k].startswith(text.partition(entity)[0])
+    assert re.fullmatch(r"be\d\d \d{4} \d{4} \d{4}", got[9]) and pii.iban_ok(got[9].replace(" ", "").upper())
+
+
+def test_pii_later_names_are_names_and_distinct():
+    made = [pii.surrogate(b"k", kind, "smith", n) for kind in ("family-latin", "given-f-latin", "given-x-greek", "family-cyrillic") for n in range(1, 40)]
+    assert len(set(made)) > 0.95 * len(made) and all(m.isalpha() for m in made)
+
+
+def test_pii_rows_without_id_keep_their_own_entities(spark):
+    docs = spark.createDataFrame([(None, f"mail person{k}@mail{k % 3}.org now") for k in range(60)], "doc_id long, text string")
+    got = [r["text"] for r in pii.replace_entities(docs, b"k").collect()]
+    assert len(got) == 60 and len(set(got)) == 60 and not any("person" in t for t in got)
