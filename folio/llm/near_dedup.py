@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folio.llm.components import connected_components
-from folio.llm.store import IdFilter, cut, join_counted, may_hold, small_batches
+from folio.llm.store import IdFilter, cut, join_counted, join_dealt, may_hold, small_batches
 from folio.llm.textops import chunks, mix, shingle_sets, utf8
 
 BLOCK = 256
@@ -184,22 +184,18 @@ def near_duplicates(
     shared = cut(leaders.where("low < top").select("bucket", "leader", "n"))
     members = cut(join_counted(keyed, shared, ["bucket"], "id").select("bucket", "id", "leader"))
 
-    def both_sides(pairs: DataFrame, table: DataFrame, col: str) -> DataFrame:
-        """``pairs`` with what ``table`` has of their sides; a ``b`` of many pairs, as a leader of near copies, is dealt over tasks."""
-        a, b = (table.select(F.col("id").alias(x), F.col(col).alias(f"s{x}")) for x in "ab")
-        counted = cut(b.join(pairs.groupBy("b").agg(F.count("*").alias("n")), "b"))
-        return join_counted(pairs, counted, ["b"], "a").join(a, "a")
-
     def screened(pairs: DataFrame) -> DataFrame:
-        return both_sides(pairs, sketches, "sketch").select("a", "b", odd_distance("sa", "sb", words).alias("far")).where(F.col("far") <= limit)
+        a, b = (sketches.select(F.col("id").alias(x), F.col("sketch").alias(f"s{x}")) for x in "ab")
+        return pairs.join(a, "a").join(b, "b").select("a", "b", odd_distance("sa", "sb", words).alias("far")).where(F.col("far") <= limit)
 
     def confirmed(pairs: DataFrame) -> DataFrame:
+        """Links among written ``pairs``. The full set of a ``b`` of many pairs, as a leader of near copies, goes to several tasks."""
         sets = cut(full_sets(docs, pairs.select(F.explode(F.array("a", "b")).alias("id")), id_col, text_col, shingle))
+        a, b = (sets.select(F.col("id").alias(x), F.col("shingles").alias(f"s{x}")) for x in "ab")
         shared = F.size(F.array_intersect("sa", "sb"))
-        return (
-            both_sides(pairs, sets.dropDuplicates(["id"]), "shingles").select("a", "b", shared.alias("both"), (F.size("sa") + F.size("sb")).alias("total"))
-            .where(F.expr(f"100L * both >= {percent}L * (total - both)")).select("a", "b")
-        )
+        both = join_dealt(pairs.join(a, "a"), b, ["b"], cut(pairs.groupBy("b").agg(F.count("*").alias("n"))), "a")
+        sized = both.select("a", "b", shared.alias("both"), (F.size("sa") + F.size("sb")).alias("total"))
+        return sized.where(F.expr(f"100L * both >= {percent}L * (total - both)")).select("a", "b")
 
     star = screened(members.where("id <> leader").select(F.col("id").alias("a"), F.col("leader").alias("b")).distinct())
     best = Window.partitionBy("a").orderBy("far", "b")

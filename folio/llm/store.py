@@ -75,6 +75,20 @@ def join_counted(rows: DataFrame, counted: DataFrame, keys: list[str], spread_by
     return dealt.join(counted.withColumn("_salt", F.explode(F.sequence(F.lit(0), parts - 1))), [*keys, "_salt"]).drop("_salt")
 
 
+def join_dealt(rows: DataFrame, table: DataFrame, keys: list[str], sizes: DataFrame, spread_by: str, n: str = "n", most: int = 2000) -> DataFrame:
+    """A join with a table of one row per key, of which ``sizes`` (keys, n) says how many rows have the key; hot keys as in ``join_counted``.
+
+    Only ``sizes`` is read more than once, so ``table`` may be wide and need not be written.
+    """
+    total = sizes.agg(F.sum(n)).first()[0] or 0
+    most = max(most, -(-total // 10_000))
+    hot = F.broadcast(sizes.where(F.col(n) > most).select(*keys, F.ceil(F.col(n) / most).cast("int").alias("_parts")))
+    salt = F.coalesce(F.pmod(F.xxhash64(spread_by), F.col("_parts").cast("long")), F.lit(0)).cast("int")
+    dealt = rows.join(hot, keys, "left").withColumn("_salt", salt).drop("_parts")
+    copies = table.join(hot, keys, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_parts"), F.lit(1)) - 1))).drop("_parts")
+    return dealt.join(copies, [*keys, "_salt"]).drop("_salt")
+
+
 def range_bounds(ids: DataFrame, col: str, rows_per_range: int = 1000, max_ranges: int = 1 << 16) -> np.ndarray:
     """Lower bounds of ranges of ``col`` that hold about ``rows_per_range`` rows each.
 
