@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 from folio.functions import text as X
 from folio.operators import evidence as V
 from folio.operators import lexical as L
+from folio.operators.index import LexicalIndex
 from folio.plans.registry import Tables, query
 from folio.plans.segments import _SECTIONS, BLOCKS, LOW
+from folio.sources.store import shared_dir, snapshot
 
 _STOP = "(" + ", ".join(f"'{w}'" for w in X.STOPWORDS) + ")"
 _TERMS = "(" + ", ".join(f"'{w}'" for w in X.STOP_TERMS) + ")"
@@ -42,6 +44,12 @@ bm AS (SELECT query_id, chunk_id, score, row_number() OVER (PARTITION BY query_i
 bm25 AS (SELECT * FROM bm WHERE score > 0)"""
 
 
+def chunk_index(t: Tables) -> LexicalIndex:
+    """The index of the chunks, written once for a snapshot of the documents and shared by all queries of an application."""
+    name = snapshot(t.spark, f"{t.sf_dir}/documents.parquet")
+    return LexicalIndex.of(t("f_chunks"), f"{shared_dir(t.spark)}/lexical-index-{t.spark.sparkContext.applicationId}-{name}")
+
+
 @query(f"SELECT doc_id, token, count(*) AS n FROM {toks('documents', 'doc_id', 'text')} GROUP BY ALL")
 def l01_tokens(t: Tables) -> DataFrame:
     return L.term_counts(t("documents"), "doc_id", "text")
@@ -108,12 +116,12 @@ def l08_all_predictions(t: Tables) -> DataFrame:
 
 @query(f"WITH {BM25} SELECT token, chunk_id, round(weight, 6) AS weight FROM ix")
 def l09_bm25_index(t: Tables) -> DataFrame:
-    return L.bm25_index(t("f_chunks"), "chunk_id", "content").select("token", "chunk_id", F.round("weight", 6).alias("weight"))
+    return chunk_index(t).weights().select("token", "chunk_id", F.round("weight", 6).alias("weight"))
 
 
 @query(f"WITH {BM25_TOP} SELECT query_id, chunk_id, round(score, 6) AS score, rank FROM bm25")
 def l10_bm25_top(t: Tables) -> DataFrame:
-    return L.bm25_top(t("f_questions"), t("f_chunks")).withColumn("score", F.round("score", 6))
+    return chunk_index(t).top(t("f_questions")).withColumn("score", F.round("score", 6))
 
 
 SUMMARY = rf"""base AS (SELECT doc_id, regexp_replace(text, '^\s+|\s+$', '', 'g') AS text FROM documents),

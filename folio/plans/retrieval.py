@@ -7,9 +7,8 @@ from pyspark.sql import functions as F
 
 from folio.functions import prompts as P
 from folio.functions import text as X
-from folio.operators import lexical as L
 from folio.operators import retrieval as R
-from folio.plans.lexical import BM25_TOP
+from folio.plans.lexical import BM25_TOP, chunk_index
 from folio.plans.registry import Tables, query
 
 _NEAR = """nn AS (SELECT q.vec_id AS query_id, v.vec_id AS vec, v.label AS label, round(list_dot_product(q.embedding::DOUBLE[], v.embedding::DOUBLE[]) / sqrt(list_dot_product(q.embedding::DOUBLE[], q.embedding::DOUBLE[]) * list_dot_product(v.embedding::DOUBLE[], v.embedding::DOUBLE[])), 8) AS score
@@ -36,7 +35,7 @@ def vector_hits(t: Tables, k: int = 10) -> DataFrame:
 
 
 def fused(t: Tables, k: int = 10) -> DataFrame:
-    lists = R.tag(vector_hits(t), "vector").select("query_id", "chunk_id", "rank", "sources").unionByName(R.tag(L.bm25_top(t("f_questions"), t("f_chunks")), "bm25").select("query_id", "chunk_id", "rank", "sources"))
+    lists = R.tag(vector_hits(t), "vector").select("query_id", "chunk_id", "rank", "sources").unionByName(R.tag(chunk_index(t).top(t("f_questions")), "bm25").select("query_id", "chunk_id", "rank", "sources"))
     return R.rrf(lists, k)
 
 
@@ -121,7 +120,7 @@ def r10_multi_rrf(t: Tables) -> DataFrame:
 SELECT query_id, chunk_id, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM f QUALIFY rank <= 10""")
 def r11_weighted_fusion(t: Tables) -> DataFrame:
     cols = ["query_id", "chunk_id", "score"]
-    lists = vector_hits(t).select(*cols, F.lit("vector").alias("list")).unionByName(L.bm25_top(t("f_questions"), t("f_chunks")).select(*cols, F.lit("bm25").alias("list")))
+    lists = vector_hits(t).select(*cols, F.lit("vector").alias("list")).unionByName(chunk_index(t).top(t("f_questions")).select(*cols, F.lit("bm25").alias("list")))
     return R.weighted(lists, {"vector": 0.7, "bm25": 0.3}, 10).withColumn("score", F.round("score", 6))
 
 
@@ -148,7 +147,7 @@ final AS (SELECT query_id, concat(document_id, '_parent_', parent_chunk_index) A
 def hybrid(t: Tables) -> tuple[DataFrame, DataFrame]:
     asked = t("f_questions").select("query_id", X.normalize_query(F.col("question")).alias("question"))
     scorer = X.jaccard(X.tokens(F.col("question")), X.tokens(F.col("content")))
-    return R.hybrid_context(asked, vector_hits(t), L.bm25_top(asked, t("f_chunks")), t("f_chunks"), scorer, 5)
+    return R.hybrid_context(asked, vector_hits(t), chunk_index(t).top(asked), t("f_chunks"), scorer, 5)
 
 
 @query(f"WITH {_HYBRID} SELECT query_id, new_rank AS rank, chunk_id, document_id, page_no, source_type, score, rerank_score, rerank_applied FROM final")

@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -18,6 +19,13 @@ def shared_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+def snapshot(spark: SparkSession, path: str) -> str:
+    """A name for the files below a folder as they are: it changes with any file's name, size or time. Contents are not read."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select(F.xxhash64("path", "modificationTime", "length").cast("decimal(38,0)").alias("h"))
+    n, total = files.agg(F.count("*"), F.coalesce(F.sum("h"), F.lit(0))).first()
+    return f"{n}-{int(total) % (1 << 64):016x}"
+
+
 def cut(df: DataFrame) -> DataFrame:
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
