@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from folio.functions import text as X
 from folio.operators import lexical as L
 from folio.operators import similarity as M
-from folio.plans.lexical import TFIDF
+from folio.plans.lexical import TFIDF, token_set
 from folio.plans.registry import Tables, query
 
 _MEAN = """mv AS (SELECT label AS document_id, list(x ORDER BY pos) AS embedding FROM (SELECT label, pos, avg(x::DOUBLE) AS x FROM (SELECT label, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS pos FROM embeddings) GROUP BY ALL) GROUP BY label)"""
@@ -59,6 +59,25 @@ def m04_blended(t: Tables) -> DataFrame:
     return scored.select("a", "b", F.round("overlap", 4).alias("overlap"), F.round(semantic, 4).alias("semantic"), F.round(M.blended(semantic, F.col("overlap")), 3).alias("similarity"))
 
 
+_CAND = """cand AS (SELECT x.id AS a, y.id AS b, y.created_at FROM {f_docs_catalog} x JOIN {f_docs_catalog} y USING (user_id) WHERE y.status = 'completed' AND x.id <> y.id QUALIFY row_number() OVER (PARTITION BY x.id ORDER BY y.created_at DESC, y.id) <= 100)"""
+
+
+@query(f"""WITH {_WORDS.replace("<= 10", "<= 15")}, {_CAND}, tk AS (SELECT doc_id, {token_set('text')} AS s FROM documents WHERE text <> ''), ev AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings WHERE vec_id % 3 = 0),
+j AS (SELECT a, b, created_at, x.s AS sa, y.s AS sb, p.e AS ea, q.e AS eb, coalesce(k.words, []) AS wa, coalesce(l.words, []) AS wb
+  FROM cand JOIN tk x ON x.doc_id = a JOIN tk y ON y.doc_id = b LEFT JOIN ev p ON p.vec_id = a LEFT JOIN ev q ON q.vec_id = b LEFT JOIN kw k ON k.doc_id = a LEFT JOIN kw l ON l.doc_id = b),
+o AS (SELECT *, list_sort(list_intersect(wa, wb))[:6] AS topics, len(list_distinct(list_concat(wa, wb))) AS u, CASE WHEN ea IS NOT NULL AND eb IS NOT NULL THEN {_COS.format(a='ea', b='eb')}
+  WHEN len(sa) = 0 OR len(sb) = 0 THEN 0.0 ELSE len(list_intersect(sa, sb)) / len(list_distinct(list_concat(sa, sb))) END AS semantic FROM j),
+f AS (SELECT *, CASE WHEN u > 0 THEN len(topics) / u ELSE 0.0 END AS overlap FROM o), g AS (SELECT *, round(0.75 * semantic + 0.25 * overlap, 9) AS score FROM f)
+SELECT a, b, round(semantic, 4) AS semantic, round(overlap, 4) AS overlap, round(score, 4) AS similarity, array_to_string(topics, ',') AS topics, row_number() OVER (PARTITION BY a ORDER BY round(score, 4) DESC, created_at DESC, b) AS rank FROM g WHERE score >= 0.4 QUALIFY rank <= 5""")
+def m04_recommend(t: Tables) -> DataFrame:
+    """Recommendations for every document among the latest of its user. Documents whose id 3 divides have a vector; for the others, tokens stand."""
+    words = L.tfidf_keywords(t("documents"), "doc_id", "text", 15).groupBy(F.col("doc_id").alias("id")).agg(F.collect_list("keyword").alias("words"))
+    pairs = M.latest_candidates(t("f_docs_catalog"), t("f_docs_catalog"))
+    vectors = t("embeddings").where("vec_id % 3 = 0").select(F.col("vec_id").alias("id"), "embedding")
+    made = M.recommend(pairs, t("documents").select(F.col("doc_id").alias("id"), "text"), words, vectors, 0.4, 5, F.desc("created_at"), F.asc("b"))
+    return made.withColumn("topics", F.array_join("topics", ","))
+
+
 @query()
 def m05_compare_score(t: Tables) -> DataFrame:
     texts = t("documents").select("doc_id", "text")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from folio.operators.monitoring import parse_logs
 from folio.plans.registry import Tables, query
 from folio.sources import corpus as S
+from folio.sources.buckets import Buckets
 from folio.sources.store import shared_dir
 
 
@@ -71,13 +72,24 @@ def s09_manifest(t: Tables) -> DataFrame:
     return S.manifest(S.extract_markup(t("pages"), "page_id", "html", "html"), "page_id").groupBy("status").agg(F.count("*").alias("n"))
 
 
+CHUNKS = "chunk_id string, document_id long, chunk_index int, content string, page int, type string, parent_chunk_index int"
+
+
+def chunk_store(t: Tables, chunks: DataFrame) -> Buckets:
+    """A new store of chunks in buckets of their documents, with ``chunks`` as its first version."""
+    store = Buckets(t.spark, fresh(t, "chunks"), ["document_id"], CHUNKS)
+    store.append(S.renumber_chunks(chunks.drop("chunk_id")), 0)
+    return store
+
+
 @query("""SELECT concat(document_id, '_chunk_', row_number() OVER w - 1) AS chunk_id, document_id, (row_number() OVER w - 1)::INT AS chunk_index, content, page, type, coalesce(parent_chunk_index, -1) AS parent_chunk_index
 FROM {f_chunks} WHERE chunk_index % 4 <> 1 WINDOW w AS (PARTITION BY document_id ORDER BY chunk_index)""")
 def s10_append_chunks(t: Tables) -> DataFrame:
-    path = fresh(t, "chunks")
-    blanked = t("f_chunks").drop("chunk_id").withColumn("content", F.when(F.col("chunk_index") % 4 == 1, "  ").otherwise(F.col("content")))
-    S.renumber_chunks(blanked).write.mode("append").parquet(path)
-    return t.spark.read.parquet(path)
+    """Two appends: documents with even ids, then the others."""
+    blanked = t("f_chunks").withColumn("content", F.when(F.col("chunk_index") % 4 == 1, "  ").otherwise(F.col("content")))
+    store = chunk_store(t, blanked.where("document_id % 2 = 0"))
+    store.append(S.renumber_chunks(blanked.where("document_id % 2 <> 0").drop("chunk_id")), 1)
+    return store.read(1)
 
 
 @query("SELECT document_id, string_agg(content, chr(10) ORDER BY page, chunk_index) AS text FROM {f_chunks} GROUP BY document_id")
@@ -85,10 +97,17 @@ def s11_read_chunks(t: Tables) -> DataFrame:
     return S.document_texts(t("f_chunks"))
 
 
+@query("SELECT document_id, string_agg(content, chr(10) ORDER BY page, chunk_index) AS text FROM {f_chunks} WHERE document_id IN (SELECT doc_id FROM labels WHERE toxic = 1) GROUP BY document_id")
+def s11_read_documents(t: Tables) -> DataFrame:
+    """The texts of the toxic documents, for which only their buckets of the store are read."""
+    return S.document_texts(chunk_store(t, t("f_chunks")).read(0, t("labels").where("toxic = 1").select(F.col("doc_id").alias("document_id"))))
+
+
 @query("SELECT chunk_id FROM {f_chunks} WHERE document_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)")
 def s12_delete_chunks(t: Tables) -> DataFrame:
-    gone = t("labels").where("toxic = 1").select(F.col("doc_id").alias("document_id"))
-    return t("f_chunks").join(gone, "document_id", "left_anti").select("chunk_id")
+    store = chunk_store(t, t("f_chunks"))
+    store.delete(t("labels").where("toxic = 1").select(F.col("doc_id").alias("document_id")), 1)
+    return store.read(1).select("chunk_id")
 
 
 @query(r"SELECT event_id, strptime(left(raw, 19), '%Y-%m-%d %H:%M:%S') AS ts, upper(regexp_extract(raw, '\|\s*(\w+)\s*\|', 1)) AS level, regexp_extract(raw, '\|\s*\w+\s*\|\s*([^ ]+) - ', 1) AS module, regexp_extract(raw, '\|\s*\w+\s*\|\s*[^ ]+ - (.*)$', 1) AS message FROM {f_log_lines} WHERE raw LIKE '%|%|%'")
