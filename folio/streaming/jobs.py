@@ -20,6 +20,7 @@ from folio.functions import text as X
 from folio.operators.chunking import parent_child_chunks
 from folio.operators.monitoring import request_totals
 from folio.operators.similarity import merge_history
+from folio.sources.buckets import Buckets
 from folio.sources.store import shared_dir
 
 
@@ -52,6 +53,18 @@ class Run:
         if query.exception():
             raise query.exception()
 
+    def fold(self, stream: DataFrame, change: Callable[[DataFrame, int], None]) -> int:
+        """Applies ``change`` to each micro-batch and its number, and gives the last number; -1 without any."""
+        last = -1
+
+        def step(rows: DataFrame, batch: int) -> None:
+            nonlocal last
+            change(rows, batch)
+            last = batch
+
+        self.drain(stream, "append", step)
+        return last
+
     def latest(self) -> Callable[[DataFrame, int], None]:
         """A sink that keeps each batch's full result under its number, so a repeated batch overwrites itself."""
         return lambda rows, batch: rows.write.mode("overwrite").parquet(f"{self.out}/batch={batch}")
@@ -77,48 +90,36 @@ def rolling_report(spark: SparkSession, log: DataFrame, length: str = "1 hour",
     return rows.groupBy("start", "endpoint").agg(F.max_by(F.struct("requests", "errors", "avg_ms"), "batch").alias("r")).select("start", "endpoint", "r.*")
 
 
-def batch_progress(spark: SparkSession, events: DataFrame) -> DataFrame:
-    """Progress per batch as status events (batch_id, document_no, status, ts) arrive; the latest event of a document counts."""
-    run = Run(spark, "batch-progress")
-    schema = "batch_id long, total long, completed long, failed long, processing long, progress long"
+def batch_progress(spark: SparkSession, events: DataFrame, buckets: int = 64) -> DataFrame:
+    """Progress per batch as status events (batch_id, document_no, status, ts) arrive; the latest event of a document counts.
 
-    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        docs, times, said = state.get if state.exists else ([], [], [])
-        known = dict(zip(docs, zip(times, said, strict=True), strict=True))
-        for frame in frames:
-            for doc, status, ts in zip(frame["document_no"], frame["status"], frame["ts"].astype("int64"), strict=True):
-                if int(doc) not in known or known[int(doc)] <= (ts, status):
-                    known[int(doc)] = (int(ts), status)
-        state.update((list(known), [v[0] for v in known.values()], [v[1] for v in known.values()]))
-        all_ = [v[1] for v in known.values()]
-        done, failed = all_.count("completed"), all_.count("failed")
-        yield pd.DataFrame([(key[0], len(all_), done, failed, len(all_) - done - failed, 100 * (done + failed) // len(all_))], columns=[c.split()[0] for c in schema.split(", ")])
-
-    made = events.select("batch_id", F.col("document_no").cast("long").alias("document_no"), "status", F.col("ts").cast("timestamp").alias("ts")).groupBy("batch_id").applyInPandasWithState(
-        step, schema, "docs array<long>, times array<long>, said array<string>", "update", GroupStateTimeout.NoTimeout
-    )
-    run.drain(made, "update", run.latest())
-    rows = spark.read.schema(f"{schema}, batch long").parquet(run.out)
-    return rows.groupBy("batch_id").agg(F.max_by(F.struct("total", "completed", "failed", "processing", "progress"), "batch").alias("r")).select("batch_id", "r.*")
+    What is known of the documents is a table in buckets of (batch, document): a micro-batch rewrites the buckets of its documents, those
+    of one large batch are spread over all buckets, and no batch is gathered anywhere. A repeated micro-batch gives the same.
+    """
+    run = Run(spark, "batch-progress")
+    table = Buckets(spark, run.out, ["batch_id", "document_no"], "batch_id long, document_no long, us long, status string", buckets)
+    rows = events.select(F.col("batch_id").cast("long").alias("batch_id"), F.col("document_no").cast("long").alias("document_no"), F.unix_micros(F.col("ts").cast("timestamp")).alias("us"), "status")
+    latest = lambda rows: rows.groupBy("batch_id", "document_no").agg(F.max(F.struct("us", "status")).alias("r")).select("batch_id", "document_no", "r.*")
+    last = run.fold(rows, lambda new, batch: table.change(latest(new), batch, lambda old, new: latest(old.unionByName(new))))
+    done = table.read(last).groupBy("batch_id").agg(F.count("*").alias("total"), F.count_if(F.col("status") == "completed").alias("completed"), F.count_if(F.col("status") == "failed").alias("failed"))
+    ended = F.col("completed") + F.col("failed")
+    return done.select("*", (F.col("total") - ended).alias("processing"), F.floor(100 * ended / F.col("total")).alias("progress"))
 
 
-def history_counter(spark: SparkSession, asked: DataFrame) -> DataFrame:
-    """Question counts kept up to date: each micro-batch is aggregated and merged into the snapshot before it.
+def history_counter(spark: SparkSession, asked: DataFrame, buckets: int = 64) -> DataFrame:
+    """Question counts kept up to date: each micro-batch is aggregated and merged into the buckets of its keys; others stay as they lie.
 
-    ``asked`` has (user_id, question, document_id, ts). A snapshot is named by its batch, so a repeated batch gives the same.
+    ``asked`` has (user_id, question, document_id, ts). A change is named by its batch, so a repeated batch gives the same.
     """
     run = Run(spark, "history")
     schema = "user_id long, question string, document_id long, query_count long, last_queried timestamp, created_at timestamp"
+    table = Buckets(spark, run.out, ["user_id", "question", "document_id"], schema, buckets)
 
     def upsert(rows: DataFrame, batch: int) -> None:
-        new = rows.select("user_id", "question", "document_id", F.lit(1).cast("long").alias("query_count"), F.col("ts").alias("last_queried"), F.col("ts").alias("created_at"))
-        old = spark.read.schema(schema).parquet(f"{run.out}/batch={batch - 1}") if batch else new.limit(0)
-        merge_history(old, new).write.mode("overwrite").parquet(f"{run.out}/batch={batch}")
-        run.last = batch
+        new = rows.groupBy("user_id", "question", "document_id").agg(F.count("*").alias("query_count"), F.max("ts").alias("last_queried"), F.min("ts").alias("created_at"))
+        table.change(new.where("user_id IS NOT NULL"), batch, merge_history)
 
-    run.last = 0
-    run.drain(asked, "append", upsert)
-    return spark.read.schema(schema).parquet(f"{run.out}/batch={run.last}")
+    return table.read(run.fold(asked, upsert))
 
 
 def ingest(spark: SparkSession, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -144,8 +145,7 @@ def service_health(spark: SparkSession, outcomes: DataFrame, last: int = 50) ->
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         seqs, oks, durations = state.get if state.exists else ([], [], [])
         kept = pd.DataFrame({"seq": list(seqs), "ok": list(oks), "duration_s": list(durations)})
-        for frame in frames:
-            kept = pd.concat([kept, frame[["seq", "ok", "duration_s"]]]).sort_values("seq").tail(last)
+        kept = pd.concat([kept, *(frame[["seq", "ok", "duration_s"]].nlargest(last, "seq") for frame in frames)]).nlargest(last, "seq").iloc[::-1]
         oks = [bool(x) for x in kept["ok"]]
         state.update(([int(x) for x in kept["seq"]], oks, [float(x) for x in kept["duration_s"]]))
         streak = next((k for k, ok in enumerate(reversed(oks)) if ok), len(oks))
