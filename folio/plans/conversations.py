@@ -66,3 +66,32 @@ def x08_auto_title(t: Tables) -> DataFrame:
 string_agg(concat('## ', CASE WHEN role = 'user' THEN '👤 用户' ELSE '🤖 助手' END, ' (', strftime(created_at, '%H:%M:%S'), ')', chr(10), chr(10), content, chr(10), chr(10), '---', chr(10), chr(10)), '' ORDER BY turn)) AS markdown FROM {f_messages} GROUP BY conversation_id""")
 def s14_export_markdown(t: Tables) -> DataFrame:
     return X.export_markdown(t("f_messages"), F.concat(F.lit("对话 "), "conversation_id"))
+
+
+def reasoned(t: Tables) -> DataFrame:
+    """Messages of which some have a thinking text and sources."""
+    source = lambda name: F.struct(F.lit(name).cast("string").alias("document_name"), "content", (F.col("turn") / 4).alias("score"))
+    turn = F.col("turn")
+    return t("f_messages").select("*", F.when(turn % 4 < 2, F.concat(F.lit("turn "), turn)).alias("thinking"), F.when(turn % 3 > 0, F.array(source("a.md"), source(None))).alias("sources"))
+
+
+_NL = "chr(10)"
+_CITED = "concat('{0}. **{1}** (相似度: ', printf('%.2f', turn / 4), ')', chr(10), '   > ', left(content, 200), '...', chr(10), chr(10))"
+
+
+@query(f"""SELECT conversation_id, concat('# 对话 ', conversation_id, {_NL}, '**创建时间**: ', strftime(min(created_at), '%Y-%m-%d %H:%M:%S'), {_NL}, '**消息数量**: ', count(*), {_NL}, {_NL}, '---', {_NL}, {_NL},
+string_agg(concat('## ', CASE WHEN role = 'user' THEN '👤 用户' ELSE '🤖 助手' END, ' (', strftime(created_at, '%H:%M:%S'), ')', {_NL}, {_NL}, content, {_NL}, {_NL},
+ CASE WHEN role = 'assistant' AND turn % 4 < 2 THEN concat('### 💭 思考过程', {_NL}, {_NL}, 'turn ', turn, {_NL}, {_NL}) END, CASE WHEN role = 'assistant' AND turn % 3 > 0 THEN concat('### 📚 引用来源', {_NL}, {_NL}, {_CITED.format(1, 'a.md')}, {_CITED.format(2, '未知文档')}) END,
+ '---', {_NL}, {_NL}), '' ORDER BY turn)) AS markdown FROM {{f_messages}} GROUP BY conversation_id""")
+def s14_export_with_sources(t: Tables) -> DataFrame:
+    return X.export_markdown(reasoned(t), F.concat(F.lit("对话 "), "conversation_id"), thinking=True, sources=True)
+
+
+_AT = "strftime({0}, '%Y-%m-%dT%H:%M:%S')"
+
+
+@query(f"""SELECT conversation_id, concat('{{"conversation":{{"id":"', conversation_id, '","title":"对话 ', conversation_id, '","message_count":', count(*), ',"created_at":"', {_AT.format('min(created_at)')}, '","updated_at":"', {_AT.format('max(created_at)')}, '"}},"messages":[',
+string_agg(concat('{{"role":', to_json(role), ',"content":', to_json(content), ',"created_at":"', {_AT.format('created_at')}, '"', CASE WHEN turn % 4 < 2 THEN concat(',"thinking":"turn ', turn, '"') END,
+ CASE WHEN turn % 3 > 0 THEN concat(',"sources":[{{"document_name":"a.md","content":', to_json(content), ',"score":', turn / 4, '}},{{"content":', to_json(content), ',"score":', turn / 4, '}}]') END, '}}'), ',' ORDER BY turn), ']}}') AS json FROM {{f_messages}} GROUP BY conversation_id""")
+def s14_export_json(t: Tables) -> DataFrame:
+    return X.export_json(reasoned(t), F.concat(F.lit("对话 "), "conversation_id"), thinking=True, sources=True)

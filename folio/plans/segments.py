@@ -46,15 +46,25 @@ def c04_parent_child(t: Tables) -> DataFrame:
     return C.parent_child_chunks(t("documents"))
 
 
-@query(rf"""WITH p AS (SELECT doc_id, count(DISTINCT page) AS pages FROM {{f_lines}} GROUP BY doc_id HAVING count(DISTINCT page) >= 3),
+_REPEATED = rf"""WITH p AS (SELECT doc_id, count(DISTINCT page) AS pages FROM {{f_lines}} GROUP BY doc_id HAVING count(DISTINCT page) >= 3),
 s AS (SELECT doc_id, line, count(DISTINCT page) AS n FROM {{f_lines}} WHERE line <> '' AND length(line) <= 40 AND NOT {_HEAD} AND NOT regexp_matches(line, '[。！？!?]') GROUP BY doc_id, line),
 r AS (SELECT s.doc_id, s.line FROM s JOIN p USING (doc_id) WHERE n >= greatest(3, pages // 3))
-SELECT doc_id, pos, line FROM {{f_lines}} l WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.doc_id = l.doc_id AND r.line = l.line)""")
+SELECT doc_id, pos, line FROM {{f_lines}} l WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.doc_id = l.doc_id AND r.line = l.line)"""
+
+
+@query(_REPEATED)
 def c05_repeated_lines(t: Tables) -> DataFrame:
     lines = t("f_lines")
     return lines.join(C.repeated_short_lines(lines), ["doc_id", "line"], "left_anti").select("doc_id", "pos", "line")
 
 
+@query(_REPEATED.replace("f_lines", "f_book_lines"))
+def c05_running_heads(t: Tables) -> DataFrame:
+    """Lines of texts whose pages share a running head."""
+    lines = t("f_book_lines")
+    return lines.join(C.repeated_short_lines(lines), ["doc_id", "line"], "left_anti").select("doc_id", "pos", "line")
+
+
 @query(r"""SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY k) - 1)::INT AS pos, s AS sentence FROM
 (SELECT doc_id, k, regexp_replace(p, '^\s+|\s+$', '', 'g') AS s FROM (SELECT doc_id, unnest(ps) AS p, generate_subscripts(ps, 1) AS k FROM (SELECT doc_id, string_split(regexp_replace(text, '([。！？!?；;.\n])', '\1' || chr(1), 'g'), chr(1)) AS ps FROM documents))) WHERE s <> ''""")
 def c06_sentences(t: Tables) -> DataFrame:
@@ -66,13 +76,15 @@ def c07_paragraphs(t: Tables) -> DataFrame:
     return C.paragraphs(t("f_lines"))
 
 
-@query(f"""WITH {_PARAS}, n AS (SELECT *, greatest(sum(CASE WHEN heading THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY para_no), 1) AS section_no, bool_or(heading) OVER (PARTITION BY doc_id) AS has FROM paras)
+@query(f"""WITH {_PARAS.replace("f_lines", "f_book_lines")}, n AS (SELECT *, greatest(sum(CASE WHEN heading THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY para_no), 1) AS section_no, bool_or(heading) OVER (PARTITION BY doc_id) AS has FROM paras)
 SELECT * FROM (SELECT doc_id, section_no::BIGINT AS section_no, max(CASE WHEN heading THEN paragraph END) AS heading, coalesce(string_agg(CASE WHEN NOT heading THEN paragraph END, chr(10)||chr(10) ORDER BY para_no), '') AS body FROM n WHERE has GROUP BY doc_id, section_no) WHERE body <> ''""")
 def c08_heading_sections(t: Tables) -> DataFrame:
-    return C.heading_sections(C.paragraphs(t("f_lines")))
+    return C.heading_sections(C.paragraphs(t("f_book_lines")))
 
 
-@query()
+@query(f"""WITH {_PARAS}, w AS (SELECT doc_id, list(paragraph ORDER BY para_no) AS ps, sum(length(paragraph)) AS n FROM paras GROUP BY doc_id HAVING NOT bool_or(heading)),
+g AS (SELECT doc_id, n, CASE WHEN n < 900 THEN [array_to_string(ps, chr(10)||chr(10))] ELSE list_transform([list_reduce(list_transform(ps, lambda x: {{'done': []::VARCHAR[], 'open': x, 'n': length(x)}}), lambda a, b: CASE WHEN a.n + b.n > 1200 THEN {{'done': list_append(a.done, a.open), 'open': b.open, 'n': b.n}} ELSE {{'done': a.done, 'open': a.open || chr(10) || chr(10) || b.open, 'n': a.n + b.n}} END)], lambda r: list_append(r.done, r.open))[1] END AS gs FROM w)
+SELECT doc_id, k::INT AS section_no, CASE WHEN n < 900 THEN 'Content' ELSE concat('Section ', k) END AS title, body FROM (SELECT doc_id, n, unnest(gs) AS body, generate_subscripts(gs, 1) AS k FROM g)""")
 def c09_length_sections(t: Tables) -> DataFrame:
     return C.length_sections(C.paragraphs(t("f_lines")))
 

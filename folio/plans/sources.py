@@ -29,10 +29,12 @@ def s02_decode(t: Tables) -> DataFrame:
     return S.decode(t("documents").select("doc_id", raw.alias("content")), "content").select("doc_id", "text")
 
 
-@query("SELECT n_nationkey AS row_no, concat_ws(' | ', 'n_nationkey: ' || n_nationkey, 'n_name: ' || nullif(n_name, ''), 'n_regionkey: ' || n_regionkey) AS text FROM nation UNION ALL SELECT p_partkey + 1000, concat_ws(' | ', 'p_name: ' || nullif(p_name, ''), 'p_brand: ' || nullif(p_brand, '')) FROM part")
+@query("SELECT n_nationkey AS row_no, concat_ws(' | ', 'n_nationkey: ' || n_nationkey, 'n_name: ' || nullif(n_name, ''), 'n_regionkey: ' || n_regionkey) AS text FROM nation UNION ALL SELECT p_partkey + 1000, concat_ws(' | ', 'p_name: ' || nullif(p_name, ''), 'p_brand: ' || nullif(p_brand, '')) FROM part UNION ALL SELECT -1, '[表头] n_nationkey | n_name | n_regionkey' UNION ALL SELECT 999, '[表头] p_name | p_brand'")
 def s03_delimited(t: Tables) -> DataFrame:
-    nation, part = t("nation").select("n_nationkey", "n_name", "n_regionkey"), t("part").select("p_partkey", "p_name", "p_brand")
-    return nation.select(F.col("n_nationkey").alias("row_no"), S.delimited_rows(nation).alias("text")).union(part.select(F.col("p_partkey") + 1000, S.delimited_rows(part.select("p_name", "p_brand"))))
+    """Two delimited files, each with its header line before its rows."""
+    nation, part = t("nation").select("n_nationkey", "n_name", "n_regionkey"), t("part").select("p_name", "p_brand")
+    rows = nation.select(F.col("n_nationkey").cast("long").alias("row_no"), S.delimited_rows(nation).alias("text")).union(t("part").select(F.col("p_partkey") + 1000, S.delimited_rows(part)))
+    return rows.union(t.spark.createDataFrame([(-1, S.delimited_header(nation)), (999, S.delimited_header(part))], "row_no long, text string"))
 
 
 @query("SELECT conv_id, turn, role, length(text)::INT AS chars FROM conversations")
@@ -44,6 +46,15 @@ def s04_json_lines(t: Tables) -> DataFrame:
     return rows.select("conv_id", F.col("turn").cast(dict(t("conversations").dtypes)["turn"]).alias("turn"), "role", F.length("text").alias("chars"))
 
 
+@query(r"""SELECT doc_id, CASE WHEN doc_id % 7 <> 3 THEN concat('{', chr(10), '  "doc_id": ', doc_id, ',', chr(10), '  "meta": {', chr(10), '    "lang": ', to_json(coalesce(lang, '')), ',', chr(10), '    "tags": [', chr(10), '      ', to_json(coalesce(source, '')), ',', chr(10), '      "中文"', chr(10), '    ]', chr(10), '  }', chr(10), '}') END AS text, doc_id % 7 = 3 AS failed FROM documents""")
+def s04_json_documents(t: Tables) -> DataFrame:
+    """JSON documents, every seventh of which is cut off."""
+    meta = F.struct(F.coalesce("lang", F.lit("")).alias("lang"), F.array(F.coalesce("source", F.lit("")), F.lit("中文")).alias("tags")).alias("meta")
+    made = F.to_json(F.struct("doc_id", meta))
+    rows = t("documents").select("doc_id", F.when(F.col("doc_id") % 7 == 3, F.left(made, F.lit(9))).otherwise(made).alias("json"))
+    return S.pretty_json(rows, "json").select("doc_id", "text", F.col("error").isNotNull().alias("failed"))
+
+
 @query()
 def s05_html_text(t: Tables) -> DataFrame:
     return S.extract_markup(t("pages"), "page_id", "html", "html").select("page_id", "fragment_no", "text")
@@ -67,9 +78,11 @@ def s08_jsonl_round_trip(t: Tables) -> DataFrame:
     return t.spark.read.schema(rows.schema).json(path)
 
 
-@query("SELECT 'ok' AS status, count(*) AS n FROM pages")
+@query("SELECT CASE WHEN html IS NULL OR page_id % 11 = 5 THEN 'error' ELSE 'ok' END AS status, count(*) AS n FROM pages GROUP BY ALL")
 def s09_manifest(t: Tables) -> DataFrame:
-    return S.manifest(S.extract_markup(t("pages"), "page_id", "html", "html"), "page_id").groupBy("status").agg(F.count("*").alias("n"))
+    """Every eleventh page has lost its source and fails."""
+    pages = t("pages").withColumn("html", F.when(F.col("page_id") % 11 != 5, F.col("html")))
+    return S.manifest(S.extract_markup(pages, "page_id", "html", "html"), "page_id").groupBy("status").agg(F.count("*").alias("n"))
 
 
 CHUNKS = "chunk_id string, document_id long, chunk_index int, content string, page int, type string, parent_chunk_index int"

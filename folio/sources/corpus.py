@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+import re
 from collections.abc import Iterator
 from html.parser import HTMLParser
 from xml.etree import ElementTree
@@ -43,6 +45,12 @@ def decode(rows: DataFrame, content: str, out: str = "text") -> DataFrame:
     return native.unionByName(rows.where(~valid).withColumn(out, other(content)))
 
 
+def delimited_header(table: DataFrame) -> str:
+    """The line that names a table's headers; empty ones are left out, and a table without any has no such line."""
+    names = [c.strip() for c in table.columns if c.strip()]
+    return f"[表头] {' | '.join(names)}" if names else ""
+
+
 def delimited_rows(table: DataFrame) -> Column:
     """A row as ``header: value`` pairs; empty headers and values are left out."""
     parts = [F.when(F.coalesce(F.col(c).cast("string"), F.lit("")) != "", F.concat(F.lit(f"{c}: "), F.col(c).cast("string"))) for c in table.columns if c.strip()]
@@ -60,11 +68,14 @@ class _Texts(HTMLParser):
 
 
 def html_texts(source: str) -> list[str]:
-    """All non-blank text nodes, script and style bodies included."""
+    """All non-blank text nodes, script and style bodies included; of a source without any, what is left between tags, on one line."""
     parser = _Texts()
     parser.feed(source)
     parser.close()
-    return parser.found
+    if parser.found:
+        return parser.found
+    rest = " ".join(re.sub("<[^>]+>", " ", source).split())
+    return [rest] if rest else []
 
 
 def xml_texts(source: str) -> list[str]:
@@ -93,6 +104,23 @@ def extract_markup(rows: DataFrame, id_col: str, source: str, kind: str) -> Data
     return given.mapInPandas(run, f"id {dict(rows.dtypes)[id_col]}, fragment_no int, text string, status string, error string").withColumnRenamed("id", id_col)
 
 
+def pretty_json(rows: DataFrame, source: str) -> DataFrame:
+    """``rows`` with ``text``: the JSON document in ``source`` with an indent of two, other scripts as they are, and ``error`` where it
+    cannot be read. Null gives null."""
+
+    @F.pandas_udf("text string, error string")
+    def reparse(given: pd.Series) -> pd.DataFrame:
+        out = []
+        for text in given:
+            try:
+                out.append((None if text is None else json.dumps(json.loads(text), ensure_ascii=False, indent=2), None))
+            except ValueError as e:
+                out.append((None, f"{type(e).__name__}: {e}"))
+        return pd.DataFrame(out, columns=["text", "error"])
+
+    return rows.withColumn("_made", reparse(source)).select(*rows.columns, "_made.*")
+
+
 def with_title(text: Column, stem: Column) -> Column:
     """Markdown that starts with a heading: the stem where it has none."""
     return F.when(F.startswith(F.ltrim(text), F.lit("#")), text).otherwise(F.concat(F.lit("# "), stem, F.lit("\n\n"), text))

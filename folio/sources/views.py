@@ -17,6 +17,15 @@ FROM (SELECT doc_id, posexplode(split(text, '\\n')) AS (pos, line) FROM {documen
 FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line,
              CAST(generate_subscripts(string_split(text, chr(10)),1)-1 AS INT) AS pos FROM {documents})""",
     ),
+    "f_book_lines": (
+        """WITH parts AS (SELECT doc_id, k, trim(part) AS part FROM (SELECT doc_id, posexplode(split(text, '\\n|[.] ')) AS (k, part) FROM {documents}))
+SELECT doc_id, k * 2 + 1 AS pos, CASE WHEN k % 12 = 0 THEN concat('Chapter ', CAST(floor(k/12) AS INT)+1, ' ', left(part, 20)) WHEN k % 4 = 3 THEN '' ELSE part END AS line, CAST(floor(k/6) AS INT)+1 AS page FROM parts
+UNION ALL SELECT doc_id, k * 2, 'confidential draft not for circulation', CAST(floor(k/6) AS INT)+1 FROM parts WHERE k % 6 = 0""",
+        """WITH parts AS (SELECT doc_id, k, trim(part) AS part FROM (SELECT doc_id, unnest(string_split_regex(text, '\\n|[.] ')) AS part,
+             CAST(generate_subscripts(string_split_regex(text, '\\n|[.] '),1)-1 AS INT) AS k FROM {documents}))
+SELECT doc_id, k * 2 + 1 AS pos, CASE WHEN k % 12 = 0 THEN concat('Chapter ', CAST(floor(k/12) AS INT)+1, ' ', left(part, 20)) WHEN k % 4 = 3 THEN '' ELSE part END AS line, CAST(floor(k/6) AS INT)+1 AS page FROM parts
+UNION ALL SELECT doc_id, k * 2, 'confidential draft not for circulation', CAST(floor(k/6) AS INT)+1 FROM parts WHERE k % 6 = 0""",
+    ),
     "f_chunks": """SELECT concat(doc_id,'_chunk_',row_number() OVER (PARTITION BY doc_id ORDER BY pos)-1) AS chunk_id,
        doc_id AS document_id, line AS content, page,
        CAST(row_number() OVER (PARTITION BY doc_id ORDER BY pos)-1 AS INT) AS chunk_index,
