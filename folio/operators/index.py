@@ -11,6 +11,9 @@ from folio.functions import text as X
 from folio.operators.lexical import _by_row, _counts, bm25_weight, term_counts, top
 from folio.sources.store import cut
 
+#: Most asked tokens, over all questions, that are broadcast: some 60 bytes each.
+FEW = 500_000
+
 
 class LexicalIndex:
     """Postings (token, id, n, dl) and terms (token, df) in buckets by the hash of the token, sorted by token, and one row of totals.
@@ -72,12 +75,15 @@ class LexicalIndex:
     def top(self, questions: DataFrame, k: int = 10) -> DataFrame:
         """(query_id, id, score, rank): the k best chunks of each question (query_id, question), those with a positive score.
 
-        Only the buckets of the asked tokens are read; their numbers, not the tokens, reach the driver.
+        Only the buckets of the asked tokens are read; their numbers, not the tokens, reach the driver. Up to ``FEW`` asked tokens are
+        sent to the postings where they lie; more are joined by a shuffle.
         """
         asked = cut(term_counts(questions, "query_id", "question").withColumnRenamed("n", "m").withColumn("bucket", _bucket(self.totals["buckets"])))
-        buckets = sorted(r[0] for r in asked.select("bucket").distinct().collect())
-        wanted = asked.join(self._idf(buckets), ["bucket", "token"])
-        scored = self._part("postings", self.totals["schema"], buckets).join(wanted, ["bucket", "token"])
+        per = asked.groupBy("bucket").count().collect()
+        buckets, small = sorted(r["bucket"] for r in per), sum(r["count"] for r in per) <= FEW
+        near = F.broadcast if small else lambda rows: rows
+        wanted = self._idf(buckets).join(near(asked), ["bucket", "token"])
+        scored = self._part("postings", self.totals["schema"], buckets).join(near(wanted), ["bucket", "token"])
         scored = scored.groupBy("query_id", self.id_col).agg(F.round(F.sum(F.col("m") * bm25_weight(self.average)), 8).alias("score"))
         return top(scored, "query_id", k, F.desc("score"), F.asc(self.id_col)).where("score > 0")
 
