@@ -23,6 +23,7 @@ ROWS, CELLS = 1 << 18, 1 << 22
 class LexicalIndex:
     """Postings (token, id, n, dl) and terms (token, df) in buckets by the hash of the token, sorted by token, and one row of totals.
 
+    The empty token has one posting a chunk, so that chunks are counted, those without words too, in the pass that tokenises them.
     The totals are written last: an index that has them is whole. A frequent token's postings are spread over several files.
     """
 
@@ -37,7 +38,9 @@ class LexicalIndex:
 
         def work(tokens: pa.Array) -> tuple[np.ndarray, list[pa.Array]]:
             row, (token, n) = _counts(tokens)
-            return row, [token, n, pa.array(np.diff(tokens.offsets.to_numpy()).astype(np.int64)[row])]
+            every, length = np.arange(len(tokens)), np.diff(tokens.offsets.to_numpy()).astype(np.int64)
+            row, token = np.append(row, every), pa.concat_arrays([token, pa.repeat("", len(tokens))])
+            return row, [token, pa.array(np.append(n.to_numpy(), np.zeros_like(every))), pa.array(length[row])]
 
         path, spark = path.rstrip("/"), chunks.sparkSession
         texts = chunks.select(id_col, X.tokens(F.coalesce(text_col, F.lit(""))).alias("tokens"))
@@ -46,9 +49,9 @@ class LexicalIndex:
         schema = f"{id_col} {dict(chunks.dtypes)[id_col]}, token string, n long, dl long, bucket int"
         counted = spark.read.schema(schema).parquet(f"{path}/postings").groupBy("bucket", "token").agg(F.count("*").alias("df"), F.sum("n").alias("n"))
         counted.hint("rebalance", "bucket").sortWithinPartitions("bucket", "token").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/terms")
-        docs = chunks.count()
         terms = spark.read.schema("token string, df long, n long, bucket int").parquet(f"{path}/terms")
-        sums = terms.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("words"), F.coalesce(F.avg(_raw_idf(docs)), F.lit(0.0)).alias("mean_idf"))
+        docs = terms.where("token = ''").agg(F.coalesce(F.sum("df"), F.lit(0))).first()[0]
+        sums = terms.where("token <> ''").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("words"), F.coalesce(F.avg(_raw_idf(docs)), F.lit(0.0)).alias("mean_idf"))
         sums.select(F.lit(docs).cast("long").alias("docs"), "words", "mean_idf", F.lit(buckets).alias("buckets"), F.lit(id_col).alias("id_col"), F.lit(schema).alias("schema")).coalesce(1).write.mode("overwrite").parquet(f"{path}/totals")
         return cls(spark, path)
 
@@ -75,7 +78,7 @@ class LexicalIndex:
 
     def weights(self) -> DataFrame:
         """(token, id, weight) of all postings."""
-        return self._part("postings", self.totals["schema"], None).join(self._idf(), ["bucket", "token"]).select("token", self.id_col, bm25_weight(self.average).alias("weight"))
+        return self._part("postings", self.totals["schema"], None).where("token <> ''").join(self._idf(), ["bucket", "token"]).select("token", self.id_col, bm25_weight(self.average).alias("weight"))
 
     def top(self, questions: DataFrame, k: int = 10) -> DataFrame:
         """(query_id, id, score, rank): the k best chunks of each question (query_id, question), those with a positive score.

@@ -18,9 +18,16 @@ def fresh(t: Tables, name: str) -> str:
     return f"{shared_dir(t.spark)}/{name}-{uuid.uuid4().hex}"
 
 
-@query()
+@query("""SELECT 'documents' AS source, 'lang=' || coalesce(nullif(lang, ''), 'none') AS folder, '.txt' AS extension, sum(coalesce(strlen(text), 0) + 1)::BIGINT AS bytes FROM documents GROUP BY ALL
+UNION ALL SELECT 'turns', 'role=' || coalesce(nullif(role, ''), 'none'), '.txt', sum(coalesce(strlen(text), 0) + 1)::BIGINT FROM conversations GROUP BY ALL""")
 def s01_scan_files(t: Tables) -> DataFrame:
-    return S.scan_files(t.spark, t.sf_dir, [".parquet"])
+    """A corpus of text files in folders by language and role, beside Parquet files that are no documents; sizes by folder."""
+    path, named = fresh(t, "corpus"), lambda c: F.coalesce(F.nullif(c, F.lit("")), F.lit("none")).alias(c)
+    t("documents").select("text", named("lang")).write.partitionBy("lang").text(f"{path}/documents")
+    t("conversations").select("text", named("role")).write.partitionBy("role").text(f"{path}/turns")
+    t("labels").write.parquet(f"{path}/labels")
+    parts = [F.regexp_extract("path", r"([^/]+)/([^/]+)/[^/]+$", k).alias(c) for k, c in ((1, "source"), (2, "folder"))]
+    return S.scan_files(t.spark, path).select(*parts, "extension", "length").groupBy("source", "folder", "extension").agg(F.sum("length").alias("bytes"))
 
 
 @query()

@@ -3,8 +3,12 @@
 import tempfile
 from pathlib import Path
 
+import numpy as np
+import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
+from folio.operators import index as I
 from folio.operators import lexical as L
 from folio.operators.index import LexicalIndex
 from folio.operators.similarity import merge_history
@@ -33,6 +37,35 @@ def test_index_equals_one_off_search_and_is_pruned(spark, data):
     assert LexicalIndex.of(chunks.limit(0), path).totals["docs"] == chunks.count() and sorted(p.stat().st_mtime_ns for p in Path(path).rglob("*.parquet")) == marks
 
 
+def test_search_by_shuffle_equals_search_in_tasks(spark, data, monkeypatch):
+    index = LexicalIndex.build(table(spark, data, "f_chunks").select("chunk_id", "content"), tempfile.mkdtemp(prefix="folio-index-"))
+    asked, cols = table(spark, data, "f_questions"), ("query_id", "chunk_id", "score", "rank")
+    in_tasks = rounded(index.top(asked, 7), *cols)
+    monkeypatch.setattr(I, "FEW", -1)
+    assert in_tasks and rounded(index.top(asked, 7), *cols) == in_tasks
+
+
+@pytest.mark.parametrize(("rows", "cells", "k"), [(1, 1, 1), (10, 20, 3), (1000, 40, 2), (1 << 18, 1 << 22, 4), (50, 7, 100)])
+def test_sums_of_a_task_equal_naive(monkeypatch, rows, cells, k):
+    monkeypatch.setattr(I, "ROWS", rows), monkeypatch.setattr(I, "CELLS", cells)
+    rng = np.random.default_rng(rows)
+    ids = [None, *(f"c{i:03}" for i in range(60))]
+    posted = [(i, int(c), float(rng.integers(-1, 4))) for i in ids for c in rng.choice(9, rng.integers(0, 9), replace=False)]
+    asks = [(c, q, int(rng.integers(1, 3))) for c in range(9) for q in sorted(rng.choice(6, rng.integers(0, 6), replace=False))]
+    starts = np.searchsorted([c for c, _, _ in asks], np.arange(10))
+    add = I.scorer(starts, np.array([q for _, q, _ in asks]), np.array([m for _, _, m in asks], dtype=float), pa.array([f"q{i}" for i in range(6)]), "id", k)
+    sums = {}
+    for i, c, w in posted:
+        for q, m in ((q, m) for d, q, m in asks if d == c):
+            sums[q, i] = sums.get((q, i), 0) + m * w
+    want = {(f"q{q}", i, s) for p in range(6) for q, i, s in sorted(((q, i, s) for (q, i), s in sums.items() if q == p and s > 0), key=lambda r: (-r[2], r[1] or ""))[:k]}
+    columns = list(zip(*posted, strict=True))
+    table_ = pa.table({"id": pa.array(columns[0], pa.string()), "code": pa.array(columns[1], pa.int64()), "weight": pa.array(columns[2])})
+    got = [r for b in add(iter(table_.to_batches(max_chunksize=7))) for r in b.to_pylist()]
+    assert {(r["query_id"], r["id"], r["score"]) for r in got} == want and len(got) == len(want)
+    assert list(add(iter([]))) == []
+
+
 def test_empty_index(spark):
     index = LexicalIndex.build(spark.createDataFrame([], "chunk_id string, content string"), tempfile.mkdtemp(prefix="folio-index-"))
     assert index.top(spark.createDataFrame([(1, "word")], "query_id int, question string")).count() == 0 and index.weights().count() == 0
