@@ -17,6 +17,21 @@ from folio.functions import text as X
 EXTENSIONS = ".pdf .docx .doc .txt .md .markdown .csv .tsv .json .jsonl .html .htm .xml .png .jpg .jpeg".split()
 
 
+#: File bytes a core up to which a table is dealt over the cores before work in its rows.
+SMALL = 16 << 20
+
+
+def spread(rows: DataFrame) -> DataFrame:
+    """Rows just read from files, dealt over all cores where the files hold less than ``SMALL`` bytes a core.
+
+    A Parquet row group is read by one task, so a table of few row groups would be worked on by as few cores. Larger tables have more
+    row groups and stay as they are read: what is shuffled here is at most ``SMALL`` a core, of the columns in use.
+    """
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    size = int(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return rows.repartition(cores) if size < cores * SMALL else rows
+
+
 def scan_files(spark: SparkSession, path: str, extensions: list[str] = EXTENSIONS) -> DataFrame:
     """(path, length, extension) of the files below a folder, sorted by path. Contents are not read."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "length")

@@ -6,6 +6,8 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+from folio.sources.corpus import spread
+
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 #: The same text in Spark SQL and DuckDB, unless a pair (Spark, DuckDB) is given. Names in braces are tables or views.
@@ -112,13 +114,18 @@ FROM {benchmark}""",
 _NAMES = re.compile("\\{(" + "|".join([*TABLES, *VIEWS]) + ")\\}")
 
 
+#: Tables of whole texts, and the views that cut texts up: work in their rows takes all cores.
+TEXTS, CUT_TEXTS = ("documents", "pages"), ("f_lines", "f_book_lines")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A driver table or a view over them."""
     if name in TABLES:
-        return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+        rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+        return spread(rows) if name in TEXTS else rows
     text = VIEWS[name] if isinstance(VIEWS[name], str) else VIEWS[name][0]
     needs = dict.fromkeys(_NAMES.findall(text))
-    return spark.sql(text, **{n: table(spark, sf_dir, n) for n in needs})
+    return spark.sql(text, **{n: spark.read.parquet(f"{sf_dir}/{n}.parquet") if n in TABLES and name not in CUT_TEXTS else table(spark, sf_dir, n) for n in needs})
 
 
 def with_views(sql: str) -> str:
