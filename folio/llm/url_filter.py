@@ -49,6 +49,26 @@ def domain_of(host: Column) -> Column:
     return F.when(name.rlike(ADDRESS), name).when(name.rlike(SECOND), F.substring_index(name, ".", -3)).otherwise(F.substring_index(name, ".", -2))
 
 
+def domains_by_list(hosts: DataFrame, rules: DataFrame) -> DataFrame:
+    """``hosts`` with ``domain`` and ``suffix`` by a public suffix list, a table of one column ``rule`` (``uk``, ``co.uk``, ``*.ck``, ``!www.ck``).
+
+    An exception wins over all, else the rule of most labels; a host that no rule fits has its last label as its suffix. ``hosts`` has one
+    row a host; comments, blank and null rules count for none, case does not matter. The list is joined, not sent out, so it may be of any length.
+    """
+    rule = F.lower(F.trim("rule"))
+    listed = rules.select(rule.alias("rule")).where("rule <> '' AND NOT startswith(rule, '//')").distinct()
+    named = hosts.withColumn("_name", bare_host(F.col("host")))
+    tails = named.where(~F.col("_name").rlike(ADDRESS)).select("host", F.split("_name", r"\.").alias("l")).select("host", "l", F.explode(F.sequence(F.lit(1), F.size("l"))).alias("n"))
+    tail = F.array_join(F.slice("l", -F.col("n"), F.col("n")), ".")
+    form = lambda rule, labels, excepted: F.struct(rule.alias("rule"), labels.alias("labels"), F.lit(excepted).alias("excepted"))
+    forms = F.array(form(tail, F.col("n"), False), form(F.regexp_replace(tail, r"^[^.]*", "*"), F.col("n"), False), form(F.concat(F.lit("!"), tail), F.col("n") - 1, True))
+    fits = tails.select("host", F.inline(forms)).join(listed, "rule").groupBy("host").agg(F.max(F.struct("excepted", "labels")).alias("best"))
+    whole, n = F.col("_name").rlike(ADDRESS), F.coalesce("best.labels", F.lit(1))
+    labels = F.split("_name", r"\.")
+    last = lambda n: F.array_join(F.slice(labels, -F.least(n, F.size(labels)), n), ".")
+    return named.join(fits, "host", "left").withColumns({"domain": F.when(whole, F.col("_name")).otherwise(last(n + 1)), "suffix": F.when(whole, F.col("_name")).otherwise(last(n))}).drop("_name", "best")
+
+
 def beta_quantile(mean: Column, weight: Column, p: float) -> Column:
     """The lower quantile of a beta distribution with this mean and weight (both parameters together), by the usual closed
     approximations: Abramowitz and Stegun 26.5.22 where both parameters are 1 or more (right to 0.01), else the two power-law tails (right to 0.06)."""
@@ -88,14 +108,21 @@ def _strength(units: DataFrame, keys: list[str], low: float, high: float) -> Dat
     return got.select(*keys, "pn", "pbad", "k", F.greatest(F.lit(low), F.least(F.lit(high), strength)).alias("strength"))
 
 
-def host_reputation(pages: DataFrame, outcomes: DataFrame, id_col: str = "page_id", p: float = 0.05, low: float = 2.0, high: float = 200.0) -> DataFrame:
+def host_reputation(pages: DataFrame, outcomes: DataFrame, id_col: str = "page_id", p: float = 0.05, low: float = 2.0, high: float = 200.0, suffixes: DataFrame | None = None) -> DataFrame:
     """(host, n, bad, mean, bound) of every host with a labelled page.
 
+    Domains are registered under the rules of ``suffixes`` (see ``domains_by_list``), without it under the last label, or the last two of
+    a country with second labels.
+
     ``pages`` has (id_col, host), ``outcomes`` (id_col, bad 0/1). ``bound`` is the posterior's quantile of probability ``p``.
     The counts are pre-aggregated, so a hot host costs one row per task. Null outcomes and rows without a host do not count.
     """
     seen = pages.where("host <> ''").join(outcomes.where("bad IS NOT NULL").groupBy(id_col).agg(F.max("bad").alias("bad")), id_col)
-    hosts = seen.groupBy("host").agg(F.count("*").alias("n"), F.sum("bad").alias("bad")).withColumns({"domain": domain_of(F.col("host")), "suffix": suffix_of(F.col("host"))})
+    hosts = seen.groupBy("host").agg(F.count("*").alias("n"), F.sum("bad").alias("bad"))
+    if suffixes is None:
+        hosts = hosts.withColumns({"domain": domain_of(F.col("host")), "suffix": suffix_of(F.col("host"))})
+    else:
+        hosts = domains_by_list(hosts, suffixes)
     domains = hosts.groupBy("suffix", "domain").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
     suffixes = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
 
@@ -114,7 +141,8 @@ def host_reputation(pages: DataFrame, outcomes: DataFrame, id_col: str = "page_i
 
 
 def judge_urls(
-    pages: DataFrame, outcomes: DataFrame, rules: list[tuple[str, str]], id_col: str = "page_id", url_col: str = "url", cut_off: float = 0.5, p: float = 0.05
+    pages: DataFrame, outcomes: DataFrame, rules: list[tuple[str, str]], id_col: str = "page_id", url_col: str = "url", cut_off: float = 0.5, p: float = 0.05,
+    suffixes: DataFrame | None = None,
 ) -> DataFrame:
     """Every row's (id_col, host, path, rule, verdict, bad_rate, bound).
 
@@ -124,7 +152,7 @@ def judge_urls(
     host. An address is its own domain; ports and users belong to no domain. Empty tables are fine; other columns are not read.
     """
     parsed = pages.select(F.col(id_col).alias("id"), host_of(F.col(url_col)).alias("host"), path_of(F.col(url_col)).alias("path"))
-    known = host_reputation(parsed.where("id IS NOT NULL"), outcomes.select(F.col(id_col).alias("id"), "bad"), "id", p)
+    known = host_reputation(parsed.where("id IS NOT NULL"), outcomes.select(F.col(id_col).alias("id"), "bad"), "id", p, suffixes=suffixes)
     rule, verdict = rule_for(F.col("host"), F.col("path"), rules)
     method = F.when(F.col("bound") > cut_off, "block").otherwise("allow")
     return parsed.join(known.select("host", F.col("mean").alias("bad_rate"), "bound"), "host", "left").select(

@@ -295,6 +295,22 @@ def test_url_domains(spark):
     assert made["x1.bad.co.uk"]["verdict"] == "block" and made["innocent.co.uk"]["verdict"] == "allow" and made["innocent.co.uk"]["bound"] < 0.3
 
 
+def test_domains_by_a_public_suffix_list(spark):
+    rules = spark.createDataFrame([(r,) for r in ("com", "uk", "CO.uk", "*.ck", "!www.ck", "github.io", "io", "// a comment", "", None, "com")], "rule string")
+    want = {
+        "a.b.example.com": ("example.com", "com"), "x.co.uk": ("x.co.uk", "co.uk"), "web.de": ("web.de", "de"), "me.github.io": ("me.github.io", "github.io"), "a.me.github.io": ("me.github.io", "github.io"),
+        "shop.a.ck": ("shop.a.ck", "a.ck"), "www.ck": ("www.ck", "ck"), "b.www.ck": ("www.ck", "ck"), "com": ("com", "com"), "u@h.example.com:80": ("example.com", "com"), "10.0.0.1": ("10.0.0.1", "10.0.0.1"),
+    }
+    hosts = spark.createDataFrame([(h,) for h in want], "host string")
+    assert {r["host"]: (r["domain"], r["suffix"]) for r in url_filter.domains_by_list(hosts, rules).collect()} == want
+    pages = spark.createDataFrame([(k, f"https://u{k}.github.io/") for k in range(60)], "page_id long, url string")
+    outcomes = spark.createDataFrame([(k, int(k < 30)) for k in range(60)], "page_id long, bad int")
+    shared = {r["bad_rate"] for r in url_filter.judge_urls(pages, outcomes, []).collect()}
+    own = {r["page_id"]: r["bad_rate"] for r in url_filter.judge_urls(pages, outcomes, [], suffixes=rules).collect()}
+    assert len(own) == 60 and min(v for k, v in own.items() if k < 30) > max(v for k, v in own.items() if k >= 30) and shared
+    assert url_filter.domains_by_list(hosts, rules.limit(0)).where("domain = 'github.io'").count() == 2 and url_filter.domains_by_list(hosts.limit(0), rules).count() == 0
+
+
 def test_url_bound_is_a_beta_quantile(spark):
     rng = np.random.default_rng(1)
     rows = [(m, w) for m in (0.02, 0.3, 0.5, 0.9, 0.99) for w in (1.5, 4.0, 30.0, 300.0)]
@@ -369,6 +385,23 @@ def test_fingerprints_estimate_and_merge(spark, odd):
     assert got[1]["fingerprint"] == got[2]["fingerprint"] and got[3]["fingerprint"] == "" and got[4]["n_chars"] == 0
 
 
+def test_likeness_of_the_query_equals_exact_sets(spark, data):
+    """Sketches of 128 hashes against whole sets of five-word shingles, of each document, its edited text and the next one."""
+    docs = sorted(((r["doc_id"], r["text"] or "") for r in spark.read.parquet(f"{data}/documents.parquet").collect()), reverse=True)
+    got = {r["doc_id"]: r for r in fingerprint.edited_fingerprints(spark.read.parquet(f"{data}/documents.parquet")).collect()}
+
+    def exact(a, b):
+        x, y = ({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if (w := t.lower().split()) else set() for t in (a, b))
+        return len(x & y) / len(x | y) if x | y else 1.0
+
+    off = []
+    for (i, text), (_, after) in zip(docs, docs[1:] + docs[:1], strict=True):
+        half = len(text) // 2
+        off.append((got[i]["near_edited"] - exact(text, text[: len(text) - half] + after[:half]), got[i]["near_next"] - exact(text, after)))
+    off = np.array(off)
+    assert len(got) == len(docs) and (np.abs(off).max(axis=0) < 0.25).all() and (np.abs(off.mean(axis=0)) < 0.02).all(), (np.abs(off).max(axis=0), off.mean(axis=0))
+
+
 def test_edited_fingerprints(spark, odd):
     rows = [(3, "abcdef ghij"), (1, "12345"), (2, "é" * 7), (5, None), (4, "zz")]
     got = {r["doc_id"]: r for r in fingerprint.edited_fingerprints(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
@@ -484,7 +517,7 @@ def test_language_model_is_a_code(spark):
     for context in (b"\0\0\0", b"the", b" xq", b"und"):
         x = np.array([int.from_bytes(context, "big") << 8 | s for s in range(256)], dtype=np.uint32)
         total = np.exp2(-model.cost(x).astype(np.float64)).sum(axis=0)
-        assert (total <= 1.0 + 1e-6).all() or np.allclose(total, total.clip(0, 2))
+        assert (total <= 1.0 + 1e-5).all() and (total > 0.5).all(), total  # a code: what the escapes cost twice is lost, nothing is won
     raw = np.frombuffer(b"the catdie katze", dtype=np.uint8)
     bits = model.code_lengths(raw, np.array([0, 7, 7, 16]))
     assert bits[0].argmin() == 0 and bits[2].argmin() == 1 and (bits[1] == 0).all()
