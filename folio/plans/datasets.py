@@ -12,6 +12,7 @@ from folio.operators.evidence import with_evidence
 from folio.plans.lexical import GUIDES
 from folio.plans.registry import Tables, query
 from folio.plans.segments import _POINTS, _SECTIONS
+from folio.sources.store import cut
 
 _CLEAN = r"regexp_replace(regexp_replace(coalesce({0}, ''), '\s+', ' ', 'g'), '^\s+|\s+$', '', 'g')"
 _RATIO = r"(length(regexp_replace({0}, '[^A-Za-z]', '', 'g')) >= 0.7 * greatest(1, length(regexp_replace({0}, '[^\p{{L}}\p{{Nd}}]', '', 'g'))))"
@@ -87,7 +88,7 @@ _TEMPLATE = "replace([" + ", ".join(f"'{x}'" for x in D.TEMPLATES) + "][(no - 1)
 def answerable(t: Tables) -> DataFrame:
     from folio.operators.lexical import top
 
-    every = sections(t)
+    every = cut(sections(t).select("document_id", "section_no", "heading"))  # read four times; texts stay out
     have = top(every, "document_id", 1, F.asc("section_no")).select("document_id", "heading", F.lit(1).alias("no"))
     return D.expand_answerable(every, have, 8)
 
