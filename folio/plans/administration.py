@@ -38,10 +38,16 @@ def q03_serialize(t: Tables) -> DataFrame:
     return rows.select("id", "file_name", F.coalesce("chunk_count", "meta.chunk_count").alias("chunk_count"), (F.coalesce("chunk_count", F.lit(0)) > 1).alias("has_many"), (F.col("image_count") > 0).alias("has_images"))
 
 
-@query("""WITH l AS (SELECT l_orderkey AS id, arg_max(CASE l_returnflag WHEN 'A' THEN 'failed' WHEN 'R' THEN 'completed' ELSE 'processing' END, (l_shipdate, l_linenumber)) AS live FROM lineitem GROUP BY ALL)
+def live_status(events: DataFrame) -> DataFrame:
+    """(batch_id, live): the status of each batch's latest event; of several at one time that of the last document, and of its events
+    the last in order of status."""
+    return events.groupBy("batch_id").agg(F.max_by("status", F.struct("ts", "document_no", "status")).alias("live"))
+
+
+@query("""WITH l AS (SELECT l_orderkey AS id, arg_max(CASE l_returnflag WHEN 'A' THEN 'failed' WHEN 'R' THEN 'completed' ELSE 'processing' END, (l_shipdate, l_linenumber, CASE l_returnflag WHEN 'A' THEN 'failed' WHEN 'R' THEN 'completed' ELSE 'processing' END)) AS live FROM lineitem GROUP BY ALL)
 SELECT d.id, coalesce(live, status) AS status, CASE coalesce(live, status) WHEN 'completed' THEN 100 WHEN 'failed' THEN 0 ELSE 50 END AS progress, CASE WHEN coalesce(live, status) = 'failed' THEN 'processing failed' END AS error FROM {f_docs_catalog} d LEFT JOIN l USING (id)""")
 def q04_status(t: Tables) -> DataFrame:
-    live = t("f_batch_events").groupBy(F.col("batch_id").alias("id")).agg(F.max_by("status", F.struct("ts", "document_no")).alias("live"))
+    live = live_status(t("f_batch_events")).withColumnRenamed("batch_id", "id")
     rows = t("f_docs_catalog").join(live, "id", "left").select("id", F.coalesce("live", "status").alias("status"))
     progress = F.when(F.col("status") == "completed", 100).when(F.col("status") == "failed", 0).otherwise(50)
     return rows.select("id", "status", progress.alias("progress"), F.when(F.col("status") == "failed", "processing failed").alias("error"))

@@ -203,3 +203,12 @@ def plain_tokens(text):
     for w in re.findall(f"[0-9a-z]+|[{HAN}]+", text.lower()):
         words += [w] if w.isascii() or len(w) == 1 else [w[i : i + 2] for i in range(len(w) - 1)]
     return [w for w in words if w not in X.STOPWORDS]
+
+
+def test_live_status_of_events_that_tie(spark):
+    from folio.plans.administration import live_status
+
+    states = ["completed", "failed", "processing"]
+    rows = [(b, 1, s, "2024-01-01") for b in range(6) for s in (states if b % 2 else states[::-1])]
+    got = live_status(spark.createDataFrame(rows, "batch_id long, document_no int, status string, ts string").coalesce(1)).collect()
+    assert {r["batch_id"]: r["live"] for r in got} == dict.fromkeys(range(6), "processing")
