@@ -23,9 +23,10 @@ def document_pairs(t: Tables) -> DataFrame:
     return ids.join(ids.select(F.col("a").alias("b")), F.col("b") == F.col("a") + 1)
 
 
-@query(f"WITH {_MEAN} SELECT document_id::BIGINT AS document_id, list_transform(embedding, lambda x: round(x, 5)) AS embedding FROM mv")
+@query(f"WITH {_MEAN} SELECT document_id::BIGINT AS document_id, list_transform(embedding, lambda x: round(x, 5) + 0.0) AS embedding FROM mv")
 def m01_mean_vector(t: Tables) -> DataFrame:
-    return M.mean_vectors(t("f_chunk_vectors")).select("document_id", F.transform("embedding", lambda x: F.round(x, 5)).alias("embedding"))
+    """Rounded means; one that rounds to zero is a zero without a sign."""
+    return M.mean_vectors(t("f_chunk_vectors")).select("document_id", F.transform("embedding", lambda x: F.round(x, 5) + 0.0).alias("embedding"))
 
 
 @query(f"WITH {_MEAN} SELECT x.document_id::BIGINT AS a, y.document_id::BIGINT AS b, round({_PAIRS}, 4) AS similarity FROM mv x JOIN mv y ON y.document_id = x.document_id + 1")

@@ -212,3 +212,17 @@ def test_live_status_of_events_that_tie(spark):
     rows = [(b, 1, s, "2024-01-01") for b in range(6) for s in (states if b % 2 else states[::-1])]
     got = live_status(spark.createDataFrame(rows, "batch_id long, document_no int, status string, ts string").coalesce(1)).collect()
     assert {r["batch_id"]: r["live"] for r in got} == dict.fromkeys(range(6), "processing")
+
+
+def test_mean_vector_has_no_negative_zero(spark, tmp_path):
+    import duckdb
+    import pandas as pd
+
+    from folio.plans import catalogue
+
+    pd.DataFrame({"vec_id": [1, 2], "embedding": [[-1e-7, 0.5, 1e-7], [-1e-7, 0.25, 1e-7]], "label": [7, 7]}).to_parquet(tmp_path / "embeddings.parquet")
+    got = catalogue.queries()["m01_mean_vector"](spark, str(tmp_path)).first()["embedding"]
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet'")
+    want = con.execute(catalogue.oracle_sql()["m01_mean_vector"]).fetchone()[1]
+    assert [str(x) for x in got] == [str(x) for x in want] == ["0.0", "0.375", "0.0"]
