@@ -226,3 +226,22 @@ def test_mean_vector_has_no_negative_zero(spark, tmp_path):
     con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet'")
     want = con.execute(catalogue.oracle_sql()["m01_mean_vector"]).fetchone()[1]
     assert [str(x) for x in got] == [str(x) for x in want] == ["0.0", "0.375", "0.0"]
+
+
+def test_rows_are_worked_out_some_tokens_at_a_time(spark):
+    import numpy as np
+    import pyarrow as pa
+
+    def work(tokens):
+        lists = tokens if not pa.types.is_list(tokens.type.value_type) else tokens.flatten()
+        return np.arange(len(tokens)), [pa.array(np.full(len(tokens), len(lists.flatten())))]
+
+    ids = spark.range(400).coalesce(1)
+    flat = ids.select("id", F.array_repeat(F.lit("word"), 1000).alias("tokens"))
+    nested = ids.select("id", F.array_repeat(F.array_repeat(F.lit("word"), 10), 100).alias("tokens"))
+    for rows in (flat, nested):
+        got = L._by_row(rows, "id", "seen long", work).collect()
+        assert sorted(r["id"] for r in got) == list(range(400))
+        assert 1000 <= max(r["seen"] for r in got) <= L.TOKENS
+    long = spark.range(3).select("id", F.array_repeat(F.lit("word"), 100_000).alias("tokens"))
+    assert [r["seen"] for r in L._by_row(long, "id", "seen long", work).collect()] == [100_000] * 3
