@@ -73,9 +73,8 @@ SELECT a, b, round(semantic, 4) AS semantic, round(overlap, 4) AS overlap, round
 def m04_recommend(t: Tables) -> DataFrame:
     """Recommendations for every document among the latest of its user. Documents whose id 3 divides have a vector; for the others, tokens stand."""
     words = L.tfidf_keywords(t("documents"), "doc_id", "text", 15).groupBy(F.col("doc_id").alias("id")).agg(F.collect_list("keyword").alias("words"))
-    pairs = M.latest_candidates(t("f_docs_catalog"), t("f_docs_catalog"))
     vectors = t("embeddings").where("vec_id % 3 = 0").select(F.col("vec_id").alias("id"), "embedding")
-    made = M.recommend(pairs, t("documents").select(F.col("doc_id").alias("id"), "text"), words, vectors, 0.4, 5, F.desc("created_at"), F.asc("b"))
+    made = M.recommend_latest(t("f_docs_catalog"), t("f_docs_catalog"), t("documents").select(F.col("doc_id").alias("id"), "text"), words, vectors, 0.4, 5)
     return made.withColumn("topics", F.array_join("topics", ","))
 
 

@@ -245,3 +245,17 @@ def test_rows_are_worked_out_some_tokens_at_a_time(spark):
         assert 1000 <= max(r["seen"] for r in got) <= L.TOKENS
     long = spark.range(3).select("id", F.array_repeat(F.lit("word"), 100_000).alias("tokens"))
     assert [r["seen"] for r in L._by_row(long, "id", "seen long", work).collect()] == [100_000] * 3
+
+
+def test_recommendations_among_the_latest_equal_those_of_pairs(spark):
+    text = " ".join(f"w{i}" for i in range(2000))
+    cat = spark.range(240).selectExpr("id", "concat('u', id % 2) AS user_id", "IF(id % 5 = 0, 'failed', 'completed') AS status", "id % 17 AS created_at")
+    texts = spark.range(240).select("id", F.concat(F.lit(text), F.lit(" x"), "id").alias("text"))
+    words = texts.select("id", F.array(F.lit("w1"), F.concat(F.lit("x"), "id")).alias("words"))
+    vectors = spark.range(0, 240, 3).select("id", F.array(F.lit(1.0), F.rand(1)).alias("embedding"))
+    vectors = spark.createDataFrame(vectors.collect(), vectors.schema)
+    rows = lambda df: sorted(tuple(r) for r in df.collect())
+
+    got = M.recommend_latest(cat, cat, texts, words, vectors, 0.4, 5, 20)
+    want = M.recommend(M.latest_candidates(cat, cat, 20), texts, words, vectors, 0.4, 5, F.desc("created_at"), F.asc("b"))
+    assert rows(got) == rows(want) and got.count() == 240 * 5
