@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folio.functions import text as X
+from folio.sources.store import small_batches
 
 
 def glue(lines: list[Column] | Column) -> Column:
@@ -172,6 +173,7 @@ def blocks_of(text: str) -> list[str]:
 
 def parent_child_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 500, overlap: int = 50, parent_size: int = 1500, parent_overlap: int = 180) -> DataFrame:
     """(id_col, chunk_index, parent_chunk_index, content): parents cut into child chunks, numbered through the document."""
+    small_batches(docs.sparkSession)
     floor = max(50, size), max(50, parent_size)
     laps = max(0, min(overlap, floor[0] // 2)), max(0, min(parent_overlap, floor[1] // 2))
 
@@ -213,14 +215,30 @@ def candidate_blocks(section: Column, size: int = 360) -> Column:
     return F.filter(F.array_distinct(F.concat(atomic, join(atomic, "\n\n"))), lambda b: ~noise(b))
 
 
+def merged(parts: list[str], most: int, least: int) -> str:
+    """Texts in order as one. An overlap starts where the tail of what there is holds the first ``least`` + 1 characters of the next."""
+    out: list[str] = []
+    tail = ""
+    for x in parts:
+        if not tail:
+            out, tail = [x], x[-most:]
+            continue
+        n, at = 0, tail.find(x[: least + 1]) if len(x) > least else -1
+        while 0 <= at < len(tail) - least:
+            if x.startswith(tail[at:]):
+                n = len(tail) - at
+                break
+            at = tail.find(x[: least + 1], at + 1)
+        out += [x[n:]] if n else ["\n\n", x]
+        tail = (tail + out[-1] if n else tail + "\n\n" + x)[-most:]
+    return "".join(out)
+
+
 def merge_overlapping(parts: Column, most: int = 240, least: int = 16) -> Column:
     """Texts in order as one: an overlap of over ``least`` and at most ``most`` characters is kept once, else a blank line parts them."""
 
-    def step(acc: Column, x: Column) -> Column:
-        longest = F.least(F.length(acc), F.length(x), F.lit(most))
-        sizes = F.when(longest > least, F.sequence(longest, F.lit(least + 1), F.lit(-1))).otherwise(F.array().cast("array<int>"))
-        fits = F.filter(sizes, lambda n: F.right(acc, n) == F.left(x, n))
-        n = F.coalesce(F.get(fits, F.lit(0)), F.lit(0))
-        return F.when(acc == "", x).when(n > 0, F.concat(acc, F.substring(x, n + 1, F.length(x)))).otherwise(F.concat(acc, F.lit("\n\n"), x))
+    @F.pandas_udf("string")
+    def run(rows: pd.Series) -> pd.Series:
+        return rows.map(lambda r: None if r is None or any(x is None for x in r) else merged(list(r), most, least))
 
-    return F.aggregate(parts, F.lit(""), step)
+    return run(parts)

@@ -259,3 +259,41 @@ def test_recommendations_among_the_latest_equal_those_of_pairs(spark):
     got = M.recommend_latest(cat, cat, texts, words, vectors, 0.4, 5, 20)
     want = M.recommend(M.latest_candidates(cat, cat, 20), texts, words, vectors, 0.4, 5, F.desc("created_at"), F.asc("b"))
     assert rows(got) == rows(want) and got.count() == 240 * 5
+
+
+def plain_merge(parts, most=240, least=16):
+    acc = ""
+    for x in parts:
+        n = next((n for n in range(min(len(acc), len(x), most), least, -1) if acc[-n:] == x[:n]), 0)
+        acc = x if acc == "" else acc + x[n:] if n else acc + "\n\n" + x
+    return acc
+
+
+def test_merged_texts_equal_plain_ones():
+    rng = random.Random(5)
+    for most, least in ((240, 16), (12, 2), (6, 0)):
+        for _ in range(400):
+            text = "".join(rng.choice("ab") for _ in range(rng.randint(0, 600)))
+            parts, at = [], 0
+            while at < len(text):
+                end = at + rng.randint(1, 80)
+                parts.append(text[at:end])
+                at = end - rng.randint(0, min(30, end - at - 1))
+            rng.random() < 0.3 and parts.insert(rng.randint(0, len(parts)), "")
+            assert C.merged(parts, most, least) == plain_merge(parts, most, least)
+
+
+def test_merging_long_texts_is_no_search_of_all_of_them(spark):
+    import time
+
+    rows = spark.range(1).select(F.transform(F.sequence(F.lit(0), F.lit(6000)), lambda i: F.concat(F.repeat(F.lit("0123456789"), 6), i.cast("string"), F.lit(" end"))).alias("p"))
+    began = time.time()
+    made = rows.select(C.merge_overlapping(F.col("p")).alias("t")).first()["t"]
+    assert made.count(" end") == 6001 and time.time() - began < 20
+
+
+def test_whole_texts_reach_python_some_at_a_time(spark):
+    docs = spark.range(3).select(F.col("id").alias("doc_id"), F.lit("One sentence. Another one.").alias("text"))
+    for make in (lambda: C.parent_child_chunks(docs), lambda: S.extract_markup(docs, "doc_id", "text", "html")):
+        spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+        assert make().count() == 3 and spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == "4m"
