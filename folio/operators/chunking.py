@@ -199,20 +199,26 @@ def candidate_blocks(section: Column, size: int = 360) -> Column:
     raw = F.filter(F.transform(F.split(X.block_text(section), r"\n\s*\n+"), X.strip), lambda b: (b != "") & ~noise(b))
 
     def join(items: Column, glue: str) -> Column:
-        """Greedy concatenations of at most ``size`` characters."""
-        kind = "struct<done:array<string>,open:string>"
-        start = F.from_json(F.lit('{"done":[],"open":""}'), kind)
-        more = lambda acc, x: F.when(acc["open"] == "", x).otherwise(F.concat(acc["open"], F.lit(glue), x))
+        """Greedy concatenations of at most ``size`` characters: the numbers of the items that start one, then their texts."""
+        kind = "struct<starts:array<int>,n:int,i:int>"
+        start = F.from_json(F.lit('{"starts":[],"n":0,"i":0}'), kind)
 
         def step(acc: Column, x: Column) -> Column:
-            full = (acc["open"] != "") & (F.length(more(acc, x)) > size)
-            return F.struct(F.when(full, F.concat(acc["done"], F.array(X.strip(acc["open"])))).otherwise(acc["done"]).alias("done"), F.when(full, x).otherwise(more(acc, x)).alias("open"))
+            new = (acc["i"] == 0) | (acc["n"] + len(glue) + F.length(x) > size)
+            return F.struct(
+                F.when(new, F.concat(acc["starts"], F.array(acc["i"]))).otherwise(acc["starts"]).alias("starts"),
+                F.when(new, F.length(x)).otherwise(acc["n"] + len(glue) + F.length(x)).alias("n"), (acc["i"] + 1).alias("i"),
+            )
 
-        return F.aggregate(items, start, step, lambda acc: F.when(acc["open"] != "", F.concat(acc["done"], F.array(X.strip(acc["open"])))).otherwise(acc["done"]))
+        def texts(acc: Column) -> Column:
+            ends = lambda k: F.coalesce(F.get(acc["starts"], k + 1), acc["i"])
+            return F.transform(acc["starts"], lambda a, k: X.strip(F.array_join(F.slice(items, a + 1, ends(k) - a), glue)))
 
-    pieces = F.flatten(F.transform(raw, lambda b: F.when(F.length(b) <= size, F.array(b)).otherwise(join(X.sentences(b, "。！？!?；;"), ""))))
-    atomic = F.filter(pieces, lambda b: ~noise(b))
-    return F.filter(F.array_distinct(F.concat(atomic, join(atomic, "\n\n"))), lambda b: ~noise(b))
+        return F.aggregate(items, start, step, texts)
+
+    pieces = F.flatten(F.transform(raw, lambda b: F.when(F.length(b) <= size, F.array(b)).otherwise(X.let(X.sentences(b, "。！？!?；;"), lambda s: join(s, "")))))
+    # what is joined of blocks that are no noise is none either
+    return X.let(F.filter(pieces, lambda b: ~noise(b)), lambda atomic: F.array_distinct(F.concat(atomic, join(atomic, "\n\n"))))
 
 
 def merged(parts: list[str], most: int, least: int) -> str:

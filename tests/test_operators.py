@@ -314,3 +314,47 @@ def test_chunks_of_a_document_are_cut_in_its_row(spark, data):
     from folio.sources.views import table
 
     assert "Window" not in table(spark, data, "f_chunks")._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_values_are_worked_out_once(spark):
+    calls = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def counted(x):
+        calls.add(1)
+        return x
+
+    row = spark.range(1).select(counted(F.lit("same")).alias("x")).select(X.let(F.col("x"), lambda v: F.concat(v, v, v)).alias("y")).first()
+    assert row["y"] == "samesamesame" and calls.value == 1
+    said = X.is_low_information(F.col("b"))._jc.toString()
+    assert said.count("{3,}") == 1, said
+
+
+def test_blocks_of_long_sections_equal_plain_ones(spark):
+    rng = random.Random(4)
+    words = ["wort", "12345", "----", "....", "alpha beta", "。", "；", "Ünï", "a.", "\n\n", "\n", "!", "中文字符很多的一句"]
+    bodies = [" ".join(rng.choice(words) for _ in range(rng.randint(0, 500))) for _ in range(60)]
+
+    def noise(b):
+        kept = len(re.sub("[^A-Za-z0-9\u4e00-\u9fff]", "", b))
+        return b == "" or bool(re.fullmatch(r"[\W_\d]+", b)) or bool(re.search("[.。·]{4,}", b)) and kept < 10 or kept < 6
+
+    def join(items, glue):
+        done, open_ = [], ""
+        for x in items:
+            if open_ and len(open_ + glue + x) > 360:
+                done.append(open_.strip())
+                open_ = x
+            else:
+                open_ = open_ + glue + x if open_ else x
+        return done + ([open_.strip()] if open_ else [])
+
+    def plain(body):
+        text = re.sub("\n{3,}", "\n\n", re.sub("[ \t]+", " ", body)).strip()
+        raw = [b for b in map(str.strip, re.split(r"\n\s*\n+", text)) if b and not noise(b)]
+        cut = lambda b: [s for s in map(str.strip, re.split("(?<=[。！？!?；;\n])", b)) if s]
+        atomic = [p for b in raw for p in ([b] if len(b) <= 360 else join(cut(b), "")) if not noise(p)]
+        return [b for b in dict.fromkeys(atomic + join(atomic, "\n\n")) if not noise(b)]
+
+    got = spark.createDataFrame(list(enumerate(bodies)), "i int, b string").select("i", C.candidate_blocks(F.col("b")).alias("c")).orderBy("i").collect()
+    assert [r["c"] for r in got] == [plain(b) for b in bodies]
