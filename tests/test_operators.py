@@ -358,3 +358,16 @@ def test_blocks_of_long_sections_equal_plain_ones(spark):
 
     got = spark.createDataFrame(list(enumerate(bodies)), "i int, b string").select("i", C.candidate_blocks(F.col("b")).alias("c")).orderBy("i").collect()
     assert [r["c"] for r in got] == [plain(b) for b in bodies]
+
+
+def test_chunks_are_not_shuffled_for_few_hits(spark):
+    from folio.operators import retrieval as R
+
+    chunks = spark.range(4000).selectExpr("concat(id, '') AS chunk_id", "id % 100 AS document_id", "CAST(id % 3 AS INT) AS parent_chunk_index", "CAST(id AS INT) AS chunk_index", "repeat('text ', 40) AS content", "1 AS page", "'text' AS type")
+    hits = spark.range(5).selectExpr("id AS query_id", "concat(id * 7, '') AS chunk_id", "1.0 / (id + 1) AS score")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        made = R.parent_context(hits, chunks, 3)
+        assert "BroadcastHashJoin" in made._jdf.queryExecution().executedPlan().toString() and made.count() == 5
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
