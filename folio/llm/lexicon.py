@@ -261,6 +261,10 @@ class LexiconEncoder(Encoder):
         self.flat = np.asarray(self.lexicon.ids).astype(self.dtype)
         self.at = np.asarray(self.lexicon.at).astype(np.int64)
 
+    def _marks(self, raw: np.ndarray, at: np.ndarray, edge: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The lexicon has words with their marks."""
+        return ends, np.zeros(len(ends), dtype=bool)
+
     def _look_up(self, pieces: pa.Array) -> np.ndarray:
         raw, at = utf8(pieces)
         place = self.lexicon.find(raw, at[:-1], at[1:])
@@ -275,13 +279,12 @@ class LexiconEncoder(Encoder):
         size = len(self.lexicon.at) - 1
         place = self._find(pieces)
         absent = np.flatnonzero(place < 0)
-        place[absent] = len(self.pieces) + np.arange(len(absent))
         fresh = pieces.take(pa.array(absent))
+        place[absent] = self._note(fresh.cast(pa.large_string()))
         for a in range(0, len(fresh), 8192):
             made = self.cutter(fresh.slice(a, 8192).to_pylist())
             self.flat = np.concatenate([self.flat, np.array([x for ids in made for x in ids], dtype=self.dtype)])
             self.at = np.concatenate([self.at, self.at[-1] + np.cumsum([len(ids) for ids in made], dtype=np.int64)])
-        self.pieces = pa.concat_arrays([self.pieces, fresh.cast(pa.large_string())])
         return place + size
 
 

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from folio.llm.store import range_bounds, shared_dir, small_batches
-from folio.llm.textops import chunks, utf8
+from folio.llm.textops import chunks, mix, utf8
 
 MAGIC, HEAD = b"FTK1", struct.Struct("<4sHHII32s")
 INDEX = np.dtype([("doc_id", "<i8"), ("has_id", "u1"), ("end", "<u8"), ("tokens", "<u8")])
@@ -39,21 +39,52 @@ _WORD = re.compile(rf"{_LATIN}(?=[ \n.,;:!?]|\Z)|[.,;:!?]+(?=[ \n]|\Z)|[\S\x1c-\
 _SPACED = re.compile(rf" ?{_LATIN}(?=[ \n.,;:!?]|\Z)|[.,;:!?]+(?=[ \n]|\Z)|[^\S\x1c-\x1f]*[\S\x1c-\x1f]+|[^\S\x1c-\x1f]+")
 #: Text bytes that are encoded at once; one longer text goes alone.
 ENCODE_BYTES = 3 << 20
-_BARE, _LED = re.compile(_LATIN), re.compile(f" {_LATIN}")
+#: Bytes of marks, and of ASCII letters.
+_MARKS, _LETTERS = np.isin(np.arange(256), list(b".,;:!?")), np.isin(np.arange(256) | 32, np.arange(97, 123)) & (np.arange(256) < 128)
+#: The low 0 to 8 bytes of a word.
+_LOW = np.array([(1 << 8 * k) - 1 for k in range(9)], dtype=np.uint64)
 #: UTF-8 of white space beyond ASCII.
 _WIDE_SPACE = re.compile(b"\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2(?:\x80[\x80-\x8a\xa8\xa9\xaf]|\x81\x9f)|\xe3\x80\x80")
 
 
+def latin(raw: np.ndarray) -> np.ndarray:
+    """Which bytes belong to letters of ``_LATIN``; one entry more than bytes, which is False."""
+    out = np.append(_LETTERS[raw], False)
+    lead = np.flatnonzero(raw[:-1] == 0xC3)
+    lead = lead[(raw[lead + 1] != 0x97) & (raw[lead + 1] != 0xB7)]
+    out[lead] = out[lead + 1] = True
+    return out
+
+
+def all_of(flags: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Whether all flags are set in each of these ascending spans, none of them empty."""
+    return np.logical_and.reduceat(flags, np.column_stack([starts, ends]).ravel())[::2] if len(starts) else np.zeros(0, dtype=bool)
+
+
+def piece_keys(pieces: pa.Array) -> np.ndarray:
+    """Hashes of the strings: of their size, first 32 and last 16 bytes."""
+    raw, at = utf8(pieces)
+    size, n = np.diff(at), len(raw)
+    words = np.ndarray((n + 1,), "<u8", np.append(raw, np.zeros(8, dtype=np.uint8)), strides=(1,))
+    out = size.astype(np.uint64)
+    for o in (0, 8, 16, 24):
+        out = mix(out * np.uint64(0x9E3779B97F4A7C15) + (words[np.minimum(at[:-1] + o, n)] & _LOW[np.clip(size - o, 0, 8)]))
+    for o in (8, 16):
+        out = mix(out * np.uint64(0x9E3779B97F4A7C15) + np.where(size >= o, words[np.maximum(at[1:] - o, 0)], 0))
+    return out
+
+
 class Encoder:
     """Encodes texts with a public tokenizer, remembering the ids of each piece between white space.
 
-    A batch is cut at ASCII white space by numpy, Arrow finds its distinct pieces, and only those are looked up; ids are gathered
-    by position. Neither tokenizer's pattern lets a token span the end of a run of letters or marks before other characters, so the
-    ids of a text are those of its pieces one after another, and those of a new piece are those of its parts. New parts of letters
-    alone are encoded many at a time as one text, and told apart by the vocabulary's own word marks (a word's end, or its leading
-    blank). What is remembered lies in Arrow and numpy buffers, some 30 bytes a piece. ``keep_space`` leaves white space in front of a piece (byte-level vocabularies encode it); else it is dropped (word
-    vocabularies ignore it). The memory holds about ``memory`` pieces and then starts anew. Strings of special tokens are read as
-    the library reads them by default, as those tokens; texts that hold one are encoded whole.
+    A batch is cut by numpy at ASCII white space and between a word of letters and the marks at its end, Arrow finds its distinct
+    pieces, and only those are looked up; ids are gathered by position. Neither tokenizer's pattern lets a token span the end of a run
+    of letters or marks before other characters, so the ids of a text are those of its pieces one after another, and those of a new
+    piece are those of its parts. New pieces of letters alone are encoded many at a time as one text, and told apart by the
+    vocabulary's own word marks (a word's end, or its leading blank). What is remembered lies in Arrow and numpy buffers, some 50 bytes
+    a piece; it is found by a hash and compared as a whole. ``keep_space`` leaves white space in front of a piece (byte-level
+    vocabularies encode it); else it is dropped (word vocabularies ignore it). The memory holds about ``memory`` pieces and then starts
+    anew. Strings of special tokens are read as the library reads them by default, as those tokens; texts that hold one are encoded whole.
     """
 
     def __init__(self, path: str, keep_space: bool, memory: int = 500_000):
@@ -61,7 +92,7 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-        self.pattern, self.simple = (_SPACED, _LED) if keep_space else (_WORD, _BARE)
+        self.pattern = _SPACED if keep_space else _WORD
         self.keep_space = keep_space
         names = {i: t for t, i in self.tokenizer.get_vocab().items()}
         self.edge = np.array([names.get(i, "").startswith("Ġ") if keep_space else names.get(i, "").endswith("</w>") for i in range(max(names) + 1)])
@@ -73,6 +104,7 @@ class Encoder:
         self.pieces = pa.array([], type=pa.large_string())
         self.flat = np.empty(0, dtype=self.dtype)
         self.at = np.zeros(1, dtype=np.int64)
+        self.keys, self.order = np.empty(0, dtype=np.uint64), np.empty(0, dtype=np.int64)  # ascending, and whose they are
 
     def __call__(self, texts: list[str | None] | pa.Array) -> list[bytes]:
         """The ids of each text, serialised little-endian in ``self.dtype``. Null is empty."""
@@ -90,37 +122,58 @@ class Encoder:
         return out
 
     def _gather(self, raw: np.ndarray, at: np.ndarray) -> list[bytes]:
-        """The ids of each text, cut at ASCII white space."""
+        """The ids of each text, cut at ASCII white space and before the marks that end a word."""
         n = len(raw)
         if not n:
             return [b""] * (len(at) - 1)
         solid = ~((raw == 32) | ((raw >= 9) & (raw <= 13)))
         edge = np.zeros(n + 1, dtype=bool)
         edge[at] = True
-        last = solid.copy()
+        first, last = solid.copy(), solid.copy()
+        first[1:] &= ~solid[:-1] | edge[1:n]
         last[:-1] &= ~solid[1:] | edge[1:n]
-        if self.keep_space:  # white space and the word after it, or what ends a text
-            bounds = np.flatnonzero(np.append(False, last) | edge)
-            step = 1
-        else:  # words and the white space before them by turns
-            first = solid.copy()
-            first[1:] &= ~solid[:-1] | edge[1:n]
-            starts, ends = np.flatnonzero(first), np.flatnonzero(last) + 1
-            bounds = np.column_stack([starts, ends]).ravel()
-            step = 2
+        starts, ends = np.flatnonzero(first), np.flatnonzero(last) + 1
+        marks, marked = self._marks(raw, at, edge, starts, ends)
+        if self.keep_space:  # white space and the word after it, the marks after a word, or what ends a text
+            bound = np.append(False, last) | edge
+            bound[marks[marked]] = True
+            bounds = np.flatnonzero(bound)
+            own = np.ones(max(0, len(bounds) - 1), dtype=bool)
+        else:  # words, the marks after them if any, and white space by turns
+            used = np.column_stack([np.ones_like(marked), marked, np.ones_like(marked)])
+            bounds = np.column_stack([starts, marks, ends])[used]
+            own = (np.ones_like(used) & [True, True, False])[used][:-1]
         if len(bounds) < 2:
             return [b""] * (len(at) - 1)
         strings = pa.Array.from_buffers(pa.large_string(), len(bounds) - 1, [None, pa.py_buffer(bounds.astype(np.int64)), pa.py_buffer(raw)])
         coded = strings.dictionary_encode()
-        which = coded.indices.to_numpy()[::step]
+        which = coded.indices.to_numpy()[own]
         used = np.zeros(len(coded.dictionary), dtype=bool)
         used[which] = True
         place = np.zeros(len(used), dtype=np.int64)
         place[used] = self._look_up(coded.dictionary.filter(pa.array(used)))
         got, total = self._ids(place[which])
-        cuts = (total[np.searchsorted(bounds[:-1:step], at)] * self.dtype.itemsize).tolist()
+        cuts = (total[np.searchsorted(bounds[:-1][own], at)] * self.dtype.itemsize).tolist()
         return [got[a:b] for a, b in zip(cuts, cuts[1:])]
 
+    def _marks(self, raw: np.ndarray, at: np.ndarray, edge: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where the marks begin that end each run between white space, and whether a word of letters and nothing else is before them."""
+        mark = _MARKS[raw]
+        begins = mark.copy()
+        begins[1:] &= ~mark[:-1] | edge[1 : len(raw)]
+        begins = np.flatnonzero(begins)
+        marks = ends.copy()
+        some = np.flatnonzero(mark[ends - 1])
+        marks[some] = begins[np.searchsorted(begins, ends[some]) - 1]
+        some = some[marks[some] > starts[some]]
+        some = some[all_of(latin(raw), starts[some], marks[some])]
+        if self.keep_space:  # white space before it is one blank at most
+            gap = starts[some] - np.maximum(np.append(0, ends)[some], at[np.searchsorted(at, starts[some], side="right") - 1])
+            some = some[(gap == 0) | (gap == 1) & (raw[starts[some] - 1] == 32)]
+        marked = np.zeros(len(ends), dtype=bool)
+        marked[some] = True
+        return marks, marked
+
     def _ids(self, place: np.ndarray) -> tuple[bytes, np.ndarray]:
         """The ids of the remembered pieces at these places, one after another, and how many stand before each piece."""
         many = np.diff(self.at)[place]
@@ -129,52 +182,86 @@ class Encoder:
 
     def _find(self, pieces: pa.Array) -> np.ndarray:
         """Where each piece is remembered, or -1."""
-        return pc.fill_null(pc.index_in(pieces, value_set=self.pieces), -1).to_numpy().astype(np.int64)
+        keys, place = piece_keys(pieces), np.full(len(pieces), -1, dtype=np.int64)
+        k = np.searchsorted(self.keys, keys)
+        some = np.flatnonzero(k < len(self.keys))
+        some = some[self.keys[k[some]] == keys[some]]
+        there = self.order[k[some]]
+        same = pc.equal(pieces.take(pa.array(some)), self.pieces.take(pa.array(there))).to_numpy(zero_copy_only=False)
+        place[some[same]] = there[same]
+        return place
+
+    def _note(self, pieces: pa.Array) -> np.ndarray:
+        """Remembers pieces, whose ids are to follow. Returns their places."""
+        places, keys = np.arange(len(pieces)) + len(self.pieces), piece_keys(pieces)
+        order = np.argsort(keys)
+        spot = np.searchsorted(self.keys, keys[order])
+        self.keys, self.order = np.insert(self.keys, spot, keys[order]), np.insert(self.order, spot, places[order])
+        self.pieces = pa.concat_arrays([self.pieces, pieces])
+        return places
+
+    def _add(self, pieces: pa.Array, flat: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """Remembers pieces with their ids, one after another. Returns their places."""
+        self.flat = np.concatenate([self.flat, flat])
+        self.at = np.concatenate([self.at, self.at[-1] + np.cumsum(sizes)])
+        return self._note(pieces)
 
     def _look_up(self, pieces: pa.Array) -> np.ndarray:
         """Where each of these distinct pieces is remembered once this returns."""
         if len(self.pieces) > self.memory or self.pieces.nbytes > 64 * self.memory:
             self._forget()
+        return self._place(pieces)
+
+    def _place(self, pieces: pa.Array) -> np.ndarray:
         place = self._find(pieces)
         absent = np.flatnonzero(place < 0)
         if not len(absent):
             return place
-        cut = {x: self.pattern.findall(x) for x in pieces.take(pa.array(absent)).to_pylist()}
-        parts = [*dict.fromkeys(x for c in cut.values() for x in c)]
-        at = self._find(pa.array(parts, type=pa.large_string())).tolist()
-        held = {p: self.flat[self.at[k] : self.at[k + 1]].tobytes() for p, k in zip(parts, at, strict=True) if k >= 0}
-        fresh = self._encode([p for p, k in zip(parts, at, strict=True) if k < 0])
-        for piece, c in cut.items():
-            if piece not in fresh:
-                fresh[piece] = b"".join([fresh[x] if x in fresh else held[x] for x in c])
-        new = {piece: k for k, piece in enumerate(fresh, len(self.pieces))}
-        place[absent] = [new[piece] for piece in cut]
-        ids = [*fresh.values()]
-        self.pieces = pa.concat_arrays([self.pieces, pa.array([*fresh], type=pa.large_string())])
-        self.flat = np.concatenate([self.flat, np.frombuffer(b"".join(ids), dtype=self.dtype)])
-        sizes = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids)) // self.dtype.itemsize
-        self.at = np.concatenate([self.at, self.at[-1] + np.cumsum(sizes)])
+        new = pieces.take(pa.array(absent))
+        word = self._words(new)
+        if word.any():
+            words = new.filter(pa.array(word))
+            place[absent[word]] = self._add(words, *self._encode_words(words.to_pylist()))
+        others, at = new.filter(pa.array(~word)).to_pylist(), absent[~word]
+        if not others:
+            return place
+        cut = [self.pattern.findall(x) for x in others]
+        single = np.array([c == [x] for x, c in zip(others, cut, strict=True)])
+        if single.any():
+            whole = [others[k] for k in np.flatnonzero(single).tolist()]
+            ids = [e.ids for k in range(0, len(whole), 4096) for e in self.tokenizer.encode_batch_fast(whole[k : k + 4096], add_special_tokens=False)]
+            flat = np.fromiter((x for i in ids for x in i), dtype=self.dtype)
+            place[at[single]] = self._add(pa.array(whole, type=pa.large_string()), flat, np.fromiter(map(len, ids), dtype=np.int64))
+        if not single.all():
+            split = [(others[k], cut[k]) for k in np.flatnonzero(~single).tolist()]
+            coded = pa.array([x for _, c in split for x in c], type=pa.large_string()).dictionary_encode()
+            got, total = self._ids(self._place(coded.dictionary)[coded.indices.to_numpy()])
+            sizes = np.diff(total[np.append(0, np.cumsum([len(c) for _, c in split]))])
+            place[at[~single]] = self._add(pa.array([x for x, _ in split], type=pa.large_string()), np.frombuffer(got, dtype=self.dtype), sizes)
         return place
 
-    def _encode(self, wanted: list[str]) -> dict[str, bytes]:
-        """The ids of distinct parts."""
-        done: dict[str, bytes] = {}
-        plain = [p for p in wanted if self.simple.fullmatch(p)]
-        for at in range(0, len(plain), 4096):
-            part = plain[at : at + 4096]
-            ids = np.array(self.tokenizer.encode(("" if self.keep_space else " ").join(part), add_special_tokens=False).ids, dtype=self.dtype)
+    def _words(self, pieces: pa.Array) -> np.ndarray:
+        """Which pieces are letters alone, after a blank if white space is kept."""
+        raw, at = utf8(pieces)
+        starts, ends = at[:-1] + self.keep_space, at[1:]
+        some = np.flatnonzero((starts < ends) & (raw[at[:-1]] == 32)) if self.keep_space else np.flatnonzero(starts < ends)
+        out = np.zeros(len(pieces), dtype=bool)
+        out[some[all_of(latin(raw), starts[some], ends[some])]] = True
+        return out
+
+    def _encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of pieces of letters, one after another, and how many each has."""
+        flat, sizes = [], []
+        for k in range(0, len(words), 4096):
+            part = words[k : k + 4096]
+            (coded,) = self.tokenizer.encode_batch_fast([("" if self.keep_space else " ").join(part)], add_special_tokens=False)
+            ids = np.array(coded.ids, dtype=self.dtype)
             edges = np.flatnonzero(self.edge[ids])
-            starts = edges if self.keep_space else np.concatenate([[0], edges[:-1] + 1])
+            starts = edges if self.keep_space else np.append(0, edges[:-1] + 1)
             if len(starts) != len(part):
                 raise ValueError("the vocabulary does not mark its words")
-            raw, bounds = ids.tobytes(), [*(starts * self.dtype.itemsize).tolist(), ids.nbytes]
-            done.update(zip(part, map(raw.__getitem__, map(slice, bounds, bounds[1:])), strict=True))
-        rest = [p for p in wanted if not self.simple.fullmatch(p)]
-        for at in range(0, len(rest), 4096):
-            part = rest[at : at + 4096]
-            for p, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                done[p] = np.array(e.ids, dtype=self.dtype).tobytes()
-        return done
+            flat.append(ids), sizes.append(np.diff(np.append(starts, len(ids))))
+        return np.concatenate(flat), np.concatenate(sizes)
 
 
 @lru_cache(maxsize=2)

@@ -143,6 +143,22 @@ def test_encoder_equals_whole_text_encoding(name, space):
         assert np.frombuffer(raw, dtype=encode.dtype).tolist() == plain.encode(text, add_special_tokens=False).ids, repr(text)
 
 
+@pytest.mark.parametrize(("name", "space"), [("word_bpe_49k.json", False), ("byte_bpe_50k.json", True)])
+def test_encoder_remembers_words_without_their_marks(name, space, monkeypatch):
+    from tokenizers import Tokenizer
+
+    text = " alpha, alpha. alpha! alpha alpha-beta, http://a.example.org/one/long/path/to/some/page.html, Größe; x... \talpha:"
+    whole = Tokenizer.from_file(tokenizer(name)).encode(text, add_special_tokens=False).ids
+    encode = token_store.Encoder(tokenizer(name), space)
+    assert np.frombuffer(encode([text])[0], dtype=encode.dtype).tolist() == whole
+    held = encode.pieces.to_pylist()
+    assert " " * space + "alpha" in held and not any(p.strip() in {"alpha,", "alpha.", "alpha!"} for p in held)
+    monkeypatch.setattr(token_store, "piece_keys", lambda pieces: np.zeros(len(pieces), dtype=np.uint64))  # all hashes collide
+    encode = token_store.Encoder(tokenizer(name), space)
+    for _ in range(2):
+        assert np.frombuffer(encode([text])[0], dtype=encode.dtype).tolist() == whole
+
+
 def test_pii_keeps_format_distinctness_and_coreference(spark):
     rows = [
         (1, "Write bob.42@mail8.example.com or BOB.42@MAIL8.EXAMPLE.COM, card 4041894974608795, ip 42.144.35.254."), (2, "Again bob.42@mail8.example.com and +1 (988) 555-2485 / 988-555-2485"),
