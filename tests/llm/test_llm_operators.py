@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import time
 import zlib
 from itertools import combinations
 
@@ -143,6 +144,20 @@ def test_encoder_equals_whole_text_encoding(name, space):
         assert np.frombuffer(raw, dtype=encode.dtype).tolist() == plain.encode(text, add_special_tokens=False).ids, repr(text)
 
 
+def test_cut_leaves_no_shuffle_files(spark):
+    disk = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    shuffles = lambda: set(re.findall(r"shuffle_\d+_", disk.getAllFiles().mkString(" ")))
+    before, setting = shuffles(), spark.conf.get(store.CLEANUP, None)
+    grouped = spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count()
+    made = store.cut(grouped)
+    for _ in range(50):  # they are deleted in the background
+        if shuffles() <= before:
+            break
+        time.sleep(0.2)
+    assert shuffles() <= before and spark.conf.get(store.CLEANUP, None) == setting
+    assert made.agg(F.sum("count")).first()[0] == 1000 and store.cut(grouped).count() == 7
+
+
 @pytest.mark.parametrize(("name", "space"), [("word_bpe_49k.json", False), ("byte_bpe_50k.json", True)])
 def test_encoder_remembers_words_without_their_marks(name, space, monkeypatch):
     from tokenizers import Tokenizer
