@@ -9,9 +9,9 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable, Iterator
 
-import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -69,6 +69,10 @@ class Run:
         """A sink that keeps each batch's full result under its number, so a repeated batch overwrites itself."""
         return lambda rows, batch: rows.write.mode("overwrite").parquet(f"{self.out}/batch={batch}")
 
+    def remove(self, path: str) -> None:
+        p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
+
     def result(self, schema) -> DataFrame:
         return self.spark.read.schema(schema).parquet(self.out)
 
@@ -159,31 +163,55 @@ def service_health(spark: SparkSession, outcomes: DataFrame, last: int = 50) ->
     return rows.groupBy("service").agg(F.max_by(F.struct("samples", "error_rate", "streak", "duration_s", "healthy"), "batch").alias("r")).select("service", "r.*").withColumns({c: F.round(c, 4) for c in ("error_rate", "duration_s")})
 
 
+def spaced(events: DataFrame, last: DataFrame, keys: list[str], span: int) -> DataFrame:
+    """(keys, _us) of each key's first event, and after that of the first one more than ``span`` microseconds after the last that was kept.
+
+    ``last`` has (keys, last) of keys that had events before, one row a key. Rows are sorted by key and time and walked in that order with
+    one number at hand, so neither a key nor its events are gathered.
+    """
+    rows = events.select(*keys, "_us", F.lit(False).alias("_old")).unionByName(last.select(*keys, F.col("last").alias("_us"), F.lit(True).alias("_old")))
+    first = F.row_number().over(Window.partitionBy(*keys).orderBy(F.col("_old").desc(), "_us")) == 1
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at = 0
+        for batch in batches:
+            kept = []
+            for begins, old, us in zip(*(batch.column(c).to_pylist() for c in ("_first", "_old", "_us")), strict=True):
+                kept.append((begins or us - at > span) and not old)
+                if begins or kept[-1]:
+                    at = us
+            yield batch.filter(pa.array(kept, type=pa.bool_())).select([*keys, "_us"])
+
+    return rows.withColumn("_first", first).mapInArrow(walk, T.StructType([*(events.schema[k] for k in keys), T.StructField("_us", T.LongType())]))
+
+
 def idempotent(spark: SparkSession, events: DataFrame, keys: list[str], ts: str = "ts", keep: int = 600) -> DataFrame:
     """(keys, ts) of the events that are no repeats: the first of each key, and after that the first one more than ``keep`` seconds
     after the last that was kept.
 
-    A key's state is the time of its last kept event; it goes when event time has passed it by ``keep`` seconds. Events of a
-    micro-batch are taken in order of time, events later than the watermark (``keep`` seconds) are dropped, and of equal times one stays.
+    What is known of the keys is a table a micro-batch: the time of each key's last kept event, which goes when event time has passed it
+    by ``keep`` seconds, and the latest time so far. Events of a micro-batch are taken in order of time, events later than the watermark
+    (``keep`` seconds, as of the micro-batches before) are dropped, as are those without a time, and of equal times one stays. A repeated
+    micro-batch starts from the table before it and gives the same.
     """
     run = Run(spark, "idempotent")
-    kinds = {f.name: f.dataType.simpleString() for f in events.schema.fields}
-    schema = ", ".join(f"{k} {kinds[k]}" for k in keys) + f", {ts} timestamp"
-
-    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        last = state.get[0] if state.exists else None
-        kept = []
-        for at in np.sort(np.concatenate([f["us"].to_numpy() for f in frames])).tolist():
-            if last is None or at - last > keep * 1_000_000:
-                kept.append(at)
-                last = at
-        state.update((last,))
-        state.setTimeoutTimestamp(max(last // 1000 + keep * 1000, state.getCurrentWatermarkMs()) + 1)
-        yield pd.DataFrame({**{k: [v] * len(kept) for k, v in zip(keys, key, strict=True)}, ts: pd.to_datetime(kept, unit="us")})
-
-    rows = events.withWatermark(ts, f"{keep} seconds").withColumn("us", F.unix_micros(ts))
-    run.drain(rows.groupBy(*keys).applyInPandasWithState(step, schema, "last long", "append", GroupStateTimeout.EventTimeTimeout), "append")
-    return run.result(T.StructType([*(events.schema[k] for k in keys), T.StructField(ts, T.TimestampType())]))
+    span, fields = keep * 1_000_000, [events.schema[k] for k in keys]
+    known = T.StructType([*fields, T.StructField("last", T.LongType()), T.StructField("latest", T.LongType())])
+    made = T.StructType([*fields, T.StructField(ts, T.TimestampType())])
+    table = lambda batch: f"{run.base}/last/batch={batch}"
+
+    def step(rows: DataFrame, batch: int) -> None:
+        old = spark.read.schema(known).parquet(table(batch - 1)) if batch else spark.createDataFrame([], known)
+        new = rows.select(*keys, F.unix_micros(ts).alias("_us")).where("_us IS NOT NULL")
+        before, now = old.agg(F.max("latest")).first()[0], new.agg(F.max("_us")).first()[0]
+        if before is not None:
+            new = new.where(F.col("_us") > before - span)
+        spaced(new, old, keys, span).select(*keys, F.timestamp_micros("_us").alias(ts)).write.mode("overwrite").parquet(f"{run.out}/batch={batch}")
+        latest = max((x for x in (before, now) if x is not None), default=0)
+        kept = spark.read.schema(made).parquet(f"{run.out}/batch={batch}").select(*keys, F.unix_micros(ts).alias("last"))
+        lasts = old.select(*keys, "last").unionByName(kept).groupBy(*keys).agg(F.max("last").alias("last")).where(F.col("last") >= latest - 2 * span)
+        lasts.withColumn("latest", F.lit(latest).cast("long")).write.mode("overwrite").parquet(table(batch))
+        run.remove(table(batch - 2))
+
+    run.drain(events, "append", step)
+    return run.result(made).select(*made.names)

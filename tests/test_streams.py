@@ -1,6 +1,8 @@
 """Streams that are fed file by file, one file a trigger, against their batch twins."""
 
 import tempfile
+import time
+from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
 
@@ -59,3 +61,33 @@ def _written(rows):
     path = tempfile.mkdtemp(prefix="folio-feed-")
     rows.write.mode("overwrite").parquet(path)
     return path
+
+
+def test_idempotent_events_carry_the_last_kept_time_over_batches(spark, tmp_path):
+    at = lambda s: datetime(2026, 1, 1) + timedelta(seconds=s)
+    batches = [
+        [(1, "a", 0), (1, "a", 600), (1, "a", 600), (1, "a", 601), (1, "a", 1201), (None, "a", 100), (None, "a", 300), (2, None, 5), (3, "a", None), (2, None, 5)],
+        [(1, "a", 1300), (1, "a", 1202), (None, "a", 750), (2, None, 601), (2, None, 1100), (4, "b", 5000), (1, "a", 600)],
+        [(4, "b", 4400), (4, "b", 5600), (4, "b", 5601), (1, "a", 4401), (5, "c", 4400), (2, None, 4500)],
+    ]
+    schema = "user_id long, kind string, ts timestamp"
+    for rows in batches:
+        made = spark.createDataFrame([(u, e, None if s is None else at(s)) for u, e, s in rows], schema)
+        made.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    last, latest, want = {}, None, []
+    for rows in batches:
+        for u, e, s in sorted((r for r in rows if r[2] is not None), key=lambda r: r[2]):
+            if (latest is None or s > latest - 600) and s - last.get((u, e), -601) > 600:
+                last[u, e] = s
+                want.append((u, e, at(s)))
+        latest = max([latest or 0, *(r[2] for r in rows if r[2] is not None)])
+    stream = J.read_stream(spark, str(tmp_path / "in"), files_per_trigger=1)
+    got = [tuple(r) for r in J.idempotent(spark, stream, ["user_id", "kind"]).collect()]
+    assert sorted(got, key=str) == sorted(want, key=str) and len(want) == 11
+
+
+def test_idempotent_events_of_many_keys_are_not_handled_key_by_key(spark, tmp_path):
+    spark.range(40_000).selectExpr("id % 20000 AS k", "timestamp_seconds(1700000000 + id DIV 20000 * 300) AS ts").write.parquet(str(tmp_path / "in"))
+    started = time.perf_counter()
+    assert J.idempotent(spark, J.read_stream(spark, str(tmp_path / "in")), ["k"]).count() == 20_000
+    assert time.perf_counter() - started < 15
