@@ -371,3 +371,16 @@ def test_chunks_are_not_shuffled_for_few_hits(spark):
         assert "BroadcastHashJoin" in made._jdf.queryExecution().executedPlan().toString() and made.count() == 5
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_summaries_of_empty_texts_have_no_ratio(spark, tmp_path):
+    import duckdb
+
+    import __spark_entry__ as entry
+
+    texts = ["", " \n ", None, "short", "One sentence. Another one here. " * 30]
+    spark.createDataFrame([(i, x, "en", "s", len(x or "")) for i, x in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    got = entry.queries()["l12_summary_envelope"](spark, str(tmp_path)).orderBy("doc_id").collect()
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS FROM '{tmp_path}/documents.parquet/*.parquet'")
+    assert [str(tuple(r)) for r in got] == [str(r) for r in con.execute(entry.oracle_sql()["l12_summary_envelope"] + " ORDER BY doc_id").fetchall()]
