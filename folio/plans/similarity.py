@@ -80,10 +80,9 @@ def m04_recommend(t: Tables) -> DataFrame:
 
 @query()
 def m05_compare_score(t: Tables) -> DataFrame:
-    texts = t("documents").select("doc_id", "text")
-    pairs = document_pairs(t).join(texts.withColumnsRenamed({"doc_id": "a", "text": "ta"}), "a").join(texts.withColumnsRenamed({"doc_id": "b", "text": "tb"}), "b")
-    semantic = F.round(X.jaccard(X.tokens(F.col("ta")), X.tokens(F.col("tb"))), 4)
-    scored = M.sequence_ratio(pairs.withColumn("semantic", semantic), "ta", "tb").withColumn("lexical", F.round("lexical", 4))
+    texts = t("documents").select(F.col("doc_id").alias("a"), F.col("text").alias("ta"))
+    after = t("documents").select((F.col("doc_id") - 1).alias("a"), F.col("doc_id").alias("b"), F.col("text").alias("tb"))
+    scored = M.compared(texts.join(after, "a"), "ta", "tb").select("a", "b", F.round("semantic", 4).alias("semantic"), F.round("lexical", 4).alias("lexical"))
     return scored.select("a", "b", "semantic", "lexical", F.round(0.65 * F.col("semantic") + 0.35 * F.col("lexical"), 4).alias("overall"))
 
 

@@ -410,3 +410,13 @@ def test_matching_ratio_of_copies_moves_and_other_scripts():
     long = "".join(chr(0x4E00 + rng.randrange(3000)) for _ in range(20_000))
     began = time.time()
     assert M.matching_ratio(long, long[10_000:] + long[:10_000]) >= 0.5 and M.matching_ratio(long, long) == 1.0 and time.time() - began < 20
+
+
+def test_texts_are_compared_in_one_pass(spark):
+    texts = ["文档检索 and BM25 的 检索", "İstanbul Kelvin ÉTÉ bm25 the AND 中", "", None, "的 and the", "检索系统 bm25 x的y"]
+    rows = spark.createDataFrame([(i, j, x, y) for i, x in enumerate(texts) for j, y in enumerate(texts)], "i int, j int, a string, b string")
+    want = M.sequence_ratio(rows.withColumn("semantic", X.jaccard(X.tokens(F.col("a")), X.tokens(F.col("b")))), "a", "b").drop("a", "b")
+    got = M.compared(rows, "a", "b")
+    assert got.columns == want.columns and sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_extract_all" not in plan and plan.count("MapInArrow") == 1
