@@ -1,5 +1,6 @@
 """Operators without SQL against plain versions, and edge cases."""
 
+import math
 import random
 import re
 from collections import Counter, defaultdict
@@ -437,3 +438,16 @@ def test_recommendations_deal_a_user_over_parts(spark):
     assert rows(made) == want == rows(M.recommend_latest(asked, cat, texts, words, vectors, 0.4, 5, 20)) and len(want) > 500
     plan = made._jdf.queryExecution().optimizedPlan().toString()
     assert "array_intersect(ta" not in plan and plan.count("MapInArrow") == 1  # pairs are scored in one pass, none is joined
+
+
+def test_tokens_in_tasks_are_those_of_expressions(spark):
+    texts = ["文档检索 and BM25 的 检索。中文x系统！通过文档\rKelvin İstanbul; ÉTÉ ete", "One, two.  Three?\r\nThe and to.\n\n  “Four” — five", "", None, "的", ". . .", "x中y文档"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    got = {r["id"]: (r["t"], r["s"]) for r in docs.select("id", X.tokens(F.col("text")).alias("t"), F.transform(X.sentences(F.col("text"), L.LATIN_ENDS), lambda s: X.tokens(s)).alias("s")).collect()}
+    assert all(got[i][0] == X.token_list(x) for i, x in enumerate(texts) if x is not None)
+    made = L.tfidf_keywords(docs, "id", "text", 50)
+    counts = {r["id"]: r["n"] for r in made.groupBy("id").agg(F.sum("frequency").alias("n")).collect()}
+    assert counts == {i: sum(map(len, s)) for i, (_, s) in got.items() if s and any(s)}
+    first = {r["keyword"]: r["score"] for r in made.where("id = 1").collect()}
+    assert first["four"] == round(1 / 5 * (math.log(4 / 2) + 1), 4) == first["one"]
+    assert "transform" not in made._jdf.queryExecution().optimizedPlan().toString()
